@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import simhash, syncmers, token_counts, token_output
+from foldspark.llm import langid, simhash, syncmers, token_counts, token_output, toxicity
+from foldspark.llm._common import fold
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = langid.fit(docs, fold("doc_id", 3) != 1)
+    return langid.identify(docs, model).withColumn("held_out", fold("doc_id", 3) == 1)
+
+
 def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edit_comparison(_docs(spark, sf_dir))
 
@@ -20,6 +27,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(token_output.token_files(_docs(spark, sf_dir)))
 
 
+def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold("doc_id", 4) != 2)
+    return toxicity.score(docs, machine).withColumn("held_out", fold("doc_id", 4) == 2)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_docs(spark, sf_dir))
 
@@ -29,5 +42,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_syncmer_fingerprints, op4_token_files, op7_token_counts, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_language_mixture, op3_syncmer_fingerprints, op4_token_files, op6_toxicity_fm, op7_token_counts, op10_simhash)}
 SQL: dict[str, str] = {}
