@@ -97,9 +97,12 @@ def inverse_frequencies(found: DataFrame, index: Index) -> list[float]:
 
 def _phrase(hits: Column, codes: list[int]) -> Column:
     """Starts of a phrase: every place of its words, moved to the start, is a place of the next too."""
-    mask = (1 << _BITS) - 1
-    starts = [F.transform(F.filter(hits, lambda x, c=c: x.bitwiseAND(mask) == c), lambda x, k=k: F.shiftright(x, _BITS) - k) for k, c in enumerate(codes)]
-    return reduce(F.array_intersect, starts)
+
+    def starts(k: int, code: int) -> Column:
+        own = F.filter(hits, lambda x: x.bitwiseAND((1 << _BITS) - 1) == code)
+        return F.transform(own, lambda x: F.shiftright(x, _BITS) - k)
+
+    return reduce(F.array_intersect, [starts(k, c) for k, c in enumerate(codes)])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, rarest: int = RAREST, agree: float = AGREE) -> DataFrame:
@@ -154,3 +157,40 @@ def _verified(index: Index, t: int, agree: float) -> Column:
         return F.when(need & (part >= agree), part).otherwise(0.0)
 
     return F.coalesce(F.array_max(F.transform(own, share)), F.lit(0.0))
+
+
+def sql(index: Index | None = None, rarest: int = RAREST, agree: float = AGREE) -> str:
+    """The scan as DuckDB SQL over ``documents``."""
+    index = index or Index()
+    values = lambda rows: ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
+    tmpl = [(t, k, w, int(_at(text, m) <= k < _at(text, m) + len(m)), len(text), len(m), label) for t, (label, text, m) in enumerate(index.templates) for k, w in enumerate(text)]
+    base = [(b, k, w, len(words), label) for b, (words, label) in enumerate(index.base) for k, w in enumerate(words)]
+    return f"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+code(word, c) AS (VALUES {values(index.code.items())}),
+tmpl(t, k, word, must, len, musts, label) AS (VALUES {values(tmpl)}),
+base(b, k, word, len, label) AS (VALUES {values(base)}),
+flat AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM split),
+hits AS (SELECT doc_id, pos, word, c FROM flat JOIN code USING (word)),
+df AS (SELECT c, count(DISTINCT doc_id) AS n FROM hits GROUP BY c),
+ranked AS (
+  SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY n, c) AS r FROM (SELECT DISTINCT doc_id, c FROM hits) JOIN df USING (c)),
+proposed AS (
+  SELECT DISTINCT h.doc_id, t.t, h.pos - t.k AS start FROM hits h JOIN ranked r ON h.doc_id = r.doc_id AND h.c = r.c AND r.r <= {rarest} JOIN tmpl t ON t.word = h.word),
+held AS (
+  SELECT p.doc_id, p.t, p.start, any_value(t.label) AS label, count(*)::DOUBLE / any_value(t.len) AS share, sum(t.must) = any_value(t.musts) AS whole
+  FROM proposed p JOIN tmpl t ON p.t = t.t JOIN hits h ON h.doc_id = p.doc_id AND h.pos = p.start + t.k AND h.word = t.word GROUP BY p.doc_id, p.t, p.start),
+named AS (SELECT doc_id, label, share FROM held WHERE whole AND share >= {agree}),
+places AS (
+  SELECT h.doc_id, b.b, h.pos - b.k AS start, any_value(b.label) AS label FROM hits h JOIN base b ON b.word = h.word
+  GROUP BY h.doc_id, b.b, h.pos - b.k HAVING count(*) = any_value(b.len)),
+based AS (
+  SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+every AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM named UNION SELECT doc_id, label FROM places) GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM named GROUP BY doc_id)
+SELECT s.doc_id, len(s.words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
+FROM split s LEFT JOIN based USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)
+"""

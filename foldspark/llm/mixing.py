@@ -102,7 +102,7 @@ keyed AS (
 each AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
-  SELECT *, 3 * source_size AS cap, [5, 2, 1][((row_number() OVER (ORDER BY source COLLATE "C" ASC NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM each),
+  SELECT *, 3 * source_size AS cap, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM each),
 levels AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER o, 0))::DOUBLE AS level
   FROM weighed WINDOW o AS (ORDER BY cap / w, w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -114,5 +114,5 @@ placed AS (
   SELECT k.doc_id, k.size, k.source, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size AS rest,
     coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM keyed k JOIN plan p ON k.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN start + size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM placed
+SELECT doc_id, source, size, source_size, target, (size * (epochs + CASE WHEN start + size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM placed
 """

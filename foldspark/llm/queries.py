@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import langid, simhash, syncmers, token_counts, token_output, toxicity
+from foldspark.llm import langid, license_index, mixing, simhash, syncmers, token_counts, token_output, toxicity
 from foldspark.llm._common import fold
 
 
@@ -37,10 +37,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_docs(spark, sf_dir))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_docs(spark, sf_dir))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.scan_licenses(_docs(spark, sf_dir))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_docs(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_mixture, op3_syncmer_fingerprints, op4_token_files, op6_toxicity_fm, op7_token_counts, op10_simhash)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_language_mixture, op3_syncmer_fingerprints, op4_token_files, op6_toxicity_fm, op7_token_counts, op8_source_mix, op9_license_scan, op10_simhash)}
+SQL: dict[str, str] = {"op8_source_mix": mixing.SQL, "op9_license_scan": license_index.sql()}
