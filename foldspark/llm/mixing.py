@@ -48,8 +48,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     every = by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(upto), F.lit(0))
     level = left / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(upto), F.lit(0)))
-    filled = each.withColumn("level", level).withColumn("open", F.col("cap") / F.col("w") >= F.col("level"))
-    common = F.min(F.when(F.col("open"), F.col("level"))).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # The level rises while the next source would stop below it and falls afterwards.
+    filled = each.withColumn("level", level)
+    common = F.max("level").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     target = F.least(F.col("cap").cast("double"), F.coalesce(common, F.lit(0.0)) * F.col("w"))
     return filled.select("source", "source_size", target.alias("target"), "docs", "mean_weight")
 
@@ -83,16 +84,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     0; a null source is one of its own, last in order; rows with the same id are taken alike; an empty
     table gives none. Runs agree.
     """
+    sized = written(_sized(docs, id_col, text_col, source_col, quality), "sized")  # one pass over the texts
+    return _taken(sized, written(cuts(sized, source_targets(sized, weights)), "cuts"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: Column | None) -> DataFrame:
     weight = F.sqrt(F.greatest(F.col("size"), F.lit(1))) if quality is None else quality
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"))
-    # One pass over the texts; what follows reads these few columns.
-    sized = written(rows.withColumn("weight", weight.cast("double")).withColumn("key", exponential_key("doc_id", F.col("weight"))), "sized")
-    plan = written(cuts(sized, source_targets(sized, weights)), "cuts").withColumnRenamed("source", "p_source")
+    return rows.withColumn("weight", weight.cast("double")).withColumn("key", exponential_key("doc_id", F.col("weight")))
+
+
+def _taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
     again = F.coalesce(F.struct("key", "doc_id") <= F.col("cut"), F.lit(False)).cast("long")
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
+    joined = sized.join(plan.withColumnRenamed("source", "p_source"), F.col("source").eqNullSafe(F.col("p_source")))
     return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + again)).alias("taken"))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, quality: Column | None = None) -> DataFrame:
+    """The rows of the mix with all their columns: each as many times as it is taken, 0 to 3."""
+    sized = written(_sized(docs, id_col, text_col, source_col, quality), "sized")
+    plan = written(cuts(sized, source_targets(sized, weights)), "cuts").select(F.col("source").alias("mix__source"), "epochs", "cut")
+    weight = F.sqrt(F.greatest(F.col("size"), F.lit(1))) if quality is None else quality
+    drawn = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"))
+    drawn = drawn.withColumn("key", exponential_key("doc_id", weight.cast("double")))
+    again = F.coalesce(F.struct("key", "doc_id") <= F.col("cut"), F.lit(False)).cast("long")
+    joined = drawn.join(plan, F.col("source").eqNullSafe(F.col("mix__source"))).where("size > 0")
+    times = (F.col("epochs") + again).cast("int")
+    return joined.where(times > 0).select("doc", F.explode(F.sequence(F.lit(1), times)).alias("copy")).select("doc.*")
+
+
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -107,7 +127,7 @@ levels AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER o, 0))::DOUBLE AS level
   FROM weighed WINDOW o AS (ORDER BY cap / w, w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, least(cap::DOUBLE, coalesce(min(CASE WHEN cap / w >= level THEN level END) OVER (), 0.0) * w) AS target FROM levels),
+  SELECT source, source_size, least(cap::DOUBLE, coalesce(max(level) OVER (), 0.0) * w) AS target FROM levels),
 plan AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM targets),
 placed AS (
