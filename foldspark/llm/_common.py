@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,3 +94,18 @@ def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros((len(values) + 1, *values.shape[1:]), dtype=np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, axis=0, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def keep_rows(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], np.ndarray]], limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows, with all their columns, for whose texts (null: '') a function says true.
+
+    ``make`` builds the function once in each task. Narrow: rows stay where they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for part in slices(batch, text_col, limit):
+                yield part.filter(pa.array(keep(filled(part[text_col])).astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)

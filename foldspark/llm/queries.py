@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import langid, license_index, mixing, simhash, syncmers, token_counts, token_output, toxicity
+from foldspark.llm import decontaminate, langid, license_index, mixing, simhash, syncmers, token_counts, token_output, toxicity, url_tree
 from foldspark.llm._common import fold
 
 
@@ -13,6 +13,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     model = langid.fit(docs, fold("doc_id", 3) != 1)
@@ -27,6 +31,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digest(token_output.token_files(_docs(spark, sf_dir)))
 
 
+def op5_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_tree.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     machine = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold("doc_id", 4) != 2)
@@ -50,5 +58,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_mixture, op3_syncmer_fingerprints, op4_token_files, op6_toxicity_fm, op7_token_counts, op8_source_mix, op9_license_scan, op10_simhash)}
-SQL: dict[str, str] = {"op8_source_mix": mixing.SQL, "op9_license_scan": license_index.sql()}
+QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_language_mixture, op3_syncmer_fingerprints, op4_token_files, op5_url_template_tree, op6_toxicity_fm, op7_token_counts, op8_source_mix, op9_license_scan, op10_simhash)}
+SQL: dict[str, str] = {"op5_url_template_tree": url_tree.sql(), "op8_source_mix": mixing.SQL, "op9_license_scan": license_index.sql()}
