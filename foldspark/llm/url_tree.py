@@ -114,7 +114,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("said").alias("labelled"), F.count(F.when(F.col("said") == "block", 1)).alias("blocked"))
     named = written(_templates(paths, s), "templates")
     table = named.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    branches = _merged(table, s)
+    branches = written(_merged(table, s), "branches")
     total = branches.groupBy().agg((F.coalesce(F.sum("blocked"), F.lit(0)) / F.greatest(F.coalesce(F.sum("labelled"), F.lit(0)), F.lit(1))).alias("overall"))
     rates = branches.groupBy("host", "branch").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).crossJoin(F.broadcast(total))  # one row
     rates = rates.select("host", "branch", ((F.col("b") + s.prior * F.col("overall")) / (F.col("l") + s.prior)).alias("purity"))
