@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that join all of ``a`` and ``b`` that are connected within ``radius`` bits across the two."""
-    hit = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
+    hit = np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= radius  # of signed numbers it counts the absolute value
     rows = np.flatnonzero(hit.any(axis=1))
     if not len(rows):
         return []
