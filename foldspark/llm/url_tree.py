@@ -28,7 +28,7 @@ class Settings:
     most: int = 64  # children from which a node varies in any case
     z: float = 1.96  # deviations up to which branches are similar
     labelled: int = 5  # labels that a branch must have to be merged
-    prior: float = 4.0  # labels' worth of the overall block rate in each template
+    prior: float = 4.0  # labels added to each template, half of them blocked
     purity: float = 0.7  # smoothed block rate from which a template is rejected
 
 
@@ -115,9 +115,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     named = written(_templates(paths, s), "templates")
     table = named.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     branches = written(_merged(table, s), "branches")
-    total = branches.groupBy().agg((F.coalesce(F.sum("blocked"), F.lit(0)) / F.greatest(F.coalesce(F.sum("labelled"), F.lit(0)), F.lit(1))).alias("overall"))
-    rates = branches.groupBy("host", "branch").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).crossJoin(F.broadcast(total))  # one row
-    rates = rates.select("host", "branch", ((F.col("b") + s.prior * F.col("overall")) / (F.col("l") + s.prior)).alias("purity"))
+    rates = branches.groupBy("host", "branch").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    rates = rates.select("host", "branch", ((F.col("b") + s.prior / 2) / (F.col("l") + s.prior)).alias("purity"))
     judged = named.select("host", "path", "template").join(branches.select("host", "template", "branch"), ["host", "template"]).join(rates, ["host", "branch"]).select("host", "path", F.col("branch").alias("template"), "purity")
     out = rows.join(judged, ["host", "path"])
     own = F.when(F.col("purity") >= s.purity, "block").otherwise("allow")
@@ -151,8 +150,7 @@ def sql(rules: tuple[tuple[str, str], ...] = RULES, settings: Settings = Setting
             f"p{i} AS (SELECT *, sum(labelled) OVER b AS lab, sum(blocked) OVER b AS blk, sum(labelled) OVER g AS all_lab, sum(blocked) OVER g AS all_blk FROM l{i} WINDOW b AS (PARTITION BY host, branch), g AS (PARTITION BY host, mask))",
             f"m{i} AS (SELECT host, template, labelled, blocked, CASE WHEN mask IS NOT NULL AND lab >= {s.labelled} AND all_lab > 0 AND abs(blk / lab - all_blk / all_lab) <= {s.z} * sqrt((all_blk / all_lab) * (1 - all_blk / all_lab) / lab) THEN mask ELSE branch END AS branch FROM p{i})",
         ]
-    ctes.append("overall AS (SELECT coalesce(sum(blocked), 0) / greatest(coalesce(sum(labelled), 0), 1) AS p FROM m0)")
-    ctes.append(f"rates AS (SELECT host, branch, (sum(blocked) + {s.prior} * (SELECT p FROM overall)) / (sum(labelled) + {s.prior}) AS purity FROM m0 GROUP BY host, branch)")
+    ctes.append(f"rates AS (SELECT host, branch, (sum(blocked) + {s.prior / 2}) / (sum(labelled) + {s.prior}) AS purity FROM m0 GROUP BY host, branch)")
     return (
         "WITH " + ",\n".join(ctes) + f"\nSELECT r.page_id, r.host, r.path, r.rule, coalesce(r.said, CASE WHEN purity >= {s.purity} THEN 'block' ELSE 'allow' END) AS verdict, m.branch AS template, purity\n"
         "FROM ruled r JOIN named USING (host, path) JOIN m0 m ON m.host = named.host AND m.template = named.template JOIN rates ON rates.host = m.host AND rates.branch = m.branch"

@@ -1,0 +1,353 @@
+"""Operators against brute force, exact round trips, held-out accuracy and edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from foldspark.llm import decontaminate, langid, license_index, mixing, simhash, syncmers, token_counts, token_output, toxicity, url_tree
+
+SCHEMA = "doc_id long, text string, lang string, source string, size string, key int"
+LICENSE = "Licensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3. All rights reserved."
+EDGES = [(1, None, None, None, "x", 1), (2, "", "en", "a", "x", 1), (3, " \n\t", "en", "a", "x", 1), (None, "no id here", "en", None, None, None), (5, "twice the same text", "en", "b", "x", 1), (5, "twice the same text", "en", "b", "x", 1), (6, "long " * 30_000, "en", "b", "x", 2), (7, "<|endoftext|> Été Σ don't 12", "fr", "c", "x", 3), (8, LICENSE, "en", "a", "y", 4)]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame(EDGES, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def _texts(n: int, seed: int) -> list[str]:
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abdeilnorstu") for _ in range(rng.randint(1, 8))) for _ in range(400)]
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(0, 80))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    texts = _texts(60, 1)
+    texts += [texts[3], texts[4] + " tail", texts[5].upper(), ""]
+    return spark.createDataFrame([(i * 3, t, "en", f"s{i % 4}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+
+
+def _library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(token_counts.default_tokenizer())
+
+
+def test_token_counts(docs, edges, empty):
+    lib = _library()
+    for df in (docs, edges):
+        got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.count_tokens(df).collect())
+        want = []
+        for r in df.collect():
+            t = r["text"] or ""
+            n = len(lib.encode(t, add_special_tokens=False).ids)
+            want.append((r["doc_id"] if r["doc_id"] is not None else -1, len(t.encode()), n, n > 2048))
+        assert got == sorted((x[0] or -1, *x[1:]) for x in want)
+    assert token_counts.count_tokens(empty).count() == 0
+
+
+def test_rank_merging_of_odd_strings():
+    m, lib = token_counts.merger(token_counts.default_tokenizer()), _library()
+    rng = random.Random(3)
+    words = ["a" * n for n in (1, 2, 3, 7, 64, 999)] + ["".join(rng.choice("abcdeé中") for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    assert m.counts(words).tolist() == [len(lib.encode(w, add_special_tokens=False).ids) for w in words]
+
+
+@pytest.mark.parametrize("layout", ["dictionary", "delta"])
+def test_token_files_round_trip(spark, docs, layout):
+    lib = _library()
+    got = {r["doc_id"]: r for r in token_output.token_files(docs, layout=layout).collect()}
+    digest = {r["doc_id"]: r for r in token_output.token_digest(token_output.token_files(docs, layout=layout)).collect()}
+    start = 0
+    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        ids = [*lib.encode(r["text"], add_special_tokens=False).ids, 1]
+        assert (got[r["doc_id"]]["start"], list(got[r["doc_id"]]["ids"])) == (start, ids)
+        assert digest[r["doc_id"]]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+
+
+def test_token_files_edges(edges, empty):
+    rows = token_output.token_files(edges).orderBy("start").collect()
+    assert len(rows) == len(EDGES) and rows[0]["doc_id"] is None and [r["n_tokens"] for r in rows if r["doc_id"] in (1, 2, 3)] == [1, 1, 1]
+    assert token_output.token_files(empty).count() == 0
+    lib = _library()
+    assert next(list(r["ids"]) for r in rows if r["doc_id"] == 7) == [*lib.encode(EDGES[7][1], add_special_tokens=False).ids, 1]
+
+
+def test_edit_comparison(docs):
+    rows = sorted(docs.collect(), key=lambda r: -r["doc_id"])
+    got = {r["doc_id"]: r for r in syncmers.edit_comparison(docs, parts=5).collect()}
+    prints = {r["doc_id"]: r["fingerprint"] for r in syncmers.fingerprints(docs).collect()}
+    assert len(got) == len(rows)
+    for i, r in enumerate(rows):
+        t, a = r["text"], rows[(i + 1) % len(rows)]["text"]
+        h = len(t) // 2
+        edited = t[: len(t) - h] + a[:h]
+        g = got[r["doc_id"]]
+        assert (g["n_chars"], g["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert g["fingerprint"] == prints[r["doc_id"]] == syncmers.sketches([t])[0].tobytes().hex()
+        assert g["edited_fingerprint"] == syncmers.sketches([edited])[0].tobytes().hex()
+        assert 0 <= g["near_edited"] <= 1 and 0 <= g["near_next"] <= 1
+
+
+def test_syncmers_are_context_free():
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core = make(300)
+    a, b = make(100) + core, make(37) + core + make(50)
+    _, pa_, ha = syncmers.anchors([a])
+    _, pb, hb = syncmers.anchors([b])
+    inside = {(p - 100, h) for p, h in zip(pa_, ha) if p >= 100}
+    assert inside and inside <= {(p - 37, h) for p, h in zip(pb, hb)}
+    # brute force of the choice on one text
+    _, pos, _ = syncmers.anchors([a])
+    codes = np.frombuffer(a.encode("utf-32-le"), "<u4").astype(np.uint64)
+    inner = syncmers._rolling(codes, syncmers.S)
+    w = syncmers.K - syncmers.S + 1
+    assert sorted(pos.tolist()) == [i for i in range(len(a) - syncmers.K + 1) if min(inner[i : i + w]) in (inner[i], inner[i + w - 1])]
+
+
+def test_syncmer_edges(edges, empty, spark):
+    got = syncmers.edit_comparison(edges).collect()
+    assert len(got) == len(EDGES)
+    assert {r["fingerprint"] for r in got if r["doc_id"] in (1, 2)} == {syncmers.EMPTY}
+    assert syncmers.edit_comparison(empty).count() == 0
+    one = syncmers.edit_comparison(spark.createDataFrame([(1, "only one document here, its own next")], "doc_id long, text string")).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1.0
+    assert syncmers.syncmer_anchors(edges).count() == len(EDGES)
+
+
+def _simhash(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    sh = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else ([" ".join(w)] if w else [])
+    h = [xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def _components(prints: dict[int, int], radius: int) -> dict[int, int]:
+    ids, of = sorted(prints), {i: i for i in prints}
+
+    def find(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if bin(prints[a] ^ prints[b]).count("1") <= radius:
+                x, y = sorted((find(a), find(b)))
+                of[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_against_brute_force(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    base = " ".join(_texts(30, 9))
+    rows += [(1000 + i, base + " " + x) for i, x in enumerate(["", "a", "b c", "d", "a"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {i: _simhash(t) for i, t in rows}
+    want = _components(prints, 3)
+    got = simhash.near_duplicates(df).collect()
+    assert {r["doc_id"]: r["fp"] & (2**64 - 1) for r in got} == prints
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert want[1001] == want[1004] == want[1000]
+
+
+def test_simhash_tiles_miss_no_link(spark):
+    rng = random.Random(4)
+    fps = set()
+    for _ in range(150):
+        x = rng.getrandbits(64)
+        fps.add(x)
+        for _ in range(rng.randint(0, 3)):
+            for b in rng.sample(range(64), rng.randint(1, 3)):
+                x ^= 1 << b
+            fps.add(x)
+    signed = [x - 2**64 if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    found = simhash.components(simhash.links(df, piece=8)).collect()
+    got = {x: x for x in signed} | {r["node"]: r["component"] for r in found}
+    want = _components({x: x & (2**64 - 1) for x in signed}, 3)
+    assert got == want
+
+
+def test_simhash_edges(edges, empty):
+    got = simhash.near_duplicates(edges).collect()
+    assert len(got) == len(EDGES)
+    assert {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
+    assert simhash.near_duplicates(empty).count() == 0
+    kept = simhash.keep_one(edges)
+    assert kept.columns == edges.columns and {r["doc_id"] for r in kept.collect()} >= {1, 5, 6}
+
+
+def test_language_mixture(spark, edges, empty):
+    rng = random.Random(2)
+    alpha = {"xa": ["kato", "meri", "lonka", "sipu", "tavo"], "yb": ["grüft", "schnaz", "verzug", "blöde", "krampf"]}
+    text = lambda k, n: " ".join(rng.choice(alpha[k]) + rng.choice(["", "s", "en"]) for _ in range(n))
+    rows = [(i, text(k, 40), k) for i, k in enumerate(["xa", "yb"] * 60)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(train, F.col("doc_id") % 3 != 1)
+    got = {r["doc_id"]: r for r in langid.identify(train, model).collect()}
+    assert all(got[i]["lang_pred"] == k for i, _, k in rows)
+    mixed = spark.createDataFrame([(1, text("xa", 60) + " " + text("yb", 30))], "doc_id long, text string")
+    r = langid.identify(mixed, model).first()
+    assert r["langs"] == ["xa", "yb"] and r["shares"][0] == pytest.approx(2 / 3, abs=0.1)
+    out = langid.identify(edges, model).collect()
+    assert {r["lang_pred"] for r in out if r["doc_id"] in (1, 2, 3)} == {"und"} and all(0 <= r["score"] <= 1 for r in out)
+    assert langid.identify(empty, model).count() == 0 and langid.fit(empty, F.lit(True)).langs == []
+    assert {r["lang_pred"] for r in langid.identify(edges, langid.fit(empty, F.lit(True))).collect()} == {"und"}
+    assert langid.keep_identified(edges, model).columns == edges.columns
+
+
+def test_toxicity(spark, edges, empty):
+    rng = random.Random(6)
+    plain = [f"word{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        words = [rng.choice(plain) for _ in range(rng.randint(20, 60))] + ["grubface"] * (3 * toxic)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.fit(docs, known, F.col("doc_id") % 5 != 2)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, machine).collect()}
+    held = [(got[i], t) for i, t in labels if i % 5 == 2]
+    assert sum(a == b for a, b in held) / len(held) > 0.95
+    assert len(toxicity.score(edges, machine).collect()) == len(EDGES) and toxicity.score(empty, machine).count() == 0
+    none = toxicity.fit(docs, known.where("false"), F.lit(True))
+    assert {r["predicted"] for r in toxicity.score(edges, none).collect()} == {0}
+
+
+def test_toxicity_learns_pairs():
+    rng = np.random.default_rng(0)
+    rows, y = [], []
+    for _ in range(1500):
+        a, b = rng.random(2) < 0.5
+        rows.append([1] * bool(a) + [2] * bool(b) + rng.integers(10, 60, 5).tolist())
+        y.append(float(a and b))
+    ids = np.array([x for r in rows for x in r])
+    offsets = np.append(0, np.cumsum([len(r) for r in rows]))
+    m = toxicity.train(ids, offsets, np.array(y), np.ones(len(y)))
+    one, both = m.margin(np.array([1, 2]), np.array([0, 1, 2])), m.margin(np.array([1, 2]), np.array([0, 2]))
+    assert both[0] > 0 > one.max()
+
+
+def test_mix(spark, docs, edges, empty):
+    rows = mixing.mix(docs).collect()
+    size = {}
+    for r in rows:
+        size[r["source"]] = size.get(r["source"], 0) + r["size"]
+    total = sum(size.values())
+    w = dict(zip(sorted(size), (5, 2, 1, 5)))
+    target, open_ = {}, set(size)
+    while True:  # stop at three times the size, share the excess
+        level = (total - sum(target.values())) / sum(w[s] for s in open_)
+        over = {s for s in open_ if w[s] * level > 3 * size[s]}
+        if not over:
+            break
+        target |= {s: 3.0 * size[s] for s in over}
+        open_ -= over
+    target |= {s: w[s] * level for s in open_}
+    taken = {}
+    for r in rows:
+        assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == size[r["source"]] and 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    longest = max(r["size"] for r in rows)
+    assert all(abs(taken[s] - target[s]) <= longest for s in size)
+    assert sorted(rows) == sorted(mixing.mix(docs).collect())
+    assert sum(r["taken"] for r in rows) == sum(len((r["text"] or "").split()) for r in mixing.mixed(docs).collect())
+    got = mixing.mix(edges).collect()
+    assert len(got) == len(EDGES) and all(r["taken"] == 0 for r in got if r["doc_id"] in (1, 2, 3))
+    assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0 and mixing.mixed(edges).columns == edges.columns
+
+
+def test_licenses(spark, edges, empty):
+    got = {r["doc_id"]: r for r in license_index.scan_licenses(edges).collect()}
+    r = got[8]
+    assert (r["n_base"], r["base_labels"]) == (3, "cc-by,gpl,reserved") and {"cc-by-nc", "gpl-3.0"} <= set(r["labels"].split(","))
+    assert (got[1]["n_words"], got[1]["n_base"], got[1]["first_word"], got[1]["labels"], got[1]["score"]) == (0, 0, None, "", 0.0)
+    assert got[6]["n_words"] == 30_000 and license_index.scan_licenses(empty).count() == 0
+    odd = spark.createDataFrame([(1, "cc-by cc by CC BY x"), (2, "by cc, all the rights reserved"), (3, "the MIT  license; Kcc by")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in license_index.scan_licenses(odd).collect()}
+    assert (out[1]["n_base"], out[1]["first_word"], out[1]["last_word"]) == (3, 0, 4)
+    assert out[2]["n_base"] == 0 and out[3]["n_base"] == 0 and "mit" in out[3]["labels"]
+
+
+def test_urls(spark):
+    urls = [None, "", "no scheme", "HTTP://A.Example.COM/en/1?x#y", "http://example.net/fr/5", "http://www.example.com/en/5", "http://example.com/en/5", "http://x.org/a/b", "http://x.org#f", "http://notcom/en/"]
+    got = [r for r in url_tree.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
+    assert [(r["host"], r["path"], r["rule"]) for r in got] == [
+        ("", "", None), ("", "", None), ("", "", None), ("a.example.com", "/en/1", "example.com/en/"), ("example.net", "/fr/5", "net/fr/"), ("www.example.com", "/en/5", "www.example.com/en/"), ("example.com", "/en/5", "example.com/en/"), ("x.org", "/a/b", None), ("x.org", "", None), ("notcom", "/en/", None),
+    ]
+    assert [r["verdict"] for r in got[3:7]] == ["block", "block", "allow", "block"] and all(r["verdict"] in ("allow", "block") for r in got)
+    assert url_tree.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_url_templates_reject_by_purity(spark):
+    rows = [(i, f"http://spam.net/{'es' if i % 2 else 'fr'}/{i}") for i in range(60)] + [(100 + i, f"http://fine.org/{i}/page") for i in range(20)]
+    got = {r["page_id"]: r for r in url_tree.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[0]["template"] == "*/*" and got[0]["purity"] > 0.7 and got[100]["template"] == "*/page" and got[100]["verdict"] == "allow"
+
+
+def test_decontamination(spark, edges, empty):
+    item = "A train leaves Boston at 60 km per hour and travels 120 km before it stops in Albany for 15 minutes to change its crew."
+    swapped = item.replace("60", "75").replace("120", "150").replace("15", "20").replace("Boston", "Denver").replace("Albany", "Omaha")
+    bench = spark.createDataFrame([(1, item), (2, "too few words"), (3, None), (4, "the cat sat on the mat and slept for a very long while there")], "item_id long, text string")
+    filler = " ".join(_texts(3, 8))
+    rows = [(1, f"{filler}. {item} {filler}"), (2, f"{filler}. {swapped} {filler}"), (3, filler), (4, "1 2 3 4 5 6 7 8 9 10"), (5, None), (6, "the cat sat on the mat")]
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {1, 2} and got[1]["exact"] and not got[2]["exact"] and got[2]["consistent"] >= 0.8 and got[2]["n_slots"] >= 3
+    assert {r["doc_id"] for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, block=10).collect()} == {1, 2}
+    assert decontaminate.contaminated(edges, bench).count() == 0 and decontaminate.contaminated(empty, bench).count() == 0
+    assert decontaminate.contaminated(edges, bench.where("false")).count() == 0
+    kept = decontaminate.keep_clean(edges, bench)
+    assert kept.count() == len(EDGES) and kept.columns == edges.columns
+
+
+def test_inconsistent_slots_are_no_match():
+    import pyarrow as pa
+
+    table = decontaminate.ItemTable([(1, "give 5 apples to Ann then take 5 apples from Ann and give 5 to Ann again now please")])
+    text = "give 1 apples to Bob then take 2 apples from Cat and give 3 to Dan again now please"
+    tokens = decontaminate.Tokens(pa.array([text]))
+    assert decontaminate.judged(table, tokens, *table.found(tokens)) == []
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(_texts(1, 77)[0].split()[:30]) + " ends here with seven more plain words"
+    texts = _texts(40, 21)
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts) if t]
+    rows += [(100, rows[0][1], "en", "s0", 1), (101, f"{texts[2]} {item}", "en", "s1", 1), (102, None, "en", "s1", 0), (103, "123 456", "en", "s2", 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        kept[name] = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert kept["language_id"] == {r[0] for r in rows} - {102, 103}
+    assert 100 not in kept["near_duplicates"] and 0 in kept["near_duplicates"]
+    assert kept["near_duplicates"] - kept["decontamination"] == {101}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "source_mix", "token_files"]
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids"] and {r["doc_id"] for r in out.collect()} == kept["source_mix"]
