@@ -9,14 +9,14 @@ words by relative position. A template counts if its mandatory phrase stands who
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.llm._common import written
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words (fixed value): ASCII but a-z and 0-9, after lower-casing.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels (fixed values).
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
@@ -46,9 +46,12 @@ TEMPLATES = (
     Template("public-domain", "released into the public domain", "into the public domain"),
     Template("reserved", "copyright all rights reserved", "all rights reserved"),
 )
+#: Words that stand anywhere: their places in templates match any word and are not indexed.
+COMMON = frozenset("a and are by in into is of or the this to under use with without work".split())
 #: Licence words of a file that are looked up, and the share of a template's words that have to agree.
 RAREST, AGREE = 4, 0.5
 _BITS = 7
+_MASK = (1 << _BITS) - 1
 _SHIFT = 1 << 20
 
 
@@ -60,9 +63,17 @@ class Index:
     """Vocabulary (a code a word), postings and mandatory places of templates."""
 
     def __init__(self, templates: tuple[Template, ...] = TEMPLATES, base: tuple[tuple[str, str], ...] = BASE):
-        self.templates = [(t.label, t.text.split(), t.mandatory.split()) for t in templates]
         self.base = [(p.split(), label) for p, label in base]
-        words = sorted({w for _, text, _ in self.templates for w in text} | {w for p, _ in self.base for w in p})
+        kept = {w for p, _ in self.base for w in p}
+        #: Label, (place, word) of the indexed words, places of the mandatory phrase among them.
+        self.templates = []
+        for t in templates:
+            text, phrase = t.text.split(), t.mandatory.split()
+            first = _at(text, phrase)
+            places = [(k, w) for k, w in enumerate(text) if w not in COMMON or first <= k < first + len(phrase)]
+            self.templates.append((t.label, places, [(k, w) for k, w in places if first <= k < first + len(phrase)]))
+            kept |= {w for _, w in places}
+        words = sorted(kept)
         if len(words) >= 1 << _BITS or len(self.templates) >= 1 << _BITS:
             raise ValueError("too many licence words or templates for their codes")
         self.code = {w: i for i, w in enumerate(words)}
@@ -70,7 +81,7 @@ class Index:
 
     def postings(self, word: str) -> list[int]:
         """template << 7 | position of the word in all templates."""
-        return [t << _BITS | k for t, (_, text, _) in enumerate(self.templates) for k, w in enumerate(text) if w == word]
+        return [t << _BITS | k for t, (_, places, _) in enumerate(self.templates) for k, w in places if w == word and w not in COMMON]
 
 
 def licence_words(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,7 +89,7 @@ def licence_words(docs: DataFrame, index: Index, id_col: str = "doc_id", text_co
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # lower() makes an ASCII letter of two other characters only; these are put out of its way.
     text = F.when(text.rlike("[Kİ]"), F.regexp_replace(text, "[Kİ]", "�")).otherwise(text)
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    words = F.array_remove(F.split(F.lower(text), GAP), "")
     codes = F.create_map(*[x for w, c in index.code.items() for x in (F.lit(w), F.lit(c))])
     places = F.transform(F.col("words"), lambda w, i: F.when(w.isin(index.words), F.shiftleft(i.cast("long"), _BITS) + codes[w]))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
@@ -88,21 +99,20 @@ def licence_words(docs: DataFrame, index: Index, id_col: str = "doc_id", text_co
 def inverse_frequencies(found: DataFrame, index: Index) -> list[float]:
     """IDF of each licence word over all files: as many numbers as licence words."""
     n = found.count()
-    code = F.explode(F.array_distinct(F.transform("hits", lambda x: x.bitwiseAND((1 << _BITS) - 1)))).alias("code")
+    code = F.explode(F.array_distinct(F.transform("hits", lambda x: x.bitwiseAND(_MASK)))).alias("code")
     df = {r["code"]: r["n"] for r in found.select(code).groupBy("code").agg(F.count("*").alias("n")).collect()}
     from math import log
 
     return [log((n + 1) / (df.get(c, 0) + 1)) for c in range(len(index.words))]
 
 
-def _phrase(hits: Column, codes: list[int]) -> Column:
-    """Starts of a phrase: every place of its words, moved to the start, is a place of the next too."""
+def _starts(place: str) -> str:
+    """SQL: where the whole would begin, going by the places in the file of the word of ``place`` (k, code)."""
+    return f"transform(filter(hits, x -> (x & {_MASK}) = {place}.code), x -> shiftright(x, {_BITS}) - {place}.k)"
 
-    def starts(k: int, code: int) -> Column:
-        own = F.filter(hits, lambda x: x.bitwiseAND((1 << _BITS) - 1) == code)
-        return F.transform(own, lambda x: F.shiftright(x, _BITS) - k)
 
-    return reduce(F.array_intersect, [starts(k, c) for k, c in enumerate(codes)])
+def _places(index: Index, places: list[tuple[int, str]]) -> str:
+    return "array(" + ", ".join(f"named_struct('k', {k}, 'code', {index.code[w]}L)" for k, w in places) + ")"
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, rarest: int = RAREST, agree: float = AGREE) -> DataFrame:
@@ -112,64 +122,49 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     position where one starts (else null); labels are the base labels and those of templates found,
     distinct, sorted and comma-joined; score is the greatest share of a found template's words in
     place, 1 where a base phrase stands, else 0. Null is the empty text. Two narrow passes and the
-    counts of the licence words; no texts are shuffled.
+    counts of the licence words; no texts are shuffled, and all steps are linear in a file's hits.
     """
     index = index or Index()
-    mask = (1 << _BITS) - 1
     found = written(licence_words(docs, index, id_col, text_col), "licence")
     idf = inverse_frequencies(found, index)
-    hits = F.col("hits")
-    starts = [_phrase(hits, [index.code[w] for w in words]) for words, _ in index.base]
-    out = found.select("*", *[s.alias(f"s{i}") for i, s in enumerate(starts)])
-    flat = F.concat(*[F.col(f"s{i}") for i in range(len(starts))])
-    base = F.filter(F.array(*[F.when(F.size(f"s{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(index.base)]), lambda x: x.isNotNull())
-    out = out.select("doc_id", "n_words", "hits", F.size(flat).cast("long").alias("n_base"), F.array_min(flat).alias("first_word"), F.array_max(flat).alias("last_word"), F.array_sort(F.array_distinct(base)).alias("base"))
     # The file's licence words by IDF, the rarest first; equal ones by code.
     rank = {c: r for r, c in enumerate(sorted(range(len(idf)), key=lambda c: (-idf[c], c)))}
-    to_rank = F.array(*[F.lit(rank[c]) for c in range(len(idf))])
-    own = F.array_sort(F.array_distinct(F.transform(hits, lambda x: to_rank[x.bitwiseAND(mask).cast("int")])))
-    out = out.withColumn("rare", F.slice(own, 1, rarest))
-    postings = F.array(*[F.array(*[F.lit(p) for p in index.postings(w)]).cast("array<int>") for w in index.words])
-    lookup = F.filter(hits, lambda x: F.array_contains(F.col("rare"), to_rank[x.bitwiseAND(mask).cast("int")]))
+    ranks = "array(" + ", ".join(str(rank[c]) for c in range(len(idf))) + ")"
+    postings = "array(" + ", ".join(f"cast(array({', '.join(map(str, index.postings(w)))}) as array<int>)" for w in index.words) + ")"
+    phrases = "array(" + ", ".join(f"named_struct('label', '{label}', 'places', {_places(index, list(enumerate(words)))})" for words, label in index.base) + ")"
+    templates = "array(" + ", ".join(f"named_struct('id', {t}L, 'label', '{label}', 'places', {_places(index, places)}, 'must', {_places(index, must)})" for t, (label, places, must) in enumerate(index.templates)) + ")"
+    rows = found.selectExpr(
+        "*",
+        f"transform({phrases}, b -> named_struct('label', b.label, 'starts', aggregate(slice(b.places, 2, 99), {_starts('b.places[0]')}, (s, m) -> array_intersect(s, {_starts('m')})))) as phrases",
+        f"slice(array_sort(array_distinct(transform(hits, x -> {ranks}[int(x & {_MASK})]))), 1, {rarest}) as rare",
+    )
     # A proposal: template << 40 | begin + _SHIFT.
-    begins = F.flatten(F.transform(lookup, lambda x: F.transform(postings[x.bitwiseAND(mask).cast("int")], lambda p: F.shiftleft(F.shiftright(p, _BITS).cast("long"), 40) + F.shiftright(x, _BITS) - p.bitwiseAND(mask) + _SHIFT)))
-    out = out.withColumn("proposed", F.array_distinct(begins))
-    verified = [_verified(index, t, agree) for t in range(len(index.templates))]
-    out = out.withColumn("shares", F.when(F.size("proposed") > 0, F.array(*verified)))
-    names = F.filter(F.array(*[F.when(F.col("shares")[t] > 0, F.lit(label)) for t, (label, _, _) in enumerate(index.templates)]), lambda x: x.isNotNull())
-    best = F.coalesce(F.array_max("shares"), F.lit(0.0))
-    return out.select(
-        "doc_id", "n_words", "n_base", F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"), F.array_join("base", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat("base", names))), ",").alias("labels"), F.greatest(best, F.when(F.col("n_base") > 0, 1.0).otherwise(0.0)).alias("score"),
+    rows = rows.selectExpr(
+        "doc_id", "n_words", "hits", "flatten(transform(phrases, b -> b.starts)) as base_starts", "array_sort(array_distinct(transform(filter(phrases, b -> size(b.starts) > 0), b -> b.label))) as base",
+        f"array_distinct(flatten(transform(filter(hits, x -> array_contains(rare, {ranks}[int(x & {_MASK})])), x -> transform({postings}[int(x & {_MASK})], p -> shiftleft(bigint(shiftright(p, {_BITS})), 40) + shiftright(x, {_BITS}) - (p & {_MASK}) + {_SHIFT})))) as proposed",
+    )
+    own = f"transform(filter(proposed, p -> shiftright(p, 40) = t.id), p -> (p & {(1 << 40) - 1}L) - {_SHIFT})"
+    whole = f"aggregate(t.must, {own}, (s, m) -> array_intersect(s, {_starts('m')}))"
+    share = f"aggregate(array({whole}), 0D, (z, w) -> if(size(w) > 0, size(filter(t.places, m -> arrays_overlap(w, {_starts('m')}))) / size(t.places), 0D))"
+    rows = rows.selectExpr("*", f"transform(filter({templates}, t -> array_contains(transform(proposed, p -> shiftright(p, 40)), t.id)), t -> named_struct('label', t.label, 'share', {share})) as held")
+    rows = rows.selectExpr("*", f"filter(held, t -> t.share >= {agree}) as named")
+    return rows.selectExpr(
+        "doc_id", "n_words", "bigint(size(base_starts)) as n_base", "array_min(base_starts) as first_word", "array_max(base_starts) as last_word", "array_join(base, ',') as base_labels",
+        "array_join(array_sort(array_distinct(concat(base, transform(named, t -> t.label)))), ',') as labels", "greatest(coalesce(array_max(transform(named, t -> t.share)), 0D), if(size(base_starts) > 0, 1D, 0D)) as score",
     )
-
-
-def _verified(index: Index, t: int, agree: float) -> Column:
-    """Greatest share of template ``t``'s words in place over its proposals that pass; else 0."""
-    _, text, mandatory = index.templates[t]
-    first = _at(text, mandatory)
-    own = F.transform(F.filter("proposed", lambda p: F.shiftright(p, 40) == t), lambda p: p.bitwiseAND((1 << 40) - 1) - _SHIFT)
-
-    def share(begin: Column) -> Column:
-        here = [F.array_contains("hits", F.shiftleft(begin + k, _BITS) + index.code[w]).cast("int") for k, w in enumerate(text)]
-        need = reduce(lambda a, b: a & b, [here[first + k] == 1 for k in range(len(mandatory))])
-        part = reduce(lambda a, b: a + b, here) / len(text)
-        return F.when(need & (part >= agree), part).otherwise(0.0)
-
-    return F.coalesce(F.array_max(F.transform(own, share)), F.lit(0.0))
 
 
 def sql(index: Index | None = None, rarest: int = RAREST, agree: float = AGREE) -> str:
     """The scan as DuckDB SQL over ``documents``."""
     index = index or Index()
     values = lambda rows: ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
-    tmpl = [(t, k, w, int(_at(text, m) <= k < _at(text, m) + len(m)), len(text), len(m), label) for t, (label, text, m) in enumerate(index.templates) for k, w in enumerate(text)]
+    tmpl = [(t, k, w, int((k, w) in m), len(places), len(m), label, int(w not in COMMON)) for t, (label, places, m) in enumerate(index.templates) for k, w in places]
     base = [(b, k, w, len(words), label) for b, (words, label) in enumerate(index.base) for k, w in enumerate(words)]
     return f"""
 WITH split AS (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
 code(word, c) AS (VALUES {values(index.code.items())}),
-tmpl(t, k, word, must, len, musts, label) AS (VALUES {values(tmpl)}),
+tmpl(t, k, word, must, len, musts, label, indexed) AS (VALUES {values(tmpl)}),
 base(b, k, word, len, label) AS (VALUES {values(base)}),
 flat AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM split),
 hits AS (SELECT doc_id, pos, word, c FROM flat JOIN code USING (word)),
@@ -177,11 +172,13 @@ df AS (SELECT c, count(DISTINCT doc_id) AS n FROM hits GROUP BY c),
 ranked AS (
   SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY n, c) AS r FROM (SELECT DISTINCT doc_id, c FROM hits) JOIN df USING (c)),
 proposed AS (
-  SELECT DISTINCT h.doc_id, t.t, h.pos - t.k AS start FROM hits h JOIN ranked r ON h.doc_id = r.doc_id AND h.c = r.c AND r.r <= {rarest} JOIN tmpl t ON t.word = h.word),
+  SELECT DISTINCT h.doc_id, t.t, h.pos - t.k AS start FROM hits h JOIN ranked r ON h.doc_id = r.doc_id AND h.c = r.c AND r.r <= {rarest} JOIN tmpl t ON t.word = h.word AND t.indexed = 1),
 held AS (
-  SELECT p.doc_id, p.t, p.start, any_value(t.label) AS label, count(*)::DOUBLE / any_value(t.len) AS share, sum(t.must) = any_value(t.musts) AS whole
-  FROM proposed p JOIN tmpl t ON p.t = t.t JOIN hits h ON h.doc_id = p.doc_id AND h.pos = p.start + t.k AND h.word = t.word GROUP BY p.doc_id, p.t, p.start),
-named AS (SELECT doc_id, label, share FROM held WHERE whole AND share >= {agree}),
+  SELECT p.doc_id, p.t, p.start FROM proposed p JOIN tmpl t ON p.t = t.t AND t.must = 1 JOIN hits h ON h.doc_id = p.doc_id AND h.pos = p.start + t.k AND h.word = t.word
+  GROUP BY p.doc_id, p.t, p.start HAVING count(*) = any_value(t.musts)),
+named AS (
+  SELECT p.doc_id, any_value(t.label) AS label, count(DISTINCT t.k)::DOUBLE / any_value(t.len) AS share
+  FROM held p JOIN tmpl t ON p.t = t.t JOIN hits h ON h.doc_id = p.doc_id AND h.pos = p.start + t.k AND h.word = t.word GROUP BY p.doc_id, p.t HAVING share >= {agree}),
 places AS (
   SELECT h.doc_id, b.b, h.pos - b.k AS start, any_value(b.label) AS label FROM hits h JOIN base b ON b.word = h.word
   GROUP BY h.doc_id, b.b, h.pos - b.k HAVING count(*) = any_value(b.len)),
