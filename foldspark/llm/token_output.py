@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from foldspark.llm._common import filled, n_parts, ragged, slices, work_path
 from foldspark.llm.token_counts import RankMerger, default_tokenizer, merger, split_special
 
-#: Distinct chunks whose ids a Python worker keeps; the table is emptied when full.
-CACHE = 300_000
+#: Distinct chunks in each of the two generations that a Python worker keeps: what the last one saw used
+#: stays, the rest goes when the new one is full.
+CACHE = 120_000
 #: Chunks in one text given to the library.
 JOINED = 128
 FILE_SCHEMA = "part int, row long, doc_id long, ids_before long, n_tokens long, ids array<int>"
@@ -52,23 +54,45 @@ class ChunkEncoder:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.special_ids = {t: vocab[t] for t in self.rules.specials}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: If the library lower-cases, texts may be lower-cased before distinct chunks are looked for.
+        self.lower = '"Lowercase"' in self.library.to_str()
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks end to end, and the number of each."""
-        new = [c for c in chunks if c not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = chunks
-            self._learn(new)
-        parts = [self.known[c] for c in chunks]
+        known, older = self.known, self.older
+        if len(known) > CACHE:
+            self.older = older = known
+            self.known = known = {}
+        lost, parts = [], []
+        for c in chunks:
+            ids = known.get(c)
+            if ids is None:
+                ids = older.get(c)
+                if ids is None:
+                    lost.append(len(parts))
+                else:
+                    known[c] = ids
+            parts.append(ids)
+        if lost:
+            # A plain word and the mark after it are pre-tokens of their own; only the word is kept.
+            cut = {i: chunks[i][:-1] for i in lost if chunks[i][-1:] in (",", ".") and chunks[i][:-1].isascii() and chunks[i][:-1].isalpha()}
+            want = dict.fromkeys([*(cut.get(i, chunks[i]) for i in lost), ",", "."])
+            for c in want:
+                if c not in known and c in older:
+                    known[c] = older[c]
+            self._learn([c for c in want if c not in known])
+            for i in lost:
+                parts[i] = known[cut[i]] + known[chunks[i][-1]] if i in cut else known[chunks[i]]
         flat = np.frombuffer(b"".join(parts), dtype="<i4")
         return flat, np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
 
     def _learn(self, new: list[str]) -> None:
         pieces = [1 if c.isascii() and c.isalpha() else len(self.rules.pieces(c)) for c in new]
         groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
-        for g, e in enumerate(self.library.encode_batch_fast([" ".join(x) for x in groups], add_special_tokens=False)):
+        texts = (" ".join(x) for x in groups)
+        encoded = (e for few in iter(lambda: list(islice(texts, 32)), []) for e in self.library.encode_batch_fast(few, add_special_tokens=False))
+        for g, e in enumerate(encoded):
             chunks = groups[g]
             ids = np.array(e.ids, dtype="<i4")
             want = np.cumsum(pieces[g * JOINED : g * JOINED + len(chunks)])
@@ -85,17 +109,20 @@ class ChunkEncoder:
     def documents(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents end to end, each with ``end_id`` after it, and offsets."""
         clean, n_special = split_special(texts, self.rules.special)
-        lists = pc.ascii_split_whitespace(clean)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(clean) if self.lower else clean)
         codes = lists.flatten().dictionary_encode()
         flat, size = self.encode(codes.dictionary.to_pylist())
         flat, size = np.append(flat, np.int32(end_id)), np.append(size, 1)
-        at = ragged(size)[:-1]
+        table = pa.ListArray.from_arrays(pa.array(ragged(size).astype(np.int32)), pa.array(flat))
         words = ragged(lists.value_lengths().to_numpy(zero_copy_only=False))
-        use = np.insert(codes.indices.to_numpy(zero_copy_only=False).astype(np.int64), words[1:], len(size) - 1)
-        n = size[use]
-        out = ragged(n)
-        ids = flat[np.repeat(at[use] - out[:-1], n) + np.arange(out[-1])]
-        offsets = out[words + np.arange(len(words))]
+        use = np.empty(len(codes) + len(texts), dtype=np.int32)
+        last = words[1:] + np.arange(len(texts))
+        body = np.ones(len(use), dtype=bool)
+        body[last] = False
+        use[body], use[last] = codes.indices.to_numpy(zero_copy_only=False), len(size) - 1
+        taken = table.take(pa.array(use))
+        ids, out = taken.values.to_numpy(zero_copy_only=False), taken.offsets.to_numpy()
+        offsets = np.append(0, out[last + 1]).astype(np.int64)
         if n_special.any():  # these documents hold special strings: whole, by the library
             rows = np.split(ids, offsets[1:-1])
             for i in np.flatnonzero(n_special):
@@ -116,7 +143,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
         enc = encoder(tokenizer or default_tokenizer())
         part, row, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, limit=2 << 20):
                 ids, offsets = enc.documents(filled(some["text"]), end_id)
                 n = some.num_rows
                 yield pa.RecordBatch.from_arrays(
