@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foldspark.operators import enrich, metrics, predict
 from foldspark.plans.adapters import Tables
 from foldspark.plans.queries import query
+from foldspark.sources.tables import settled
 
 T = "1e-7"
 FREQ = {
@@ -30,7 +31,7 @@ def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
 
 
 def _prob(t: Tables) -> DataFrame:
-    return metrics.probability(metrics.frequency(t.predictors), 2.0)
+    return settled(metrics.probability(metrics.frequency(t.predictors), 2.0))  # a table of its own, used many times
 
 
 def _r(cols: str, places: int = 6) -> str:
@@ -92,7 +93,7 @@ def superfamily_profile(t):
 )
 def featured_term(t):
     entities = t.predictors.where("predictor like 'Brand%'").select(F.col("cluster_id").alias("entity"), F.col("predictor").alias("term"))
-    return rounded(metrics.featured_term(entities, t.parts.select(F.col("kind").alias("func")).distinct(), metrics.mutual_information(_prob(t))), "mi")
+    return rounded(metrics.featured_term(entities, t.parts.select(F.col("kind").alias("func")).distinct(), settled(metrics.mutual_information(_prob(t)))), "mi")
 
 
 @query(
@@ -202,7 +203,8 @@ PREDICT = MI | STRUCT | {
     PREDICT,
 )
 def predict_functions(t):
-    lr, mi = metrics.log_ratio(_prob(t)), metrics.mutual_information(_prob(t))
+    prob = _prob(t)
+    lr, mi = settled(metrics.log_ratio(prob)), settled(metrics.mutual_information(prob))
     lr = lr.where("acc2 is not null or acc not like 'Brand%'")
     structures = predict.structure_sets(_structures(t), "best")
     domains = t.read("orders").select(F.col("o_orderkey").alias("domain"), F.col("o_custkey").alias("parent"))
