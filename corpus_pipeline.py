@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import decontaminate, langid, mixing, simhash, token_output
+from foldspark.llm import decontaminate, langid, mixing, resemblance, token_output
 from foldspark.llm._common import written
 
 
@@ -18,8 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keeps the document of least id of each group that shares four fifths of its runs of five words."""
+    return resemblance.keep_one(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
