@@ -130,33 +130,59 @@ def judged(table: ItemTable, tokens: Tokens, places: np.ndarray, rows: np.ndarra
     for p, r in zip(places.tolist(), rows.tolist()):
         by_item[int(table.item[r])].append((p, int(table.at[r])))
     for item, pairs in sorted(by_item.items()):
-        k = int(table.k[item])
-        held = len({b for _, b in pairs})
-        coverage = held / int(table.windows[item])
-        if coverage < COVERAGE:
-            continue
-        slots: dict[tuple[int, int], Counter] = defaultdict(Counter)
-        same = True
-        for p, b in pairs:
-            for j in np.flatnonzero(tokens.kind[p : p + k] != WORD).tolist():
-                mine, theirs = int(table.tokens.value[b + j]), int(tokens.value[p + j])
-                slots[int(table.tokens.kind[b + j]), mine][theirs] += 1
-                same &= mine == theirs
-        total = sum(sum(c.values()) for c in slots.values())
-        agree = sum(c.most_common(1)[0][1] for c in slots.values())
-        consistent = agree / total if total else 1.0
-        if consistent >= CONSISTENT:
-            out.append((table.ids[item], held, coverage, len(slots), consistent, same and held == int(table.windows[item])))
+        told = [x for x in (_occurrence(table, tokens, item, some) for some in _occurrences(table, item, pairs)) if x]
+        if told:
+            out.append((table.ids[item], *max(told, key=lambda x: (x[-1], x[1], x[3]))))
     return out
 
 
+def _occurrences(table: ItemTable, item: int, pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """All of an item's matches, those of each alignment (document place less item place), and those of
+    alignments close to each other, as words put in or left out move them."""
+    lines: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for p, b in pairs:
+        lines[p - b].append((p, b))
+    if len(lines) == 1:
+        return [pairs]
+    slack = int(table.tokens.offsets[item + 1] - table.tokens.offsets[item]) // 4
+    close: list[list[tuple[int, int]]] = []
+    last = None
+    for line in sorted(lines):
+        if last is None or line - last > slack:
+            close.append([])
+        close[-1] += lines[line]
+        last = line
+    return [pairs, *lines.values(), *close]
+
+
+def _occurrence(table: ItemTable, tokens: Tokens, item: int, pairs: list[tuple[int, int]]) -> tuple | None:
+    """(windows, coverage, slots, consistent, exact) if these matches cover the item and agree."""
+    k = int(table.k[item])
+    held = len({b for _, b in pairs})
+    coverage = held / int(table.windows[item])
+    if coverage < COVERAGE:
+        return None
+    slots: dict[tuple[int, int], Counter] = defaultdict(Counter)
+    same = True
+    for p, b in pairs:
+        for j in np.flatnonzero(tokens.kind[p : p + k] != WORD).tolist():
+            mine, theirs = int(table.tokens.value[b + j]), int(tokens.value[p + j])
+            slots[int(table.tokens.kind[b + j]), mine][theirs] += 1
+            same &= mine == theirs
+    total = sum(sum(c.values()) for c in slots.values())
+    agree = sum(c.most_common(1)[0][1] for c in slots.values())
+    consistent = agree / total if total else 1.0
+    return (held, coverage, len(slots), consistent, same and held == int(table.windows[item])) if consistent >= CONSISTENT else None
+
+
 SCHEMA = "doc_id long, item_id long, n_windows long, coverage double, n_slots long, consistent double, exact boolean"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """A row for each document and benchmark item whose template it holds; clean documents have none.
 
-    n_windows and coverage: the item's distinct windows found, and their share; n_slots: distinct slot
+    Each occurrence of an item is judged by itself, and the best is told: an exact one, else the one
+    that covers most. n_windows and coverage: the item's distinct windows found, and their share; n_slots: distinct slot
     values of the item in them; consistent: share of slots that agree with their value's commonest
     counterpart; exact: all windows with the item's own values. Items of fewer than four tokens and null
     texts match nothing. Repeated rows each give their rows; a null id stays null. Documents are scanned
