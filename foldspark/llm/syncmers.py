@@ -51,12 +51,12 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, position, hash) of all closed syncmers; a text shorter than k is one anchor."""
+    """(text number, position, hash) of all closed syncmers; a text without one is one anchor, unless it is empty."""
     lens = np.array([len(t) for t in texts], dtype=np.int64)
     offsets = ragged(lens)
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    short = np.flatnonzero((lens < k) & (lens > 0))
-    who, pos, val = [short], [np.zeros(len(short), dtype=np.int64)], [np.array([int.from_bytes(hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for i in short], dtype=np.uint64)]
+    who, pos, val = [], [], []
+    whole = lens > 0
     if len(codes) >= k:
         inner = _rolling(codes, s)
         w = k - s + 1
@@ -73,6 +73,11 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
         who.append(text)
         pos.append(at - offsets[text])
         val.append(_mix(h))
+        whole[text] = False
+    short = np.flatnonzero(whole)  # shorter than k, or so short that no k-mer need be chosen
+    who.append(short)
+    pos.append(np.zeros(len(short), dtype=np.int64))
+    val.append(np.array([int.from_bytes(hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for i in short], dtype=np.uint64))
     return np.concatenate(who), np.concatenate(pos), np.concatenate(val)
 
 
@@ -103,7 +108,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def syncmer_anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, pos array<int>, hash array<long>: each document's anchors in order of position.
 
-    Null and empty texts have empty arrays; a text shorter than k is one anchor at 0. Narrow.
+    Null and empty texts have empty arrays; a text without a syncmer is one anchor at 0. Narrow.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
