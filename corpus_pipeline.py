@@ -13,7 +13,7 @@ from foldspark.llm._common import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with letters and a leading language."""
+    """Keeps documents with letters that a learned language or a mixture explains."""
     return langid.keep_identified(docs, langid.fit(docs, F.lit(True)))
 
 

@@ -21,7 +21,7 @@ from foldspark.llm._common import filled, keep_rows, ragged, sampled, segment_su
 BUCKETS, GRAMS, SMOOTH = 1 << 16, (2, 3, 4), 0.5
 #: Labelled documents a language that the model is fitted on, at most about (a bounded sample).
 DOCS_PER_LANG = 4000
-ROUNDS, MAX_LANGS, MAX_WORD = 6, 3, 64
+ROUNDS = 6
 PENALTY = 3.0
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>, n_words long"
@@ -36,9 +36,9 @@ def words_of(texts: pa.Array) -> pa.ListArray:
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of ``_word_`` for each word end to end, and offsets."""
-    text = "".join(f"_{w[:MAX_WORD]}_" for w in words)
+    text = "".join(f"_{w}_" for w in words)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    lens = np.array([min(len(w), MAX_WORD) + 2 for w in words], dtype=np.int64)
+    lens = np.array([len(w) + 2 for w in words], dtype=np.int64)
     ends = np.repeat(np.cumsum(lens), lens)
     at = np.arange(len(codes))
     word = np.repeat(np.arange(len(words)), lens)
@@ -83,10 +83,11 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 class LanguageModel:
-    """Log-likelihoods of n-gram buckets: ``table`` has a row a bucket, a column a language."""
+    """Log-likelihoods of n-gram buckets: ``table`` has a row a bucket, a column a language, less the
+    row's mean; ``base`` has that mean over the likelihood under no language (all buckets alike)."""
 
-    def __init__(self, langs: list[str], table: np.ndarray):
-        self.langs, self.table = langs, table
+    def __init__(self, langs: list[str], table: np.ndarray, base: np.ndarray):
+        self.langs, self.table, self.base = langs, table, base
 
 
 def fit(docs: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> LanguageModel:
@@ -95,26 +96,28 @@ def fit(docs: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "
     rows = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return LanguageModel([], np.zeros((BUCKETS, 0), dtype=np.float32))
+        return LanguageModel([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(BUCKETS))
     rates = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / n)))])
     found = gram_counts(rows.where(sampled("doc_id", rates[F.col("lang")]))).toPandas()
     langs = sorted(found["lang"].unique())
     table = np.full((BUCKETS, len(langs)), SMOOTH)
     np.add.at(table, (found["bucket"].to_numpy(), np.searchsorted(langs, found["lang"])), found["n"].to_numpy())
     table = np.log(table / table.sum(axis=0))
-    return LanguageModel(langs, (table - table.mean(axis=1, keepdims=True)).astype(np.float32))
+    mean = table.mean(axis=1)
+    return LanguageModel(langs, (table - mean[:, None]).astype(np.float32), mean + np.log(BUCKETS))
 
 
-def mixtures(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of all languages (rows: texts; 0 outside the chosen set) and numbers of words."""
+def mixtures(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of all languages (rows: texts; 0 outside the chosen set), numbers of words, and the log of how
+    much likelier the words are under the chosen set than under no language (0 without words)."""
     lists = words_of(texts)
     flat = lists.flatten()
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     n_words = segment_sum(full.astype(np.int64), ragged(lists.value_lengths().to_numpy(zero_copy_only=False)))
     n_langs = len(model.langs)
-    shares = np.zeros((len(texts), n_langs))
+    shares, told = np.zeros((len(texts), n_langs)), np.zeros(len(texts))
     if not n_words.any() or not n_langs:
-        return shares, n_words
+        return shares, n_words, told
     codes = flat.filter(pa.array(full)).dictionary_encode()
     grams, offsets = word_grams(codes.dictionary.to_pylist())
     # Overlapping n-grams tell the same thing several times: their sum is divided by their kinds.
@@ -140,21 +143,23 @@ def mixtures(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndar
     whole, _ = em(np.ones((len(some), n_langs)), ROUNDS)
     order = np.argsort(-whole, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
-    best, out = None, None
-    for size in range(1, min(MAX_LANGS, n_langs) + 1):
-        pi, fit_ = em((rank < size).astype(np.float64), 1 if size == 1 else ROUNDS)
-        fit_ -= PENALTY * (size - 1) * np.log(n + 1)
+    best, out, raw = None, None, None
+    for size in range(1, n_langs + 1):
+        pi, plain = em((rank < size).astype(np.float64), 1 if size == 1 else ROUNDS)
+        fit_ = plain - PENALTY * (size - 1) * np.log(n + 1)
         if best is None:
-            best, out = fit_, pi
+            best, out, raw = fit_, pi, plain
         else:
             better = fit_ > best
-            best, out = np.where(better, fit_, best), np.where(better[:, None], pi, out)
+            best, out, raw = np.where(better, fit_, best), np.where(better[:, None], pi, out), np.where(better, plain, raw)
     # A set of one still tells how sure it is: its share among all languages.
     single = out.max(axis=1) > 1 - 1e-12
     at = out.argmax(axis=1)
     out[single, at[single]] = np.minimum(1.0, whole[single, at[single]])
     shares[some] = out
-    return shares, n_words
+    base = segment_sum(model.base[grams], offsets) / len(GRAMS) + top[:, 0]
+    told[some] = raw + np.add.reduceat(base[use], starts)
+    return shares, n_words, told
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +174,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         names = [*model.langs, UNKNOWN]
         for batch in batches:
             for part in slices(batch, limit=2 << 20):
-                shares, n = mixtures(model, filled(part["text"]))
+                shares, n, _ = mixtures(model, filled(part["text"]))
                 rows = np.arange(len(n))
                 order = np.argsort(-shares, axis=1, kind="stable")
                 chosen = [[j for j in o if s[j] > 0] for o, s in zip(order, shares)]
@@ -183,14 +188,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)
 
 
-#: Share that a document's first language needs, in ``keep_identified``.
-LEAST_SHARE = 0.4
-
-
-def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = LEAST_SHARE) -> DataFrame:
-    """The rows, with all columns, whose text has letters and a language with a share of ``least`` or more."""
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns, whose text has letters and is likelier under its mixture of languages,
+    whatever their shares, than under no language."""
 
     def make():
-        return lambda texts: mixtures(model, texts)[0].max(axis=1, initial=0.0) >= least
+        return lambda texts: mixtures(model, texts)[2] > 0
 
     return keep_rows(docs, text_col, make, 2 << 20)
