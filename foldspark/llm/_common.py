@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,10 +20,13 @@ SLICE_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent, as in local tests, a fresh temporary folder is set.
+    Only a session on one machine (a ``local`` master), as in tests, may lack the setting: a fresh temporary
+    folder is set. Elsewhere executors would write to their own disks, so that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -82,6 +87,22 @@ def filled(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts, "")
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving back to the system at its end what its task held: Python workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def ragged(lengths: np.ndarray) -> np.ndarray:
     """Offsets (one more than rows) of rows of these lengths."""
     out = np.zeros(len(lengths) + 1, dtype=np.int64)
@@ -108,4 +129,4 @@ def keep_rows(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Ar
             for part in slices(batch, text_col, limit):
                 yield part.filter(pa.array(keep(filled(part[text_col])).astype(bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from foldspark.llm._common import filled, keep_rows, ragged, slices
+from foldspark.llm._common import filled, keep_rows, lean, ragged, slices
 
 #: Tokens of a window; the least of them that are plain words; tokens an item must have at least.
 WINDOW, PLAIN, SHORTEST = 6, 3, 4
@@ -250,4 +250,4 @@ def _scan(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["doc_id", "item_id", "n_windows", "coverage", "n_slots", "consistent", "exact"])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(lean(run), SCHEMA)

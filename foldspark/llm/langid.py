@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm._common import filled, keep_rows, ragged, sampled, segment_sum, slices
+from foldspark.llm._common import filled, keep_rows, lean, ragged, sampled, segment_sum, slices
 
 #: Hash buckets of n-grams, lengths of n-grams, add-count smoothing.
 BUCKETS, GRAMS, SMOOTH = 1 << 16, (2, 3, 4), 0.5
@@ -78,7 +78,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    part = docs.select("lang", "text").mapInArrow(run, "lang string, bucket int, n double")
+    part = docs.select("lang", "text").mapInArrow(lean(run), "lang string, bucket int, n double")
     return part.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     names=["doc_id", "lang_pred", "score", "langs", "shares", "n_words"],
                 )
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(lean(run), SCHEMA)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm._common import filled, ragged, slices, written
+from foldspark.llm._common import filled, lean, ragged, slices, written
 
 BITS, RADIUS, WORDS = 64, 3, 3
 BLOCKS, SIDE = 4, 17
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fp = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<i8").ravel()
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -130,7 +130,7 @@ def links(fps: DataFrame, radius: int = RADIUS, piece: int = PIECE) -> DataFrame
             uv = np.array(found, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
 
-    return met.mapInArrow(run, "u long, v long").distinct()
+    return met.mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm._common import filled, n_parts, ragged, slices, written
+from foldspark.llm._common import filled, lean, n_parts, ragged, slices, written
 
 K, S, BINS = 16, 6, 128
 MIX1, MIX2, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x100000001B3)
@@ -119,7 +119,7 @@ def syncmer_anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 offsets = pa.array(ragged(np.bincount(who, minlength=part.num_rows)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(offsets, pa.array(pos[order].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(h[order].view(np.int64)))], names=["doc_id", "pos", "hash"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, pos array<int>, hash array<long>")
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(lean(run), "doc_id long, pos array<int>, hash array<long>")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +132,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 texts = filled(part["text"]).to_pylist()
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(t) for t in texts], pa.int64()), pa.array([r.tobytes().hex() for r in sketches(texts)], pa.string())], names=["doc_id", "n_chars", "fingerprint"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(lean(run), "doc_id long, n_chars long, fingerprint string")
 
 
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -186,7 +186,7 @@ def edit_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_pydict(blank | {"doc_id": [held[0]], "part": [part], "side": ["tail"], "text": [held[1]]}, schema)
 
     dealt = rows.repartitionByRange(parts or n_parts(docs), F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc(), F.col("text").desc())
-    first = written(dealt.mapInArrow(run, OPEN), "syncmers")
+    first = written(dealt.mapInArrow(lean(run), OPEN), "syncmers")
     # The ranges that hold rows, each with the one after it: numbers only, one a range.
     full = sorted(r["part"] for r in first.where("side = 'head'").select("part").collect())
     follow = spark.createDataFrame(list(zip(full, full[1:] + full[:1])), "part int, next int")
@@ -200,4 +200,4 @@ def edit_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_pydict(one, pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]))
 
     done = first.where("side is null").drop("part", "side", "text")
-    return done.unionByName(open_rows.mapInArrow(close, COLUMNS))
+    return done.unionByName(open_rows.mapInArrow(lean(close), COLUMNS))

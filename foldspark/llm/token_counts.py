@@ -3,7 +3,7 @@
 The distinct pre-tokens of a slice of documents lie in one ragged numpy array of symbols. Each round
 finds every sequence's lowest-rank pair and merges all its occurrences at once, in all sequences;
 sequences without a mergeable pair leave with their number of symbols. A document's count is the sum
-over its pre-tokens.
+over its pre-tokens. Chunks with characters that Unicode doesn't assign yet go to the tokenizers library.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from foldspark.llm._common import filled, ragged, segment_sum, slices
+from foldspark.llm._common import filled, lean, ragged, segment_sum, slices
 
 NONE = np.int32(2**31 - 1)
 #: Distinct chunks whose counts a Python worker keeps; the table is emptied when full.
@@ -51,6 +51,7 @@ class RankMerger:
     def __init__(self, path: str):
         import regex
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -128,6 +129,24 @@ class RankMerger:
                 rank[p] = np.where(last[p], NONE, self.rank(sym[p], sym[q]))
         return out
 
+    @functools.cached_property
+    def library(self):
+        """The tokenizer as its file says, for whole texts."""
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.no_truncation()
+        whole.no_padding()
+        return whole
+
+    @staticmethod
+    def unassigned(chunk: str) -> bool:
+        """Holds a character that the two sides' versions of Unicode may tell differently."""
+        return not chunk.isascii() and "Cn" in map(unicodedata.category, chunk)
+
     def pieces(self, chunk: str) -> list[str]:
         """Pre-tokens of a chunk without white space, normalised."""
         chunk = unicodedata.normalize("NFC", chunk)
@@ -153,12 +172,15 @@ def chunk_counts(m: RankMerger, path: str, chunks: list[str]) -> np.ndarray:
         ids: dict[str, int] = {}
         owner: list[int] = []
         piece: list[int] = []
+        odd = {i: len(m.library.encode(c, add_special_tokens=False).ids) for i, c in enumerate(new) if m.unassigned(c)}
         for i, c in enumerate(new):
-            for p in m.pieces(c):
+            for p in m.pieces(c) if i not in odd else ():
                 owner.append(i)
                 piece.append(ids.setdefault(p, len(ids)))
         each = m.counts(list(ids)) if ids else np.zeros(0, dtype=np.int64)
         sums = np.bincount(np.array(owner, dtype=np.int64), weights=each[np.array(piece, dtype=np.int64)], minlength=len(new)) if owner else np.zeros(len(new))
+        for i, n in odd.items():
+            sums[i] = n
         known.update(zip(new, sums.astype(np.int64).tolist()))
     return np.fromiter((known[c] for c in chunks), dtype=np.int64, count=len(chunks))
 
@@ -200,4 +222,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n = n + segment_sum(flat, ragged(lists.value_lengths().to_numpy(zero_copy_only=False)))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], size, pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(lean(run), SCHEMA)

@@ -21,14 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm._common import filled, n_parts, ragged, slices, work_path
-from foldspark.llm.token_counts import RankMerger, default_tokenizer, merger, split_special
+from foldspark.llm._common import filled, lean, n_parts, ragged, slices, work_path
+from foldspark.llm.token_counts import RankMerger, byte_symbols, default_tokenizer, merger, split_special
 
-#: Distinct chunks in each of the two generations that a Python worker keeps: what the last one saw used
+#: Distinct pieces in each of the two generations that a Python worker keeps: what the last one saw used
 #: stays, the rest goes when the new one is full.
 CACHE = 120_000
-#: Chunks in one text given to the library.
+#: Pieces in one text given to the library.
 JOINED = 128
+#: UTF-8 bytes of text encoded at a time.
+STEP_BYTES = 4 << 20
+_MARKS = np.frombuffer(b",.;:!?", dtype=np.uint8)
 FILE_SCHEMA = "part int, row long, doc_id long, ids_before long, n_tokens long, ids array<int>"
 LAYOUT = {
     "dictionary": {"parquet.enable.dictionary": "true", "parquet.writer.version": "v1"},
@@ -36,27 +39,65 @@ LAYOUT = {
 }
 
 
+def words_and_marks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Chunks of all texts between ASCII white space, end to end, and how many each text has.
+
+    One mark after a letter that ends a chunk is a chunk of its own: there the pre-tokenizer always cuts.
+    """
+    lists = pc.ascii_split_whitespace(texts)
+    flat = lists.flatten()
+    n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(flat):
+        return flat, n
+    width = np.int64 if pa.types.is_large_string(flat.type) else np.int32
+    offsets = np.frombuffer(flat.buffers()[1], dtype=width)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
+    data = np.frombuffer(flat.buffers()[2] or b"", dtype=np.uint8)
+    size, end = np.diff(offsets), offsets[1:]
+    at = np.flatnonzero(size > 1)
+    at = at[np.isin(data[end[at] - 1], _MARKS)]
+    before, first = data[end[at] - 2], data[np.maximum(end[at] - 3, 0)]
+    latin = (size[at] > 2) & (first == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+    at = at[((before >= 97) & (before <= 122)) | latin]
+    cut = np.zeros(len(flat), dtype=bool)
+    cut[at] = True
+    full = size > 0  # blanks at either end of a text leave empty strings
+    many = full.astype(np.int64) + cut
+    doc = np.repeat(np.arange(len(texts)), n)
+    starts = np.repeat(offsets[:-1], many)
+    second = np.cumsum(many)[at] - 1
+    starts[second] = end[at] - 1
+    # Chunks lie end to end, so that starts alone tell where each ends.
+    bounds = np.append(starts, offsets[-1]).astype(np.int32)
+    out = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), flat.buffers()[2])
+    return out, np.bincount(doc, weights=many, minlength=len(texts)).astype(np.int64)
+
+
 class ChunkEncoder:
-    """Ids of white-space-free chunks from the tokenizers library; distinct chunks are encoded once."""
+    """Ids of white-space-free chunks from the tokenizers library; distinct pre-tokens are encoded once.
+
+    The library gets normalised pre-tokens, many in one text, and only cuts at the blanks between them. Texts
+    with special strings go to it whole, as they are.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         self.rules: RankMerger = merger(path)
-        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.byte_names = byte_symbols()
+        self.cutter = Tokenizer.from_file(path)
+        self.cutter.no_truncation()
+        self.cutter.no_padding()
+        self.cutter.normalizer = None
+        self.cutter.pre_tokenizer = CharDelimiterSplit(" ")
+        vocab = self.cutter.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.special_ids = {t: vocab[t] for t in self.rules.specials}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        #: If the library lower-cases, texts may be lower-cased before distinct chunks are looked for.
-        self.lower = '"Lowercase"' in self.library.to_str()
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks end to end, and the number of each."""
@@ -64,69 +105,69 @@ class ChunkEncoder:
         if len(known) > CACHE:
             self.older = older = known
             self.known = known = {}
-        lost, parts = [], []
-        for c in chunks:
-            ids = known.get(c)
-            if ids is None:
+        parts = [known.get(c) for c in chunks]
+        lost = [i for i, ids in enumerate(parts) if ids is None]
+        if lost:
+            new = []
+            for i in lost:
+                c = chunks[i]
                 ids = older.get(c)
                 if ids is None:
-                    lost.append(len(parts))
+                    new.append(c)
                 else:
-                    known[c] = ids
-            parts.append(ids)
-        if lost:
-            # A plain word and the mark after it are pre-tokens of their own; only the word is kept.
-            cut = {i: chunks[i][:-1] for i in lost if chunks[i][-1:] in (",", ".") and chunks[i][:-1].isascii() and chunks[i][:-1].isalpha()}
-            want = dict.fromkeys([*(cut.get(i, chunks[i]) for i in lost), ",", "."])
-            for c in want:
-                if c not in known and c in older:
-                    known[c] = older[c]
-            self._learn([c for c in want if c not in known])
+                    known[c] = parts[i] = ids
+            for c in new:
+                if self.rules.unassigned(c):
+                    known[c] = np.array(self.rules.library.encode(c, add_special_tokens=False).ids, dtype="<i4").tobytes()
+            cut = {c: pieces for c in new if not (c.isascii() and c.isalpha()) and c not in known and (pieces := self.rules.pieces(c)) != [c]}
+            self._learn([c for c in dict.fromkeys([*new, *(p for pieces in cut.values() for p in pieces)]) if c not in cut and c not in known])
+            for c, pieces in cut.items():
+                known[c] = b"".join([known[p] for p in pieces])
             for i in lost:
-                parts[i] = known[cut[i]] + known[chunks[i][-1]] if i in cut else known[chunks[i]]
+                if parts[i] is None:
+                    parts[i] = known[chunks[i]]
         flat = np.frombuffer(b"".join(parts), dtype="<i4")
         return flat, np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
 
     def _learn(self, new: list[str]) -> None:
-        pieces = [1 if c.isascii() and c.isalpha() else len(self.rules.pieces(c)) for c in new]
+        names = self.byte_names
         groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
-        texts = (" ".join(x) for x in groups)
-        encoded = (e for few in iter(lambda: list(islice(texts, 32)), []) for e in self.library.encode_batch_fast(few, add_special_tokens=False))
-        for g, e in enumerate(encoded):
-            chunks = groups[g]
+        texts = (" ".join([p if p.isascii() and p.isprintable() else "".join([names[b] for b in p.encode("utf-8", "surrogatepass")]) for p in x]) for x in groups)
+        encoded = (e for few in iter(lambda: list(islice(texts, 32)), []) for e in self.cutter.encode_batch_fast(few, add_special_tokens=False))
+        for pieces, e in zip(groups, encoded):
             ids = np.array(e.ids, dtype="<i4")
-            want = np.cumsum(pieces[g * JOINED : g * JOINED + len(chunks)])
             ends = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, dtype=np.int64)
-            if want[-1] == len(ends):
-                cuts = np.append(0, ends)[np.append(0, want)]
-                raw = ids.tobytes()
-                for c, a, b in zip(chunks, cuts[:-1].tolist(), cuts[1:].tolist()):
-                    self.known[c] = raw[4 * a : 4 * b]
-            else:  # the parts can't be told from each other: one by one
-                for c, one in zip(chunks, self.library.encode_batch_fast(chunks, add_special_tokens=False)):
-                    self.known[c] = np.array(one.ids, dtype="<i4").tobytes()
+            if len(ends) != len(pieces):
+                raise ValueError("the vocabulary doesn't mark the ends of pre-tokens")
+            raw, at = ids.tobytes(), 0
+            for p, to in zip(pieces, (4 * ends).tolist()):
+                self.known[p] = raw[at:to]
+                at = to
 
     def documents(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents end to end, each with ``end_id`` after it, and offsets."""
         clean, n_special = split_special(texts, self.rules.special)
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(clean) if self.lower else clean)
-        codes = lists.flatten().dictionary_encode()
+        # Of these letters the normaliser makes small ones too; special strings are out by now.
+        words, n_words = words_and_marks(pc.ascii_lower(clean))
+        codes = words.dictionary_encode()
         flat, size = self.encode(codes.dictionary.to_pylist())
         flat, size = np.append(flat, np.int32(end_id)), np.append(size, 1)
-        table = pa.ListArray.from_arrays(pa.array(ragged(size).astype(np.int32)), pa.array(flat))
-        words = ragged(lists.value_lengths().to_numpy(zero_copy_only=False))
-        use = np.empty(len(codes) + len(texts), dtype=np.int32)
-        last = words[1:] + np.arange(len(texts))
+        begin = ragged(size)[:-1]
+        use = np.empty(len(codes) + len(texts), dtype=np.int64)
+        last = np.cumsum(n_words) + np.arange(len(texts))
         body = np.ones(len(use), dtype=bool)
         body[last] = False
         use[body], use[last] = codes.indices.to_numpy(zero_copy_only=False), len(size) - 1
-        taken = table.take(pa.array(use))
-        ids, out = taken.values.to_numpy(zero_copy_only=False), taken.offsets.to_numpy()
-        offsets = np.append(0, out[last + 1]).astype(np.int64)
+        each = size[use]
+        to = ragged(each)
+        at = np.repeat((begin[use] - to[:-1]).astype(np.int32), each)
+        at += np.arange(to[-1], dtype=np.int32)
+        ids = flat.take(at)
+        offsets = np.append(0, to[last + 1])
         if n_special.any():  # these documents hold special strings: whole, by the library
             rows = np.split(ids, offsets[1:-1])
             for i in np.flatnonzero(n_special):
-                rows[i] = np.append(np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.int32), np.int32(end_id))
+                rows[i] = np.append(np.array(self.rules.library.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.int32), np.int32(end_id))
             ids, offsets = np.concatenate(rows), ragged(np.array([len(r) for r in rows]))
         return ids, offsets
 
@@ -143,7 +184,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
         enc = encoder(tokenizer or default_tokenizer())
         part, row, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for some in slices(batch, limit=2 << 20):
+            for some in slices(batch, limit=STEP_BYTES):
                 ids, offsets = enc.documents(filled(some["text"]), end_id)
                 n = some.num_rows
                 yield pa.RecordBatch.from_arrays(
@@ -153,7 +194,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
                 row, before = row + n, before + int(offsets[-1])
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    return rows.repartitionByRange(parts or n_parts(docs), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, FILE_SCHEMA)
+    return rows.repartitionByRange(parts or n_parts(docs), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), FILE_SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, layout: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 1 << 20, page_rows: int = 2000, **options) -> None:
@@ -200,7 +241,7 @@ def token_digest(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], batch["n_tokens"], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, **options) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm._common import filled, ragged, sampled, segment_sum, slices
+from foldspark.llm._common import filled, lean, ragged, sampled, segment_sum, slices
 from foldspark.llm.langid import words_of
 
 BUCKETS, FACTORS = 1 << 18, 4
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id"
                 ids, offsets = terms(filled(part["text"]))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["label"], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "label", "ids"])
 
-    table = rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, ids array<int>").toArrow().sort_by("doc_id")
+    table = rows.select("doc_id", "label", "text").mapInArrow(lean(run), "doc_id long, label int, ids array<int>").toArrow().sort_by("doc_id")
     lists = table["ids"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     label = table["label"].to_numpy().astype(np.float64)
@@ -186,4 +186,4 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 p = 1 / (1 + np.exp(-np.clip(machine.margin(ids, offsets), -50, 50)))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(lean(run), "doc_id long, score double, predicted int")
