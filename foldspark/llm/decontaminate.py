@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders; windows of the canonical tokens of every benchmark
 item form a hash table that the windows of all documents are joined with. A re-parameterised question
 has the item's windows with other slot values; its slots must be consistent: one value of the item's
-stands for one value of the document's throughout.
+stands for one value of the document's throughout, and the other way round. Beside that, every item is
+matched whole, with its own values, so that none is too short, or too rich in slots, to be found as it is.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from xxhash import xxh64_intdigest
 
 from foldspark.llm._common import filled, keep_rows, lean, ragged, slices
 
-#: Tokens of a window; the least of them that are plain words; tokens an item must have at least.
+#: Tokens of a window; the least of them that are plain words; tokens an item with windows has at least.
 WINDOW, PLAIN, SHORTEST = 6, 3, 4
 #: Share of an item's windows that a document has to hold, and of its slots that have to agree.
 COVERAGE, CONSISTENT = 0.4, 0.8
@@ -32,6 +33,8 @@ UNITS = frozenset("mm cm km kg mg ml lb lbs oz ft mph kph kmh km/h m/s hz khz mh
 WORD, NUMBER, NAME, UNIT, BLANK = range(5)
 _MARK = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0], dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Scripts written without spaces: each of their characters is a token.
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(r"^\d[\d.,:/-]*(%|[a-zA-Z]{1,3})?$")
 
@@ -52,6 +55,9 @@ class Tokens:
     ``form`` (hash of the canonical token)."""
 
     def __init__(self, texts: pa.Array):
+        ascii_ = pc.string_is_ascii(texts)
+        if not pc.all(ascii_).as_py():
+            texts = pc.if_else(ascii_, texts, pc.replace_substring_regex(texts, _UNSPACED, r" \1 "))
         lists = pc.ascii_split_whitespace(texts)
         codes = lists.flatten().dictionary_encode()
         told = [describe(c) for c in codes.dictionary.to_pylist()] or [(BLANK, 0, False, False)]
@@ -84,7 +90,11 @@ class Tokens:
 
 
 class ItemTable:
-    """Windows of benchmark items by hash, with a bitmap before the exact look-up."""
+    """Windows of benchmark items by hash, with a bitmap before the exact look-up.
+
+    ``whole`` has, by number of first tokens (up to three), the items' numbers in order of the hash of these
+    tokens' values, and a bitmap of these hashes.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
@@ -104,6 +114,47 @@ class ItemTable:
         self.sizes = sorted({int(k) for k in self.k if k >= SHORTEST})
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[(self.hash & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        some = np.flatnonzero(sizes > 0)
+        self.whole: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in (1, 2, 3):
+            own = some[np.minimum(sizes[some], 3) == k]
+            if len(own):
+                h = self._first(self.tokens.value, self.tokens.offsets[own], k)
+                order, bits = np.argsort(h, kind="stable"), np.zeros(1 << 22, dtype=bool)
+                bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+                self.whole[k] = h[order], own[order], bits
+
+    @staticmethod
+    def _first(value: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        h = np.full(len(at), k, dtype=np.uint64)
+        for j in range(k):
+            h = (h ^ value[at + j]) * _BASE
+            h ^= h >> np.uint64(32)
+        return h
+
+    def held_whole(self, tokens: Tokens) -> set[tuple[int, int]]:
+        """(document's number, item's number): items that stand in a document as they are."""
+        n, out = len(tokens.value), set()
+        for k, (keys, items, bits) in self.whole.items():
+            if n < k:
+                continue
+            h = self._first(tokens.value, np.arange(n - k + 1), k)
+            at = np.flatnonzero(bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
+            lo, hi = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
+            doc = np.searchsorted(tokens.offsets, at, side="right") - 1
+            for p, d, a, b in zip(at.tolist(), doc.tolist(), lo.tolist(), hi.tolist()):
+                for item in items[a:b].tolist():
+                    mine = self.tokens.value[self.tokens.offsets[item] : self.tokens.offsets[item + 1]]
+                    if p + len(mine) <= tokens.offsets[d + 1] and (tokens.value[p : p + len(mine)] == mine).all():
+                        out.add((d, item))
+        return out
+
+    def whole_row(self, item: int) -> tuple:
+        """What ``judged`` says of an item that stands there as it is."""
+        own = slice(self.tokens.offsets[item], self.tokens.offsets[item + 1])
+        kind, value = self.tokens.kind[own], self.tokens.value[own]
+        slots = kind != WORD
+        return self.ids[item], int(self.windows[item]), 1.0, len(set(zip(kind[slots].tolist(), value[slots].tolist()))), 1.0, True
 
     def found(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (place in the documents' tokens, row of this table) of equal windows."""
@@ -163,14 +214,17 @@ def _occurrence(table: ItemTable, tokens: Tokens, item: int, pairs: list[tuple[i
     if coverage < COVERAGE:
         return None
     slots: dict[tuple[int, int], Counter] = defaultdict(Counter)
+    back: dict[tuple[int, int], Counter] = defaultdict(Counter)
     same = True
     for p, b in pairs:
         for j in np.flatnonzero(tokens.kind[p : p + k] != WORD).tolist():
             mine, theirs = int(table.tokens.value[b + j]), int(tokens.value[p + j])
-            slots[int(table.tokens.kind[b + j]), mine][theirs] += 1
+            kind = int(table.tokens.kind[b + j])
+            slots[kind, mine][theirs] += 1
+            back[kind, theirs][mine] += 1
             same &= mine == theirs
     total = sum(sum(c.values()) for c in slots.values())
-    agree = sum(c.most_common(1)[0][1] for c in slots.values())
+    agree = min(sum(c.most_common(1)[0][1] for c in way.values()) for way in (slots, back))
     consistent = agree / total if total else 1.0
     return (held, coverage, len(slots), consistent, same and held == int(table.windows[item])) if consistent >= CONSISTENT else None
 
@@ -182,28 +236,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """A row for each document and benchmark item whose template it holds; clean documents have none.
 
     Each occurrence of an item is judged by itself, and the best is told: an exact one, else the one
-    that covers most. n_windows and coverage: the item's distinct windows found, and their share; n_slots: distinct slot
-    values of the item in them; consistent: share of slots that agree with their value's commonest
-    counterpart; exact: all windows with the item's own values. Items of fewer than four tokens and null
-    texts match nothing. Repeated rows each give their rows; a null id stays null. Documents are scanned
-    whole once for each block of about ``block`` benchmark windows (a stated query set in blocks), no
-    texts are shuffled, and no block's table grows with the data.
+    that covers most. n_windows and coverage: the item's distinct windows found, and their share; n_slots:
+    distinct slot values of the item in them; consistent: share of slots that agree with their value's
+    commonest counterpart, in the worse of both directions; exact: all windows with the item's own values, or
+    the whole item, however short, with its own values (coverage and consistent 1). Null, empty and blank items and texts match nothing. Repeated rows each give
+    their rows; a null id stays null; an empty table on either side gives none. Documents are scanned whole
+    once for each block of about ``block`` benchmark windows (a stated query set in blocks): the block is
+    the build side of a broadcast hash join, and neither it nor what the driver holds grows with the data.
     """
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     return reduce(DataFrame.unionByName, [_scan(rows, items) for items in item_blocks(benchmark, item_col, item_text, block)])
 
 
-def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> list[list[tuple[int, str]]]:
-    """The benchmark's items in blocks of about ``block`` windows each (one empty block if it has none)."""
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items in blocks of about ``block`` windows each, one block at a time (one empty block if it has none)."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.length("text") / 3)).first()[0] or 0
     blocks = max(1, int(-(-size // block)))
-    mine = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect() for b in range(blocks)]
-    return [[(r["item_id"], r["text"]) for r in rows] for rows in mine]
+    for b in range(blocks):
+        yield [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows, with all columns, that hold no benchmark item's template. Narrow."""
+    """The rows, with all columns, that hold no benchmark item's template. Null and empty texts are clean; repeated
+    rows stay or go together; without items all rows stay. Narrow."""
     for items in item_blocks(benchmark, block=block):
         shared = docs.sparkSession.sparkContext.broadcast(items)
         docs = keep_rows(docs, text_col, _cleaner(shared))
@@ -226,15 +282,21 @@ def _cleaner(shared):
 
 
 def _by_document(table: ItemTable, tokens: Tokens) -> Iterator[tuple[int, list[tuple]]]:
-    """(number of the document, what ``judged`` says) for documents with any equal window."""
+    """(number of the document, what ``judged`` says of its items) for documents with any equal window or item."""
+    exact: dict[int, dict[int, tuple]] = defaultdict(dict)
+    for d, item in table.held_whole(tokens):
+        exact[d][table.ids[item]] = table.whole_row(item)
     places, rows = table.found(tokens)
     doc = np.searchsorted(tokens.offsets, places, side="right") - 1
     order = np.argsort(doc, kind="stable")
     places, rows, doc = places[order], rows[order], doc[order]
     cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, dtype=np.int64)
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(doc)]):
-        yield int(doc[a]), judged(table, tokens, places[a:b], rows[a:b])
-
+        d = int(doc[a])
+        told = [x for x in judged(table, tokens, places[a:b], rows[a:b]) if x[0] not in exact.get(d, ())]
+        yield d, told + list(exact.pop(d, {}).values())
+    for d, told in exact.items():
+        yield d, list(told.values())
 
 def _scan(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(items)
