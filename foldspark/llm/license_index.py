@@ -1,9 +1,10 @@
 """Licence scans with a positional rare-token index, in DataFrame operations only.
 
-Licence templates are short word sequences. Their postings say where each word stands in which template.
-A file's licence words of highest IDF (over all files) are looked up; each place proposes a template at
-the position where it would have to begin, and the proposals are held against the file's other licence
-words by relative position. A template counts if its mandatory phrase stands whole in its place.
+Licence templates are short word sequences. Each is posted under its rarest mandatory word: the one of
+highest IDF over all files. Of a file's licence words those with postings are looked up; each place
+proposes a template at the position where it would have to begin, and the proposals are held against the
+file's other licence words by relative position. A template counts if its mandatory phrase stands whole
+in its place. A file may hold any number of licences: a template is proposed wherever its word stands.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ TEMPLATES = (
 )
 #: Words that stand anywhere: their places in templates match any word and are not indexed.
 COMMON = frozenset("a and are by in into is of or the this to under use with without work".split())
-#: Licence words of a file that are looked up, and the share of a template's words that have to agree.
-RAREST, AGREE = 4, 0.5
+#: Share of a template's words that have to agree.
+AGREE = 0.5
 _BITS = 7
 _MASK = (1 << _BITS) - 1
 _SHIFT = 1 << 20
@@ -79,9 +80,13 @@ class Index:
         self.code = {w: i for i, w in enumerate(words)}
         self.words = words
 
-    def postings(self, word: str) -> list[int]:
-        """template << 7 | position of the word in all templates."""
-        return [t << _BITS | k for t, (_, places, _) in enumerate(self.templates) for k, w in places if w == word and w not in COMMON]
+    def postings(self, idf: list[float]) -> list[list[int]]:
+        """For each code, template << 7 | position in it, of the templates that are posted under the word."""
+        out: list[list[int]] = [[] for _ in self.words]
+        for t, (_, _, must) in enumerate(self.templates):
+            k, w = min(((k, w) for k, w in must if w not in COMMON), key=lambda x: (-idf[self.code[x[1]]], self.code[x[1]], x[0]))
+            out[self.code[w]].append(t << _BITS | k)
+        return out
 
 
 def licence_words(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,7 +120,7 @@ def _places(index: Index, places: list[tuple[int, str]]) -> str:
     return "array(" + ", ".join(f"named_struct('k', {k}, 'code', {index.code[w]}L)" for k, w in places) + ")"
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, rarest: int = RAREST, agree: float = AGREE) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, agree: float = AGREE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
     n_base counts the places of base phrases, first_word and last_word are the least and greatest word
@@ -127,21 +132,17 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     index = index or Index()
     found = written(licence_words(docs, index, id_col, text_col), "licence")
     idf = inverse_frequencies(found, index)
-    # The file's licence words by IDF, the rarest first; equal ones by code.
-    rank = {c: r for r, c in enumerate(sorted(range(len(idf)), key=lambda c: (-idf[c], c)))}
-    ranks = "array(" + ", ".join(str(rank[c]) for c in range(len(idf))) + ")"
-    postings = "array(" + ", ".join(f"cast(array({', '.join(map(str, index.postings(w)))}) as array<int>)" for w in index.words) + ")"
+    postings = "array(" + ", ".join(f"cast(array({', '.join(map(str, p))}) as array<int>)" for p in index.postings(idf)) + ")"
     phrases = "array(" + ", ".join(f"named_struct('label', '{label}', 'places', {_places(index, list(enumerate(words)))})" for words, label in index.base) + ")"
     templates = "array(" + ", ".join(f"named_struct('id', {t}L, 'label', '{label}', 'places', {_places(index, places)}, 'must', {_places(index, must)})" for t, (label, places, must) in enumerate(index.templates)) + ")"
     rows = found.selectExpr(
         "*",
         f"transform({phrases}, b -> named_struct('label', b.label, 'starts', aggregate(slice(b.places, 2, 99), {_starts('b.places[0]')}, (s, m) -> array_intersect(s, {_starts('m')})))) as phrases",
-        f"slice(array_sort(array_distinct(transform(hits, x -> {ranks}[int(x & {_MASK})]))), 1, {rarest}) as rare",
     )
     # A proposal: template << 40 | begin + _SHIFT.
     rows = rows.selectExpr(
         "doc_id", "n_words", "hits", "flatten(transform(phrases, b -> b.starts)) as base_starts", "array_sort(array_distinct(transform(filter(phrases, b -> size(b.starts) > 0), b -> b.label))) as base",
-        f"array_distinct(flatten(transform(filter(hits, x -> array_contains(rare, {ranks}[int(x & {_MASK})])), x -> transform({postings}[int(x & {_MASK})], p -> shiftleft(bigint(shiftright(p, {_BITS})), 40) + shiftright(x, {_BITS}) - (p & {_MASK}) + {_SHIFT})))) as proposed",
+        f"array_distinct(flatten(transform(filter(hits, x -> size({postings}[int(x & {_MASK})]) > 0), x -> transform({postings}[int(x & {_MASK})], p -> shiftleft(bigint(shiftright(p, {_BITS})), 40) + shiftright(x, {_BITS}) - (p & {_MASK}) + {_SHIFT})))) as proposed",
     )
     own = f"transform(filter(proposed, p -> shiftright(p, 40) = t.id), p -> (p & {(1 << 40) - 1}L) - {_SHIFT})"
     whole = f"aggregate(t.must, {own}, (s, m) -> array_intersect(s, {_starts('m')}))"
@@ -154,7 +155,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def sql(index: Index | None = None, rarest: int = RAREST, agree: float = AGREE) -> str:
+def sql(index: Index | None = None, agree: float = AGREE) -> str:
     """The scan as DuckDB SQL over ``documents``."""
     index = index or Index()
     values = lambda rows: ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
@@ -169,10 +170,10 @@ base(b, k, word, len, label) AS (VALUES {values(base)}),
 flat AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM split),
 hits AS (SELECT doc_id, pos, word, c FROM flat JOIN code USING (word)),
 df AS (SELECT c, count(DISTINCT doc_id) AS n FROM hits GROUP BY c),
-ranked AS (
-  SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY n, c) AS r FROM (SELECT DISTINCT doc_id, c FROM hits) JOIN df USING (c)),
+posted AS (
+  SELECT t, k, word FROM tmpl JOIN code USING (word) LEFT JOIN df USING (c) WHERE must = 1 AND indexed = 1 QUALIFY row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), c, k) = 1),
 proposed AS (
-  SELECT DISTINCT h.doc_id, t.t, h.pos - t.k AS start FROM hits h JOIN ranked r ON h.doc_id = r.doc_id AND h.c = r.c AND r.r <= {rarest} JOIN tmpl t ON t.word = h.word AND t.indexed = 1),
+  SELECT DISTINCT h.doc_id, t.t, h.pos - t.k AS start FROM hits h JOIN posted t ON t.word = h.word),
 held AS (
   SELECT p.doc_id, p.t, p.start FROM proposed p JOIN tmpl t ON p.t = t.t AND t.must = 1 JOIN hits h ON h.doc_id = p.doc_id AND h.pos = p.start + t.k AND h.word = t.word
   GROUP BY p.doc_id, p.t, p.start HAVING count(*) = any_value(t.musts)),
