@@ -29,11 +29,16 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(texts: pa.Array) -> pa.ListArray:
-    """Lower-cased runs of letters (and marks) of each text."""
+    """Lower-cased runs of letters (and marks) of each text; runs of marks alone may be among them."""
     clean = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL\pM]+", " ")
     return pc.ascii_split_whitespace(clean)
 
 
+def lettered(words: pa.Array) -> np.ndarray:
+    """Which words have a letter."""
+    return pc.match_substring_regex(words, r"\pL").to_numpy(zero_copy_only=False)
+
+
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of ``_word_`` for each word end to end, and offsets."""
     text = "".join(f"_{w}_" for w in words)
@@ -67,7 +72,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 own = batch.filter(pc.equal(batch["lang"], lang))
                 for part in slices(own):
                     words = words_of(filled(part["text"])).flatten()
-                    words = words.filter(pc.not_equal(words, "")).dictionary_encode()
+                    words = words.filter(pa.array(lettered(words))).dictionary_encode()
                     if not len(words):
                         continue
                     times = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary))
@@ -112,7 +117,8 @@ def mixtures(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndar
     much likelier the words are under the chosen set than under no language (0 without words)."""
     lists = words_of(texts)
     flat = lists.flatten()
-    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    every = flat.dictionary_encode()
+    full = lettered(every.dictionary)[every.indices.to_numpy(zero_copy_only=False)]
     n_words = segment_sum(full.astype(np.int64), ragged(lists.value_lengths().to_numpy(zero_copy_only=False)))
     n_langs = len(model.langs)
     shares, told = np.zeros((len(texts), n_langs)), np.zeros(len(texts))
@@ -190,9 +196,15 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows, with all columns, whose text has letters and is likelier under its mixture of languages,
-    whatever their shares, than under no language."""
+    whatever their shares, than under no language.
+
+    If the model knows no language, nothing can be told from text: all rows with letters are kept. Null,
+    empty and letterless texts go. Repeated rows are kept or go together; an empty table stays empty. Narrow.
+    """
 
     def make():
+        if not model.langs:
+            return lambda texts: mixtures(model, texts)[1] > 0
         return lambda texts: mixtures(model, texts)[2] > 0
 
     return keep_rows(docs, text_col, make, 2 << 20)
