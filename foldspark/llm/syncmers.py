@@ -3,7 +3,9 @@
 A k-mer of code points is a closed syncmer if the least hash among its s-mers is that of its first
 or last s-mer. Whether a k-mer is chosen depends on nothing but itself, so shared passages give the
 same anchors wherever they stand. A document's fingerprint is a one-permutation min-hash of its
-anchors: ``BINS`` bins of eight bits, empty bins filled from the next full bin.
+anchors: ``BINS`` bins of eight bits of hash, empty bins filled from the next full bin, and then the bins'
+positions in the text. Two fingerprints are alike in the bins that match by position: same hash, and an
+offset between the two texts that other bins confirm.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from foldspark.llm._common import filled, lean, n_parts, ragged, slices, written
 
 K, S, BINS = 16, 6, 128
 MIX1, MIX2, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x100000001B3)
-EMPTY = "00" * BINS
+#: Hex digits of a fingerprint: a byte of hash and two of position (modulo 65536) a bin.
+EMPTY = "00" * (3 * BINS)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -82,11 +85,13 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
 
 
 def sketches(texts: list[str]) -> np.ndarray:
-    """Rows of ``BINS`` bytes; an empty text's are zero."""
-    who, _, h = anchors(texts)
+    """Rows of ``BINS`` bytes of hash and ``BINS`` little-endian pairs of position; an empty text's are zero."""
+    who, pos, h = anchors(texts)
     none = np.iinfo(np.uint64).max
     least = np.full(len(texts) * BINS, none, dtype=np.uint64)
-    np.minimum.at(least, who * BINS + (h >> np.uint64(57)).astype(np.int64), h & np.uint64((1 << 57) - 1))
+    # The least hash of a bin, and of equal ones the first place modulo 65536, are the least number.
+    word = ((h & np.uint64((1 << 57) - 1)) >> np.uint64(16)) << np.uint64(16) | (pos.astype(np.uint64) & np.uint64(0xFFFF))
+    np.minimum.at(least, who * BINS + (h >> np.uint64(57)).astype(np.int64), word)
     least = least.reshape(len(texts), BINS)
     full = least != none
     at = np.where(full, np.arange(BINS), 10 * BINS)
@@ -94,15 +99,27 @@ def sketches(texts: list[str]) -> np.ndarray:
     rows = np.arange(len(texts))[:, None]
     some = full.any(axis=1)
     source = np.where(some[:, None], nearest % BINS, 0)
-    value = _mix(least[rows, source] + (nearest - np.arange(BINS)).astype(np.uint64)) >> np.uint64(56)
-    return np.where(some[:, None], value, 0).astype(np.uint8)
+    taken = least[rows, source]
+    value = _mix((taken >> np.uint64(16)) + (nearest - np.arange(BINS)).astype(np.uint64)) >> np.uint64(56)
+    out = np.zeros((len(texts), 3 * BINS), dtype=np.uint8)
+    out[:, :BINS] = np.where(some[:, None], value, 0)
+    out[:, BINS:] = np.where(some[:, None], taken & np.uint64(0xFFFF), 0).astype("<u2").view(np.uint8).reshape(len(texts), 2 * BINS)
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard likeness of the anchor sets, 0 to 1; agreement by chance is taken off."""
-    same = (a == b).mean(axis=1)
-    blank = a.any(axis=1) != b.any(axis=1)
-    return np.where(blank, 0.0, np.maximum(0.0, (same - 1 / 256) / (1 - 1 / 256)))
+    """Share of bins that match by position, 0 to 1: the hashes agree, and at least two bins agree about the
+    offset from one text to the other. Agreement by chance has no such company. Two empty texts are alike."""
+    same = a[:, :BINS] == b[:, :BINS]
+    blank = ~np.stack([a.any(axis=1), b.any(axis=1)])
+    places = [np.ascontiguousarray(x[:, BINS:]).view("<u2").astype(np.int32) for x in (a, b)]
+    offset = np.where(same, (places[0] - places[1]) % 65536, 65536 + np.arange(BINS, dtype=np.int32))
+    offset.sort(axis=1)
+    near = offset[:, 1:] == offset[:, :-1]
+    confirmed = np.zeros(offset.shape, dtype=bool)
+    confirmed[:, 1:] |= near
+    confirmed[:, :-1] |= near
+    return np.where(blank.all(axis=0), 1.0, np.where(blank.any(axis=0), 0.0, confirmed.mean(axis=1)))
 
 
 def syncmer_anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
