@@ -22,7 +22,6 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 
 @dataclass(frozen=True)
 class Settings:
-    depth: int = 6  # segments past it are one wildcard tail
     many: int = 12  # children from which a node may vary ...
     few: int = 8  # ... if they have fewer pages each than this
     most: int = 64  # children from which a node varies in any case
@@ -32,6 +31,10 @@ class Settings:
     purity: float = 0.7  # smoothed block rate from which a template is rejected
 
 
+#: Shares that a hot host's rows are dealt to in joins with its few varying nodes.
+SALT = 16
+#: Levels after which what the tree has so far is written.
+LEVELS = 4
 VARYING = "^[0-9][0-9A-Za-z_.-]*$"
 
 
@@ -63,39 +66,42 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
     return rule, verdict
 
 
-def _templates(paths: DataFrame, s: Settings) -> DataFrame:
-    """host, path, n, labelled, blocked, template of distinct paths."""
-    rows = paths.withColumn("segs", F.filter(F.split(F.col("path"), "/"), lambda x: x != "")).withColumn("template", F.lit(""))
-    for level in range(s.depth):
+def _templates(paths: DataFrame, s: Settings, depth: int) -> DataFrame:
+    """host, path, n, labelled, blocked, template of distinct paths; rows that a level doesn't reach stay as they are."""
+    rows = paths.withColumn("template", F.lit(""))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    for level in range(depth):
         seg = F.get("segs", F.lit(level))
-        seg = F.when(seg.rlike(VARYING), F.lit("*")).otherwise(seg)
-        rows = rows.withColumn("seg", seg)
+        rows = rows.withColumn("seg", F.when(seg.rlike(VARYING), F.lit("*")).otherwise(seg))
         children = rows.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("pages"))
         nodes = children.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("pages").alias("pages"))
-        varies = nodes.where((F.col("k") > s.most) | ((F.col("k") > s.many) & (F.col("pages") < s.few * F.col("k")))).select("host", "template", F.lit(True).alias("varies"))
+        varies = nodes.where((F.col("k") > s.most) | ((F.col("k") > s.many) & (F.col("pages") < s.few * F.col("k")))).select("host", "template", F.lit(True).alias("varies"), salts)
         sep = F.when(F.col("template") == "", "").otherwise("/")
         name = F.when(F.col("varies"), "*").otherwise(F.col("seg"))
-        rows = rows.join(varies, ["host", "template"], "left").withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", sep, name))).drop("seg", "varies")
-    tail = F.size("segs") > s.depth
-    return rows.withColumn("template", F.when(tail, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segs")
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int"))
+        rows = salted.join(varies, ["host", "template", "salt"], "left").withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", sep, name))).drop("seg", "varies", "salt")
+        if level % LEVELS == LEVELS - 1:
+            rows = written(rows, "level")
+    return rows.drop("segs")
 
 
-def _merged(table: DataFrame, s: Settings) -> DataFrame:
+def _merged(table: DataFrame, s: Settings, depth: int) -> DataFrame:
     """host, template, branch: the template that each is merged into."""
     rows = table.withColumn("branch", F.col("template"))
-    for level in reversed(range(s.depth)):
+    for level in reversed(range(depth)):
         parts = F.split("branch", "/")
-        mask = F.concat_ws("/", F.slice(parts, 1, level), F.array(F.lit("*")), F.slice(parts, level + 2, s.depth + 2))
+        mask = F.concat_ws("/", F.slice(parts, 1, level), F.array(F.lit("*")), F.slice(parts, level + 2, depth + 2))
         has = (F.size(parts) > level) & (F.col("branch") != "")
-        rows = rows.withColumn("mask", F.when(has, mask))
-        # A branch may hold several templates by now: rates are of branches.
-        own, group = Window.partitionBy("host", "branch"), Window.partitionBy("host", "mask")
-        rows = rows.withColumn("lab", F.sum("labelled").over(own)).withColumn("blk", F.sum("blocked").over(own))
-        rows = rows.withColumn("all_lab", F.sum("labelled").over(group)).withColumn("all_blk", F.sum("blocked").over(group))
+        # A branch may hold several templates by now: rates are of branches, and of their siblings' together.
+        own = rows.groupBy("host", "branch").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("blk")).withColumn("mask", F.when(has, mask))
+        group = own.where("mask is not null").groupBy("host", "mask").agg(F.sum("lab").alias("all_lab"), F.sum("blk").alias("all_blk"))
         p = F.col("all_blk") / F.col("all_lab")
         near = F.abs(F.col("blk") / F.col("lab") - p) <= s.z * F.sqrt(p * (1 - p) / F.col("lab"))
-        similar = has & (F.col("lab") >= s.labelled) & F.when(F.col("all_lab") > 0, near)
-        rows = rows.withColumn("branch", F.when(similar, F.col("mask")).otherwise(F.col("branch"))).drop("mask", "lab", "blk", "all_lab", "all_blk")
+        similar = (F.col("lab") >= s.labelled) & (F.col("all_lab") > 0) & near
+        moved = own.join(group, ["host", "mask"]).where(similar).select("host", "branch", "mask")
+        rows = rows.join(moved, ["host", "branch"], "left").withColumn("branch", F.coalesce("mask", "branch")).drop("mask")
+        if level % LEVELS == 0:
+            rows = written(rows, "branches")
     return rows
 
 
@@ -104,17 +110,20 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     The verdict is the rule's, else ``block`` if the smoothed share of blocked labels of the URL's
     template reaches ``settings.purity``, else ``allow``: a template without labels is allowed. Null
-    URLs and those without ``://`` have empty host and path and a template ''. Only URLs are read.
-    Counts are added up by distinct path before the tree is built; wildcard nodes are a small table.
+    URLs and those without ``://`` have empty host and path and a template ''. Repeated rows each give a row; an
+    empty table gives none. Only URLs are read. Counts are added up by distinct path before the tree is
+    built, level by level, down to the last segment of the longest path.
     """
     s = settings
     rows = pages.select(F.col(id_col).alias("page_id"), url_host(url_col).alias("host"), url_path(url_col).alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), rule.alias("rule"), verdict.alias("said"))
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("said").alias("labelled"), F.count(F.when(F.col("said") == "block", 1)).alias("blocked"))
-    named = written(_templates(paths, s), "templates")
+    paths = written(paths.withColumn("segs", F.filter(F.split(F.col("path"), "/"), lambda x: x != "")), "paths")
+    depth = paths.agg(F.max(F.size("segs"))).first()[0] or 0  # the tree has as many levels as the longest path
+    named = written(_templates(paths, s, depth), "templates")
     table = named.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    branches = written(_merged(table, s), "branches")
+    branches = written(_merged(table, s, depth), "branches")
     rates = branches.groupBy("host", "branch").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     rates = rates.select("host", "branch", ((F.col("b") + s.prior / 2) / (F.col("l") + s.prior)).alias("purity"))
     judged = named.select("host", "path", "template").join(branches.select("host", "template", "branch"), ["host", "template"]).join(rates, ["host", "branch"]).select("host", "path", F.col("branch").alias("template"), "purity")
@@ -123,8 +132,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "template", "purity")
 
 
-def sql(rules: tuple[tuple[str, str], ...] = RULES, settings: Settings = Settings()) -> str:
-    """The filter as DuckDB SQL over ``pages``."""
+def sql(rules: tuple[tuple[str, str], ...] = RULES, settings: Settings = Settings(), depth: int = 8) -> str:
+    """The filter as DuckDB SQL over ``pages``, for paths of up to ``depth`` segments."""
     s = settings
     ordered = sorted(rules, key=lambda r: (len(r[1]), r[1]), reverse=True)
     fits = lambda text: (own := text.split("/", 1)[0]) and f"((host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '{text[len(own) :]}'))"
@@ -135,15 +144,15 @@ def sql(rules: tuple[tuple[str, str], ...] = RULES, settings: Settings = Setting
         f"ruled AS (SELECT page_id, host, path, {pick(1)} AS rule, {pick(0)} AS said FROM split)",
         "t0 AS (SELECT host, path, count(*) AS n, count(said) AS labelled, count(*) FILTER (said = 'block') AS blocked, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, '' AS template FROM ruled GROUP BY host, path)",
     ]
-    for i in range(s.depth):
+    for i in range(depth):
         ctes += [
             f"g{i} AS (SELECT *, CASE WHEN regexp_matches(segs[{i + 1}], '{VARYING}') THEN '*' ELSE segs[{i + 1}] END AS seg FROM t{i})",
             f"v{i} AS (SELECT host, template FROM (SELECT host, template, seg, sum(n) AS pages FROM g{i} WHERE seg IS NOT NULL GROUP BY ALL) GROUP BY host, template HAVING count(*) > {s.most} OR (count(*) > {s.many} AND sum(pages) < {s.few} * count(*)))",
             f"t{i + 1} AS (SELECT host, path, n, labelled, blocked, segs, CASE WHEN seg IS NULL THEN template ELSE template || CASE WHEN template = '' THEN '' ELSE '/' END || CASE WHEN (host, template) IN (SELECT (host, template) FROM v{i}) THEN '*' ELSE seg END END AS template FROM g{i})",
         ]
-    ctes.append(f"named AS (SELECT host, path, labelled, blocked, template || CASE WHEN len(segs) > {s.depth} THEN '/**' ELSE '' END AS template FROM t{s.depth})")
-    ctes.append(f"m{s.depth} AS (SELECT host, template, sum(labelled) AS labelled, sum(blocked) AS blocked, template AS branch FROM named GROUP BY host, template)")
-    for i in reversed(range(s.depth)):
+    ctes.append(f"named AS (SELECT host, path, labelled, blocked, template FROM t{depth})")
+    ctes.append(f"m{depth} AS (SELECT host, template, sum(labelled) AS labelled, sum(blocked) AS blocked, template AS branch FROM named GROUP BY host, template)")
+    for i in reversed(range(depth)):
         ctes += [
             f"k{i} AS (SELECT *, string_split(branch, '/') AS parts FROM m{i + 1})",
             f"l{i} AS (SELECT *, CASE WHEN len(parts) > {i} AND branch <> '' THEN array_to_string(list_concat(list_concat(parts[1:{i}], ['*']), parts[{i + 2}:]), '/') END AS mask FROM k{i})",
