@@ -2,9 +2,9 @@
 
 Every document draws an exponential key scaled by its quality weight, from a hash of its id. A source's
 budget is spent on complete epochs first; what is left goes to the documents of least keys. The prefix
-sums that find where a budget ends run over key buckets of bounded size, then inside the one or two
-buckets where it ends, so that the choice is one cut key a source and the documents are never sorted
-or shuffled whole.
+sums that find where a budget ends run over a source's key buckets, then over buckets inside the two where
+it ends, until few documents are left: the choice is one cut key a source, and the documents are never
+sorted or shuffled whole.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from foldspark.llm._common import written
 
 WEIGHTS, MAX_EPOCHS = (5, 2, 1), 3
-#: Documents in a key bucket, about.
-BUCKET = 4096
+#: Key buckets of a source, and documents left from which no further ones are made.
+BUCKETS, FEW = 1024, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,12 +33,12 @@ def exponential_key(id_col: str | Column, weight: Column, seed: str = "mix") ->
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """source, source_size, target, docs, mean_weight: one row a source.
+    """source, source_size, target: one row a source.
 
     Sources in code-point order, null last, take ``weights`` in turn and share the total size by them;
     a target stops at ``max_epochs`` times its source's size and the excess is shared again by weight.
     """
-    each = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"), F.avg("weight").alias("mean_weight"))
+    each = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     share = F.element_at(F.array(*map(F.lit, weights)), (order % len(weights) + 1).cast("int")).cast("long")
     each = each.withColumn("w", share).withColumn("cap", F.col("source_size") * max_epochs)
@@ -52,22 +52,35 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     filled = each.withColumn("level", level)
     common = F.max("level").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     target = F.least(F.col("cap").cast("double"), F.coalesce(common, F.lit(0.0)) * F.col("w"))
-    return filled.select("source", "source_size", target.alias("target"), "docs", "mean_weight")
+    return filled.select("source", "source_size", target.alias("target"))
 
 
-def cuts(sized: DataFrame, targets: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """source, source_size, target, epochs, cut (struct of key and id, or null): what each source takes."""
+def cuts(sized: DataFrame, targets: DataFrame, buckets: int = BUCKETS, few: int = FEW) -> DataFrame:
+    """source, source_size, target, epochs, cut (struct of key and id, or null): what each source takes.
+
+    Each round deals a source's open documents to equal ranges of keys and keeps the two ranges where the
+    budget ends: at most ``buckets`` sums a source, and far fewer documents each time. It ends when every
+    source has few left, or only equal keys, which are in the order of id and size.
+    """
     plan = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("buckets", F.ceil(F.col("docs") / bucket))
-    p = plan.select(F.col("source").alias("p_source"), "rest", "buckets", "mean_weight")
-    place = F.floor((1 - F.exp(-F.col("key") * F.col("mean_weight"))) * F.col("buckets"))
-    dealt = sized.join(p, F.col("source").eqNullSafe(F.col("p_source"))).select("source", "doc_id", "size", "key", "rest", place.alias("bucket"))
-    sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = sums.withColumn("base", before).where("base <= rest").withColumn("back", F.row_number().over(Window.partitionBy("source").orderBy(F.col("bucket").desc()))).where("back <= 2")
-    last = last.select(F.col("source").alias("l_source"), F.col("bucket").alias("l_bucket"), "base")
-    near = dealt.join(last, F.col("source").eqNullSafe(F.col("l_source")) & (F.col("bucket") == F.col("l_bucket")))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    span = sized.groupBy("source").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    p = plan.select(F.col("source").alias("p_source"), "rest").join(span.withColumnRenamed("source", "s_source"), F.col("p_source").eqNullSafe(F.col("s_source"))).drop("s_source").withColumn("base", F.lit(0).cast("long"))
+    p = written(p, "ranges")  # a table: Spark knows its size, and broadcasts it if it is small
+    here = sized.select("source", "doc_id", "size", "key")
+    while True:
+        place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))).otherwise(0)
+        dealt = here.join(p, F.col("source").eqNullSafe(F.col("p_source"))).where("key between lo and hi").withColumn("bucket", place)
+        sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("n"), F.count("*").alias("docs"), F.min("key").alias("least"), F.max("key").alias("greatest"), *(F.first(c).alias(c) for c in ("rest", "base", "lo", "hi")))
+        before = F.col("base") + F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        last = sums.withColumn("before", before).where("before <= rest").withColumn("back", F.row_number().over(Window.partitionBy("source").orderBy(F.col("bucket").desc()))).where("back <= 2")
+        narrow = last.groupBy(F.col("source").alias("p_source")).agg(F.first("rest").alias("rest"), F.min("least").alias("lo"), F.max("greatest").alias("hi"), F.min("before").alias("base"), F.sum("docs").alias("docs"), F.first("lo").alias("was_lo"), F.first("hi").alias("was_hi"))
+        narrow = written(narrow, "ranges")
+        p = narrow.drop("docs", "was_lo", "was_hi")
+        if narrow.where(f"docs > {few} and hi > lo and (lo > was_lo or hi < was_hi)").isEmpty():
+            break
+    near = here.join(p, F.col("source").eqNullSafe(F.col("p_source"))).where("key between lo and hi")
+    inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     fits = near.withColumn("start", start).where(F.col("start") + F.col("size") / 2 <= F.col("rest"))
     cut = fits.groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("cut")).withColumnRenamed("source", "c_source")
@@ -101,7 +114,8 @@ def _taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, quality: Column | None = None) -> DataFrame:
-    """The rows of the mix with all their columns: each as many times as it is taken, 0 to 3."""
+    """The rows of the mix with all their columns: each as many times as it is taken, 0 to 3. Null, empty and blank
+    texts are never taken; otherwise as ``mix``."""
     sized = written(_sized(docs, id_col, text_col, source_col, quality), "sized")
     plan = written(cuts(sized, source_targets(sized, weights)), "cuts").select(F.col("source").alias("mix__source"), "epochs", "cut")
     weight = F.sqrt(F.greatest(F.col("size"), F.lit(1))) if quality is None else quality
