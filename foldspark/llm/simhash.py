@@ -170,10 +170,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = classed.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_fp = classed.join(least, "component").select("fp", "component_id")
     return fp.join(by_fp, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows, with all columns, of the least id of each component. Rows that share an id go together."""
-    found = near_duplicates(docs, id_col, text_col, words, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias("kept__id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept__id"]), "left_semi")

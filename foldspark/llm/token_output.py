@@ -178,7 +178,11 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, parts: int | None = None) -> DataFrame:
-    """One row per document in ascending id order over the partitions (``FILE_SCHEMA``)."""
+    """One row per document in ascending id order over the partitions (``FILE_SCHEMA``).
+
+    Null and empty texts are the end id alone; a null id comes first; rows with one id are in the order of
+    their texts; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer or default_tokenizer())
@@ -214,7 +218,8 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids of the files; filters on doc_id skip row groups and pages."""
+    """doc_id, start, n_tokens, ids of the files; filters on doc_id skip row groups and pages. Rows with one id
+    each have their own start; no rows give none."""
     return _started(spark.read.schema(FILE_SCHEMA).parquet(path)).select("doc_id", "start", "n_tokens", "ids")
 
 

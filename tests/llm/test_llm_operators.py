@@ -193,8 +193,6 @@ def test_simhash_edges(edges, empty):
     assert len(got) == len(EDGES)
     assert {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.keep_one(edges)
-    assert kept.columns == edges.columns and {r["doc_id"] for r in kept.collect()} >= {1, 5, 6}
 
 
 def test_language_mixture(spark, edges, empty):
@@ -250,6 +248,143 @@ def test_toxicity_learns_pairs():
     assert both[0] > 0 > one.max()
 
 
+def test_toxicity_learns_exclusive_or():
+    rng = np.random.default_rng(0)
+    rows, y = [], []
+    for _ in range(4000):
+        a, b = rng.random(2) < 0.5
+        rows.append([1] * bool(a) + [2] * bool(b) + np.unique(rng.integers(10, 60, 8)).tolist())
+        y.append(float(a != b))
+    ids, offsets, y = np.array([x for r in rows for x in r]), np.append(0, np.cumsum([len(r) for r in rows])), np.array(y)
+    assert not toxicity.telling(ids, offsets, y, np.ones(len(y)))[[1, 2]].any()
+    m = toxicity.train(ids, offsets, y, np.ones(len(y)))
+    assert ((m.margin(ids, offsets) > 0) == (y > 0)).mean() > 0.99
+    # the margin by brute force
+    for i in range(20):
+        own = ids[offsets[i] : offsets[i + 1]]
+        want = m.bias + sum(float(m.weight[x]) for x in own) + sum(float(m.vector[x].astype(float) @ m.vector[z].astype(float)) for k, x in enumerate(own) for z in own[:k])
+        assert m.margin(own, np.array([0, len(own)]))[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_toxicity_terms_read_whole_words():
+    long = "ab" * 60
+    ids = toxicity.term_ids([long, long[:-1] + "c", "abcdefg", "abcdexyz", "abcde", "edcba"])
+    assert ids[0, 0] != ids[1, 0] and ids[0, 1] == ids[1, 1] and ids[2, 1] == ids[3, 1] == ids[4, 1] != ids[5, 1] and ids[2, 0] != ids[3, 0]
+
+
+def test_language_shares_by_brute_force():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    table = np.log(rng.dirichlet(np.ones(langid.BUCKETS) * 0.05, 3).T + 1e-9)
+    mean = table.mean(axis=1)
+    model = langid.LanguageModel(["a", "b", "c"], table - mean[:, None], mean + np.log(langid.BUCKETS))
+    words = ["kato", "meri", "lonka", "sipu", "tavo", "x", "été"]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 3, 12, 40)]
+    shares, n, told = langid.mixtures(model, pa.array(texts))
+    for text, got, length, raw in zip(texts, shares, n, told):
+        each = []
+        for w in text.split():
+            grams, _ = langid.word_grams([w])
+            each.append(table[grams].sum(axis=0) / len(langid.GRAMS))
+        each = np.array(each)
+        like = np.maximum(np.exp(each - each.max(axis=1, keepdims=True)), 1e-9)
+
+        def em(own, rounds, like=like):
+            pi = np.array([1 / len(own) if j in own else 0 for j in range(3)])
+            for _ in range(rounds):
+                r = pi * like
+                pi = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+            return pi, float(np.log((pi * like).sum(axis=1)).sum())
+
+        whole, _ = em([0, 1, 2], langid.ROUNDS)
+        order = np.argsort(-whole, kind="stable")
+        sets = [em(order[:k].tolist(), 1 if k == 1 else langid.ROUNDS) for k in (1, 2, 3)]
+        best = max(range(3), key=lambda k: (sets[k][1] - langid.PENALTY * k * np.log(len(each) + 1), -k))
+        want = sets[best][0]
+        if best == 0:
+            want = np.where(want > 0, whole, 0)
+        assert got == pytest.approx(want, abs=1e-4) and length == len(each)
+        base = sum(float((mean + np.log(langid.BUCKETS))[langid.word_grams([w])[0]].sum()) / len(langid.GRAMS) for w in text.split())
+        assert raw == pytest.approx(sets[best][1] + float((each - np.log(1)).max(axis=1).sum()) - sum(float(mean[langid.word_grams([w])[0]].sum()) / len(langid.GRAMS) for w in text.split()) + base, rel=1e-3, abs=1e-2)
+
+
+def test_texts_of_marks_alone_have_no_language(spark):
+    rows = [(i, t, "xa") for i, t in enumerate(["kato meri", "lonka sipu"] * 5)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    docs = spark.createDataFrame([(1, "\u0301\u0301 \u0300"), (2, "12 \u0301!"), (3, "kato \u0301")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()} == {1: "und", 2: "und", 3: "xa"}
+    none = langid.LanguageModel([], np.zeros((langid.BUCKETS, 0)), np.zeros(langid.BUCKETS))
+    assert {r["doc_id"] for r in langid.keep_identified(docs, none).collect()} == {3}
+
+
+def test_cuts_are_found_in_several_rounds(spark):
+    rng = random.Random(9)
+    rows = [(i if i % 7 else 5, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["a", "b", None])) for i in range(3000)]
+    sized = mixing._sized(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source", None)
+    targets = mixing.source_targets(sized)
+    one = {r["source"]: tuple(r) for r in mixing.cuts(sized, targets).collect()}
+    assert one == {r["source"]: tuple(r) for r in mixing.cuts(sized, targets, buckets=4, few=8).collect()}
+
+
+def test_deep_urls_and_repeated_rows(spark):
+    deep = "/".join(f"s{i}" for i in range(30))
+    rows = [(1, f"http://a.net/{deep}/1", "x"), (1, f"http://a.net/{deep}/1", "x"), (2, f"http://a.net/{deep}/2", "y"), (3, "http://b.org/" + "x" * 50_000, None), (None, "http://b.org/q", "z")]
+    got = url_tree.filter_urls(spark.createDataFrame(rows, "page_id long, url string, template string")).collect()
+    assert len(got) == 5 and {r["template"] for r in got if r["page_id"] in (1, 2)} == {f"{deep}/*"}
+
+
+def test_special_strings_keep_their_case(spark):
+    lib = _library()
+    texts = ["<|STARTOFTEXT|> hi", "<|endoftext|> Hi <|ENDOFTEXT|>", "x\x01y \x7f,", "Ça, é. \u2028ok", "\u0558 \u1c89a, b", "  lead and trail  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: lib.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert {r["doc_id"]: list(r["ids"]) for r in token_output.token_files(df).collect()} == {i: [*x, 1] for i, x in want.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df).collect()} == {i: len(x) for i, x in want.items()}
+
+
+@pytest.mark.parametrize("layout", ["dictionary", "delta"])
+def test_token_files_layout(spark, layout, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(1)
+    rows = [(i, " ".join(str(rng.randint(0, 99)) for _ in range(60))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    token_output.write_tokens(df, f"file://{tmp_path}/t", layout=layout, row_group_bytes=1 << 18, page_bytes=1 << 14, page_rows=500, parts=1)
+    name = next(str(p) for p in (tmp_path / "t").iterdir() if p.name.endswith(".parquet"))
+    meta = pq.ParquetFile(name).metadata
+    assert meta.num_row_groups > 1
+    for g in range(meta.num_row_groups):
+        for c in range(meta.num_columns):
+            col = meta.row_group(g).column(c)
+            assert col.has_column_index or col.path_in_schema.startswith("ids.")
+            assert col.has_offset_index and col.compression == "ZSTD"
+            if col.path_in_schema.startswith("ids."):
+                assert ("DICTIONARY" in str(col.encodings)) == (layout == "dictionary") and ("DELTA_BINARY_PACKED" in str(col.encodings)) == (layout == "delta")
+    some = token_output.read_tokens(spark, f"file://{tmp_path}/t").where("doc_id between 3000 and 3001")
+    assert sorted(r["doc_id"] for r in some.collect()) == [3000, 3001]
+    plan = token_output.read_metadata(spark, f"file://{tmp_path}/t")._jdf.queryExecution().executedPlan().toString()
+    assert "ids:array" not in plan.split("ReadSchema")[1]
+
+
+def test_licence_files_with_many_licences(spark):
+    lines = [t.text for t in license_index.TEMPLATES]
+    docs = spark.createDataFrame([(1, ". ".join(lines))] + [(i + 2, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in license_index.scan_licenses(docs).collect()}
+    assert got[1] == {t.label for t in license_index.TEMPLATES}
+    assert all(t.label in got[i + 2] for i, t in enumerate(license_index.TEMPLATES))
+
+
+def test_a_shared_folder_is_required_off_one_machine():
+    from types import SimpleNamespace
+
+    from foldspark.llm._common import shared_dir
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(far)
+
+
 def test_mix(spark, docs, edges, empty):
     rows = mixing.mix(docs).collect()
     size = {}
@@ -351,3 +486,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "source_mix", "token_files"]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "start", "n_tokens", "ids"] and {r["doc_id"] for r in out.collect()} == kept["source_mix"]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string"
+    rows = [(r[0], r[1], r[2], r[3], 1, "k") for r in EDGES]
+    for name, some in (("edges", rows), ("empty", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, None)] if some else [], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/edges").collect()
+    assert {r["doc_id"] for r in out} <= {r[0] for r in rows} and 6 in {r["doc_id"] for r in out}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
