@@ -13,27 +13,36 @@ from foldspark.llm._common import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with letters that a learned language or a mixture explains."""
+    """Keeps documents with letters that a learned language or a mixture explains.
+
+    Null and letterless texts go; if no row has a language, all with letters stay. Repeated rows fare alike.
+    """
     return langid.keep_identified(docs, langid.fit(docs, F.lit(True)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group that shares four fifths of its runs of five words."""
+    """Keeps the document of least id of each group that shares four fifths of its runs of five words.
+
+    Null, empty and blank texts are one group; a null id is the greatest; of rows that share id and text one stays.
+    """
     return resemblance.keep_one(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no benchmark item."""
+    """Keeps documents that hold no benchmark item, as it is or with other values. Null texts hold none."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them: 0 to 3 times, null and blank texts never.
+
+    A null source is a source; rows that share an id are taken alike.
+    """
     return mixing.mixed(docs)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids, read back from the token files."""
+    """doc_id, start, n_tokens, ids, read back from the token files: a row for each row, in order of id and text."""
     return token_output.token_files(docs)
 
 
@@ -50,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    An empty table gives no rows; columns beside those of ``documents`` are carried along up to the last stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
