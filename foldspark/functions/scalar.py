@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from math import lgamma
 
 import numpy as np
@@ -145,6 +146,12 @@ def percent_identity(df: DataFrame, key: str, order: str, aligned: str) -> DataF
     return df.join(first, key).select(key, order, F.when(own > 0, F.floor(same * 100 / own)).cast("int").alias("identity"))
 
 
+def draw(seed: int, *keys: str) -> Column:
+    """A number of 52 bits from the seed and the columns as text: a seeded draw that any engine with MD5 repeats."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
 def fold_coverage(parent: Column | str, folded: Column | str, d0: Column | str, d1: Column | str) -> Column:
     """start, stop, fold and domain shares of where a foldable part lies in its parent against d0..d1.
 
@@ -157,7 +164,9 @@ def fold_coverage(parent: Column | str, folded: Column | str, d0: Column | str,
     return F.struct(start.alias("start"), stop.alias("stop"), (common / (stop - start)).alias("fold_share"), (common / (c(d1) - c(d0))).alias("domain_share"))
 
 
-_LOGFACT = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 1_000_001)))])
+@functools.cache
+def _log_factorials() -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 1_000_001)))])
 
 
 def _log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -165,8 +174,9 @@ def _log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
     n, k = np.broadcast_arrays(np.asarray(n, dtype=np.int64), np.asarray(k, dtype=np.int64))
     ok = (k >= 0) & (k <= n) & (n >= 0)
     a, b, d = np.where(ok, n, 0), np.where(ok, k, 0), np.where(ok, n - k, 0)
-    if a.max(initial=0) < len(_LOGFACT):
-        out = _LOGFACT[a] - _LOGFACT[b] - _LOGFACT[d]
+    table = _log_factorials()
+    if a.max(initial=0) < len(table):
+        out = table[a] - table[b] - table[d]
     else:
         out = np.array([lgamma(x + 1) - lgamma(y + 1) - lgamma(z + 1) for x, y, z in zip(a.ravel(), b.ravel(), d.ravel())]).reshape(a.shape)
     return np.where(ok, out, -np.inf)
@@ -187,14 +197,23 @@ def hypergeom_point(x: pd.Series, r: pd.Series, b: pd.Series, n: pd.Series) -> p
 @F.pandas_udf(T.DoubleType())
 def fisher_greater_p(a: pd.Series, b: pd.Series, cc: pd.Series, d: pd.Series) -> pd.Series:
     """One-sided p of [[a, b], [c, d]]: the chance of a or more, margins fixed; null for a negative cell."""
-    out = []
-    for w, x, y, z in zip(a, b, cc, d):
-        if min(w, x, y, z) < 0:
-            out.append(None)
-            continue
-        top = np.arange(w, min(w + x, w + y) + 1)
-        out.append(float(min(1.0, hypergeom_values(top, w + x, y + z, w + y).sum())))
-    return pd.Series(out, dtype="float64")
+    cells = np.stack([np.asarray(v, dtype=np.int64) for v in (a, b, cc, d)])
+    bad = (cells < 0).any(axis=0)
+    w, x, y, z = np.where(bad, 0, cells)
+    hit, miss, n = w + x, y + z, w + y
+    # Above the mean the tail itself is summed, else one less the other tail: terms fall off from the first.
+    high = w * (hit + miss) > n * hit
+    at = np.where(high, w, w - 1)
+    term = hypergeom_values(at, hit, miss, n)
+    total, live = term.copy(), term > 0
+    while live.any():
+        up, down = (hit - at) * (n - at) / (np.maximum(at + 1, 1) * np.maximum(miss - n + at + 1, 1)), at * (miss - n + at) / np.maximum((hit - at + 1) * (n - at + 1), 1)
+        term = np.where(live, term * np.where(high, up, down), 0.0)
+        total += term
+        at += np.where(high, 1, -1)
+        live = term > total * 1e-17
+    p = np.clip(np.where(high, total, 1 - total), 0.0, 1.0)
+    return pd.Series(np.where(bad, np.nan, p)).astype(object).where(~bad, None).astype("float64")
 
 
 def ss_class(alpha: Column | str, beta: Column | str, cut: float = 0.15) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldspark.functions.scalar import draw
+
 
 def residue_columns(alignment: DataFrame) -> DataFrame:
     """protein, residue (from 1), col (from 0), letter: columns that hold a residue."""
@@ -53,8 +55,8 @@ def site_clustering(coords: DataFrame, sites: DataFrame, samples: int, seed: int
     """structure, target, percentile: the sites' mean 1/d and the share of random sets of that size not above it."""
     size = sites.groupBy("structure").agg(F.countDistinct("residue").alias("k"))
     drawn = coords.join(size, "structure").select("structure", "residue", "k", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("set_id"))
-    w = Window.partitionBy("structure", "set_id").orderBy(F.xxhash64(F.lit(seed), "structure", "set_id", "residue"), "residue")
-    drawn = drawn.withColumn("rn", F.row_number().over(w)).where("rn <= k").select("structure", "set_id", "residue")
+    w = Window.partitionBy("structure", "set_id").orderBy(draw(seed, "structure", "set_id", "residue"), "residue")
+    drawn = drawn.withColumn("row__no", F.row_number().over(w)).where("row__no <= k").select("structure", "set_id", "residue")
     sets = sites.select("structure", F.lit(0).alias("set_id"), "residue").distinct().unionByName(drawn)
     means = inverse_distance(coords, sets)
     target = means.where("set_id = 0").select("structure", F.col("mean_inverse").alias("target"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.functions.scalar import ENRICH_TINY, fisher_greater_p
+from foldspark.functions.scalar import ENRICH_TINY, draw, fisher_greater_p
 
 
 def count_features(hits: DataFrame, subset: DataFrame, repeats: bool = False) -> DataFrame:
@@ -77,5 +77,5 @@ def enrichment(hits: DataFrame, subset: DataFrame, least: int = 1, extra: int =
 def background_resample(background: DataFrame, n: int, iterations: int, seed: int = 0, key: str = "query") -> DataFrame:
     """iteration, key: ``n`` rows of the background drawn anew for each iteration, by a seeded hash."""
     drawn = background.select(key).distinct().withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    draw: Column = F.xxhash64(F.lit(seed), "iteration", key)
-    return drawn.withColumn("rn", F.row_number().over(Window.partitionBy("iteration").orderBy(draw, key))).where(F.col("rn") <= n).drop("rn")
+    order: Column = draw(seed, "iteration", key)
+    return drawn.withColumn("row__no", F.row_number().over(Window.partitionBy("iteration").orderBy(order, key))).where(F.col("row__no") <= n).drop("row__no")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldspark.functions.scalar import draw, hypergeom_point
+from foldspark.operators.structure import ranked
+
 
 def label_predictions(predictions: DataFrame, truth: DataFrame, unannotated: bool = False, score: str = "score") -> DataFrame:
     """entity, acc, score, label: 1 if (entity, acc) is true, else -1; with the true rows that weren't
@@ -59,6 +62,51 @@ def recall_at_precision(curve: DataFrame, least: float, groups: list[str] | None
     return curve.groupBy(*(groups or [])).agg(F.coalesce(F.max(F.when(F.col("precision") >= least, F.col("recall"))), F.lit(0.0)).alias("recall"))
 
 
+def genome_model(predictions: DataFrame, least: float, groups: list[str]) -> DataFrame:
+    """groups, threshold: of each combination, as of method group and specificity band, the lowest score from which
+    precision reaches ``least``."""
+    return precision_threshold(precision_recall(predictions, groups), least, groups)
+
+
+def superfamily_recall(predictions: DataFrame, scores: list[str], least: float, group: str = "superfamily") -> DataFrame:
+    """group, kind, recall: the highest recall with precision of ``least`` for each kind of score; 0 where none has it.
+
+    ``predictions`` (group, label, and a column a score) are read once for each score.
+    """
+    out = None
+    for kind in scores:
+        rows = predictions.select(group, "label", F.col(kind).alias("score")).where("score is not null")
+        found = precision_recall(rows, [group]).groupBy(group).agg(F.coalesce(F.max(F.when(F.col("precision") >= least, F.col("recall"))), F.lit(0.0)).alias("recall"))
+        found = found.select(group, F.lit(kind).alias("kind"), "recall")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def llr_histogram(predictions: DataFrame, edges: list[float], score: str = "pls_llr") -> DataFrame:
+    """bin, low, high, then annotations, domains and proteins in it, and how many of each are correct (label over 0)."""
+    right = F.col("label") > 0
+    counts = {"annotations": F.count("*"), "correct_annotations": F.count(F.when(right, 1))}
+    for name, col in (("domains", "domain"), ("proteins", "protein")):
+        counts |= {name: F.countDistinct(col), f"correct_{name}": F.countDistinct(F.when(right, F.col(col)))}
+    return histogram(predictions, score, edges, counts)
+
+
+def identity_enrichment(calls: DataFrame, identity: float) -> DataFrame:
+    """correct, high, correct_high, calls, share, p: the share of hits of high identity among the correct calls, and the
+    hypergeometric point value of that number. ``calls`` (identity, correct)."""
+    high = F.col("identity") >= identity
+    n = lambda cond: F.count(F.when(cond, 1))
+    sums = calls.agg(n(F.col("correct")).alias("correct"), n(high).alias("high"), n(high & F.col("correct")).alias("correct_high"), F.count("*").alias("calls"))
+    p = hypergeom_point("correct_high", "high", F.col("calls") - F.col("high"), "correct")
+    return sums.select("*", (F.col("correct_high") / F.col("correct")).alias("share"), p.alias("p"))
+
+
+def benchmark_sequences(annotations: DataFrame, terms: DataFrame, types: list[str], codes: list[str], key: str = "sequence_key") -> DataFrame:
+    """key: sequences with an annotation of every type, by the evidence codes. ``terms`` (acc, term_type)."""
+    rows = annotations.where(F.col("evidence_code").isin(codes)).join(terms.where(F.col("term_type").isin(types)).select("acc", "term_type"), "acc")
+    return rows.groupBy(key).agg(F.countDistinct("term_type").alias("types__")).where(F.col("types__") == len(set(types))).select(key)
+
+
 def genome_coverage(predictions: DataFrame, thresholds: DataFrame, groups: list[str]) -> DataFrame:
     """groups, predictions, proteins, domains, functions kept at the groups' thresholds."""
     kept = predictions.join(F.broadcast(thresholds), groups).where("score >= threshold")  # a row a group
@@ -90,21 +138,19 @@ def threshold_grid(scores: DataFrame, prob_cuts: list[float], rank_cuts: list[in
     return rows.groupBy("prob_cut", "rank_cut").agg(F.count("*").alias("kept"), F.count(F.when(F.col("label") > 0, 1)).alias("right"))
 
 
-def shuffle_labels(ids: DataFrame, key: str, seed: int = 0, parts: int = 64) -> DataFrame:
-    """key, other: a seeded permutation inside hash blocks: each id takes the next in the block's random order."""
-    draw = F.xxhash64(F.lit(seed), key)
-    w = Window.partitionBy("block").orderBy("draw", key)
-    rows = ids.select(key).distinct().withColumn("draw", draw).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), key), F.lit(parts)))
-    first = F.first(key).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rows.select(key, F.coalesce(F.lead(key).over(w), first).alias("other"))
+def shuffle_labels(ids: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """key, other: a seeded permutation of all distinct ids (numbers): each takes the id whose draw has its own rank."""
+    rows = ids.select(key).distinct()
+    drawn = ranked(rows.withColumn("draw__", draw(seed, key)), "draw__", key)
+    return ranked(rows, key).join(drawn.select(F.col(key).alias("other"), "idx"), "idx").select(key, "other")
 
 
 def stratified_like(reference: DataFrame, pool: DataFrame, group: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """Rows of the pool, int(n * share) of each group by the reference's shares, in seeded order."""
     total = reference.agg(F.count("*").alias("total"))
-    share = reference.groupBy(group).agg(F.count("*").alias("k")).crossJoin(F.broadcast(total)).select(group, F.floor(n * F.col("k") / F.col("total")).alias("take"))  # one row
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return pool.join(share, group).withColumn("rn", F.row_number().over(w)).where("rn <= take").drop("rn", "take")
+    share = reference.groupBy(group).agg(F.count("*").alias("k")).crossJoin(F.broadcast(total)).select(group, F.floor(n * F.col("k") / F.col("total")).alias("take__"))  # one row
+    w = Window.partitionBy(group).orderBy(draw(seed, key), key)
+    return pool.join(share, group).withColumn("row__no", F.row_number().over(w)).where("row__no <= take__").drop("row__no", "take__")
 
 
 def eval_sample(proteins: DataFrame, keep: list[DataFrame], drop: list[DataFrame], n: int, key: str = "protein", seed: int = 0) -> DataFrame:
@@ -114,7 +160,7 @@ def eval_sample(proteins: DataFrame, keep: list[DataFrame], drop: list[DataFrame
         out = out.join(k.select(key).distinct(), key, "left_semi")
     for d in drop:
         out = out.join(d.select(key).distinct(), key, "left_anti")
-    return out.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return out.orderBy(draw(seed, key), key).limit(n)
 
 
 def venn3(df: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame:

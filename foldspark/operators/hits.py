@@ -31,19 +31,19 @@ def filter_hsps_family(df: DataFrame, found: DataFrame, evalue: float = 1e-6, le
 def first_passing_hit(df: DataFrame, passing: DataFrame | None = None) -> DataFrame:
     """The first row by ``order`` of each query."""
     rows = df if passing is None else passing
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy("order"))).where("rn = 1").drop("rn")
+    return rows.withColumn("row__no", F.row_number().over(Window.partitionBy("query").orderBy("order"))).where("row__no = 1").drop("row__no")
 
 
 def best_hit_by(df: DataFrame) -> DataFrame:
     """Of each query the hit of greatest confidence, then bits, then least id; confidence 0 is left out."""
     w = Window.partitionBy("query").orderBy(F.col("confidence").desc(), F.col("bits").desc(), "hit")
-    return df.where("confidence > 0").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return df.where("confidence > 0").withColumn("row__no", F.row_number().over(w)).where("row__no = 1").drop("row__no")
 
 
 def prune_filter(records: DataFrame, ids: DataFrame) -> DataFrame:
     """Records whose id before the pipe is in ``ids`` (id)."""
     key = F.substring_index("header", "|", 1)
-    return records.withColumn("id", key).join(ids.select("id").distinct(), "id", "left_semi").drop("id")
+    return records.withColumn("prune__id", key).join(ids.select(F.col("id").alias("prune__id")).distinct(), "prune__id", "left_semi").drop("prune__id")
 
 
 def link_hits(hits: DataFrame, accessions: DataFrame, domains: DataFrame) -> DataFrame:
@@ -77,6 +77,18 @@ def superfamily_members(calls: DataFrame, symbols: DataFrame, confidence: float
     return rows.select("superfamily", "sequence_key", "method").distinct().join(symbols, "sequence_key", "left")
 
 
+def unique_tasks(proteins: DataFrame, experiments: list[int]) -> DataFrame:
+    """sequence_key: distinct sequences of the experiments' proteins (sequence_key, experiment)."""
+    return proteins.where(F.col("experiment").isin(experiments)).select("sequence_key").where("sequence_key is not null").distinct()
+
+
+def alignment_to_atom(columns: DataFrame, seqres: DataFrame, atoms: DataFrame) -> DataFrame:
+    """protein, col, residue, seqres, atom: alignment column to sequence residue, to residue of the structure's sequence,
+    to atom record. ``columns`` (protein, col, residue), ``seqres`` (protein, residue, structure, seqres), ``atoms``
+    (structure, seqres, atom); what a step doesn't map is dropped."""
+    return columns.join(seqres, ["protein", "residue"]).join(atoms, ["structure", "seqres"]).select("protein", "col", "residue", "structure", "seqres", "atom")
+
+
 def chain_mappings(*maps: DataFrame) -> DataFrame:
     """src, dst: index maps (src, dst) one after the other; keys without a match are dropped."""
     out = maps[0].select("src", "dst")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import TINY, UNIVERSAL
+from foldspark.sources.tables import settled
 
 
 def cluster_predictors(clusters: DataFrame, terms: DataFrame, classes: DataFrame, keep_without_terms: bool = False, removed: str = "remove") -> DataFrame:
@@ -26,28 +27,36 @@ def cluster_predictors(clusters: DataFrame, terms: DataFrame, classes: DataFrame
     return by_term.unionByName(by_class).distinct()
 
 
+#: Predictors of a cluster from which it is split into blocks of about this size.
+BLOCK = 1000
+
+
 def frequency(predictors: DataFrame) -> DataFrame:
     """acc, acc2, metric: clusters with acc (acc2 null), and with both, for every ordered pair and itself.
 
     Each unordered pair is counted once, with partial sums before the shuffle, and mirrored. The
-    universal predictor stands in every cluster; its pairs are the base counts and are not joined.
+    universal predictor stands in every cluster; its pairs are the base counts and are not joined. The
+    distinct predictors are written once; large clusters are split into blocks, each joined with the whole.
     """
-    rows = predictors.select("cluster_id", "predictor").distinct()
+    rows = settled(predictors.select("cluster_id", "predictor").distinct())
     plain = rows.where(F.col("predictor") != UNIVERSAL)
-    a, b = plain.withColumnRenamed("predictor", "acc"), plain.withColumnRenamed("predictor", "acc2")
-    pairs = a.join(b, "cluster_id").where("acc <= acc2").groupBy("acc", "acc2").agg(F.count("*").alias("metric"))
-    base = rows.groupBy(F.col("predictor").alias("acc")).agg(F.count("*").alias("metric"))
-    whole = F.lit(UNIVERSAL)
+    sizes = plain.groupBy("cluster_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    sized = plain.join(sizes, "cluster_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    a = sized.select("cluster_id", F.col("predictor").alias("acc"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    b = sized.select("cluster_id", F.col("predictor").alias("acc2"), F.pmod(F.xxhash64("predictor"), F.col("blocks")).cast("int").alias("block"))
+    pairs = a.join(b, ["cluster_id", "block"]).where("acc <= acc2").groupBy("acc", "acc2").agg(F.count("*").alias("metric"))
+    both = F.when(F.col("acc") == F.col("acc2"), F.array(F.struct("acc", "acc2"))).otherwise(F.array(F.struct("acc", "acc2"), F.struct(F.col("acc2").alias("acc"), F.col("acc").alias("acc2"))))
     # What stands with the universal predictor: everything, in clusters that have it.
-    has = rows.where(F.col("predictor") == UNIVERSAL).select("cluster_id")
-    with_all = rows.join(has, "cluster_id", "left_semi").groupBy("predictor").agg(F.count("*").alias("metric"))
-    return (
-        base.select("acc", F.lit(None).cast("string").alias("acc2"), "metric")
-        .unionByName(pairs)
-        .unionByName(pairs.where("acc <> acc2").select(F.col("acc2").alias("acc"), F.col("acc").alias("acc2"), "metric"))
-        .unionByName(with_all.select(whole.alias("acc"), F.col("predictor").alias("acc2"), "metric"))
-        .unionByName(with_all.where(F.col("predictor") != UNIVERSAL).select(F.col("predictor").alias("acc"), whole.alias("acc2"), "metric"))
+    has = rows.where(F.col("predictor") == UNIVERSAL).select("cluster_id", F.lit(1).alias("has"))
+    base = settled(rows.join(has, "cluster_id", "left").groupBy("predictor").agg(F.count("*").alias("metric"), F.count("has").alias("with_all")))
+    whole, p = F.lit(UNIVERSAL), F.col("predictor")
+    named = F.array(
+        F.struct(p.alias("acc"), F.lit(None).cast("string").alias("acc2"), F.col("metric").alias("n")),
+        F.struct(whole.alias("acc"), p.alias("acc2"), F.col("with_all").alias("n")),
+        F.struct(p.alias("acc"), whole.alias("acc2"), F.when(p != UNIVERSAL, F.col("with_all")).otherwise(0).alias("n")),
     )
+    own = base.select(F.explode(named).alias("x")).select("x.acc", "x.acc2", F.col("x.n").alias("metric")).where("acc2 is null or metric > 0")
+    return own.unionByName(pairs.select(F.explode(both).alias("x"), "metric").select("x.acc", "x.acc2", "metric"))
 
 
 def with_base(metric: DataFrame) -> DataFrame:
@@ -132,7 +141,7 @@ def featured_term(entities: DataFrame, functions: DataFrame, mi: DataFrame) -> D
     m = m.join(functions, "func", "left_semi")
     stored = entities.join(m, "term").groupBy("entity", "func").agg(F.max(F.struct("metric", "term")).alias("best"), F.collect_set("term").alias("known"))
     own = entities.groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    every = own.crossJoin(F.broadcast(functions))  # functions: a list that the caller bounds
+    every = own.crossJoin(functions)
     joined = every.join(stored, ["entity", "func"], "left")
     unknown = F.when(F.col("known").isNull(), F.array_max("terms")).otherwise(F.array_max(F.array_except("terms", "known")))
     zero = F.when(unknown.isNotNull(), F.struct(F.lit(0.0).alias("metric"), unknown.alias("term")))

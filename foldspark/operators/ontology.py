@@ -9,27 +9,29 @@ from foldspark.functions.scalar import UNIVERSAL
 from foldspark.sources.tables import settled
 
 
-def transitive_closure(edges: DataFrame, nodes: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
+def transitive_closure(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """ancestor, descendant, distance (least; a node itself at 0) of an acyclic (parent, child) table.
 
     The frontier is joined with the edges until it is empty; each round is written, so that lineage
-    stays short. Cycles end at ``max_depth``.
+    stays short. A cycle is an error.
     """
     edges = edges.select("parent", "child").where("parent is not null and child is not null").distinct()
     own = edges.select(F.col("parent").alias("n")).unionByName(edges.select(F.col("child").alias("n")))
     own = (own if nodes is None else own.unionByName(nodes.toDF("n"))).distinct()
     rounds = [own.select(F.col("n").alias("ancestor"), F.col("n").alias("descendant"), F.lit(0).alias("distance"))]
     frontier = settled(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")))
-    for d in range(1, max_depth + 1):
-        if frontier.isEmpty():
-            break
+    d = 0
+    while not frontier.isEmpty():
+        d += 1
+        if not frontier.where("ancestor = descendant").isEmpty():
+            raise ValueError("the graph has a cycle")
         rounds.append(frontier.withColumn("distance", F.lit(d)))
         step = frontier.join(edges, frontier["descendant"] == edges["parent"]).select("ancestor", F.col("child").alias("descendant"))
         frontier = settled(step.distinct())
     out = rounds[0]
     for r in rounds[1:]:
         out = out.unionByName(r)
-    return out.groupBy("ancestor", "descendant").agg(F.min("distance").alias("distance"))
+    return settled(out.groupBy("ancestor", "descendant").agg(F.min("distance").alias("distance")))  # a table of its own, used several times
 
 
 def ancestor_terms(annotations: DataFrame, terms: DataFrame, closure: DataFrame, types: list[str] | None = None, codes: list[str] | None = None) -> DataFrame:
@@ -84,6 +86,15 @@ def induced_dag(terms: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(t.withColumnRenamed("acc", "parent"), "parent", "left_semi").join(t.withColumnRenamed("acc", "child"), "child", "left_semi").select("parent", "child").distinct()
 
 
+def parent_matrix(edges: DataFrame, index: DataFrame) -> DataFrame:
+    """row, column, value: sparse 1 where the term of index ``row`` is a parent of the term of index ``column``.
+
+    ``index`` (acc, idx); edges with an end outside the index give none.
+    """
+    up = edges.select("parent", "child").distinct().join(index.select(F.col("acc").alias("parent"), F.col("idx").alias("row")), "parent")
+    return up.join(index.select(F.col("acc").alias("child"), F.col("idx").alias("column")), "child").select("row", "column", F.lit(1).alias("value"))
+
+
 def common_parent_pairs(edges: DataFrame) -> DataFrame:
     """a, b, shared: children a < b of a common parent, and how many they share."""
     x, y = edges.alias("x"), edges.alias("y")
@@ -95,19 +106,22 @@ def annotation_matrix(entity_terms: DataFrame, index: DataFrame) -> DataFrame:
     return entity_terms.distinct().join(index, "acc").select("entity", F.col("idx").alias("column"), F.lit(1).alias("value"))
 
 
-def climb(nodes: DataFrame, parent_of: DataFrame, stops: list[int], max_depth: int = 64) -> DataFrame:
+def climb(nodes: DataFrame, parent_of: DataFrame, stops: list[int]) -> DataFrame:
     """node, stop: the first of ``stops`` on the way up from a node; null if there is none.
 
-    ``parent_of`` (node, parent). Each round only carries the nodes that have not arrived.
+    ``parent_of`` (node, parent). Each round only carries the nodes that have not arrived. A cycle above a
+    node is an error: each node is compared with where it stood at the last round that was a power of two.
     """
-    going = settled(nodes.select("node", F.col("node").alias("at")).distinct())
-    done = []
-    for _ in range(max_depth):
+    going = settled(nodes.select("node", F.col("node").alias("at"), F.lit(None).cast(nodes.schema["node"].dataType).alias("mark")).distinct())
+    done, turn = [], 0
+    while not done or not going.isEmpty():
+        turn += 1
         done.append(going.where(F.col("at").isin(stops)).select("node", F.col("at").alias("stop")))
         step = going.where(~F.col("at").isin(stops)).join(parent_of.select(F.col("node").alias("at"), "parent"), "at").where("parent is not null and parent <> at")
-        going = settled(step.select("node", F.col("parent").alias("at")))
-        if going.isEmpty():
-            break
+        mark = F.col("at") if turn & (turn - 1) == 0 else F.col("mark")
+        going = settled(step.select("node", F.col("parent").alias("at"), mark.alias("mark")))
+        if not going.where("at = mark").isEmpty():
+            raise ValueError("the parents have a cycle")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -59,7 +59,7 @@ def predict_functions(domains: DataFrame, structures: DataFrame, process: DataFr
     # sum p * lr = MISSING * sum p + sum p * (lr - MISSING) over the stored pairs.
     mass = structures.groupBy("domain", "set_id").agg(F.sum("p").alias("mass"))
     stored = structures.join(pair, F.col("sccs") == F.col("given")).groupBy("domain", "set_id", "func").agg(F.sum(F.col("p") * (F.col("metric") - MISSING)).alias("extra"))
-    rows = domains.join(mass, "domain").crossJoin(F.broadcast(base))  # functions: a list that the caller bounds
+    rows = domains.join(mass, "domain").crossJoin(base)
     rows = rows.join(stored, ["domain", "set_id", "func"], "left").join(by_parent(process, "p"), ["parent", "func"], "left").join(by_parent(localisation, "l"), ["parent", "func"], "left")
     p, loc, f = F.coalesce("p_part", F.lit(0.0)), F.coalesce("l_part", F.lit(0.0)), F.col("base_llr")
     s = F.col("mass") * MISSING + F.coalesce("extra", F.lit(0.0))
@@ -71,7 +71,7 @@ def predict_functions(domains: DataFrame, structures: DataFrame, process: DataFr
 def best_per_function(predictions: DataFrame) -> DataFrame:
     """Of each (domain, func) the row of highest pls_llr; ties to the least set_id."""
     w = Window.partitionBy("domain", "func").orderBy(F.col("pls_llr").desc(), "set_id")
-    return predictions.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return predictions.withColumn("row__no", F.row_number().over(w)).where("row__no = 1").drop("row__no")
 
 
 def filter_predictions(predictions: DataFrame, least: dict[str, float] | None = None, most_base: float = 99.0) -> DataFrame:

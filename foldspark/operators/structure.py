@@ -50,7 +50,7 @@ def domain_structures(domains: DataFrame, hits: DataFrame) -> DataFrame:
 def best_call_per_domain(calls: DataFrame) -> DataFrame:
     """The call of greatest size, then confidence, then least code."""
     w = Window.partitionBy("domain").orderBy(F.col("size").desc(), F.col("confidence").desc(), "sccs")
-    return calls.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return calls.withColumn("row__no", F.row_number().over(w)).where("row__no = 1").drop("row__no")
 
 
 def mcm_calls(calls: DataFrame, folds: DataFrame, least: float = 0.75) -> DataFrame:
@@ -58,8 +58,8 @@ def mcm_calls(calls: DataFrame, folds: DataFrame, least: float = 0.75) -> DataFr
 
     ``folds`` (key, parent, folded, start, stop); of several the least folded part counts.
     """
-    f = folds.withColumn("cover", fold_coverage("parent", "folded", "start", "stop")["fold_share"]).groupBy("key").agg(F.min_by("cover", "folded").alias("cover"))
-    return calls.join(f, "key", "left").where(F.coalesce("cover", F.lit(1.0)) > least).drop("cover")
+    f = folds.withColumn("cover__", fold_coverage("parent", "folded", "start", "stop")["fold_share"]).groupBy("key").agg(F.min_by("cover__", "folded").alias("cover__"))
+    return calls.join(f, "key", "left").where(F.coalesce("cover__", F.lit(1.0)) > least).drop("cover__")
 
 
 def canonical(pairs: DataFrame, score: str = "zscore") -> DataFrame:
@@ -89,7 +89,7 @@ def protein_structure_set(known: DataFrame, decoys: DataFrame, most: int = 5) ->
     ``known`` (protein, structure), ``decoys`` (protein, domain, structure, probability).
     """
     w = Window.partitionBy("protein", "domain").orderBy(F.col("probability").desc(), "structure")
-    top = decoys.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+    top = decoys.withColumn("row__no", F.row_number().over(w)).where(F.col("row__no") <= most)
     one = known.select("protein", F.concat(F.lit("k"), F.col("structure")).alias("elem"), "structure").distinct()
     return one.unionByName(top.select("protein", F.concat(F.lit("d"), F.col("domain")).alias("elem"), "structure"))
 
@@ -123,19 +123,43 @@ def homolog_all_vs_all(elements: DataFrame, scores: DataFrame, keep: int = 100)
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
 
 
-def score_index(df: DataFrame, key: str = "structure") -> DataFrame:
-    """key, idx: distinct keys in order, from 0: ranks inside ranges plus the sizes of those before."""
-    spark = df.sparkSession
-    rows = df.select(key).distinct()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def ranked(rows: DataFrame, key: str, *ties: str) -> DataFrame:
+    """The rows with idx, from 0, in order of a numeric key and then the ties: ranks inside ranges of the key plus
+    the sizes of the ranges before."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(rows.stat.approxQuantile(key, [i / n for i in range(1, n)], 0.01))) if n > 1 else []
     part = F.lit(0)
     for cut in cuts:
         part = part + (F.col(key) >= cut).cast("int")
-    dealt = rows.withColumn("part", part)
-    before = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    w = Window.partitionBy("part").orderBy(key)
-    return dealt.join(F.broadcast(before), "part").select(key, (F.col("base") + F.row_number().over(w) - 1).alias("idx"))  # a row a range
+    dealt = rows.withColumn("part__", part)
+    before = dealt.groupBy("part__").agg(F.count("*").alias("n__")).select("part__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base__"))
+    w = Window.partitionBy("part__").orderBy(key, *ties)
+    return dealt.join(F.broadcast(before), "part__").withColumn("idx", F.col("base__") + F.row_number().over(w) - 1).drop("part__", "base__")  # a row a range
+
+
+def score_index(df: DataFrame, key: str = "structure") -> DataFrame:
+    """key, idx: distinct keys in order, from 0."""
+    return ranked(df.select(key).distinct(), key)
+
+
+def similarity_matrix(elements: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(matrix: row < column, similarity; keys: protein, idx): the upper triangle as sparse triples, all else is 0.
+
+    ``elements`` (protein, elem, structure) as for ``pairwise_max_avg``; indexes are in order of the proteins.
+    """
+    keys = score_index(elements, "protein")
+    pairs = pairwise_max_avg(elements, scores)
+    at = [keys.select(F.col("protein").alias(k), F.col("idx").alias(f"i__{k}")) for k in ("p", "q")]
+    found = pairs.join(at[0], "p").join(at[1], "q")
+    return found.select(F.least("i__p", "i__q").alias("row"), F.greatest("i__p", "i__q").alias("column"), "similarity"), keys
+
+
+def dense_rows(matrix: DataFrame, keys: DataFrame) -> DataFrame:
+    """idx, values: a full row of numbers for each index, for text output of small matrices."""
+    n = keys.agg(F.count("*")).first()[0]
+    own = matrix.groupBy(F.col("row").alias("idx")).agg(F.map_from_entries(F.collect_list(F.struct("column", "similarity"))).alias("held"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    return keys.select("idx").join(own, "idx", "left").select("idx", F.transform(every, lambda c: F.coalesce(F.try_element_at("held", c), F.lit(0.0))).alias("values"))
 
 
 def group_matrix(members: DataFrame, scores: DataFrame) -> DataFrame:

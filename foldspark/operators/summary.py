@@ -108,7 +108,7 @@ def top_per_cluster(calls: DataFrame, truth: DataFrame, since=None, least: float
 def top_n(df: DataFrame, group: str | list[str], n: int | Column, *order) -> DataFrame:
     """The first ``n`` rows of each group by the order."""
     group = [group] if isinstance(group, str) else group
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rn") <= n).drop("rn")
+    return df.withColumn("row__no", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("row__no") <= n).drop("row__no")
 
 
 def decoy_filter(decoys: DataFrame, by_score: int = 15_000, by_radius: int = 10_000) -> DataFrame:
@@ -119,14 +119,14 @@ def decoy_filter(decoys: DataFrame, by_score: int = 15_000, by_radius: int = 10_
 def pare_top_percent(decoys: DataFrame, percent: float = 25) -> DataFrame:
     """The int(n * percent / 100) lowest scores of each file."""
     w = Window.partitionBy("file")
-    rows = decoys.withColumn("n", F.count("*").over(w)).withColumn("rn", F.row_number().over(w.orderBy("score", "decoy")))
-    return rows.where(F.col("rn") <= F.floor(F.col("n") * percent / 100)).drop("n", "rn")
+    rows = decoys.withColumn("rows__", F.count("*").over(w)).withColumn("row__no", F.row_number().over(w.orderBy("score", "decoy")))
+    return rows.where(F.col("row__no") <= F.floor(F.col("rows__") * percent / 100)).drop("rows__", "row__no")
 
 
 def at_extreme(df: DataFrame, group: str, col: str, greatest: bool = True) -> DataFrame:
     """Rows at the greatest (least) value of each group, ties kept: latest or oldest versions."""
     order = F.col(col).desc() if greatest else F.col(col).asc()
-    return df.withColumn("rk", F.rank().over(Window.partitionBy(group).orderBy(order))).where("rk = 1").drop("rk")
+    return df.withColumn("rank__", F.rank().over(Window.partitionBy(group).orderBy(order))).where("rank__ = 1").drop("rank__")
 
 
 def structure_coverage(domains: DataFrame, overlaps: DataFrame) -> DataFrame:

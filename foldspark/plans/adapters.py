@@ -60,8 +60,14 @@ class Tables:
 
     @cached_property
     def elements(self) -> DataFrame:
-        """protein, elem, structure: parts of an order, two lines in one element."""
-        return self.read("lineitem").where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("protein"), F.floor(F.col("l_linenumber") / 2).cast("int").alias("elem"), F.col("l_partkey").alias("structure")).distinct()
+        """protein, elem, structure: parts of an order by line number, two lines in one element."""
+        return self.read("lineitem").select(F.col("l_orderkey").alias("protein"), F.floor(F.col("l_linenumber") / 2).cast("int").alias("elem"), (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("structure")).distinct()
+
+    @cached_property
+    def element_pairs(self) -> DataFrame:
+        """a, b, zscore: symmetric pairs of the structures of ``elements``, stored with the lesser first."""
+        rows = self.read("lineitem").select((F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("x"), (F.col("l_suppkey") * 24 + F.col("l_linenumber")).alias("y"), F.col("l_quantity").alias("zscore")).where("x <> y")
+        return rows.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("zscore").alias("zscore"))
 
     @cached_property
     def regions(self) -> DataFrame:
@@ -91,7 +97,8 @@ CTES = {
     "annotations": "SELECT o_custkey AS sequence_key, l_partkey AS acc, substr(o_orderpriority, 1, 1) AS evidence_code, o_orderdate AS day FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "scored": "SELECT l_suppkey AS entity, l_partkey AS acc, round(l_extendedprice / 1000) AS score, CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END AS label, l_orderkey AS domain, l_linestatus AS grp, l_discount AS base FROM lineitem",
     "pairs": "SELECT least(l_partkey, l_suppkey * 3) AS a, greatest(l_partkey, l_suppkey * 3) AS b, max(l_quantity) AS zscore FROM lineitem WHERE l_partkey <> l_suppkey * 3 GROUP BY 1, 2",
-    "elements": "SELECT DISTINCT l_orderkey AS protein, (l_linenumber // 2)::INT AS elem, l_partkey AS structure FROM lineitem WHERE l_orderkey % 20 = 0",
+    "elements": "SELECT DISTINCT l_orderkey AS protein, (l_linenumber // 2)::INT AS elem, l_partkey * 8 + l_linenumber AS structure FROM lineitem",
+    "element_pairs": "SELECT least(l_partkey * 8 + l_linenumber, l_suppkey * 24 + l_linenumber) AS a, greatest(l_partkey * 8 + l_linenumber, l_suppkey * 24 + l_linenumber) AS b, max(l_quantity) AS zscore FROM lineitem WHERE l_partkey * 8 <> l_suppkey * 24 GROUP BY 1, 2",
     "regions": "SELECT DISTINCT l_orderkey AS domain, l_partkey AS pdb, l_returnflag AS chain, l_linenumber * 10 AS start, (l_linenumber * 10 + l_quantity)::INT AS stop FROM lineitem",
     "clusters": "SELECT DISTINCT o_custkey AS cluster, code AS sccs, round(o_totalprice / 600000, 6) AS probability, o_orderdate AS day, l_suppkey AS supplier FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN parts ON l_partkey = partkey",
     "calls": "SELECT s_nationkey AS experiment, (['psiblast', 'fold_recognition', 'pfam', 'msa', 'unassigned'])[(l_partkey % 5)::INT + 1] AS method, l_linenumber AS size, l_orderkey AS protein, l_discount AS confidence, l_partkey AS partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
@@ -99,6 +106,11 @@ CTES = {
 NEEDS = {"predictors": ["parts"], "clusters": ["parts"]}
 
 
+def draw_sql(seed: int, *cols: str) -> str:
+    """The number of ``functions.scalar.draw`` as DuckDB SQL."""
+    return f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(f'{c}::VARCHAR' for c in cols)})), 1, 13))::BIGINT"
+
+
 def with_ctes(sql: str, extra: dict[str, str] | None = None) -> str:
     """``sql`` after the CTEs that it names; ``extra`` CTEs come after the adapters'."""
     extra = extra or {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldspark.operators import evaluate
+from foldspark.plans.adapters import draw_sql
 from foldspark.plans.queries import query
 
 CURVE = {
@@ -72,17 +73,17 @@ def threshold_grid(t):
     return evaluate.threshold_grid(rows, [0.1, 0.3], [2, 7])
 
 
-@query()
+@query(f"SELECT a.c_custkey, b.c_custkey AS other FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) a JOIN (SELECT c_custkey, row_number() OVER (ORDER BY {draw_sql(3, 'c_custkey')}, c_custkey) AS r FROM customer) b USING (r)")
 def shuffle_labels(t):
     return evaluate.shuffle_labels(t.read("customer"), "c_custkey", 3)
 
 
-@query()
+@query(f"SELECT partkey, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY {draw_sql(5, 'partkey')}, partkey) AS r FROM parts) JOIN (SELECT kind, floor(300 * count(*) / (SELECT count(*) FROM parts WHERE size > 20)) AS take FROM parts WHERE size > 20 GROUP BY 1) USING (kind) WHERE r <= take")
 def stratified_like(t):
     return evaluate.stratified_like(t.parts.where("size > 20"), t.parts, "kind", "partkey", 300, 5).select("partkey", "kind")
 
 
-@query()
+@query(f"SELECT protein FROM (SELECT DISTINCT protein FROM calls WHERE method = 'psiblast') WHERE protein NOT IN (SELECT protein FROM calls WHERE experiment = 3) ORDER BY {draw_sql(0, 'protein')}, protein LIMIT 200")
 def eval_sample(t):
     return evaluate.eval_sample(t.calls, [t.calls.where("method = 'psiblast'")], [t.calls.where("experiment = 3")], 200)
 
@@ -122,3 +123,40 @@ def specificity_bins(t):
 )
 def score_histogram(t):
     return evaluate.histogram(t.scored, "score", [0.0, 20.0, 50.0, 90.0], {"n": F.count("*"), "correct": F.count(F.when(F.col("label") > 0, 1)), "domains": F.countDistinct("domain")})
+
+
+MODEL = {
+    "banded": "SELECT *, CASE WHEN base <= 0.02 THEN 1 WHEN base <= 0.05 THEN 2 ELSE 3 END AS band FROM scored",
+    "mcurve": "SELECT grp, band, score, sum(n) OVER w AS n, sum(hits) OVER w AS hits FROM (SELECT grp, band, score, count(*) AS n, count(*) FILTER (label > 0) AS hits FROM banded GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY grp, band ORDER BY score DESC)",
+    "scurve": "SELECT entity, kind, s, sum(n) OVER w AS n, sum(hits) OVER w AS hits, sum(hits) OVER (PARTITION BY entity, kind) AS ah FROM (SELECT entity, kind, s, count(*) AS n, count(*) FILTER (label > 0) AS hits FROM (SELECT entity, 'score' AS kind, score AS s, label FROM scored UNION ALL SELECT entity, 'base', base, label FROM scored) GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY entity, kind ORDER BY s DESC)",
+}
+
+
+@query("SELECT grp, band, coalesce(min(score) FILTER (hits / n >= 0.25 AND n > 99), 100.0) AS threshold FROM mcurve GROUP BY 1, 2", MODEL)
+def genome_model(t):
+    b = F.col("base")
+    return evaluate.genome_model(t.scored.withColumn("band", F.when(b <= 0.02, 1).when(b <= 0.05, 2).otherwise(3)), 0.25, ["grp", "band"])
+
+
+@query("SELECT entity AS superfamily, kind, round(coalesce(max(hits / ah) FILTER (hits / n >= 0.3), 0), 8) AS recall FROM scurve GROUP BY 1, 2", MODEL)
+def superfamily_recall(t):
+    rows = t.scored.select(F.col("entity").alias("superfamily"), "label", "score", "base")
+    return evaluate.superfamily_recall(rows, ["score", "base"], 0.3).withColumn("recall", F.round("recall", 8))
+
+
+@query(
+    "SELECT bin, low, high, count(*) AS annotations, count(*) FILTER (label > 0) AS correct_annotations, count(DISTINCT domain) AS domains, count(DISTINCT domain) FILTER (label > 0) AS correct_domains, count(DISTINCT entity) AS proteins, count(DISTINCT entity) FILTER (label > 0) AS correct_proteins FROM scored JOIN (VALUES (0, 0.0::DOUBLE, 30.0::DOUBLE), (1, 30.0, 60.0), (2, 60.0, 200.0)) b(bin, low, high) ON score >= low AND (score < high OR (score = 200 AND high = 200)) GROUP BY 1, 2, 3"
+)
+def llr_histogram(t):
+    return evaluate.llr_histogram(t.scored.withColumn("protein", F.col("entity")), [0.0, 30.0, 60.0, 200.0], "score")
+
+
+@query("SELECT *, round(correct_high / correct, 8) AS share, round(exp(lgamma(high + 1) - lgamma(correct_high + 1) - lgamma(high - correct_high + 1) + lgamma(calls - high + 1) - lgamma(correct - correct_high + 1) - lgamma(calls - high - correct + correct_high + 1) - lgamma(calls + 1) + lgamma(correct + 1) + lgamma(calls - correct + 1)), 8) AS p FROM (SELECT count(*) FILTER (label > 0) AS correct, count(*) FILTER (score >= 90) AS high, count(*) FILTER (score >= 90 AND label > 0) AS correct_high, count(*) AS calls FROM scored)")
+def identity_enrichment(t):
+    rows = t.scored.select(F.col("score").alias("identity"), (F.col("label") > 0).alias("correct"))
+    return evaluate.identity_enrichment(rows, 90.0).withColumns({c: F.round(c, 8) for c in ("share", "p")})
+
+
+@query("SELECT sequence_key FROM annotations JOIN parts ON partkey = acc WHERE evidence_code IN ('1', '2') AND brand IN ('Brand#1', 'Brand#2') GROUP BY 1 HAVING count(DISTINCT brand) = 2")
+def benchmark_sequences(t):
+    return evaluate.benchmark_sequences(t.annotations, t.parts.select(F.col("partkey").alias("acc"), F.col("brand").alias("term_type")), ["Brand#1", "Brand#2"], ["1", "2"])

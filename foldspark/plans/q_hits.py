@@ -158,10 +158,10 @@ def overlap_ratio(t):
     return t.regions.select("domain", "pdb", "chain", "start", F.round(scalar.overlap_ratio("start", "stop", F.lit(25), F.lit(60)), 8).alias("ratio"))
 
 
-@query("SELECT doc_id, CASE WHEN a > 0 THEN a END AS start, CASE WHEN a > 0 THEN a + 20 END AS stop, CASE WHEN a > 0 THEN round(greatest(0, least(a + 20, 60) - greatest(a, 10)) / 20, 8) END AS fold_share FROM (SELECT doc_id, strpos(text, substr(text, 16, 20)) AS a FROM documents WHERE len(text) >= 35)")
+@query("SELECT doc_id, CASE WHEN a > 0 THEN a END AS start, CASE WHEN a > 0 THEN a + k END AS stop, CASE WHEN a > 0 THEN round(greatest(0, least(a + k, 60) - greatest(a, 10)) / k, 8) END AS fold_share FROM (SELECT doc_id, len(text) // 2 + 1 AS k, strpos(text, substr(text, len(text) // 4 + 1, len(text) // 2 + 1)) AS a FROM documents WHERE text <> '')")
 def fold_coverage(t):
-    f = scalar.fold_coverage("text", F.substring("text", 16, 20), F.lit(10), F.lit(60))
-    return t.read("documents").where("length(text) >= 35").select("doc_id", f.alias("f")).select("doc_id", "f.start", "f.stop", F.round("f.fold_share", 8).alias("fold_share"))
+    f = scalar.fold_coverage("text", F.expr("substring(text, length(text) div 4 + 1, length(text) div 2 + 1)"), F.lit(10), F.lit(60))
+    return t.read("documents").where("text <> ''").select("doc_id", f.alias("f")).select("doc_id", "f.start", "f.stop", F.round("f.fold_share", 8).alias("fold_share"))
 
 
 @query("SELECT partkey, round(exp(lgamma(31) - lgamma(x + 1) - lgamma(31 - x) + lgamma(71) - lgamma(20 - x + 1) - lgamma(70 - 20 + x + 1) - lgamma(101) + lgamma(21) + lgamma(81)), 8) AS p FROM (SELECT partkey, size % 20 AS x FROM parts)")
@@ -195,3 +195,19 @@ def pending_work(t):
 def snapshot_subset(t):
     got = tables.snapshot_subset({"orders": t.read("orders"), "lineitem": t.read("lineitem")}, [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey")], {"customer": t.read("customer").where("c_nationkey = 4")})
     return got["lineitem"].select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT DISTINCT o_custkey AS sequence_key FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey IN (3, 4)")
+def unique_tasks(t):
+    rows = t.read("orders").join(t.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return hits.unique_tasks(rows.select(F.col("o_custkey").alias("sequence_key"), F.col("c_nationkey").alias("experiment")), [3, 4])
+
+
+@query("SELECT l_orderkey AS protein, l_linenumber AS col, l_linenumber + 1 AS residue, l_partkey AS structure, size AS seqres, size * 2 AS atom FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) JOIN parts ON partkey = l_partkey WHERE size % 2 = 0")
+def alignment_to_atom(t):
+    li = t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    residue = (F.col("l_linenumber") + 1).alias("residue")
+    cols = li.select(F.col("l_orderkey").alias("protein"), F.col("l_linenumber").alias("col"), residue).distinct()
+    seqres = li.join(t.parts, F.col("l_partkey") == F.col("partkey")).select(F.col("l_orderkey").alias("protein"), residue, F.col("partkey").alias("structure"), F.col("size").alias("seqres"))
+    atoms = t.parts.where("size % 2 = 0").select(F.col("partkey").alias("structure"), F.col("size").alias("seqres"), (F.col("size") * 2).alias("atom"))
+    return hits.alignment_to_atom(cols, seqres, atoms)

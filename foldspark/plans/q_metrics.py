@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.operators import enrich, metrics, predict
-from foldspark.plans.adapters import Tables
+from foldspark.plans.adapters import Tables, draw_sql
 from foldspark.plans.queries import query
 from foldspark.sources.tables import settled
 
@@ -88,7 +88,7 @@ def superfamily_profile(t):
 @query(
     """SELECT entity, func, term, round(mi, 6) AS mi FROM (
     SELECT e.cluster_id AS entity, f.func, e.predictor AS term, coalesce(m.metric, 0) AS mi, row_number() OVER (PARTITION BY e.cluster_id, f.func ORDER BY coalesce(m.metric, 0) DESC, e.predictor DESC) AS rn
-    FROM (SELECT * FROM predictors WHERE predictor LIKE 'Brand%' AND cluster_id % 10 <> 11) e, (SELECT DISTINCT kind AS func FROM parts) f LEFT JOIN mi m ON m.acc = f.func AND m.acc2 = e.predictor) WHERE rn = 1""",
+    FROM (SELECT * FROM predictors WHERE predictor LIKE 'Brand%') e, (SELECT DISTINCT kind AS func FROM parts) f LEFT JOIN mi m ON m.acc = f.func AND m.acc2 = e.predictor) WHERE rn = 1""",
     MI,
 )
 def featured_term(t):
@@ -165,7 +165,7 @@ def enrichment(t):
     return enrich.enrichment(*_features(t)).withColumns({"p": F.round("p", 6), "corrected": F.round("corrected", 5), "score": F.round("score", 6)})
 
 
-@query()
+@query(f"SELECT query, iteration FROM (SELECT *, row_number() OVER (PARTITION BY iteration ORDER BY {draw_sql(0, 'iteration', 'query')}, query) AS r FROM (SELECT o_orderkey AS query, unnest(range(5))::INT AS iteration FROM (SELECT DISTINCT o_orderkey FROM orders))) WHERE r <= 100")
 def background_resample(t):
     return enrich.background_resample(t.read("orders").select(F.col("o_orderkey").alias("query")), 100, 5)
 
@@ -191,15 +191,17 @@ PREDICT = MI | STRUCT | {
     "fn": "SELECT acc AS func, metric AS base_llr FROM lr WHERE acc2 IS NULL AND metric < 0 AND acc NOT LIKE 'Brand%'",
     "best_st": "SELECT domain, sccs, p FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY p DESC, sccs) AS r FROM st) WHERE r = 1",
     "dom": "SELECT DISTINCT o_orderkey AS domain, o_custkey AS parent FROM orders JOIN best_st ON domain = o_orderkey",
-    "pt": "SELECT DISTINCT o_custkey AS entity, kind AS term FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN parts ON partkey = l_partkey WHERE l_returnflag = 'R' AND l_quantity < 4",
+    "pt": "SELECT DISTINCT o_custkey AS entity, kind AS term FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN parts ON partkey = l_partkey WHERE l_returnflag = 'R'",
+    "lt": "SELECT DISTINCT o_custkey AS entity, brand AS term FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN parts ON partkey = l_partkey WHERE l_returnflag = 'A'",
+    "lf": "SELECT parent, func, term AS l_acc FROM (SELECT entity AS parent, func, term, row_number() OVER (PARTITION BY entity, func ORDER BY coalesce(m.metric, 0) DESC, term DESC) AS r FROM lt CROSS JOIN fn LEFT JOIN mi m ON m.acc = func AND m.acc2 = term) WHERE r = 1",
     "pf": "SELECT parent, func, term AS p_acc FROM (SELECT entity AS parent, func, term, row_number() OVER (PARTITION BY entity, func ORDER BY coalesce(m.metric, 0) DESC, term DESC) AS r FROM pt CROSS JOIN fn LEFT JOIN mi m ON m.acc = func AND m.acc2 = term) WHERE r = 1",
-    "raw": "SELECT d.domain, d.parent, func, base_llr, p_acc, CASE WHEN p_acc IS NULL THEN 0 ELSE coalesce(lp.metric, ln(1e-7)) END AS p, s.p * coalesce(ls.metric, ln(1e-7)) AS s FROM dom d JOIN best_st s USING (domain) CROSS JOIN fn LEFT JOIN pf USING (parent, func) LEFT JOIN lr lp ON lp.acc = func AND lp.acc2 = p_acc LEFT JOIN lr ls ON ls.acc = func AND ls.acc2 = s.sccs",
+    "raw": "SELECT d.domain, d.parent, func, base_llr, p_acc, CASE WHEN p_acc IS NULL THEN 0 ELSE coalesce(lp.metric, ln(1e-7)) END AS p, l_acc, CASE WHEN l_acc IS NULL THEN 0 ELSE coalesce(ll.metric, ln(1e-7)) END AS l, s.p * coalesce(ls.metric, ln(1e-7)) AS s FROM dom d JOIN best_st s USING (domain) CROSS JOIN fn LEFT JOIN pf USING (parent, func) LEFT JOIN lf USING (parent, func) LEFT JOIN lr lp ON lp.acc = func AND lp.acc2 = p_acc LEFT JOIN lr ll ON ll.acc = func AND ll.acc2 = l_acc LEFT JOIN lr ls ON ls.acc = func AND ls.acc2 = s.sccs",
 }
 
 
 @query(
-    """SELECT domain, parent, 1 AS set_id, func, round(base_llr + p, 4) AS p_llr, round(base_llr, 4) AS l_llr, round(base_llr + s, 4) AS s_llr, round(base_llr + p, 4) AS pl_llr, round(base_llr + p + s, 4) AS ps_llr,
-    round(base_llr + s, 4) AS ls_llr, round(base_llr + p + s, 4) AS pls_llr, round(base_llr, 4) AS base_llr, p_acc, NULL::VARCHAR AS l_acc FROM raw WHERE base_llr + p + s >= -12""",
+    """SELECT domain, parent, 1 AS set_id, func, round(base_llr + p, 4) AS p_llr, round(base_llr + l, 4) AS l_llr, round(base_llr + s, 4) AS s_llr, round(base_llr + p + l, 4) AS pl_llr, round(base_llr + p + s, 4) AS ps_llr,
+    round(base_llr + l + s, 4) AS ls_llr, round(base_llr + p + l + s, 4) AS pls_llr, round(base_llr, 4) AS base_llr, p_acc, l_acc FROM raw WHERE base_llr + p + l + s >= -12""",
     PREDICT,
 )
 def predict_functions(t):
@@ -208,9 +210,10 @@ def predict_functions(t):
     lr = lr.where("acc2 is not null or acc not like 'Brand%'")
     structures = predict.structure_sets(_structures(t), "best")
     domains = t.read("orders").select(F.col("o_orderkey").alias("domain"), F.col("o_custkey").alias("parent"))
-    rows = t.read("orders").join(t.read("lineitem").where("l_returnflag = 'R' and l_quantity < 4"), F.col("o_orderkey") == F.col("l_orderkey")).join(t.parts, F.col("l_partkey") == F.col("partkey"))
-    process = rows.select(F.col("o_custkey").alias("entity"), F.col("kind").alias("term")).distinct()
-    out = predict.predict_functions(domains, structures, process, process.where("false"), lr, mi)
+    rows = t.read("orders").join(t.read("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(t.parts, F.col("l_partkey") == F.col("partkey"))
+    process = rows.where("l_returnflag = 'R'").select(F.col("o_custkey").alias("entity"), F.col("kind").alias("term")).distinct()
+    localisation = rows.where("l_returnflag = 'A'").select(F.col("o_custkey").alias("entity"), F.col("brand").alias("term")).distinct()
+    out = predict.predict_functions(domains, structures, process, localisation, lr, mi)
     return rounded(out, *predict.SCORES, places=4)
 
 

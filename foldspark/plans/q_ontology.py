@@ -66,14 +66,19 @@ def induced_dag(t):
     return ontology.induced_dag(t.parts.where("size > 10").select(F.col("partkey").alias("acc")), t.edges)
 
 
+@query('SELECT parent + 3 AS row, child + 3 AS "column", 1 AS value FROM edges')
+def parent_matrix(t):
+    return ontology.parent_matrix(t.edges, t.parts.select(F.col("partkey").alias("acc"), (F.col("partkey") + 3).alias("idx")))
+
+
 @query("SELECT x.child AS a, y.child AS b, count(DISTINCT x.parent) AS shared FROM edges x JOIN edges y ON x.parent = y.parent AND x.child < y.child GROUP BY 1, 2")
 def common_parent_pairs(t):
     return ontology.common_parent_pairs(t.edges)
 
 
-@query("SELECT DISTINCT sequence_key AS entity, acc AS \"column\", 1 AS value FROM annotations WHERE acc < 100")
+@query("SELECT DISTINCT sequence_key AS entity, acc AS \"column\", 1 AS value FROM annotations")
 def annotation_matrix(t):
-    index = t.parts.where("partkey < 100").select(F.col("partkey").alias("acc"), F.col("partkey").alias("idx"))
+    index = t.parts.select(F.col("partkey").alias("acc"), F.col("partkey").alias("idx"))
     return ontology.annotation_matrix(t.annotations.select(F.col("sequence_key").alias("entity"), "acc"), index)
 
 

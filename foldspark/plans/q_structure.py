@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldspark.operators import columns, structure, summary
+from foldspark.plans.adapters import draw_sql
 from foldspark.plans.queries import query
 
-SCOP = {"scop": "SELECT l_suppkey * 1000 + l_linenumber AS scop, l_partkey AS pdb, l_returnflag AS chain, CASE WHEN l_linestatus = 'O' THEN l_linenumber * 10 - 3 END AS start, CASE WHEN l_linestatus = 'O' THEN l_linenumber * 10 + 12 END AS stop, 40 AS chain_len, code AS sccs FROM lineitem JOIN parts ON partkey = l_partkey WHERE l_quantity > 45"}
+SCOP = {"scop": "SELECT l_orderkey * 10 + l_linenumber AS scop, l_partkey AS pdb, l_returnflag AS chain, CASE WHEN l_linestatus = 'O' THEN l_linenumber * 10 - 3 END AS start, CASE WHEN l_linestatus = 'O' THEN l_linenumber * 10 + 12 END AS stop, 40 AS chain_len, code AS sccs FROM lineitem JOIN parts ON partkey = l_partkey"}
 
 
 def _scop(t):
-    rows = t.read("lineitem").where("l_quantity > 45").join(t.parts, F.col("l_partkey") == F.col("partkey"))
+    rows = t.read("lineitem").join(t.parts, F.col("l_partkey") == F.col("partkey"))
     own = F.col("l_linestatus") == "O"
-    return rows.select((F.col("l_suppkey") * 1000 + F.col("l_linenumber")).alias("scop"), F.col("partkey").alias("pdb"), F.col("l_returnflag").alias("chain"), F.when(own, F.col("l_linenumber") * 10 - 3).alias("start"), F.when(own, F.col("l_linenumber") * 10 + 12).alias("stop"), F.lit(40).alias("chain_len"), F.col("code").alias("sccs"))
+    return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("scop"), F.col("partkey").alias("pdb"), F.col("l_returnflag").alias("chain"), F.when(own, F.col("l_linenumber") * 10 - 3).alias("start"), F.when(own, F.col("l_linenumber") * 10 + 12).alias("stop"), F.lit(40).alias("chain_len"), F.col("code").alias("sccs"))
 
 
 @query(
@@ -69,7 +70,7 @@ def missing_pairs(t):
 
 
 DIRECTED = {
-    "both_ways": "SELECT a, b, zscore FROM pairs UNION ALL SELECT b, a, zscore FROM pairs WHERE a <> b",
+    "both_ways": "SELECT a, b, zscore FROM element_pairs UNION ALL SELECT b, a, zscore FROM element_pairs WHERE a <> b",
     "each": "SELECT x.protein AS p, y.protein AS q, x.elem, greatest(max(zscore), 0) AS best FROM both_ways s JOIN elements x ON x.structure = s.a JOIN elements y ON y.structure = s.b WHERE x.protein <> y.protein GROUP BY 1, 2, 3",
     "sizes": "SELECT protein, count(DISTINCT elem) AS n FROM elements GROUP BY 1",
     "sim": "SELECT p1 AS p, q1 AS q, round(total / (a.n + b.n), 8) AS similarity FROM (SELECT least(p, q) AS p1, greatest(p, q) AS q1, sum(best) AS total FROM each GROUP BY 1, 2) JOIN sizes a ON a.protein = p1 JOIN sizes b ON b.protein = q1",
@@ -78,7 +79,7 @@ DIRECTED = {
 
 @query("SELECT * FROM sim", DIRECTED)
 def pairwise_max_avg(t):
-    return structure.pairwise_max_avg(t.elements, t.pairs).withColumn("similarity", F.round("similarity", 8))
+    return structure.pairwise_max_avg(t.elements, t.element_pairs).withColumn("similarity", F.round("similarity", 8))
 
 
 @query(
@@ -86,7 +87,7 @@ def pairwise_max_avg(t):
     DIRECTED,
 )
 def homolog_all_vs_all(t):
-    return structure.homolog_all_vs_all(t.elements, t.pairs, 10).withColumn("similarity", F.round("similarity", 8))
+    return structure.homolog_all_vs_all(t.elements, t.element_pairs, 10).withColumn("similarity", F.round("similarity", 8))
 
 
 @query("SELECT DISTINCT protein, 'k' || structure AS elem, structure FROM elements UNION ALL SELECT o_custkey, 'd' || o_orderkey, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderkey ORDER BY q DESC, l_partkey) AS r FROM (SELECT o_custkey, o_orderkey, l_partkey, max(l_quantity) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)) WHERE r <= 5")
@@ -95,14 +96,19 @@ def protein_structure_set(t):
     return structure.protein_structure_set(t.elements.select("protein", "structure").distinct(), d)
 
 
+@query("SELECT least(x.idx, y.idx) AS row, greatest(x.idx, y.idx) AS \"column\", similarity FROM sim JOIN keyed x ON x.protein = p JOIN keyed y ON y.protein = q", DIRECTED | {"keyed": "SELECT protein, row_number() OVER (ORDER BY protein) - 1 AS idx FROM (SELECT DISTINCT protein FROM elements)"})
+def similarity_matrix(t):
+    return structure.similarity_matrix(t.elements, t.element_pairs)[0].withColumn("similarity", F.round("similarity", 8))
+
+
 @query("SELECT structure, row_number() OVER (ORDER BY structure) - 1 AS idx FROM (SELECT DISTINCT structure FROM elements)")
 def score_index(t):
     return structure.score_index(t.elements)
 
 
-@query("SELECT least(x.idx, y.idx) AS row, greatest(x.idx, y.idx) AS \"column\", zscore FROM pairs JOIN (SELECT partkey AS k, partkey + 5 AS idx FROM parts WHERE partkey % 3 = 0) x ON x.k = a JOIN (SELECT partkey AS k, partkey + 5 AS idx FROM parts WHERE partkey % 3 = 0) y ON y.k = b")
+@query("SELECT least(x.idx, y.idx) AS row, greatest(x.idx, y.idx) AS \"column\", zscore FROM pairs JOIN (SELECT partkey AS k, partkey + 5 AS idx FROM parts) x ON x.k = a JOIN (SELECT partkey AS k, partkey + 5 AS idx FROM parts) y ON y.k = b")
 def group_matrix(t):
-    return structure.group_matrix(t.parts.where("partkey % 3 = 0").select(F.col("partkey").alias("structure"), (F.col("partkey") + 5).alias("idx")), t.pairs)
+    return structure.group_matrix(t.parts.select(F.col("partkey").alias("structure"), (F.col("partkey") + 5).alias("idx")), t.pairs)
 
 
 @query("SELECT a.block AS block_a, b.block AS block_b FROM (SELECT DISTINCT right(lpad(partkey::VARCHAR, greatest(2, len(partkey::VARCHAR))::INT, '0'), 2) AS block FROM parts) a, (SELECT DISTINCT right(lpad(partkey::VARCHAR, greatest(2, len(partkey::VARCHAR))::INT, '0'), 2) AS block FROM parts) b WHERE a.block <= b.block")
@@ -299,11 +305,11 @@ def yield_cube(t):
 
 # Columns and sites.
 
-ALIGNED = {"al": "SELECT doc_id AS protein, replace(substr(text, 1, 60), ' ', '-') AS aligned FROM documents", "cols": "SELECT protein, pos AS col, ch AS letter, row_number() OVER (PARTITION BY protein ORDER BY pos)::INT AS residue FROM (SELECT protein, unnest(string_split(aligned, '')) AS ch, unnest(range(len(aligned)))::INT AS pos FROM al) WHERE ch NOT IN ('-', '')"}
+ALIGNED = {"al": "SELECT item_id AS protein, replace(text, ' ', '-') AS aligned FROM benchmark", "cols": "SELECT protein, pos AS col, ch AS letter, row_number() OVER (PARTITION BY protein ORDER BY pos)::INT AS residue FROM (SELECT protein, unnest(string_split(aligned, '')) AS ch, unnest(range(len(aligned)))::INT AS pos FROM al) WHERE ch NOT IN ('-', '')"}
 
 
 def _columns(t):
-    return columns.residue_columns(t.read("documents").select(F.col("doc_id").alias("protein"), F.replace(F.substring("text", 1, 60), F.lit(" "), F.lit("-")).alias("aligned")))
+    return columns.residue_columns(t.read("benchmark").select(F.col("item_id").alias("protein"), F.replace("text", F.lit(" "), F.lit("-")).alias("aligned")))
 
 
 @query("SELECT protein, residue, col, letter FROM cols", ALIGNED)
@@ -313,7 +319,7 @@ def residue_columns(t):
 
 @query("SELECT protein AS domain, residue - 4 AS residue, col FROM cols WHERE residue BETWEEN 5 AND 20", ALIGNED)
 def domain_residue_columns(t):
-    regions = t.read("documents").select(F.col("doc_id").alias("protein"), F.col("doc_id").alias("domain"), F.lit(5).alias("start"), F.lit(20).alias("stop"))
+    regions = t.read("benchmark").select(F.col("item_id").alias("protein"), F.col("item_id").alias("domain"), F.lit(5).alias("start"), F.lit(20).alias("stop"))
     return columns.domain_residue_columns(_columns(t), regions)
 
 
@@ -338,16 +344,27 @@ def _coords(t):
     return e.select(F.col("label").alias("structure"), F.col("vec_id").alias("residue"), *[F.get("embedding", F.lit(i)).cast("double").alias(k) for i, k in enumerate("xyz")])
 
 
-@query("SELECT a.structure, 0 AS set_id, round(avg(1 / sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))), 6) AS mean_inverse, count(*) AS pairs FROM xyz a JOIN xyz b ON a.structure = b.structure AND a.residue < b.residue WHERE a.residue % 9 = 0 AND b.residue % 9 = 0 GROUP BY 1", COORDS)
+@query("SELECT a.structure, 0 AS set_id, round(avg(1 / sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))), 6) AS mean_inverse, count(*) AS pairs FROM xyz a JOIN xyz b ON a.structure = b.structure AND a.residue < b.residue GROUP BY 1", COORDS)
 def inverse_distance(t):
     c = _coords(t)
-    return columns.inverse_distance(c, c.where("residue % 9 = 0").select("structure", F.lit(0).alias("set_id"), "residue")).withColumn("mean_inverse", F.round("mean_inverse", 6))
+    return columns.inverse_distance(c, c.select("structure", F.lit(0).alias("set_id"), "residue")).withColumn("mean_inverse", F.round("mean_inverse", 6))
 
 
-@query()
+INVERSE = "avg(1 / sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)))"
+SETS = COORDS | {
+    "site": "SELECT structure, residue FROM xyz WHERE x > 0.1 AND y > 0",
+    "size": "SELECT structure, count(*) AS k FROM site GROUP BY 1",
+    "sets": f"SELECT structure, 0 AS set_id, residue FROM site UNION ALL SELECT structure, set_id, residue FROM (SELECT *, row_number() OVER (PARTITION BY structure, set_id ORDER BY {draw_sql(1, 'structure', 'set_id', 'residue')}, residue) AS r FROM (SELECT structure, residue, k, unnest(range(1, 21)) AS set_id FROM xyz JOIN size USING (structure))) WHERE r <= k",
+    "placed": "SELECT * FROM sets JOIN xyz USING (structure, residue)",
+    "means": f"SELECT a.structure, a.set_id, {INVERSE} AS m FROM placed a JOIN placed b ON a.structure = b.structure AND a.set_id = b.set_id AND a.residue < b.residue GROUP BY 1, 2",
+}
+
+
+@query("SELECT t.structure, round(t.m, 6) AS target, round(avg((s.m <= t.m)::INT), 6) AS percentile FROM means t JOIN means s ON s.structure = t.structure AND s.set_id > 0 WHERE t.set_id = 0 GROUP BY t.structure, t.m", SETS)
 def site_clustering(t):
     c = _coords(t)
-    return columns.site_clustering(c, c.where("residue % 9 = 0").select("structure", "residue"), 20, 1)
+    out = columns.site_clustering(c, c.where("x > 0.1 and y > 0").select("structure", "residue"), 20, 1)
+    return out.withColumns({k: F.round(k, 6) for k in ("target", "percentile")})
 
 
 MATRIX = {"mat": "SELECT k.x AS known, l.x AS letter, CASE WHEN k.x = l.x THEN 4.0 ELSE 1.0 - abs(ascii(k.x) - ascii(l.x)) END::DOUBLE AS s FROM (SELECT unnest(['A', 'N', 'R']) AS x) k, (SELECT unnest(['F', 'O', 'A']) AS x) l", "sites": "SELECT l_suppkey AS structure, l_orderkey * 10 + l_linenumber AS residue, min(l_returnflag) AS known, min(CASE WHEN l_quantity < 5 THEN '-' ELSE l_linestatus END) AS letter FROM lineitem GROUP BY 1, 2"}

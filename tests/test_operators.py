@@ -27,15 +27,15 @@ def test_best_call(spark):
 
 
 def test_function_scores(spark):
-    lr = spark.createDataFrame([("MF", None, -1.0), ("MF", "P", 10.0), ("MF", "L", 10.0), ("MF", "A", 30.0), ("MF", "a.1.1", 10.0)], "acc string, acc2 string, metric double")
+    lr = spark.createDataFrame([("MF", None, 1.0), ("MF", "P", 10.0), ("MF", "L", 10.0), ("MF", "A", 30.0), ("MF", "a.1.1", 10.0)], "acc string, acc2 string, metric double")
     mi = spark.createDataFrame([("MF", "P", 10.0), ("MF", "L", 10.0), ("MF", "Z", 20.0), ("MF", "A", 30.0)], "acc string, acc2 string, metric double")
     domains = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4)], "domain int, parent int")
     sets = spark.createDataFrame([(1, 1, "a.1.1", 1.0), (2, 1, "a.1.1", 1.0), (3, 1, "a.1.1", 1.0), (4, 1, "b.1.1", 1.0)], "domain int, set_id int, sccs string, p double")
     proc = spark.createDataFrame([(1, "P"), (2, "P"), (3, "Z"), (3, "P"), (4, "Z"), (4, "P")], "entity int, term string")
     loc = spark.createDataFrame([(1, "L"), (4, "A"), (4, "L")], "entity int, term string")
-    got = {r["domain"]: r["pls_llr"] for r in predict.predict_functions(domains, sets, proc, loc, lr, mi, lower=-99).collect()}
+    got = {r["domain"]: r["pls_llr"] for r in predict.predict_functions(domains, sets, proc, loc, lr, mi, lower=-99, upper=99).collect()}
     d = math.log(1e-7)
-    assert got == pytest.approx({1: 29.0, 2: 19.0, 3: d + 10 - 1, 4: d + 30 + d - 1})
+    assert got == pytest.approx({1: 31.0, 2: 21.0, 3: d + 10 + 1, 4: d + 30 + d + 1})
 
 
 def test_closure_and_leaves(spark):
@@ -114,3 +114,72 @@ def test_scalar_columns(spark):
 def test_top_percent(spark):
     df = spark.createDataFrame([("f", i, float(i)) for i in range(10)], "file string, decoy int, score double")
     assert sorted(r["decoy"] for r in summary.pare_top_percent(df).collect()) == [0, 1]
+
+
+def test_cycles_are_errors(spark):
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "parent string, child string")
+    with pytest.raises(ValueError, match="cycle"):
+        ontology.transitive_closure(ring)
+    up = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 2)], "node int, parent int")
+    with pytest.raises(ValueError, match="cycle"):
+        ontology.climb(up.select("node"), up, [9])
+
+
+def test_deep_chains_are_followed_to_the_end(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(70)], "parent int, child int")
+    up = edges.select(F.col("child").alias("node"), "parent")
+    assert ontology.climb(spark.createDataFrame([(70,)], "node int"), up, [0]).first()["stop"] == 0
+
+
+def test_large_clusters_are_counted_in_blocks(spark, monkeypatch):
+    from collections import Counter
+
+    from foldspark.operators import metrics
+
+    monkeypatch.setattr(metrics, "BLOCK", 7)
+    rows = [(1, f"p{i}") for i in range(40)] + [(c, f"p{i}") for c in (2, 3) for i in range(c, 40, c)] + [(c, "all") for c in (1, 2, 3)] + [(4, "p1")]
+    by: dict[int, set] = {}
+    for c, p in rows:
+        by.setdefault(c, set()).add(p)
+    want = Counter()
+    for own in by.values():
+        want.update((a, None) for a in own)
+        want.update((a, b) for a in own for b in own)
+    got = {(r["acc"], r["acc2"]): r["metric"] for r in metrics.frequency(spark.createDataFrame(rows, "cluster_id int, predictor string")).collect()}
+    assert got == dict(want)
+
+
+def test_helper_columns_do_not_clash(spark):
+    df = spark.createDataFrame([("q", 1, 0.5, 9.0, "h|x", 7, 1), ("q", 2, 0.9, 3.0, "g|y", 8, 2)], "query string, hit int, confidence double, bits double, header string, id int, rn int")
+    assert [tuple(r) for r in hits.best_hit_by(df).collect()] == [("q", 2, 0.9, 3.0, "g|y", 8, 2)]
+    kept = hits.prune_filter(df, spark.createDataFrame([("h",)], "id string"))
+    assert kept.columns == df.columns and kept.first()["id"] == 7
+
+
+def test_fisher_tail_against_exact_sums():
+    import pandas as pd
+
+    rows = [(4, 1, 6, 30), (0, 5, 5, 9), (1, 30, 40, 500), (30, 2, 3, 50), (9, 300, 20, 4000), (2, 0, 0, 3), (-1, 2, 3, 4), (50, 50, 50, 50)]
+    got = scalar.fisher_greater_p.func(*(pd.Series(x) for x in zip(*rows)))
+    for (a, b, c, d), p in zip(rows, got):
+        if a < 0:
+            assert math.isnan(p)
+            continue
+        want = sum(math.comb(a + b, k) * math.comb(c + d, a + c - k) for k in range(a, min(a + b, a + c) + 1)) / math.comb(a + b + c + d, a + c)
+        assert p == pytest.approx(want, rel=1e-9)
+
+
+def test_shuffled_labels_are_one_permutation(spark):
+    ids = spark.range(500).withColumn("id", F.col("id") * 3)
+    got = evaluate.shuffle_labels(ids, "id", 1).collect()
+    assert sorted(r["id"] for r in got) == sorted(r["other"] for r in got) == [3 * i for i in range(500)]
+    assert sum(r["id"] == r["other"] for r in got) < 20 and sorted(map(tuple, got)) == sorted(map(tuple, evaluate.shuffle_labels(ids, "id", 1).collect()))
+
+
+def test_similarity_matrix(spark):
+    elements = spark.createDataFrame([(10, "a", 1), (10, "b", 2), (20, "a", 3), (30, "a", 9)], "protein int, elem string, structure int")
+    scores = spark.createDataFrame([(1, 3, 6.0), (3, 2, 3.0)], "a int, b int, zscore double")
+    matrix, keys = structure.similarity_matrix(elements, scores)
+    assert {r["protein"]: r["idx"] for r in keys.collect()} == {10: 0, 20: 1, 30: 2}
+    assert [tuple(r) for r in matrix.collect()] == [(0, 1, 5.0)]
+    assert [list(r["values"]) for r in structure.dense_rows(matrix, keys).orderBy("idx").collect()] == [[0.0, 5.0, 0.0], [0.0] * 3, [0.0] * 3]
