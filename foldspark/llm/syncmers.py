@@ -23,8 +23,8 @@ from foldspark.llm._common import filled, lean, n_parts, ragged, slices, written
 
 K, S, BINS = 16, 6, 128
 MIX1, MIX2, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x100000001B3)
-#: Hex digits of a fingerprint: a byte of hash and two of position (modulo 65536) a bin.
-EMPTY = "00" * (3 * BINS)
+#: Hex digits of a fingerprint: a byte of hash and one of position (modulo 256) a bin.
+EMPTY = "00" * (2 * BINS)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -85,12 +85,12 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
 
 
 def sketches(texts: list[str]) -> np.ndarray:
-    """Rows of ``BINS`` bytes of hash and ``BINS`` little-endian pairs of position; an empty text's are zero."""
+    """Rows of ``BINS`` bytes of hash and ``BINS`` of position; an empty text's are zero."""
     who, pos, h = anchors(texts)
     none = np.iinfo(np.uint64).max
     least = np.full(len(texts) * BINS, none, dtype=np.uint64)
-    # The least hash of a bin, and of equal ones the first place modulo 65536, are the least number.
-    word = ((h & np.uint64((1 << 57) - 1)) >> np.uint64(16)) << np.uint64(16) | (pos.astype(np.uint64) & np.uint64(0xFFFF))
+    # The least hash of a bin, and of equal ones the first place modulo 256, are the least number.
+    word = ((h & np.uint64((1 << 57) - 1)) >> np.uint64(8)) << np.uint64(8) | (pos.astype(np.uint64) & np.uint64(0xFF))
     np.minimum.at(least, who * BINS + (h >> np.uint64(57)).astype(np.int64), word)
     least = least.reshape(len(texts), BINS)
     full = least != none
@@ -100,10 +100,10 @@ def sketches(texts: list[str]) -> np.ndarray:
     some = full.any(axis=1)
     source = np.where(some[:, None], nearest % BINS, 0)
     taken = least[rows, source]
-    value = _mix((taken >> np.uint64(16)) + (nearest - np.arange(BINS)).astype(np.uint64)) >> np.uint64(56)
-    out = np.zeros((len(texts), 3 * BINS), dtype=np.uint8)
+    value = _mix((taken >> np.uint64(8)) + (nearest - np.arange(BINS)).astype(np.uint64)) >> np.uint64(56)
+    out = np.zeros((len(texts), 2 * BINS), dtype=np.uint8)
     out[:, :BINS] = np.where(some[:, None], value, 0)
-    out[:, BINS:] = np.where(some[:, None], taken & np.uint64(0xFFFF), 0).astype("<u2").view(np.uint8).reshape(len(texts), 2 * BINS)
+    out[:, BINS:] = np.where(some[:, None], taken & np.uint64(0xFF), 0)
     return out
 
 
@@ -112,8 +112,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     offset from one text to the other. Agreement by chance has no such company. Two empty texts are alike."""
     same = a[:, :BINS] == b[:, :BINS]
     blank = ~np.stack([a.any(axis=1), b.any(axis=1)])
-    places = [np.ascontiguousarray(x[:, BINS:]).view("<u2").astype(np.int32) for x in (a, b)]
-    offset = np.where(same, (places[0] - places[1]) % 65536, 65536 + np.arange(BINS, dtype=np.int32))
+    places = [x[:, BINS:].astype(np.int32) for x in (a, b)]
+    offset = np.where(same, (places[0] - places[1]) % 256, 256 + np.arange(BINS, dtype=np.int32))
     offset.sort(axis=1)
     near = offset[:, 1:] == offset[:, :-1]
     confirmed = np.zeros(offset.shape, dtype=bool)
@@ -152,7 +152,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(lean(run), "doc_id long, n_chars long, fingerprint string")
 
 
-COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 OPEN = f"{COLUMNS}, part int, side string, text string"
 
 
@@ -168,7 +168,7 @@ def _compared(ids: list, texts: list[str], after: list[str]) -> dict[str, list]:
     follow = np.concatenate([own[1:], every[2 * n :]]) if all(x is y for x, y in zip(after, texts[1:])) else sketches(after)
     return {
         "doc_id": ids, "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited],
-        "fingerprint": [r.tobytes().hex() for r in own], "edited_fingerprint": [r.tobytes().hex() for r in new], "near_edited": likeness(own, new).tolist(), "near_next": likeness(own, follow).tolist(),
+        "fingerprint": [r.tobytes() for r in own], "edited_fingerprint": [r.tobytes() for r in new], "near_edited": likeness(own, new).tolist(), "near_next": likeness(own, follow).tolist(),
     }
 
 
@@ -186,7 +186,7 @@ def edit_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = TaskContext.get().partitionId(), None
-        schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("side", pa.string()), ("text", pa.string())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("side", pa.string()), ("text", pa.string())])
         blank = {f.name: [None] for f in schema}
         for batch in batches:
             for some in slices(batch):
@@ -214,7 +214,8 @@ def edit_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for i in range(batch.num_rows):
                 one = _compared(*(batch[c].slice(i, 1).to_pylist() for c in ("doc_id", "text", "after")))
-                yield pa.RecordBatch.from_pydict(one, pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]))
+                yield pa.RecordBatch.from_pydict(one, pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]))
 
     done = first.where("side is null").drop("part", "side", "text")
-    return done.unionByName(open_rows.mapInArrow(lean(close), COLUMNS))
+    every = done.unionByName(open_rows.mapInArrow(lean(close), COLUMNS))
+    return every.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})

@@ -15,8 +15,8 @@ def _sketch(text: str) -> list[tuple[int, int]]:
     _, pos, h = syncmers.anchors([text])
     bins: dict[int, tuple[int, int]] = {}
     for p, x in zip(pos.tolist(), h.tolist()):
-        b, low = x >> 57, (x & ((1 << 57) - 1)) >> 16
-        bins[b] = min(bins.get(b, (1 << 60, 0)), (low, p % 65536))
+        b, low = x >> 57, (x & ((1 << 57) - 1)) >> 8
+        bins[b] = min(bins.get(b, (1 << 60, 0)), (low, p % 256))
     out = []
     for b in range(syncmers.BINS):
         far = next(d for d in range(syncmers.BINS) if (b + d) % syncmers.BINS in bins)
@@ -29,7 +29,7 @@ def _like(a: str, b: str) -> float:
     if not a or not b:
         return float(a == b)
     x, y = _sketch(a), _sketch(b)
-    offsets = [(p - q) % 65536 for (h, p), (g, q) in zip(x, y) if h == g]
+    offsets = [(p - q) % 256 for (h, p), (g, q) in zip(x, y) if h == g]
     count = Counter(offsets)
     return sum(count[o] > 1 for o in offsets) / syncmers.BINS
 
@@ -42,7 +42,7 @@ def test_sketches_and_likeness_by_brute_force():
     rows = syncmers.sketches(texts)
     for t, r in zip(texts, rows):
         if t:
-            assert list(zip(r[: syncmers.BINS].tolist(), r[syncmers.BINS :].view("<u2").tolist())) == _sketch(t)
+            assert list(zip(r[: syncmers.BINS].tolist(), r[syncmers.BINS :].tolist())) == _sketch(t)
     for i, a in enumerate(texts):
         got = syncmers.likeness(np.repeat(rows[i : i + 1], len(texts), axis=0), rows)
         assert got.tolist() == [_like(a, b) for b in texts]
