@@ -25,11 +25,15 @@ COEFFICIENTS = {
     2: (-1.597025, 0.664228, 0.092968, -0.353935, -6.715978),
     3: (-4.095602, 0.673068, 0.051677, 0.025341, -5.160030),
 }
+#: Formats of hit headers (fixed values): the id is the first group.
 HIT_PATTERNS = {
     "first_pipe": r"^([^|]*)",
     "second_pipe": r"^[^|]*\|(\d+)",
-    "uniprot": r"^(?:sp|tr)\|([^|]+)\|",
-    "refseq": r"(?:ref\|)?([NXY]P_\d+(?:\.\d+)?)",
+    "bddb": r"bddb\|(.*?)\|",
+    "local_human": r"^(\d+) \| \d+ \| \d+ ",
+    "typed_domain": r"^(\d+)\|\d+\|\d+\|[a-zA-Z_-]+",
+    "uniprot": r"^[a-zA-Z]+\|([\w-]+)\|",
+    "refseq": r"\b([A-Z]{2}_\d+(?:\.\d+)?)",
     "astral": r"^([dge]\w{6})",
     "astral_superfamily": r"^[dge]\w{6}\s+(\w\.\d+\.\d+)",
     "pdb": r"^([^:]+):",
@@ -68,6 +72,28 @@ def hit_id(col: Column | str, style: str, strict: bool = False) -> Column:
     return F.when(found != "", found).otherwise(other)
 
 
+#: Hit headers of several fields (fixed values): the fields' names and the pattern, a group each.
+HIT_FIELDS = {
+    "local_human": (("id", "protein", "experiment"), r"^(\d+) \| (\d+) \| (\d+) "),
+    "typed_domain": (("id", "protein", "experiment", "kind"), r"^(\d+)\|(\d+)\|(\d+)\|([a-zA-Z_-]+)"),
+    "ranged_query": (("id", "start", "stop"), r"^[a-zA-Z]+\|([\w-]+)\|.*Range:(\d+)-(\d+)"),
+    "astral": (("id", "sccs"), r"^(\S+)\s+(\S+)"),
+}
+
+
+def hit_fields(col: Column | str, style: str) -> Column:
+    """The fields of a header of the style as a struct of strings; null if it doesn't match."""
+    names, pattern = HIT_FIELDS[style]
+    parts = [F.regexp_extract(c(col), pattern, i + 1).alias(n) for i, n in enumerate(names)]
+    return F.when(c(col).rlike(pattern), F.struct(*parts))
+
+
+def ranged_id(col: Column | str) -> Column:
+    """id:start-stop of a query header that names a range; null for others."""
+    f = hit_fields(col, "ranged_query")
+    return F.when(f.isNotNull(), F.concat(f["id"], F.lit(":"), f["start"], F.lit("-"), f["stop"]))
+
+
 def known_type(col: Column | str) -> Column:
     return c(col).isin(*KNOWN_TYPES)
 

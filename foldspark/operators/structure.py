@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.functions.scalar import fold_coverage, half_open_overlap, overlap_ratio
+from foldspark.functions.scalar import KNOWN_TYPES, fold_coverage, half_open_overlap, overlap_ratio
 
 
 def assign_scop(domains: DataFrame, parts: DataFrame, share: float = 0.5) -> DataFrame:
@@ -47,6 +47,24 @@ def domain_structures(domains: DataFrame, hits: DataFrame) -> DataFrame:
     return domains.join(hits, "key").groupBy("domain").agg(best).select("domain", "b.pdb", "b.chain")
 
 
+def structures_of_experiments(experiments: DataFrame, proteins: DataFrame, domains: DataFrame, sequences: DataFrame, chains: DataFrame, regions: DataFrame, entries: DataFrame, kinds: tuple[str, ...] = KNOWN_TYPES) -> DataFrame:
+    """domain, parent, kind, pdb, chain, start, stop, length: one structure a domain sequence and its parent.
+
+    ``experiments`` (id), ``proteins`` (experiment, sequence), ``domains`` (id, sequence, parent, kind, parent_id: three
+    letters and the sequence of a chain), ``sequences`` (id, sequence), ``chains`` (sequence, chain, pdb_key), ``regions``
+    (domain_id, start, stop), ``entries`` (id, pdb). Of several the greatest (pdb, chain, kind, start, stop) is
+    taken. Chains of one sequence are cut to the greatest before they meet domains, and experiments only
+    select, so that no product of copies is formed. Rows without a partner in any table are left out.
+    """
+    best = chains.join(entries.select(F.col("id").alias("pdb_key"), "pdb"), "pdb_key").where("chain is not null").groupBy(F.col("sequence").alias("chain_seq")).agg(F.max(F.struct("pdb", "chain")).alias("best"))
+    held = proteins.join(experiments, proteins["experiment"] == experiments["id"], "left_semi").select(F.col("sequence").alias("parent")).distinct()
+    rows = domains.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("domain_id"), F.col("sequence").alias("domain"), "parent", "kind", F.substring("parent_id", 4, 1 << 20).try_cast("long").alias("chain_seq"))
+    rows = rows.join(held, "parent", "left_semi").join(best, "chain_seq").join(regions.select("domain_id", "start", "stop"), "domain_id")
+    one = rows.groupBy("domain", "parent").agg(F.max(F.struct("best.pdb", "best.chain", "kind", "start", "stop")).alias("b"))
+    text = sequences.select(F.col("id").alias("domain"), F.length("sequence").alias("length"))
+    return one.join(text, "domain").select("domain", "parent", "b.kind", "b.pdb", "b.chain", "b.start", "b.stop", "length")
+
+
 def best_call_per_domain(calls: DataFrame) -> DataFrame:
     """The call of greatest size, then confidence, then least code."""
     w = Window.partitionBy("domain").orderBy(F.col("size").desc(), F.col("confidence").desc(), "sccs")

@@ -130,6 +130,24 @@ def hit_id(t):
     return t.read("customer").select("c_custkey", F.regexp_replace(F.coalesce(scalar.hit_id("c_name", "number"), F.lit("0")), "^$", "0").alias("number"))
 
 
+@query("SELECT c_custkey, c_custkey::VARCHAR AS bddb, c_custkey::VARCHAR AS human, c_nationkey::VARCHAR AS experiment, 'msa' AS kind, 'A' || c_custkey AS uniprot, 'A' || c_custkey || ':' || c_nationkey || '-' || c_custkey AS ranged, 'd' || lpad(c_custkey::VARCHAR, 6, '0') AS astral FROM customer")
+def hit_styles(t):
+    key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    uniprot = F.concat(F.lit("sp|A"), key, F.lit("|"), "c_name", F.lit(" Range:"), nation, F.lit("-"), key)
+    human = F.concat(key, F.lit(" | "), key, F.lit(" | "), nation, F.lit(" | "), "c_name")
+    typed = scalar.hit_fields(F.concat_ws("|", key, key, nation, F.lit("msa<")), "typed_domain")
+    return t.read("customer").select(
+        "c_custkey",
+        scalar.hit_id(F.concat(F.lit("bddb|"), key, F.lit("| "), "c_name"), "bddb").alias("bddb"),
+        scalar.hit_fields(human, "local_human")["protein"].alias("human"),
+        typed["experiment"].alias("experiment"),
+        typed["kind"].alias("kind"),
+        scalar.hit_id(uniprot, "uniprot").alias("uniprot"),
+        scalar.ranged_id(uniprot).alias("ranged"),
+        scalar.hit_id(F.concat(F.lit("d"), F.lpad(key, 6, "0"), F.lit(" a.1.1.1")), "astral").alias("astral"),
+    )
+
+
 @query("SELECT partkey, method, CASE method WHEN 'psiblast' THEN 'psi' WHEN 'fold_recognition' THEN 'fr' ELSE 'mcm' END AS grp, CASE method WHEN 'psiblast' THEN 1.0 WHEN 'fold_recognition' THEN 0.9 ELSE 0.5 END::DOUBLE AS scale, method IN ('psiblast', 'fold_recognition') AS known FROM (SELECT DISTINCT partkey, method FROM calls)")
 def model_groups(t):
     return t.calls.select("partkey", "method").distinct().withColumn("grp", scalar.model_group("method")).withColumn("scale", scalar.model_scale("grp")).withColumn("known", scalar.known_type("method"))

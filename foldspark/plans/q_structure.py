@@ -54,6 +54,36 @@ def domain_structures(t):
     return structure.domain_structures(t.regions.select("domain", F.col("domain").alias("key")).distinct(), t.regions.select(F.col("domain").alias("key"), "pdb", "chain"))
 
 
+_KIND = "(['psiblast', 'fold_recognition', 'pfam', 'msa', 'unassigned'])[(l_partkey % 5)::INT + 1]"
+
+
+@query(
+    f"""SELECT domain, parent, b.kind AS kind, b.pdb AS pdb, b.chain AS chain, b.start AS start, b.stop AS stop, length FROM (
+    SELECT d.sequence AS domain, d.parent AS parent, length(any_value(s.sequence)) AS length, max({{'pdb': i.pdb, 'chain': r.chain, 'kind': d.kind, 'start': n.start, 'stop': n.stop}}) AS b
+    FROM (SELECT n_nationkey AS id FROM nation WHERE n_regionkey < 3) e JOIN (SELECT c_nationkey AS experiment, c_custkey AS sequence FROM customer) p ON e.id = p.experiment
+    JOIN (SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS sequence, o_custkey AS parent, {_KIND} AS kind, 'pdb' || l_suppkey AS parent_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey) d ON p.sequence = d.parent
+    JOIN (SELECT p_partkey AS id, p_name AS sequence FROM part) s ON d.sequence = s.id
+    JOIN (SELECT DISTINCT l_suppkey AS sequence, l_returnflag AS chain, l_linenumber AS pdb_key FROM lineitem) r ON substr(d.parent_id, 4)::BIGINT = r.sequence
+    JOIN (SELECT l_orderkey * 8 + l_linenumber AS id, l_linenumber * 10 AS start, (l_linenumber * 10 + l_quantity)::INT AS stop FROM lineitem) n ON d.id = n.id
+    JOIN (SELECT r_regionkey AS id, r_name AS pdb FROM region) i ON r.pdb_key = i.id
+    WHERE d.kind IN ('psiblast', 'fold_recognition') GROUP BY 1, 2)"""
+)
+def structures_of_experiments(t):
+    li = t.read("lineitem")
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    kind = F.get(F.array(*map(F.lit, ("psiblast", "fold_recognition", "pfam", "msa", "unassigned"))), (F.col("l_partkey") % 5).cast("int"))
+    domains = t.read("orders").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(key.alias("id"), F.col("l_partkey").alias("sequence"), F.col("o_custkey").alias("parent"), kind.alias("kind"), F.concat(F.lit("pdb"), F.col("l_suppkey")).alias("parent_id"))
+    return structure.structures_of_experiments(
+        t.read("nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("id")),
+        t.read("customer").select(F.col("c_nationkey").alias("experiment"), F.col("c_custkey").alias("sequence")),
+        domains,
+        t.read("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("sequence")),
+        li.select(F.col("l_suppkey").alias("sequence"), F.col("l_returnflag").alias("chain"), F.col("l_linenumber").alias("pdb_key")),
+        li.select(key.alias("domain_id"), (F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + F.col("l_quantity")).cast("int").alias("stop")),
+        t.read("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("pdb")),
+    )
+
+
 @query("SELECT protein AS domain, method AS sccs, size, confidence FROM (SELECT *, row_number() OVER (PARTITION BY protein ORDER BY size DESC, confidence DESC, method) AS r FROM (SELECT DISTINCT protein, method, size, confidence FROM calls)) WHERE r = 1")
 def best_call_per_domain(t):
     return structure.best_call_per_domain(t.calls.select(F.col("protein").alias("domain"), F.col("method").alias("sccs"), "size", "confidence").distinct())

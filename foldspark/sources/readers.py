@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLAST_COLUMNS = "query string, subject string, pct_identity double, align_len int, mismatches int, gaps int, q_start int, q_end int, s_start int, s_end int, evalue double, score double"
+#: Formats of sequence headers (fixed values); ``about``: the description's groups.
 HEADER_STYLES = {
-    "ncbi": {"gi": r"gi\|(\d+)", "db": r"^gi\|\d+\|(\w+)\|", "ac": r"^gi\|\d+\|\w+\|([^|]*)", "ac2": r"^gi\|\d+\|\w+\|[^|]*\|(\S*)"},
-    "uniprot": {"gi": None, "db": r"^(sp|tr)\|", "ac": r"^(?:sp|tr)\|([^|]+)", "ac2": r"^(?:sp|tr)\|[^|]+\|(\S+)"},
-    "refseq": {"gi": r"gi\|(\d+)", "db": None, "ac": r"([NXY]P_\d+(?:\.\d+)?)", "ac2": None},
+    "ncbi": {"gi": r"gi\|(\d+)", "db": r"^gi\|\d+\|(\w+)\|", "ac": r"^gi\|\d+\|\w+\|([^|]*)", "ac2": r"^gi\|\d+\|\w+\|[^|]*\|(\S*)", "about": r"^gi\|\d+\|\w+\|[^|]*\|\s*(.*)"},
+    "uniprot": {"gi": None, "db": r"^(sp|tr)\|", "ac": r"^(?:sp|tr)\|([^|]+)", "ac2": r"^(?:sp|tr)\|[^|]+\|(\S+)", "about": r"^(?:sp|tr)\|[^|]+\|(.+)"},
+    "refseq": {"gi": r"gi\|(\d+)", "db": None, "ac": r"\b([A-Z]{2}_\d+(?:\.\d+)?)", "ac2": None, "about": r"^[A-Z]+_\d+\.\d+\s+(.*)"},
+    "tigr": {"gi": None, "db": None, "ac": r"^TIGR\s*\|\s*([a-zA-Z]{2}\d+)\s*\|\s*organism=.*\|\s*product=.*\|\s*location=", "ac2": None, "about": r"^TIGR\s*\|\s*[a-zA-Z]{2}\d+\s*\|\s*organism=(.*?)\s*\|\s*product=(.*?)\s*\|\s*location="},
+    "phytozome": {"gi": None, "db": None, "ac": r"^([a-zA-Z0-9.]+)\|PACid:\d+", "ac2": r"^[a-zA-Z0-9.]+\|PACid:(\d+)"},
+    "mouse": {"gi": None, "db": r"^([a-zA-Z]{2})\|[a-zA-Z0-9]{6}\|.", "ac": r"^[a-zA-Z]{2}\|([a-zA-Z0-9]{6})\|.", "ac2": None, "about": r"^[a-zA-Z]{2}\|[a-zA-Z0-9]{6}\|(.+)"},
     "generic": {"gi": None, "db": None, "ac": r"^(\S+)", "ac2": None},
 }
 
@@ -34,15 +38,39 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_fasta_header(df: DataFrame, style: str = "generic", col: str = "description", ids: DataFrame | None = None) -> DataFrame:
-    """Adds gi (0 if none), db, ac ('' if none), ac2 and gene; ``ids`` (ac, mapped) replaces ac where it matches."""
+    """Adds gi (0 if none), db, ac ('' if none), ac2, gene and about (the description without ids; the whole one if unmatched).
+
+    ``ids`` (ac, mapped) replaces ac where it matches; for ``mouse`` headers ``ids`` (ac, ac2, gene; see
+    ``read_mouse_ids``) gives ac2 and gene, '' where ac isn't in it. A null description gives nulls and gi 0.
+    """
     s = HEADER_STYLES[style]
     part = lambda p: F.regexp_extract(col, p, 1) if p else F.lit("")
     out = df.withColumns({"gi": F.coalesce(part(s["gi"]).try_cast("long"), F.lit(0)), "db": part(s["db"]), "ac": part(s["ac"]), "ac2": part(s["ac2"]), "gene": F.regexp_extract(col, r"GN=(\S+)", 1)})
+    about = F.lit("")
+    if style == "tigr":
+        organism, product = (F.regexp_extract(col, s["about"], i) for i in (1, 2))
+        about = F.when(part(s["ac"]) != "", F.concat(product, F.lit(" ["), organism, F.lit("]"))).otherwise("")
+    elif s.get("about"):
+        about = part(s["about"])
+    out = out.withColumn("about", F.when(about != "", about).otherwise(F.col(col)))
+    if style == "mouse":
+        out = out.drop("ac2", "gene")
+        if ids is None:
+            return out.withColumns({"ac2": F.lit(""), "gene": F.lit("")})
+        return out.join(ids.select("ac", "ac2", "gene").dropDuplicates(["ac"]), "ac", "left").fillna("", ["ac2", "gene"])
     if ids is not None:
         out = out.join(ids, "ac", "left").withColumn("ac", F.coalesce("mapped", "ac")).drop("mapped")
     return out
 
 
+def read_mouse_ids(spark: SparkSession, path: str) -> DataFrame:
+    """ac, ac2 (MGI id), gene ('' where the file says None) of lines of that form; other lines are left out."""
+    line = r"^([a-zA-Z0-9]{6})\s+(MGI:\d+|None)\s+(G\d+|None)"
+    part = [F.regexp_extract("value", line, i) for i in (1, 2, 3)]
+    known = [part[0], *(F.when(p == "None", "").otherwise(p) for p in part[1:])]
+    return _text(spark, path).where(F.col("value").rlike(line)).select(*(p.alias(n) for p, n in zip(known, ("ac", "ac2", "gene"))))
+
+
 def read_blast_xml(spark: SparkSession, path: str) -> DataFrame:
     """query, query_len, hit_num, hit, hit_len, hsp_num, evalue, bits, align_len, identities: a row an HSP."""
     schema = "`Iteration_query-def` string, `Iteration_query-len` int, Iteration_hits struct<Hit: array<struct<Hit_num: int, Hit_def: string, Hit_len: int, Hit_hsps: struct<Hsp: array<struct<Hsp_num: int, Hsp_evalue: double, `Hsp_bit-score`: double, `Hsp_align-len`: int, Hsp_identity: int>>>>>>"

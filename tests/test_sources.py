@@ -25,6 +25,28 @@ def test_fasta(spark, tmp_path):
     assert readers.read_fasta(spark, out).count() == 2
 
 
+def test_header_styles(spark, tmp_path):
+    heads = {
+        "tigr": "TIGR | AB123 | organism=P. vivax | product=a kinase | location=chr1",
+        "phytozome": "Cre08.g369800.t1.1|PACid:19858278",
+        "mouse": "sp|A0A183|LCE6A protein",
+        "refseq": "NP_002810.1 a protein [Homo sapiens].",
+    }
+    ids = readers.read_mouse_ids(spark, _file(tmp_path, "A0A183  MGI:12 None\nnot a line\n", "ids.txt"))
+    told = {}
+    for style, head in heads.items():
+        df = spark.createDataFrame([(head,), ("other",), (None,)], "description string")
+        rows = readers.parse_fasta_header(df, style, ids=ids if style == "mouse" else None).collect()
+        assert len(rows) == 3
+        told[style] = next(r for r in rows if r["description"] == head)
+        other = next(r for r in rows if r["description"] == "other")
+        assert (other["ac"], other["about"], other["gi"]) == ("", "other", 0)
+    assert (told["tigr"]["ac"], told["tigr"]["about"]) == ("AB123", "a kinase [P. vivax]")
+    assert (told["phytozome"]["ac"], told["phytozome"]["ac2"]) == ("Cre08.g369800.t1.1", "19858278")
+    assert [told["mouse"][x] for x in ("ac", "db", "ac2", "gene", "about")] == ["A0A183", "sp", "MGI:12", "", "LCE6A protein"]
+    assert (told["refseq"]["ac"], told["refseq"]["about"]) == ("NP_002810.1", "a protein [Homo sapiens].")
+
+
 def test_blast(spark, tmp_path):
     p = _file(tmp_path, "<?xml version='1.0'?><B><BlastOutput_iterations><Iteration><Iteration_query-def>3</Iteration_query-def><Iteration_query-len>9</Iteration_query-len><Iteration_hits><Hit><Hit_num>1</Hit_num><Hit_def>d1fxza1 b.82.1.2</Hit_def><Hit_len>239</Hit_len><Hit_hsps><Hsp><Hsp_num>1</Hsp_num><Hsp_evalue>5e-42</Hsp_evalue><Hsp_bit-score>166.0</Hsp_bit-score><Hsp_align-len>246</Hsp_align-len><Hsp_identity>85</Hsp_identity></Hsp></Hit_hsps></Hit></Iteration_hits></Iteration></BlastOutput_iterations></B>", "b.xml")
     r = readers.read_blast_xml(spark, p).collect()[0]
