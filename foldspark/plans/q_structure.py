@@ -192,11 +192,11 @@ def best_function(t):
 FAM = {"dm": "SELECT c_nationkey AS family, c_custkey AS protein, 500 AS length, l_returnflag AS method, l_quantity AS dlen FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey"}
 
 
-@query("SELECT family, method, round(s / n, 6) AS coverage, round(s / sum(s) OVER (PARTITION BY family), 6) AS share FROM (SELECT family, method, sum(dlen / length) AS s FROM dm GROUP BY 1, 2) JOIN (SELECT c_nationkey AS family, count(*) AS n FROM customer GROUP BY 1) USING (family)", FAM)
+@query("SELECT family, method, round(s / n, 9) AS coverage, round(s / sum(s) OVER (PARTITION BY family), 9) AS share FROM (SELECT family, method, sum(dlen / length) AS s FROM dm GROUP BY 1, 2) JOIN (SELECT c_nationkey AS family, count(*) AS n FROM customer GROUP BY 1) USING (family)", FAM)
 def family_coverage(t):
     members = t.read("customer").select(F.col("c_nationkey").alias("family"), F.col("c_custkey").alias("protein"), F.lit(500).alias("length"))
     d = t.read("orders").join(t.read("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("protein"), F.col("l_returnflag").alias("method"), F.col("l_quantity").alias("dlen"))
-    return summary.family_coverage(members, d).withColumns({c: F.round(c, 6) for c in ("coverage", "share")})
+    return summary.family_coverage(members, d).withColumns({c: F.round(c, 9) for c in ("coverage", "share")})
 
 
 @query("SELECT c_nationkey AS family, l_returnflag AS acc, list_sort(list(DISTINCT c_custkey)) AS proteins FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
