@@ -64,9 +64,11 @@ def dedupe_sequences(records: DataFrame, stored: DataFrame) -> tuple[DataFrame,
 
 
 def related_families(members: DataFrame) -> DataFrame:
-    """family, other: families that share a protein."""
-    a, b = members.alias("a"), members.alias("b")
-    return a.join(b, F.col("a.protein_key") == F.col("b.protein_key")).where("a.family <> b.family").select(F.col("a.family").alias("family"), F.col("b.family").alias("other")).distinct()
+    """family, other: families that share a protein. Each pair is joined once and mirrored when it is distinct."""
+    one = members.select("family", "protein_key").distinct()
+    other = one.select(F.col("family").alias("other"), "protein_key")
+    pairs = one.join(other, "protein_key").where("family < other").select("family", "other").distinct()
+    return pairs.select(F.explode(F.array(F.struct("family", "other"), F.struct(F.col("other").alias("family"), F.col("family").alias("other")))).alias("p")).select("p.*")
 
 
 def superfamily_members(calls: DataFrame, symbols: DataFrame, confidence: float = 0.8) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import TINY
 from foldspark.operators.metrics import featured_term
+from foldspark.sources.tables import settled
 
 SCORES = ("p_llr", "l_llr", "s_llr", "pl_llr", "ps_llr", "ls_llr", "pls_llr", "base_llr")
 #: The log ratio of a pair that isn't stored.
@@ -42,9 +43,10 @@ def predict_functions(domains: DataFrame, structures: DataFrame, process: DataFr
 
     ``domains`` (domain, parent), ``structures`` (domain, set_id, sccs, p), ``process`` and
     ``localisation`` (entity, term: of the parent), ``lr`` and ``mi`` metric tables. Functions are those
-    with a base log ratio below ``upper``. Scores of the parent are found once for each (parent,
-    function); a domain's structures add their stored log ratios to the default, so that missing pairs
-    are never expanded.
+    with a base log ratio below ``upper``. Scores of the parent are found and written once for each (parent,
+    function); a domain's structures add their stored log ratios to the default. Functions that a domain
+    has no stored log ratio with meet it in a join on the parent that carries the lower bound, so that only
+    what reaches the bound becomes a row. A null parent has no terms.
     """
     base = lr.where(F.col("acc2").isNull() & (F.col("metric") < upper)).select(F.col("acc").alias("func"), F.col("metric").alias("base_llr"))
     funcs = base.select("func")
@@ -59,9 +61,16 @@ def predict_functions(domains: DataFrame, structures: DataFrame, process: DataFr
     # sum p * lr = MISSING * sum p + sum p * (lr - MISSING) over the stored pairs.
     mass = structures.groupBy("domain", "set_id").agg(F.sum("p").alias("mass"))
     stored = structures.join(pair, F.col("sccs") == F.col("given")).groupBy("domain", "set_id", "func").agg(F.sum(F.col("p") * (F.col("metric") - MISSING)).alias("extra"))
-    rows = domains.join(mass, "domain").crossJoin(base)
-    rows = rows.join(stored, ["domain", "set_id", "func"], "left").join(by_parent(process, "p"), ["parent", "func"], "left").join(by_parent(localisation, "l"), ["parent", "func"], "left")
+    of_parent = domains.select("parent").distinct().crossJoin(base)
+    for terms, name in ((process, "p"), (localisation, "l")):
+        of_parent = of_parent.join(by_parent(terms, name), ["parent", "func"], "left")
+    of_parent = settled(of_parent.withColumnRenamed("parent", "of__parent"))
+    held = domains.join(mass, "domain")
+    same = F.col("parent").eqNullSafe(F.col("of__parent"))
     p, loc, f = F.coalesce("p_part", F.lit(0.0)), F.coalesce("l_part", F.lit(0.0)), F.col("base_llr")
+    with_stored = held.join(stored, ["domain", "set_id"]).join(of_parent.withColumnRenamed("func", "of__func"), same & (F.col("func") == F.col("of__func"))).drop("of__func")
+    without = held.join(of_parent, same & (f + p + loc + F.col("mass") * MISSING >= lower)).join(stored.select("domain", "set_id", "func"), ["domain", "set_id", "func"], "left_anti")
+    rows = with_stored.unionByName(without, allowMissingColumns=True)
     s = F.col("mass") * MISSING + F.coalesce("extra", F.lit(0.0))
     parts = {"p": p, "l": loc, "s": s}
     scores = [(sum((parts[x] for x in name), start=f)).alias(f"{name}_llr") for name in ("p", "l", "s", "pl", "ps", "ls", "pls")]
