@@ -183,3 +183,22 @@ def test_similarity_matrix(spark):
     assert {r["protein"]: r["idx"] for r in keys.collect()} == {10: 0, 20: 1, 30: 2}
     assert [tuple(r) for r in matrix.collect()] == [(0, 1, 5.0)]
     assert [list(r["values"]) for r in structure.dense_rows(matrix, keys).orderBy("idx").collect()] == [[0.0, 5.0, 0.0], [0.0] * 3, [0.0] * 3]
+
+
+def test_predictions_reach_the_bound(spark):
+    domains = spark.createDataFrame([(1, "P"), (2, None)], "domain int, parent string")
+    structures = spark.createDataFrame([(1, 1, "s1", 1.0), (2, 1, "s9", 0.3)], "domain int, set_id int, sccs string, p double")
+    process = spark.createDataFrame([("P", "t")], "entity string, term string")
+    lr = spark.createDataFrame([("f", None, -1.0), ("g", None, -5.0), ("f", "s1", 2.0)], "acc string, acc2 string, metric double")
+    mi = spark.createDataFrame([("f", "t", 0.5)], "acc string, acc2 string, metric double")
+    d = math.log(1e-7)
+    every = {(1, "f"): 1 + d, (1, "g"): -5 + 2 * d, (2, "f"): -1 + 0.3 * d, (2, "g"): -5 + 0.3 * d}
+    for lower in (-99.0, -16.0, -12.0, 0.0):
+        rows = predict.predict_functions(domains, structures, process, process.limit(0), lr, mi, lower=lower).collect()
+        assert len(rows) == len({(r["domain"], r["func"]) for r in rows})
+        assert {(r["domain"], r["func"]): r["pls_llr"] for r in rows} == pytest.approx({k: v for k, v in every.items() if v >= lower})
+
+
+def test_related_families(spark):
+    members = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("c", 2), ("b", 2), ("d", None), ("e", None)], "family string, protein_key int")
+    assert sorted(map(tuple, hits.related_families(members).collect())) == [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")]
