@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldspark.llm import decontaminate, filter_audit, langid, lexical, license_index, mixing, simhash, syncmers, token_counts, token_output, toxicity, url_tree
+from foldspark.llm import decontaminate, filter_audit, langid, lexical, license_index, mixing, neighbours, simhash, syncmers, token_counts, token_output, toxicity, url_tree
 from foldspark.llm._common import fold
 
 
@@ -81,9 +81,14 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all ``embeddings`` for each whose id is divisible by 20: see ``neighbours.nearest``."""
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 OPERATORS = (
     op1_template_decontamination, op2_language_mixture, op3_syncmer_fingerprints, op4_token_files, op5_url_template_tree, op6_toxicity_fm, op7_token_counts,
-    op8_source_mix, op9_license_scan, op10_simhash, op11_filter_audit, op12_lexical_search,
+    op8_source_mix, op9_license_scan, op10_simhash, op11_filter_audit, op12_lexical_search, op13_nearest_neighbours,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 SQL: dict[str, str] = {"op5_url_template_tree": url_tree.sql(), "op8_source_mix": mixing.SQL, "op9_license_scan": license_index.sql(), "op11_filter_audit": filter_audit.SQL, "op12_lexical_search": lexical.SQL}
