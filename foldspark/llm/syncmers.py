@@ -178,8 +178,8 @@ def edit_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The edited text has the last floor(n/2) code points replaced by the first as many of the next
     document in descending id order (after the last: the first). Texts are shuffled once, by id range;
     each range compares neighbours as they stream by and leaves its first and last document open, two
-    rows a range, which a second small step joins. Null texts are empty; rows with one id are in order
-    of their texts; a null id comes last; an only document is its own next; an empty table gives none.
+    rows a range, which a second small step joins. Null texts are empty; rows with one id are in falling order
+    of a hash of their texts, which ranges are cut by too; a null id comes last; an only document is its own next; an empty table gives none.
     """
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     spark = docs.sparkSession
@@ -202,8 +202,9 @@ def edit_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if held is not None:
             yield pa.RecordBatch.from_pydict(blank | {"doc_id": [held[0]], "part": [part], "side": ["tail"], "text": [held[1]]}, schema)
 
-    dealt = rows.repartitionByRange(parts or n_parts(docs), F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc(), F.col("text").desc())
-    first = written(dealt.mapInArrow(lean(run), OPEN), "syncmers")
+    down = [F.col(c).desc() for c in ("doc_id", "hash", "text")]
+    dealt = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(parts or n_parts(docs), *down[:2]).sortWithinPartitions(*down)
+    first = written(dealt.drop("hash").mapInArrow(lean(run), OPEN), "syncmers")
     # The ranges that hold rows, each with the one after it: numbers only, one a range.
     full = sorted(r["part"] for r in first.where("side = 'head'").select("part").collect())
     follow = spark.createDataFrame(list(zip(full, full[1:] + full[:1])), "part int, next int")

@@ -31,6 +31,8 @@ CACHE = 120_000
 JOINED = 128
 #: UTF-8 bytes of text encoded at a time.
 STEP_BYTES = 4 << 20
+#: Marks that letters of ASCII are composed with.
+_COMPOSING = "[\u0300-\u036f]"
 _MARKS = np.frombuffer(b",.;:!?", dtype=np.uint8)
 FILE_SCHEMA = "part int, row long, doc_id long, ids_before long, n_tokens long, ids array<int>"
 LAYOUT = {
@@ -119,7 +121,7 @@ class ChunkEncoder:
             for c in new:
                 if self.rules.unassigned(c):
                     known[c] = np.array(self.rules.library.encode(c, add_special_tokens=False).ids, dtype="<i4").tobytes()
-            cut = {c: pieces for c in new if not (c.isascii() and c.isalpha()) and c not in known and (pieces := self.rules.pieces(c)) != [c]}
+            cut = {c: pieces for c in new if not (c.isascii() and c.isalpha() and c.islower()) and c not in known and (pieces := self.rules.pieces(c)) != [c]}
             self._learn([c for c in dict.fromkeys([*new, *(p for pieces in cut.values() for p in pieces)]) if c not in cut and c not in known])
             for c, pieces in cut.items():
                 known[c] = b"".join([known[p] for p in pieces])
@@ -147,8 +149,9 @@ class ChunkEncoder:
     def documents(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents end to end, each with ``end_id`` after it, and offsets."""
         clean, n_special = split_special(texts, self.rules.special)
-        # Of these letters the normaliser makes small ones too; special strings are out by now.
-        words, n_words = words_and_marks(pc.ascii_lower(clean))
+        # Of these letters the normaliser makes small ones too; special strings are out by now. It composes letters
+        # with marks before, and some small letters have composed forms that their capitals lack: those texts stay as they are.
+        words, n_words = words_and_marks(pc.if_else(pc.match_substring_regex(clean, _COMPOSING), clean, pc.ascii_lower(clean)))
         codes = words.dictionary_encode()
         flat, size = self.encode(codes.dictionary.to_pylist())
         flat, size = np.append(flat, np.int32(end_id)), np.append(size, 1)
@@ -181,7 +184,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
     """One row per document in ascending id order over the partitions (``FILE_SCHEMA``).
 
     Null and empty texts are the end id alone; a null id comes first; rows with one id are in the order of
-    their texts; an empty table gives none.
+    a hash of their texts, which ranges are cut by too: one id, or none, may have any number of rows. An empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +201,8 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
                 row, before = row + n, before + int(offsets[-1])
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    return rows.repartitionByRange(parts or n_parts(docs), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(run), FILE_SCHEMA)
+    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(parts or n_parts(docs), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+    return rows.drop("hash").mapInArrow(lean(run), FILE_SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, layout: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 1 << 20, page_rows: int = 2000, **options) -> None:
@@ -206,7 +210,7 @@ def write_tokens(docs: DataFrame, path: str, layout: str = "dictionary", row_gro
 
     ``layout`` is ``dictionary`` or ``delta``; row groups, pages and rows a page are at most the given
     sizes. Null and empty texts are documents of the end id alone. A null id comes first; rows with one
-    id are in the order of their texts. An empty table gives no rows.
+    id are in the order of a hash of their texts. An empty table gives no rows.
     """
     sizes = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.dictionary.page.size": page_bytes, "parquet.page.row.count.limit": page_rows}
     encoded(docs, **options).write.options(**LAYOUT[layout], **{k: str(v) for k, v in sizes.items()}).option("compression", "zstd").parquet(path)
