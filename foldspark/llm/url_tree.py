@@ -9,12 +9,16 @@ that verdict holds for the URLs that no rule fits.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm._common import written
+from foldspark.llm._common import lean, n_parts, written
 
 #: (verdict, rule): the rules of the query (fixed values).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -22,7 +26,7 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 
 @dataclass(frozen=True)
 class Settings:
-    many: int = 12  # children from which a node may vary ...
+    many: int = 12  # children (1 at least) from which a node may vary ...
     few: int = 8  # ... if they have fewer pages each than this
     most: int = 64  # children from which a node varies in any case
     z: float = 1.96  # deviations up to which branches are similar
@@ -33,9 +37,9 @@ class Settings:
 
 #: Shares that a hot host's rows are dealt to in joins with its few varying nodes.
 SALT = 16
-#: Levels after which what the tree has so far is written.
-LEVELS = 4
-VARYING = "^[0-9][0-9A-Za-z_.-]*$"
+#: Rows, and characters of their paths, up to which a subtree or a host is handled whole in one task.
+GROUP, CHARS = 2000, 1_000_000
+VARYING = r"^[0-9][0-9A-Za-z_.-]*\z"
 
 
 def url_host(url: str | Column) -> Column:
@@ -66,43 +70,162 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
     return rule, verdict
 
 
-def _templates(paths: DataFrame, s: Settings, depth: int) -> DataFrame:
-    """host, path, n, labelled, blocked, template of distinct paths; rows that a level doesn't reach stay as they are."""
-    rows = paths.withColumn("template", F.lit(""))
+def _grouped(rows: DataFrame, keys: list[str], schema: str, work: Callable[[list[dict]], Iterator[tuple]]) -> DataFrame:
+    """What ``work`` makes of each group of rows with equal keys; the groups are of bounded size."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        kinds = None
+        for batch in batches:
+            kinds, out = batch.schema, []
+            for row in batch.to_pylist():
+                if held and any(held[0][k] != row[k] for k in keys):
+                    out += work(held)
+                    held = []
+                held.append(row)
+            yield _as_batch(out, names, kinds)
+        if held:
+            yield _as_batch(list(work(held)), names, kinds)
+
+    return rows.repartition(n_parts(rows), *keys).sortWithinPartitions(*keys).mapInArrow(lean(run), schema)
+
+
+def _as_batch(rows: list[tuple], names: list[str], kinds: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds.field(n).type if n in kinds.names else pa.string()) for c, n in zip(cols, names)], names=names)
+
+
+NAMED = "host string, gpath string, labelled long, blocked long, template string"
+
+
+def _finish(s: Settings) -> Callable[[list[dict]], Iterator[tuple]]:
+    """Templates of all paths of a subtree (rows with one host, level and template so far), from its root down."""
+
+    def work(group: list[dict]) -> Iterator[tuple]:
+        level = group[0]["level"]
+        names: list[str] = []  # of the nodes down to the present one
+        stack = [(0, None, list(range(len(group))))]
+        while stack:
+            at, name, some = stack.pop()
+            if at:
+                names[at - 1 :] = [name]
+            children: dict[str, list[int]] = defaultdict(list)
+            pages = 0
+            for i in some:
+                row = group[i]
+                if len(row["segs"]) > level + at:
+                    children[row["segs"][level + at]].append(i)
+                    pages += row["n"]
+                else:
+                    whole = "/".join(([row["template"]] if row["template"] else []) + names[:at])
+                    yield row["host"], row["gpath"], row["labelled"], row["blocked"], whole
+            k = len(children)
+            if k > s.most or (k > s.many and pages < s.few * k):
+                children = {"*": [i for own in children.values() for i in own]}
+            stack += [(at + 1, seg, own) for seg, own in children.items()]
+
+    return work
+
+
+def _large(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Groups that are too large for one task, with the first and last of their texts."""
+    size = rows.groupBy(*keys).agg(F.count("*").alias("k"), F.sum(F.length(text)).alias("chars"), F.min(text).alias("first"), F.max(text).alias("last"))
+    return size.where((F.col("k") > GROUP) | ((F.col("chars") > CHARS) & (F.col("k") > 1))).drop("k", "chars")
+
+
+def _templates(paths: DataFrame, s: Settings) -> DataFrame:
+    """``NAMED`` rows of distinct generalised paths (host, gpath, n, labelled, blocked, segs).
+
+    A subtree that fits one task is finished there, to its leaves. Only subtrees that don't fit go down with joins,
+    one branching at a time: what all their paths have in common is passed in one step, however long it is.
+    """
+    rows, done = paths.withColumns({"template": F.lit(""), "level": F.lit(0)}), []
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
-    for level in range(depth):
-        seg = F.get("segs", F.lit(level))
-        rows = rows.withColumn("seg", F.when(seg.rlike(VARYING), F.lit("*")).otherwise(seg))
-        children = rows.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("pages"))
-        nodes = children.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("pages").alias("pages"))
-        varies = nodes.where((F.col("k") > s.most) | ((F.col("k") > s.many) & (F.col("pages") < s.few * F.col("k")))).select("host", "template", F.lit(True).alias("varies"), salts)
-        sep = F.when(F.col("template") == "", "").otherwise("/")
-        name = F.when(F.col("varies"), "*").otherwise(F.col("seg"))
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int"))
-        rows = salted.join(varies, ["host", "template", "salt"], "left").withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", sep, name))).drop("seg", "varies", "salt")
-        if level % LEVELS == LEVELS - 1:
-            rows = written(rows, "level")
-    return rows.drop("segs")
-
-
-def _merged(table: DataFrame, s: Settings, depth: int) -> DataFrame:
-    """host, template, branch: the template that each is merged into."""
-    rows = table.withColumn("branch", F.col("template"))
-    for level in reversed(range(depth)):
-        parts = F.split("branch", "/")
-        mask = F.concat_ws("/", F.slice(parts, 1, level), F.array(F.lit("*")), F.slice(parts, level + 2, depth + 2))
-        has = (F.size(parts) > level) & (F.col("branch") != "")
+    sep = F.when(F.col("template") == "", "").otherwise("/")
+    keys = ["host", "template"]
+    while True:
+        rest = F.concat(F.array_join(F.slice("segs", F.col("level") + 1, F.size("segs")), "/"), F.lit("/"))
+        large = written(_large(rows.withColumn("rest", rest), keys, "rest"), "subtrees")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, _grouped(rows, keys, NAMED, _finish(s))])
+        # The common beginning of all texts is that of the first and the last; each segment ends with its slash.
+        same = F.zip_with(F.split("first", "/"), F.split("last", "/"), lambda x, y: x.eqNullSafe(y) & (x != ""))
+        differ = F.array_position(same, False)
+        common = F.when(differ > 0, differ - 1).otherwise(F.size(same)).cast("int").alias("common")
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("gpath"), F.lit(SALT)).cast("int"))
+        told = written(salted.join(large.select(*keys, common, salts), [*keys, "salt"], "left").drop("salt"), "level")
+        done.append(_grouped(told.where("common is null").drop("common"), keys, NAMED, _finish(s)))
+        passed = F.array_join(F.slice("segs", F.col("level") + 1, F.col("common")), "/")
+        name = F.when(F.col("common") > 0, F.concat("template", sep, passed)).otherwise(F.col("template"))
+        rows = told.where("common is not null").withColumn("template", name).withColumn("level", F.col("level") + F.col("common")).drop("common")
+        rows = rows.withColumn("seg", F.get("segs", F.col("level")))
+        done.append(rows.where("seg is null").select(*[f.split()[0] for f in NAMED.split(", ")]))
+        rows = rows.where("seg is not null")
+        children = rows.groupBy(*keys, "seg").agg(F.sum("n").alias("pages"))
+        nodes = children.groupBy(*keys).agg(F.count("*").alias("k"), F.sum("pages").alias("pages"))
+        varies = nodes.where((F.col("k") > s.most) | ((F.col("k") > s.many) & (F.col("pages") < s.few * F.col("k")))).select(*keys, F.lit("*").alias("varies"), salts)
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("gpath"), F.lit(SALT)).cast("int"))
+        rows = salted.join(varies, [*keys, "salt"], "left").withColumn("template", F.concat("template", sep, F.coalesce("varies", "seg"))).withColumn("level", F.col("level") + 1).drop("seg", "varies", "salt")
+        rows = written(rows, "level")
+
+
+def _merge(s: Settings) -> Callable[[list[dict]], Iterator[tuple]]:
+    """The branches of all templates of a host, from the leaves up."""
+
+    def work(group: list[dict]) -> Iterator[tuple]:
+        branch = [r["template"] for r in group]
+        parts = {b: b.split("/") for b in branch if b}
+        depth = max((len(parts[b]) for b, r in zip(branch, group) if b and r["labelled"] >= s.labelled), default=0)
+        for level in reversed(range(depth)):
+            own: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            for b, r in zip(branch, group):
+                if r["labelled"] and b and len(parts[b]) > level:
+                    own[b][0] += r["labelled"]
+                    own[b][1] += r["blocked"]
+            masks = {b: "/".join([*parts[b][:level], "*", *parts[b][level + 1 :]]) for b in own}
+            every: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            for b, (lab, blk) in own.items():
+                every[masks[b]][0] += lab
+                every[masks[b]][1] += blk
+            moved = {}
+            for b, (lab, blk) in own.items():
+                p = every[masks[b]][1] / every[masks[b]][0]
+                if lab >= s.labelled and abs(blk / lab - p) <= s.z * (p * (1 - p) / lab) ** 0.5:
+                    moved[b] = masks[b]
+                    parts[masks[b]] = masks[b].split("/")
+            branch = [moved.get(b, b) for b in branch] if moved else branch
+        for b, r in zip(branch, group):
+            yield r["host"], r["template"], r["labelled"], r["blocked"], b
+
+    return work
+
+
+BRANCHED = "host string, template string, labelled long, blocked long, branch string"
+
+
+def _merged(table: DataFrame, s: Settings) -> DataFrame:
+    """``BRANCHED`` rows: the branch that each template is merged into.
+
+    Only hosts with a branch of enough labels have anything to merge. A host whose templates fit one task is handled
+    there; the others go up by joins, from their deepest branch with enough labels.
+    """
+    large = written(_large(table, ["host"], "template").select("host"), "hosts")
+    if large.isEmpty():
+        return _grouped(table, ["host"], BRANCHED, _merge(s))
+    small = _grouped(table.join(large, "host", "left_anti"), ["host"], BRANCHED, _merge(s))
+    rows = written(table.join(large, "host", "left_semi").withColumn("branch", F.col("template")), "branches")
+    parts = F.split("branch", "/")
+    for level in reversed(range(rows.where((F.col("labelled") >= s.labelled) & (F.col("branch") != "")).agg(F.max(F.size(parts))).first()[0] or 0)):
+        mask = F.concat_ws("/", F.slice(parts, 1, level), F.array(F.lit("*")), F.slice(parts, level + 2, F.size(parts)))
         # A branch may hold several templates by now: rates are of branches, and of their siblings' together.
-        own = rows.groupBy("host", "branch").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("blk")).withColumn("mask", F.when(has, mask))
-        group = own.where("mask is not null").groupBy("host", "mask").agg(F.sum("lab").alias("all_lab"), F.sum("blk").alias("all_blk"))
+        own = rows.where((F.size(parts) > level) & (F.col("branch") != "") & (F.col("labelled") > 0)).groupBy("host", "branch").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("blk")).withColumn("mask", mask)
+        group = own.groupBy("host", "mask").agg(F.sum("lab").alias("all_lab"), F.sum("blk").alias("all_blk"))
         p = F.col("all_blk") / F.col("all_lab")
         near = F.abs(F.col("blk") / F.col("lab") - p) <= s.z * F.sqrt(p * (1 - p) / F.col("lab"))
-        similar = (F.col("lab") >= s.labelled) & (F.col("all_lab") > 0) & near
-        moved = own.join(group, ["host", "mask"]).where(similar).select("host", "branch", "mask")
-        rows = rows.join(moved, ["host", "branch"], "left").withColumn("branch", F.coalesce("mask", "branch")).drop("mask")
-        if level % LEVELS == 0:
-            rows = written(rows, "branches")
-    return rows
+        moved = own.join(group, ["host", "mask"]).where((F.col("lab") >= s.labelled) & near).select("host", "branch", "mask")
+        rows = written(rows.join(moved, ["host", "branch"], "left").withColumn("branch", F.coalesce("mask", "branch")).drop("mask"), "branches")
+    return small.unionByName(rows)
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, settings: Settings = Settings()) -> DataFrame:
@@ -111,25 +234,24 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     The verdict is the rule's, else ``block`` if the smoothed share of blocked labels of the URL's
     template reaches ``settings.purity``, else ``allow``: a template without labels is allowed. Null
     URLs and those without ``://`` have empty host and path and a template ''. Repeated rows each give a row; an
-    empty table gives none. Only URLs are read. Counts are added up by distinct path before the tree is
-    built, level by level, down to the last segment of the longest path.
+    empty table gives none. Only URLs are read. Paths are counted by their generalised form (varying segments as wildcards)
+    before the tree is built, down to the last segment of the longest path.
     """
     s = settings
     rows = pages.select(F.col(id_col).alias("page_id"), url_host(url_col).alias("host"), url_path(url_col).alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), rule.alias("rule"), verdict.alias("said"))
-    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("said").alias("labelled"), F.count(F.when(F.col("said") == "block", 1)).alias("blocked"))
-    paths = written(paths.withColumn("segs", F.filter(F.split(F.col("path"), "/"), lambda x: x != "")), "paths")
-    depth = paths.agg(F.max(F.size("segs"))).first()[0] or 0  # the tree has as many levels as the longest path
-    named = written(_templates(paths, s, depth), "templates")
+    segs = F.transform(F.filter(F.split(F.coalesce("path", F.lit("")), "/"), lambda x: x != ""), lambda x: F.when(x.rlike(VARYING), F.lit("*")).otherwise(x))
+    rows = rows.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), rule.alias("rule"), verdict.alias("said"), F.array_join(segs, "/").alias("gpath"))
+    paths = rows.groupBy("host", "gpath").agg(F.count("*").alias("n"), F.count("said").alias("labelled"), F.count(F.when(F.col("said") == "block", 1)).alias("blocked"))
+    paths = written(paths.withColumn("segs", F.filter(F.split("gpath", "/"), lambda x: x != "")), "paths")
+    named = written(_templates(paths, s), "templates")
     table = named.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    branches = written(_merged(table, s, depth), "branches")
+    branches = written(_merged(table, s), "branches")
     rates = branches.groupBy("host", "branch").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     rates = rates.select("host", "branch", ((F.col("b") + s.prior / 2) / (F.col("l") + s.prior)).alias("purity"))
-    judged = named.select("host", "path", "template").join(branches.select("host", "template", "branch"), ["host", "template"]).join(rates, ["host", "branch"]).select("host", "path", F.col("branch").alias("template"), "purity")
-    out = rows.join(judged, ["host", "path"])
+    judged = named.select("host", "gpath", "template").join(branches.select("host", "template", "branch"), ["host", "template"]).join(rates, ["host", "branch"]).select("host", "gpath", F.col("branch").alias("template"), "purity")
     own = F.when(F.col("purity") >= s.purity, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "template", "purity")
+    return rows.join(judged, ["host", "gpath"]).select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "template", "purity")
 
 
 def sql(rules: tuple[tuple[str, str], ...] = RULES, settings: Settings = Settings(), depth: int = 8) -> str:
