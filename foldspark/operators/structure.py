@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import KNOWN_TYPES, fold_coverage, half_open_overlap, overlap_ratio
+from foldspark.sources.tables import settled
 
 
 def assign_scop(domains: DataFrame, parts: DataFrame, share: float = 0.5) -> DataFrame:
@@ -112,61 +113,72 @@ def protein_structure_set(known: DataFrame, decoys: DataFrame, most: int = 5) ->
     return one.unionByName(top.select("protein", F.concat(F.lit("d"), F.col("domain")).alias("elem"), "structure"))
 
 
-def _directed(elements: DataFrame, scores: DataFrame) -> DataFrame:
-    """p, q, elem, best: for an element of p the best stored score with any structure of q, 0 or more."""
-    stored = canonical(scores)
-    both = stored.unionByName(stored.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "zscore"))
-    x = elements.select(F.col("protein").alias("p"), "elem", F.col("structure").alias("a"))
-    y = elements.select(F.col("protein").alias("q"), F.col("structure").alias("b"))
-    return both.join(x, "a").join(y, "b").where("p <> q").groupBy("p", "q", "elem").agg(F.greatest(F.max("zscore"), F.lit(0.0)).alias("best"))
+def _links(elements: DataFrame, stored: DataFrame) -> DataFrame:
+    """p < q, n_p, n_q, elem_p, elem_q, zscore: a row for each stored score between two proteins' structures, formed once.
+
+    n: the distinct elements of each protein, carried along so that pairs need no further join.
+    """
+    own = elements.groupBy("protein").agg(F.collect_set(F.struct("elem", "structure")).alias("own"))
+    sized = own.select("protein", F.size(F.array_distinct("own.elem")).alias("n"), F.inline("own")).where("structure is not null")
+    x, y = (sized.select(F.col("structure").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("protein", "n", "elem")]) for k in ("a", "b"))
+    met = stored.join(x, "a").join(y, "b").where("protein_a < protein_b or (protein_a > protein_b and a <> b)")
+    first = F.col("protein_a") < F.col("protein_b")
+    pick = lambda c, k: F.when(first, F.col(f"{c}_{'a' if k == 'p' else 'b'}")).otherwise(F.col(f"{c}_{'b' if k == 'p' else 'a'}"))
+    return met.select(pick("protein", "p").alias("p"), pick("protein", "q").alias("q"), *[pick(c, k).alias(f"{c}_{k}") for k in "pq" for c in ("n", "elem")], "zscore")
 
 
-def pairwise_max_avg(elements: DataFrame, scores: DataFrame) -> DataFrame:
-    """p < q, similarity: the mean over both proteins' elements of the best score with the other.
+def pairwise_max_avg(elements: DataFrame, scores: DataFrame, is_canonical: bool = False) -> DataFrame:
+    """p < q, similarity: the mean over both proteins' elements of the best score with the other, 0 or more.
 
-    Starts from the stored scores: pairs of proteins without any are 0 and not returned.
+    Starts from the stored scores: pairs of proteins without any are 0 and not returned. Each link is formed
+    once, for both directions, and meets its pair in one exchange, which all sums share. ``is_canonical``
+    says that ``scores`` has one row a pair, as ``canonical`` gives it.
     """
-    sizes = elements.groupBy("protein").agg(F.countDistinct("elem").alias("n"))
-    each = _directed(elements, scores).groupBy(F.least("p", "q").alias("p1"), F.greatest("p", "q").alias("q1")).agg(F.sum("best").alias("total"))
-    n1, n2 = (sizes.select(F.col("protein").alias(k), F.col("n").alias(f"n_{k}")) for k in ("p1", "q1"))
-    out = each.join(n1, "p1").join(n2, "q1")
-    return out.select(F.col("p1").alias("p"), F.col("q1").alias("q"), (F.col("total") / (F.col("n_p1") + F.col("n_q1"))).alias("similarity"))
+    links = _links(elements, scores.select("a", "b", "zscore") if is_canonical else canonical(scores)).repartition("p", "q")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("elem_p").alias("elem")), F.struct(F.lit(1).alias("side"), F.col("elem_q").alias("elem"))))
+    each = links.select("p", "q", "n_p", "n_q", "zscore", sides.alias("x")).groupBy("p", "q", "n_p", "n_q", "x.side", "x.elem").agg(F.greatest(F.max("zscore"), F.lit(0.0)).alias("best"))
+    return each.groupBy("p", "q", "n_p", "n_q").agg(F.sum("best").alias("total")).select("p", "q", (F.col("total") / (F.col("n_p") + F.col("n_q"))).alias("similarity"))
+
 
+def homolog_all_vs_all(elements: DataFrame, scores: DataFrame, keep: int = 100, is_canonical: bool = False) -> DataFrame:
+    """source, other, similarity, rank: the best ``keep`` proteins of each source.
 
-def homolog_all_vs_all(elements: DataFrame, scores: DataFrame, keep: int = 100) -> DataFrame:
-    """source, other, similarity, rank: the best ``keep`` proteins of each source."""
-    half = pairwise_max_avg(elements.where("structure is not null"), scores)
-    both = half.select(F.col("p").alias("source"), F.col("q").alias("other"), "similarity").unionByName(half.select(F.col("q").alias("source"), F.col("p").alias("other"), "similarity"))
+    A pair is formed once and mirrored; of a source's pairs each task sends ``keep`` at most to its window.
+    """
+    half = pairwise_max_avg(elements.where("structure is not null"), scores, is_canonical)
+    ways = F.array(F.struct(F.col("p").alias("source"), F.col("q").alias("other")), F.struct(F.col("q").alias("source"), F.col("p").alias("other")))
+    both = half.select(F.inline(ways), "similarity")
     w = Window.partitionBy("source").orderBy(F.col("similarity").desc(), "other")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
 
 
 def ranked(rows: DataFrame, key: str, *ties: str) -> DataFrame:
-    """The rows with idx, from 0, in order of a numeric key and then the ties: ranks inside ranges of the key plus
-    the sizes of the ranges before."""
+    """The rows with idx, from 0, in order of a key of any ordered type and then the ties.
+
+    Rows are dealt by ranges and sorted in them once; their number in a range and the sizes of the ranges
+    before it give the index, so no window holds more than a row a range.
+    """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(rows.stat.approxQuantile(key, [i / n for i in range(1, n)], 0.01))) if n > 1 else []
-    part = F.lit(0)
-    for cut in cuts:
-        part = part + (F.col(key) >= cut).cast("int")
-    dealt = rows.withColumn("part__", part)
-    before = dealt.groupBy("part__").agg(F.count("*").alias("n__")).select("part__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base__"))
-    w = Window.partitionBy("part__").orderBy(key, *ties)
-    return dealt.join(F.broadcast(before), "part__").withColumn("idx", F.col("base__") + F.row_number().over(w) - 1).drop("part__", "base__")  # a row a range
+    placed = rows.repartitionByRange(n, key, *ties).sortWithinPartitions(key, *ties)
+    placed = settled(placed.withColumn("id__", F.monotonically_increasing_id()))  # the range's number above 33 bits, the row's below
+    part, row = F.shiftright("id__", 33), F.col("id__").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("part__")).agg(F.count("*").alias("n__"))
+    before = sizes.select("part__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base__"))
+    return placed.withColumn("part__", part).join(F.broadcast(before), "part__").withColumn("idx", F.col("base__") + row).drop("part__", "base__", "id__")  # a row a range
 
 
 def score_index(df: DataFrame, key: str = "structure") -> DataFrame:
-    """key, idx: distinct keys in order, from 0."""
+    """key, idx: distinct keys, numbers or strings, in order, from 0."""
     return ranked(df.select(key).distinct(), key)
 
 
-def similarity_matrix(elements: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+def similarity_matrix(elements: DataFrame, scores: DataFrame, is_canonical: bool = False) -> tuple[DataFrame, DataFrame]:
     """(matrix: row < column, similarity; keys: protein, idx): the upper triangle as sparse triples, all else is 0.
 
     ``elements`` (protein, elem, structure) as for ``pairwise_max_avg``; indexes are in order of the proteins.
     """
     keys = score_index(elements, "protein")
-    pairs = pairwise_max_avg(elements, scores)
+    pairs = pairwise_max_avg(elements, scores, is_canonical)
     at = [keys.select(F.col("protein").alias(k), F.col("idx").alias(f"i__{k}")) for k in ("p", "q")]
     found = pairs.join(at[0], "p").join(at[1], "q")
     return found.select(F.least("i__p", "i__q").alias("row"), F.greatest("i__p", "i__q").alias("column"), "similarity"), keys

@@ -109,7 +109,7 @@ DIRECTED = {
 
 @query("SELECT * FROM sim", DIRECTED)
 def pairwise_max_avg(t):
-    return structure.pairwise_max_avg(t.elements, t.element_pairs).withColumn("similarity", F.round("similarity", 8))
+    return structure.pairwise_max_avg(t.elements, t.element_pairs, is_canonical=True).withColumn("similarity", F.round("similarity", 8))
 
 
 @query(
@@ -117,7 +117,7 @@ def pairwise_max_avg(t):
     DIRECTED,
 )
 def homolog_all_vs_all(t):
-    return structure.homolog_all_vs_all(t.elements, t.element_pairs, 10).withColumn("similarity", F.round("similarity", 8))
+    return structure.homolog_all_vs_all(t.elements, t.element_pairs, 10, is_canonical=True).withColumn("similarity", F.round("similarity", 8))
 
 
 @query("SELECT DISTINCT protein, 'k' || structure AS elem, structure FROM elements UNION ALL SELECT o_custkey, 'd' || o_orderkey, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderkey ORDER BY q DESC, l_partkey) AS r FROM (SELECT o_custkey, o_orderkey, l_partkey, max(l_quantity) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)) WHERE r <= 5")
@@ -128,7 +128,7 @@ def protein_structure_set(t):
 
 @query("SELECT least(x.idx, y.idx) AS row, greatest(x.idx, y.idx) AS \"column\", similarity FROM sim JOIN keyed x ON x.protein = p JOIN keyed y ON y.protein = q", DIRECTED | {"keyed": "SELECT protein, row_number() OVER (ORDER BY protein) - 1 AS idx FROM (SELECT DISTINCT protein FROM elements)"})
 def similarity_matrix(t):
-    return structure.similarity_matrix(t.elements, t.element_pairs)[0].withColumn("similarity", F.round("similarity", 8))
+    return structure.similarity_matrix(t.elements, t.element_pairs, is_canonical=True)[0].withColumn("similarity", F.round("similarity", 8))
 
 
 @query("SELECT structure, row_number() OVER (ORDER BY structure) - 1 AS idx FROM (SELECT DISTINCT structure FROM elements)")
@@ -136,6 +136,11 @@ def score_index(t):
     return structure.score_index(t.elements)
 
 
+@query("SELECT structure, row_number() OVER (ORDER BY structure) - 1 AS idx FROM (SELECT DISTINCT kind || ' ' || code AS structure FROM parts)")
+def score_index_names(t):
+    return structure.score_index(t.parts.select(F.concat_ws(" ", "kind", "code").alias("structure")))
+
+
 @query("SELECT least(x.idx, y.idx) AS row, greatest(x.idx, y.idx) AS \"column\", zscore FROM pairs JOIN (SELECT partkey AS k, partkey + 5 AS idx FROM parts) x ON x.k = a JOIN (SELECT partkey AS k, partkey + 5 AS idx FROM parts) y ON y.k = b")
 def group_matrix(t):
     return structure.group_matrix(t.parts.select(F.col("partkey").alias("structure"), (F.col("partkey") + 5).alias("idx")), t.pairs)
