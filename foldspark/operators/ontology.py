@@ -6,32 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import UNIVERSAL
+from foldspark.operators.trees import walk_up
 from foldspark.sources.tables import settled
 
 
 def transitive_closure(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """ancestor, descendant, distance (least; a node itself at 0) of an acyclic (parent, child) table.
 
-    The frontier is joined with the edges until it is empty; each round is written, so that lineage
-    stays short. A cycle is an error.
+    Distances double: pairs at exactly 2^k steps are joined with all pairs up to 2^k, and with themselves for the next
+    round, so rounds grow with the logarithm of the depth. Each is written, so that lineage stays short. A cycle is an error.
     """
     edges = edges.select("parent", "child").where("parent is not null and child is not null").distinct()
     own = edges.select(F.col("parent").alias("n")).unionByName(edges.select(F.col("child").alias("n")))
     own = (own if nodes is None else own.unionByName(nodes.toDF("n"))).distinct()
-    rounds = [own.select(F.col("n").alias("ancestor"), F.col("n").alias("descendant"), F.lit(0).alias("distance"))]
-    frontier = settled(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")))
-    d = 0
-    while not frontier.isEmpty():
-        d += 1
-        if not frontier.where("ancestor = descendant").isEmpty():
+    far = settled(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")))
+    pairs, steps = far.withColumn("distance", F.lit(1)), 1
+    while not far.isEmpty():
+        if not pairs.where("ancestor = descendant").isEmpty():
             raise ValueError("the graph has a cycle")
-        rounds.append(frontier.withColumn("distance", F.lit(d)))
-        step = frontier.join(edges, frontier["descendant"] == edges["parent"]).select("ancestor", F.col("child").alias("descendant"))
-        frontier = settled(step.distinct())
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return settled(out.groupBy("ancestor", "descendant").agg(F.min("distance").alias("distance")))  # a table of its own, used several times
+        up = far.select("ancestor", F.col("descendant").alias("mid"))
+        longer = up.join(pairs.withColumnRenamed("ancestor", "mid"), "mid").select("ancestor", "descendant", (F.col("distance") + steps).alias("distance"))
+        pairs, before = settled(pairs.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("distance").alias("distance"))), far
+        far, steps = settled(up.join(before.withColumnRenamed("ancestor", "mid"), "mid").select("ancestor", "descendant").distinct()), 2 * steps
+    return settled(pairs.unionByName(own.select(F.col("n").alias("ancestor"), F.col("n").alias("descendant"), F.lit(0).alias("distance"))))  # used several times
 
 
 def ancestor_terms(annotations: DataFrame, terms: DataFrame, closure: DataFrame, types: list[str] | None = None, codes: list[str] | None = None) -> DataFrame:
@@ -109,23 +106,14 @@ def annotation_matrix(entity_terms: DataFrame, index: DataFrame) -> DataFrame:
 def climb(nodes: DataFrame, parent_of: DataFrame, stops: list[int]) -> DataFrame:
     """node, stop: the first of ``stops`` on the way up from a node; null if there is none.
 
-    ``parent_of`` (node, parent). Each round only carries the nodes that have not arrived. A cycle above a
-    node is an error: each node is compared with where it stood at the last round that was a power of two.
+    ``parent_of`` (node, parent); a node that is its own parent is at the top. Steps double from round to
+    round (``trees.walk_up``). A cycle is an error.
     """
-    going = settled(nodes.select("node", F.col("node").alias("at"), F.lit(None).cast(nodes.schema["node"].dataType).alias("mark")).distinct())
-    done, turn = [], 0
-    while not done or not going.isEmpty():
-        turn += 1
-        done.append(going.where(F.col("at").isin(stops)).select("node", F.col("at").alias("stop")))
-        step = going.where(~F.col("at").isin(stops)).join(parent_of.select(F.col("node").alias("at"), "parent"), "at").where("parent is not null and parent <> at")
-        mark = F.col("at") if turn & (turn - 1) == 0 else F.col("mark")
-        going = settled(step.select("node", F.col("parent").alias("at"), mark.alias("mark")))
-        if not going.where("at = mark").isEmpty():
-            raise ValueError("the parents have a cycle")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return nodes.select("node").distinct().join(out, "node", "left")
+    at_stop = F.col("at").isin(stops)
+    up = parent_of.select("node", F.col("parent").alias("at")).where("node <> at").where(~F.col("node").isin(stops))
+    found = walk_up(up, at_stop).distinct().withColumnRenamed("at", "stop")
+    own = nodes.where(F.col("node").isin(stops)).select("node", F.col("node").alias("stop")).distinct()
+    return nodes.select("node").distinct().join(found.unionByName(own), "node", "left")
 
 
 def kingdom(nodes: DataFrame, parent_of: DataFrame) -> DataFrame:

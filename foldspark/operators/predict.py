@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from math import log
+from math import floor, log
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import TINY
-from foldspark.operators.metrics import featured_term
 from foldspark.sources.tables import settled
 
 SCORES = ("p_llr", "l_llr", "s_llr", "pl_llr", "ps_llr", "ls_llr", "pls_llr", "base_llr")
@@ -38,43 +37,66 @@ def structure_sets(df: DataFrame, mode: str) -> DataFrame:
     return ranked.select("domain", "set_id", "sccs", "p")
 
 
+def _linked_terms(terms: DataFrame, funcs: DataFrame, mi: DataFrame, pair: DataFrame, name: str) -> DataFrame:
+    """parent, func, {name}_acc, {name}_part: the parent's term of greatest MI with each function, and its log ratio.
+
+    Only functions for which a term of the parent has a stored value of either kind. Of the other terms, whose MI is 0, the
+    greatest stands for all; ties go to the greatest term.
+    """
+    m = mi.select(F.col("acc").alias("func"), F.col("acc2").alias("term"), F.col("metric").alias("mi")).where("term is not null").join(funcs, "func", "left_semi")
+    told = m.join(pair.select("func", F.col("given").alias("term"), F.col("metric").alias("lr")), ["func", "term"], "full")
+    own = terms.groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    best = F.max(F.struct(F.coalesce("mi", F.lit(0.0)).alias("mi"), "term", "lr")).alias("best")
+    held = terms.join(told, "term").groupBy("entity", "func").agg(best, F.collect_set("term").alias("known")).join(own, "entity")
+    other = F.array_max(F.array_except("terms", "known"))
+    zero = F.when(other.isNotNull(), F.struct(F.lit(0.0).alias("mi"), other.alias("term"), F.lit(None).cast("double").alias("lr")))
+    top = F.greatest("best", zero)
+    return held.select(F.col("entity").alias("parent"), "func", top["term"].alias(f"{name}_acc"), F.coalesce(top["lr"], F.lit(MISSING)).alias(f"{name}_part"))
+
+
 def predict_functions(domains: DataFrame, structures: DataFrame, process: DataFrame, localisation: DataFrame, lr: DataFrame, mi: DataFrame, lower: float = -12.0, upper: float = 0.0) -> DataFrame:
     """domain, parent, set_id, func, the eight scores, p_acc, l_acc.
 
     ``domains`` (domain, parent), ``structures`` (domain, set_id, sccs, p), ``process`` and
     ``localisation`` (entity, term: of the parent), ``lr`` and ``mi`` metric tables. Functions are those
-    with a base log ratio below ``upper``. Scores of the parent are found and written once for each (parent,
-    function); a domain's structures add their stored log ratios to the default. Functions that a domain
-    has no stored log ratio with meet it in a join on the parent that carries the lower bound, so that only
-    what reaches the bound becomes a row. A null parent has no terms.
+    with a base log ratio below ``upper``. A null parent has no terms.
+
+    Parents never meet all functions. Stored values join first: those of a parent's terms are found once for each (parent, function)
+    that has any, and kept if the best that structures can add reaches ``lower``; a domain's structures add their stored log
+    ratios to the default. What has no stored value at all has the same default parts for all parents with terms of the same
+    kinds, so it depends on the base alone: a domain meets those functions by whole numbers of their base, from its own bound upwards.
     """
-    base = lr.where(F.col("acc2").isNull() & (F.col("metric") < upper)).select(F.col("acc").alias("func"), F.col("metric").alias("base_llr"))
+    base = settled(lr.where(F.col("acc2").isNull() & (F.col("metric") < upper)).select(F.col("acc").alias("func"), F.col("metric").alias("base_llr")))
     funcs = base.select("func")
     pair = lr.where("acc2 is not null").join(funcs.withColumnRenamed("func", "acc"), "acc", "left_semi").select(F.col("acc").alias("func"), F.col("acc2").alias("given"), "metric")
-
-    def by_parent(terms: DataFrame, name: str) -> DataFrame:
-        best = featured_term(terms, funcs, mi).select(F.col("entity").alias("parent"), "func", F.col("term").alias(f"{name}_acc"))
-        told = pair.select("func", F.col("given").alias(f"{name}_acc"), F.col("metric").alias(f"{name}_part"))
-        joined = best.join(told, ["func", f"{name}_acc"], "left")
-        return joined.select("parent", "func", f"{name}_acc", F.when(F.col(f"{name}_acc").isNotNull(), F.coalesce(f"{name}_part", F.lit(MISSING))).alias(f"{name}_part"))
-
     # sum p * lr = MISSING * sum p + sum p * (lr - MISSING) over the stored pairs.
-    mass = structures.groupBy("domain", "set_id").agg(F.sum("p").alias("mass"))
-    stored = structures.join(pair, F.col("sccs") == F.col("given")).groupBy("domain", "set_id", "func").agg(F.sum(F.col("p") * (F.col("metric") - MISSING)).alias("extra"))
-    of_parent = domains.select("parent").distinct().crossJoin(base)
-    for terms, name in ((process, "p"), (localisation, "l")):
-        of_parent = of_parent.join(by_parent(terms, name), ["parent", "func"], "left")
-    of_parent = settled(of_parent.withColumnRenamed("parent", "of__parent"))
-    held = domains.join(mass, "domain")
-    same = F.col("parent").eqNullSafe(F.col("of__parent"))
-    p, loc, f = F.coalesce("p_part", F.lit(0.0)), F.coalesce("l_part", F.lit(0.0)), F.col("base_llr")
-    with_stored = held.join(stored, ["domain", "set_id"]).join(of_parent.withColumnRenamed("func", "of__func"), same & (F.col("func") == F.col("of__func"))).drop("of__func")
-    without = held.join(of_parent, same & (f + p + loc + F.col("mass") * MISSING >= lower)).join(stored.select("domain", "set_id", "func"), ["domain", "set_id", "func"], "left_anti")
-    rows = with_stored.unionByName(without, allowMissingColumns=True)
+    mass = settled(structures.groupBy("domain", "set_id").agg(F.sum("p").alias("mass")))
+    stored = settled(structures.join(pair, F.col("sccs") == F.col("given")).groupBy("domain", "set_id", "func").agg(F.sum(F.col("p") * (F.col("metric") - MISSING)).alias("extra")))
+    greatest = lambda t, name: t.groupBy(F.col("entity").alias("parent")).agg(F.max("term").alias(f"{name}_top"))
+    parents = domains.select("parent").distinct().join(greatest(process, "p"), "parent", "left").join(greatest(localisation, "l"), "parent", "left")
+    part = lambda name: F.coalesce(f"{name}_part", F.when(F.col(f"{name}_top").isNotNull(), F.lit(MISSING)).otherwise(F.lit(0.0)))
+    p, loc, f = part("p"), part("l"), F.col("base_llr")
+    linked = _linked_terms(process, funcs, mi, pair, "p").join(_linked_terms(localisation, funcs, mi, pair, "l"), ["parent", "func"], "full")
+    reach = stored.join(mass, ["domain", "set_id"]).groupBy("func").agg(F.max(F.col("extra") + F.col("mass") * MISSING).alias("most"))
+    linked = linked.join(parents, "parent").join(base, "func").join(reach, "func", "left").where(f + p + loc + F.greatest(F.col("most"), F.lit(0.0)) >= lower)
+    linked = settled(linked.select(F.col("parent").alias("of__parent"), F.col("func").alias("of__func"), "p_acc", "p_part", "l_acc", "l_part"))
+    same, own = F.col("parent") == F.col("of__parent"), F.col("func") == F.col("of__func")
+    held = settled(domains.join(mass, "domain").join(parents.withColumnRenamed("parent", "of__parent"), F.col("parent").eqNullSafe(F.col("of__parent")), "left").drop("of__parent"))
+    with_stored = held.join(stored, ["domain", "set_id"]).join(base, "func").join(linked, same & own, "left")
+    of_terms = held.join(linked, same).withColumnRenamed("of__func", "func").join(base, "func").where(f + p + loc + F.col("mass") * MISSING >= lower)
+    # Without any stored value: from the whole number below the domain's bound up to the greatest base.
+    bound = lower - F.col("mass") * MISSING - MISSING * (F.col("p_top").isNotNull().cast("int") + F.col("l_top").isNotNull().cast("int"))
+    low, high = (floor(x) if x is not None else 0 for x in base.agg(F.min("base_llr"), F.max("base_llr")).first())
+    start = F.greatest(F.floor(bound), F.lit(low))
+    whole = F.explode(F.when(start <= high, F.sequence(start.cast("int"), F.lit(high)))).alias("whole")
+    bare = held.select("*", bound.alias("bound"), whole).join(base.withColumn("whole", F.floor("base_llr").cast("int")), "whole").where("base_llr >= bound").drop("bound", "whole").join(linked, same & own, "left_anti")
+    without = of_terms.drop("of__parent").unionByName(bare, allowMissingColumns=True).join(stored.select("domain", "set_id", "func"), ["domain", "set_id", "func"], "left_anti")
+    rows = with_stored.drop("of__parent", "of__func").unionByName(without, allowMissingColumns=True)
     s = F.col("mass") * MISSING + F.coalesce("extra", F.lit(0.0))
     parts = {"p": p, "l": loc, "s": s}
     scores = [(sum((parts[x] for x in name), start=f)).alias(f"{name}_llr") for name in ("p", "l", "s", "pl", "ps", "ls", "pls")]
-    return rows.select("domain", "parent", "set_id", "func", *scores, "base_llr", "p_acc", "l_acc").where(F.col("pls_llr") >= lower)
+    acc = [F.coalesce(f"{name}_acc", f"{name}_top").alias(f"{name}_acc") for name in "pl"]
+    return rows.select("domain", "parent", "set_id", "func", *scores, "base_llr", *acc).where(F.col("pls_llr") >= lower)
 
 
 def best_per_function(predictions: DataFrame) -> DataFrame:

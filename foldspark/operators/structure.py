@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,38 +205,40 @@ def pair_blocks(keys: DataFrame) -> DataFrame:
     return b.withColumnRenamed("block", "block_a").crossJoin(F.broadcast(b.withColumnRenamed("block", "block_b"))).where("block_a <= block_b")  # 100 rows
 
 
-def best_path(rows: pd.DataFrame, apart: float = 0.1) -> pd.DataFrame:
-    """The chain of intervals that hardly overlap, in order, of greatest sum of overlap * length."""
-    rows = rows.sort_values(["start", "stop", "key"]).reset_index(drop=True)
-    n = len(rows)
-    start, stop, value = rows["start"].to_numpy(), rows["stop"].to_numpy(), (rows["ratio"] * (rows["stop"] - rows["start"] + 1)).to_numpy()
-    best, back = value.copy(), [-1] * n
-    edges = 0
-    for j in range(n):
-        for i in range(j):
-            common = max(0, min(stop[i], stop[j]) - max(start[i], start[j]) + 1) / (stop[i] - start[i] + 1)
-            if common < apart:
-                edges += 1
-                if best[i] + value[j] > best[j]:
-                    best[j], back[j] = best[i] + value[j], i
-    if edges > 50:
-        return rows.iloc[:0]
-    at, picked = int(best.argmax()), []
-    while at >= 0:
-        picked.append(at)
-        at = back[at]
-    return rows.iloc[sorted(picked)]
+def best_path(candidates: Column, apart: float = 0.1, most_edges: int = 50) -> Column:
+    """Of sorted structs (start, stop, key, ratio) the chain in order, of intervals that hardly overlap, with the
+    greatest sum of ratio * length; empty if more than ``most_edges`` pairs of them could follow each other.
+
+    Dynamic programming in one fold: each interval's best chain ends a chain of one before it that is apart from it by
+    overlap as a share of the earlier one. Ties go to the interval first in order.
+    """
+    length = lambda x: x["stop"] - x["start"] + 1
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("edges"), F.array().cast("array<struct<start: bigint, stop: bigint, total: double, path: array<int>>>").alias("held"))
+
+    def step(state: Column, x: Column) -> Column:
+        common = lambda y: F.greatest(F.lit(0), F.least(y["stop"], x["stop"]) - F.greatest(y["start"], x["start"]) + 1)
+        before = F.filter(F.transform(state["held"], lambda y, i: F.struct(y["total"].alias("total"), (-i).alias("first"), y["path"].alias("path"), (common(y) / length(y) < apart).alias("apart"))), lambda y: y["apart"])
+        best = F.array_max(F.transform(before, lambda y: F.struct(y["total"], y["first"], y["path"])))
+        total = F.coalesce(best["total"], F.lit(0.0)) + x["ratio"] * length(x)
+        path = F.concat(F.coalesce(best["path"], none), F.array(F.size(state["held"]).cast("int")))
+        own = F.struct(x["start"].cast("long").alias("start"), x["stop"].cast("long").alias("stop"), total.alias("total"), path.alias("path"))
+        grown = F.struct((state["edges"] + F.size(before)).alias("edges"), F.concat(state["held"], F.array(own)).alias("held"))
+        return F.when(state["edges"] > most_edges, state).otherwise(grown)
+
+    def picked(state: Column) -> Column:
+        best = F.array_max(F.transform(state["held"], lambda y, i: F.struct(y["total"].alias("total"), (-i).alias("first"), y["path"].alias("path"))))
+        return F.when(state["edges"] > most_edges, none).otherwise(best["path"])
+
+    return F.transform(F.aggregate(candidates, start, step, picked), lambda i: F.get(candidates, i))
 
 
 def representative_path(candidates: DataFrame, least: float = 0.8) -> DataFrame:
     """domain, key, start, stop, ratio: a domain's representative structures.
 
-    Candidates with overlap ``least`` or more, unique by key and by (start, stop). Fewer than two are
-    kept as they are; the others, a few each, go to a small grouped helper.
+    Candidates with overlap ``least`` or more, unique by key and by (start, stop), in order of (start, stop, key): those of
+    ``best_path``. A domain's candidates, a few each, meet in one row.
     """
     c = candidates.where(F.col("ratio") >= least).groupBy("domain", "start", "stop").agg(F.min("key").alias("key"), F.max("ratio").alias("ratio"))
-    c = c.groupBy("domain", "key").agg(F.min(F.struct("start", "stop", "ratio")).alias("x")).select("domain", "key", "x.start", "x.stop", "x.ratio")
-    sized = c.withColumn("n", F.count("*").over(Window.partitionBy("domain")))
-    few = sized.where("n < 2").drop("n")
-    many = sized.where("n >= 2").drop("n").groupBy("domain").applyInPandas(lambda rows: best_path(rows), c.schema)
-    return few.unionByName(many)
+    c = c.groupBy("domain", "key").agg(F.min(F.struct("start", "stop", "ratio")).alias("x")).groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("x.start", "x.stop", "key", "x.ratio"))).alias("all"))
+    return c.select("domain", F.inline(best_path(F.col("all")))).select("domain", "key", "start", "stop", "ratio")

@@ -205,7 +205,7 @@ PREDICT = MI | STRUCT | {
     PREDICT,
 )
 def predict_functions(t):
-    prob = _prob(t)
+    prob = settled(_prob(t))
     lr, mi = settled(metrics.log_ratio(prob)), settled(metrics.mutual_information(prob))
     lr = lr.where("acc2 is not null or acc not like 'Brand%'")
     structures = predict.structure_sets(_structures(t), "best")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foldspark.operators import ontology
+from foldspark.operators import ontology, trees
 from foldspark.plans.queries import query
 
 CLOSURE = {"closure": "WITH RECURSIVE up(ancestor, descendant, distance) AS (SELECT n, n, 0 FROM (SELECT parent AS n FROM edges UNION SELECT child FROM edges) UNION ALL SELECT e.parent, u.descendant, u.distance + 1 FROM up u JOIN edges e ON e.child = u.ancestor) SELECT ancestor, descendant, min(distance) AS distance FROM up GROUP BY 1, 2"}
@@ -95,6 +95,19 @@ def leaf_counts(t):
     return ontology.leaf_counts(t.edges)
 
 
+SPLIT = {
+    "level": "SELECT partkey AS node, floor(log2(partkey))::INT AS depth FROM parts WHERE partkey > 0",
+    "bottom": "WITH RECURSIVE r(node, depth, size) AS (SELECT node, depth, 1::BIGINT FROM level WHERE depth = (SELECT max(depth) FROM level) UNION ALL SELECT l.node, any_value(l.depth), CASE WHEN count(c.node) = 0 THEN 1 WHEN sum(c.size) <= 12 THEN sum(c.size) ELSE min(c.size) END::BIGINT FROM level l JOIN (SELECT max(depth) - 1 AS d FROM r) x ON l.depth = x.d LEFT JOIN r c ON c.node // 2 = l.node GROUP BY l.node) SELECT * FROM r",
+    "cut": "SELECT node FROM bottom WHERE node > 1 QUALIFY sum(size) OVER (PARTITION BY node // 2) > 12 AND row_number() OVER (PARTITION BY node // 2 ORDER BY size DESC, node) = 1 UNION ALL SELECT 1",
+    "walk": "WITH RECURSIVE w(leaf, place) AS (SELECT node, node FROM level WHERE node NOT IN (SELECT parent FROM edges) UNION ALL SELECT leaf, place // 2 FROM w WHERE place NOT IN (SELECT node FROM cut)) SELECT * FROM w",
+}
+
+
+@query("SELECT leaf, place AS root FROM walk WHERE place IN (SELECT node FROM cut)", SPLIT)
+def split_tree(t):
+    return trees.split_tree(t.edges, 12)
+
+
 @query("SELECT * FROM recent EXCEPT SELECT * FROM old", OLD_NEW)
 def new_annotations(t):
     old, new, _ = _old_new(t)
