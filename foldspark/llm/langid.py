@@ -112,6 +112,23 @@ def fit(docs: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "
     return LanguageModel(langs, (table - mean[:, None]).astype(np.float32), mean + np.log(BUCKETS))
 
 
+def _em(p: np.ndarray, doc: np.ndarray, starts: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(shares of each document's languages after so many rounds, the log-likelihood that no shares exceed).
+
+    ``p`` (languages, words) likelihoods, ``doc`` the number of each word's document, ``starts`` and ``n`` its first word and its
+    words. The log-likelihood is concave in the shares: the best is at most n log(g) over the present one, where g is the
+    greatest factor by which the next round would change a share.
+    """
+    pi = np.full((len(n), len(p)), 1 / len(p))
+    for _ in range(rounds + 1):
+        last = pi
+        parts = [pi[:, j][doc] * x for j, x in enumerate(p)]
+        total = sum(parts)
+        pi = np.stack([np.add.reduceat(x / total, starts) / n for x in parts], axis=1)
+    ratio = np.stack([np.add.reduceat(x / total, starts) / n for x in p], axis=1).max(axis=1)
+    return last, np.add.reduceat(np.log(np.maximum(total, 1e-300)), starts) + n * np.log(np.maximum(ratio, 1.0)) + 1e-9 * n
+
+
 def mixtures(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shares of all languages (rows: texts; 0 outside the chosen set), numbers of words, and the log of how
     much likelier the words are under the chosen set than under no language (0 without words)."""
@@ -137,27 +154,28 @@ def mixtures(model: LanguageModel, texts: pa.Array) -> tuple[np.ndarray, np.ndar
     p = like[use].T.copy()  # language x word
     n = n_words[some].astype(np.float64)
 
-    def em(allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        pi = allowed / allowed.sum(axis=1, keepdims=True)
-        for _ in range(rounds):
-            r = [pi[:, j][doc] * p[j] if allowed[:, j].any() else None for j in range(n_langs)]
-            total = sum(x for x in r if x is not None)
-            pi = np.stack([np.zeros(len(n)) if x is None else np.add.reduceat(x / total, starts) / n for x in r], axis=1)
-        total = sum(pi[:, j][doc] * p[j] for j in range(n_langs) if allowed[:, j].any())
-        return pi, np.add.reduceat(np.log(np.maximum(total, 1e-300)), starts)
-
-    whole, _ = em(np.ones((len(some), n_langs)), ROUNDS)
+    whole, gap = _em(p, doc, starts, n)
     order = np.argsort(-whole, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
-    best, out, raw = None, None, None
-    for size in range(1, n_langs + 1):
-        pi, plain = em((rank < size).astype(np.float64), 1 if size == 1 else ROUNDS)
-        fit_ = plain - PENALTY * (size - 1) * np.log(n + 1)
-        if best is None:
-            best, out, raw = fit_, pi, plain
-        else:
-            better = fit_ > best
-            best, out, raw = np.where(better, fit_, best), np.where(better[:, None], pi, out), np.where(better, plain, raw)
+    penalty = PENALTY * np.log(n + 1)
+    best = np.add.reduceat(np.log(np.maximum(p[order[doc, 0], np.arange(len(doc))], 1e-300)), starts)
+    raw, out = best.copy(), np.zeros((len(some), n_langs))
+    out[np.arange(len(some)), order[:, 0]] = 1.0
+    for size in range(2, n_langs + 1):
+        # No mixture of any languages is likelier than ``gap``: where that can't pay for the set, larger ones can't either.
+        alive = np.flatnonzero(gap - (size - 1) * penalty > best)
+        if not len(alive):
+            break
+        at = np.flatnonzero(np.isin(doc, alive)) if len(alive) < len(some) else np.arange(len(doc))
+        own = np.repeat(np.arange(len(alive)), n_words[some][alive])
+        chosen = order[alive, :size]
+        held = p[chosen[own].T, at]
+        pi, _ = _em(held, own, ragged(n_words[some][alive])[:-1], n[alive])
+        plain = np.add.reduceat(np.log(np.maximum((pi[own].T * held).sum(axis=0), 1e-300)), ragged(n_words[some][alive])[:-1])
+        fit_ = plain - (size - 1) * penalty[alive]
+        better = fit_ > best[alive]
+        won = alive[better]
+        best[won], raw[won], out[won] = fit_[better], plain[better], 0.0
+        out[won[:, None], chosen[better]] = pi[better]
     # A set of one still tells how sure it is: its share among all languages.
     single = out.max(axis=1) > 1 - 1e-12
     at = out.argmax(axis=1)
@@ -176,7 +194,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     language, are ``und`` with score 0. Ties go to the language first in order. Narrow.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         names = [*model.langs, UNKNOWN]
         for batch in batches:
             for part in slices(batch, limit=2 << 20):
@@ -202,7 +223,10 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
     empty and letterless texts go. Repeated rows are kept or go together; an empty table stays empty. Narrow.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def make():
+        model = shared.value
         if not model.langs:
             return lambda texts: mixtures(model, texts)[1] > 0
         return lambda texts: mixtures(model, texts)[2] > 0

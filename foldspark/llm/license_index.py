@@ -10,6 +10,7 @@ in its place. A file may hold any number of licences: a template is proposed whe
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +52,10 @@ TEMPLATES = (
 COMMON = frozenset("a and are by in into is of or the this to under use with without work".split())
 #: Share of a template's words that have to agree.
 AGREE = 0.5
-_BITS = 7
+#: Bits of a word's code, and of a place in a template; a hit's position has the rest of 64.
+_BITS = 16
+#: Shares that the vocabulary is dealt to by crc32: a word is looked up in one of them.
+_SHARES = 64
 _MASK = (1 << _BITS) - 1
 _SHIFT = 1 << 20
 
@@ -75,13 +79,13 @@ class Index:
             self.templates.append((t.label, places, [(k, w) for k, w in places if first <= k < first + len(phrase)]))
             kept |= {w for _, w in places}
         words = sorted(kept)
-        if len(words) >= 1 << _BITS or len(self.templates) >= 1 << _BITS:
+        if len(words) >= 1 << _BITS or len(self.templates) >= 1 << _BITS or any(len(p) >= 1 << _BITS for _, p, _ in self.templates):
             raise ValueError("too many licence words or templates for their codes")
         self.code = {w: i for i, w in enumerate(words)}
         self.words = words
 
     def postings(self, idf: list[float]) -> list[list[int]]:
-        """For each code, template << 7 | position in it, of the templates that are posted under the word."""
+        """For each code, template << 16 | position in it, of the templates that are posted under the word."""
         out: list[list[int]] = [[] for _ in self.words]
         for t, (_, _, must) in enumerate(self.templates):
             k, w = min(((k, w) for k, w in must if w not in COMMON), key=lambda x: (-idf[self.code[x[1]]], self.code[x[1]], x[0]))
@@ -90,13 +94,15 @@ class Index:
 
 
 def licence_words(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, hits: places of licence words as position << 7 | code, in order. Narrow."""
+    """doc_id, n_words, hits: places of licence words as position << 16 | code, in order. Narrow."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # lower() makes an ASCII letter of two other characters only; these are put out of its way.
     text = F.when(text.rlike("[Kİ]"), F.regexp_replace(text, "[Kİ]", "�")).otherwise(text)
     words = F.array_remove(F.split(F.lower(text), GAP), "")
-    codes = F.create_map(*[x for w, c in index.code.items() for x in (F.lit(w), F.lit(c))])
-    places = F.transform(F.col("words"), lambda w, i: F.when(w.isin(index.words), F.shiftleft(i.cast("long"), _BITS) + codes[w]))
+    shares = [[(w, c) for w, c in index.code.items() if crc32(w.encode()) % _SHARES == k] for k in range(_SHARES)]
+    codes = F.array(*[F.create_map(*[F.lit(x) for pair in share or [("", 0)] for x in pair]) for share in shares])
+    code = lambda w: F.get(codes, (F.crc32(w.cast("binary")) % _SHARES).cast("int"))[w]
+    places = F.transform(F.col("words"), lambda w, i: F.when(w.isin(index.words), F.shiftleft(i.cast("long"), _BITS) + code(w)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
     return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.filter(places, lambda x: x.isNotNull()).alias("hits"))
 
@@ -132,12 +138,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     index = index or Index()
     found = written(licence_words(docs, index, id_col, text_col), "licence")
     idf = inverse_frequencies(found, index)
-    postings = "array(" + ", ".join(f"cast(array({', '.join(map(str, p))}) as array<int>)" for p in index.postings(idf)) + ")"
+    postings = "array(" + ", ".join(f"cast(array({', '.join(map(str, p))}) as array<bigint>)" for p in index.postings(idf)) + ")"
     phrases = "array(" + ", ".join(f"named_struct('label', '{label}', 'places', {_places(index, list(enumerate(words)))})" for words, label in index.base) + ")"
     templates = "array(" + ", ".join(f"named_struct('id', {t}L, 'label', '{label}', 'places', {_places(index, places)}, 'must', {_places(index, must)})" for t, (label, places, must) in enumerate(index.templates)) + ")"
     rows = found.selectExpr(
         "*",
-        f"transform({phrases}, b -> named_struct('label', b.label, 'starts', aggregate(slice(b.places, 2, 99), {_starts('b.places[0]')}, (s, m) -> array_intersect(s, {_starts('m')})))) as phrases",
+        f"transform({phrases}, b -> named_struct('label', b.label, 'starts', aggregate(slice(b.places, 2, size(b.places)), {_starts('b.places[0]')}, (s, m) -> array_intersect(s, {_starts('m')})))) as phrases",
     )
     # A proposal: template << 40 | begin + _SHIFT.
     rows = rows.selectExpr(
@@ -147,7 +153,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = f"transform(filter(proposed, p -> shiftright(p, 40) = t.id), p -> (p & {(1 << 40) - 1}L) - {_SHIFT})"
     whole = f"aggregate(t.must, {own}, (s, m) -> array_intersect(s, {_starts('m')}))"
     share = f"aggregate(array({whole}), 0D, (z, w) -> if(size(w) > 0, size(filter(t.places, m -> arrays_overlap(w, {_starts('m')}))) / size(t.places), 0D))"
-    rows = rows.selectExpr("*", f"transform(filter({templates}, t -> array_contains(transform(proposed, p -> shiftright(p, 40)), t.id)), t -> named_struct('label', t.label, 'share', {share})) as held")
+    rows = rows.selectExpr("*", f"transform(transform(array_distinct(transform(proposed, p -> int(shiftright(p, 40)))), t -> {templates}[t]), t -> named_struct('label', t.label, 'share', {share})) as held")
     rows = rows.selectExpr("*", f"filter(held, t -> t.share >= {agree}) as named")
     return rows.selectExpr(
         "doc_id", "n_words", "bigint(size(base_starts)) as n_base", "array_min(base_starts) as first_word", "array_max(base_starts) as last_word", "array_join(base, ',') as base_labels",
