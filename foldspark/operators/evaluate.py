@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import draw, hypergeom_point
 from foldspark.operators.structure import ranked
+from foldspark.sources.tables import settled
 
 
 def label_predictions(predictions: DataFrame, truth: DataFrame, unannotated: bool = False, score: str = "score") -> DataFrame:
@@ -23,31 +24,24 @@ def label_predictions(predictions: DataFrame, truth: DataFrame, unannotated: boo
 def precision_recall(scored: DataFrame, groups: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """[groups,] score, n, hits, precision, recall, rate at each distinct cutoff, score >= it.
 
-    Rows are counted by score first. Without groups the prefix sums are made in two levels: inside
-    ranges of scores, then over one row a range.
+    Rows are counted by score first. The prefix sums are made in two levels: inside ranges of (groups, score),
+    then, for each group, over a row a range that it reaches into. A group of any size is spread over ranges.
     """
     groups = groups or []
     by_score = scored.groupBy(*groups, "score").agg(F.count("*").alias("n"), F.count(F.when(F.col("label") > 0, 1)).alias("hits"))
-    if groups:
-        down = Window.partitionBy(*groups).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        rows = by_score.withColumn("cn", F.sum("n").over(down)).withColumn("ch", F.sum("hits").over(down))
-        total = by_score.groupBy(*groups).agg(F.sum("n").alias("all_n"), F.sum("hits").alias("all_hits"))
-        rows = rows.join(total, groups)
-    else:
-        n = parts or int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cuts = by_score.stat.approxQuantile("score", [i / n for i in range(1, n)], 0.01) if n > 1 else []
-        part = F.lit(0)
-        for cut in sorted(set(cuts)):
-            part = part + (F.col("score") < cut).cast("int")
-        dealt = by_score.withColumn("part", part)
-        sums = dealt.groupBy("part").agg(F.sum("n").alias("pn"), F.sum("hits").alias("ph"))
-        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        zero = F.lit(0)
-        sums = sums.select("part", F.coalesce(F.sum("pn").over(before), zero).alias("bn"), F.coalesce(F.sum("ph").over(before), zero).alias("bh"), F.sum("pn").over(every).alias("all_n"), F.sum("ph").over(every).alias("all_hits"))
-        down = Window.partitionBy("part").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        rows = dealt.join(F.broadcast(sums), "part")  # a row a range
-        rows = rows.withColumn("cn", F.col("bn") + F.sum("n").over(down)).withColumn("ch", F.col("bh") + F.sum("hits").over(down))
+    n = parts or int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(by_score.repartitionByRange(n, *groups, F.col("score").desc()).withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy(*groups, "part").agg(F.sum("n").alias("pn"), F.sum("hits").alias("ph"))
+    whole = Window.partitionBy(*groups)
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    zero = F.lit(0)
+    names = [F.col(g).alias(f"{g}__") for g in groups]
+    sums = sums.select(*names, F.col("part").alias("part__"), F.coalesce(F.sum("pn").over(before), zero).alias("bn"), F.coalesce(F.sum("ph").over(before), zero).alias("bh"), F.sum("pn").over(every).alias("all_n"), F.sum("ph").over(every).alias("all_hits"))
+    down = Window.partitionBy("part", *groups).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col("part") == F.col("part__"), *[F.col(g).eqNullSafe(F.col(f"{g}__")) for g in groups]]
+    rows = dealt.withColumn("cn", F.sum("n").over(down)).withColumn("ch", F.sum("hits").over(down)).join(sums, same)
+    rows = rows.withColumn("cn", F.col("bn") + F.col("cn")).withColumn("ch", F.col("bh") + F.col("ch"))
     return rows.select(*groups, "score", F.col("cn").alias("n"), F.col("ch").alias("hits"), (F.col("ch") / F.col("cn")).alias("precision"), F.when(F.col("all_hits") > 0, F.col("ch") / F.col("all_hits")).alias("recall"), (F.col("cn") / F.col("all_n")).alias("rate"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldspark.operators.pairs import pairs_within
+
 
 def filter_hsps(df: DataFrame, evalue: float, length: float, identities: int) -> DataFrame:
     """Strict form: evalue <, align_len > length * hit_len, identities >."""
@@ -64,10 +66,10 @@ def dedupe_sequences(records: DataFrame, stored: DataFrame) -> tuple[DataFrame,
 
 
 def related_families(members: DataFrame) -> DataFrame:
-    """family, other: families that share a protein. Each pair is joined once and mirrored when it is distinct."""
+    """family, other: families that share a protein. Each pair is joined once, in blocks where a protein has many families,
+    and mirrored when it is distinct."""
     one = members.select("family", "protein_key").distinct()
-    other = one.select(F.col("family").alias("other"), "protein_key")
-    pairs = one.join(other, "protein_key").where("family < other").select("family", "other").distinct()
+    pairs = pairs_within(one, "protein_key", "family").select(F.col("a").alias("family"), F.col("b").alias("other")).distinct()
     return pairs.select(F.explode(F.array(F.struct("family", "other"), F.struct(F.col("other").alias("family"), F.col("family").alias("other")))).alias("p")).select("p.*")
 
 

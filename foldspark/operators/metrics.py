@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import TINY, UNIVERSAL
+from foldspark.operators.pairs import pairs_within
 from foldspark.sources.tables import settled
 
 
@@ -140,13 +141,14 @@ def featured_term(entities: DataFrame, functions: DataFrame, mi: DataFrame) -> D
     m = mi.select(F.col("acc").alias("func"), F.col("acc2").alias("term"), "metric").where("term is not null")
     m = m.join(functions, "func", "left_semi")
     stored = entities.join(m, "term").groupBy("entity", "func").agg(F.max(F.struct("metric", "term")).alias("best"), F.collect_set("term").alias("known"))
-    own = entities.groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    every = own.crossJoin(functions)
-    joined = every.join(stored, ["entity", "func"], "left")
-    unknown = F.when(F.col("known").isNull(), F.array_max("terms")).otherwise(F.array_max(F.array_except("terms", "known")))
+    own = entities.groupBy("entity").agg(F.collect_set("term").alias("terms"))
+    unknown = F.array_max(F.array_except("terms", "known"))
     zero = F.when(unknown.isNotNull(), F.struct(F.lit(0.0).alias("metric"), unknown.alias("term")))
-    best = F.greatest(F.col("best"), zero)
-    return joined.select("entity", "func", best["term"].alias("term"), best["metric"].alias("mi"))
+    stored = stored.join(own, "entity").select("entity", "func", F.greatest(F.col("best"), zero).alias("best"))
+    # A row a (entity, function) is what is asked for; of an entity's terms only the greatest goes along.
+    every = own.select("entity", F.array_max("terms").alias("greatest")).crossJoin(functions)
+    joined = every.join(stored, ["entity", "func"], "left")
+    return joined.select("entity", "func", F.coalesce(F.col("best")["term"], F.col("greatest")).alias("term"), F.coalesce(F.col("best")["metric"], F.lit(0.0)).alias("mi"))
 
 
 def superfamily_profile(prob: DataFrame, superfamily: str, common: float = 0.1) -> DataFrame:
@@ -164,8 +166,8 @@ def profile_correlation(prob: DataFrame, superfamilies: DataFrame, functions: Da
     weight = prob.where("acc2 is null").select(F.col("acc").alias("acc2"), F.col("metric").alias("w")).join(functions, "acc2", "left_semi")
     rows = prob.where("acc2 is not null and metric > 0").join(superfamilies, "acc", "left_semi").join(weight, "acc2").select("acc", "acc2", F.col("metric").alias("p"), "w")
     own = rows.groupBy("acc").agg(F.count("*").alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("p")).alias("swp"), F.sum(F.col("w") * F.col("p") ** 2).alias("swpp"))
-    a, b = rows.alias("a"), rows.alias("b")
-    both = a.join(b, F.col("a.acc2") == F.col("b.acc2")).where("a.acc < b.acc").groupBy(F.col("a.acc").alias("acc"), F.col("b.acc").alias("acc_b")).agg(F.count("*").alias("shared"), F.sum("a.w").alias("mw"), F.sum(F.col("a.w") * F.col("a.p") * F.col("b.p")).alias("cross"))
+    met = pairs_within(rows, "acc2", "acc", ("p", "w"))
+    both = met.groupBy(F.col("a").alias("acc"), F.col("b").alias("acc_b")).agg(F.count("*").alias("shared"), F.sum("w_a").alias("mw"), F.sum(F.col("w_a") * F.col("p_a") * F.col("p_b")).alias("cross"))
     x = own.select("acc", *[F.col(c).alias(f"{c}_a") for c in ("n", "sw", "swp", "swpp")])
     y = own.select(F.col("acc").alias("acc_b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "sw", "swp", "swpp")])
     t = both.join(x, "acc").join(y, "acc_b").withColumn("sw", F.col("sw_a") + F.col("sw_b") - F.col("mw"))

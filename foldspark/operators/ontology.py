@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import UNIVERSAL
+from foldspark.operators.pairs import pairs_within
 from foldspark.operators.trees import walk_up
 from foldspark.sources.tables import settled
 
@@ -93,9 +94,8 @@ def parent_matrix(edges: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def common_parent_pairs(edges: DataFrame) -> DataFrame:
-    """a, b, shared: children a < b of a common parent, and how many they share."""
-    x, y = edges.alias("x"), edges.alias("y")
-    return x.join(y, F.col("x.parent") == F.col("y.parent")).where("x.child < y.child").groupBy(F.col("x.child").alias("a"), F.col("y.child").alias("b")).agg(F.countDistinct("x.parent").alias("shared"))
+    """a, b, shared: children a < b of a common parent, and how many they share. Parents of many children meet theirs in blocks."""
+    return pairs_within(edges.select("parent", "child").distinct(), "parent", "child").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def annotation_matrix(entity_terms: DataFrame, index: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def prediction_report(predictions: DataFrame, proteins: DataFrame, names: DataFr
 
 
 def export_rows(predictions: DataFrame, source: str = "bayes_pls") -> DataFrame:
-    """parent, func, source of predictions with pls_llr over 0."""
+    """parent, func, source of predictions with pls_llr over 0; the source begins with the domain's ``type``."""
     return predictions.where("pls_llr > 0").select("parent", "func", F.concat_ws("_", "type", F.lit(source)).alias("source"))
 
 

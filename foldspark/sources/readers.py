@@ -134,13 +134,23 @@ def read_score_triples(spark: SparkSession, path: str) -> DataFrame:
     return _text(spark, path).where(F.col("value").rlike(p)).select(g(1).alias("source"), g(2).alias("compared"), g(3).try_cast("double").alias("score"))
 
 
-def read_silent_decoys(spark: SparkSession, path: str, length: int) -> DataFrame:
-    """decoy, score, rg, contact_order, contact, rama: blocks with as many residue lines as the sequence; nan scores are 0."""
-    rows = _text(spark, path, "SCORE:").select("value", F.split(F.trim(F.regexp_extract("value", r"^([^\n]*)", 1)), r"\s+").alias("f"))
-    lines = F.size(F.regexp_extract_all("value", F.lit(r"(?m)^\s*(\d+)\s+[HEL]\s"), F.lit(1)))
+def read_silent_decoys(spark: SparkSession, path: str, sequences: DataFrame | None = None) -> DataFrame:
+    """file, decoy, score, rg, contact_order, contact, rama of the whole records of one or many files; nan scores are 0.
+
+    A record is whole if it has as many residue lines as its file's sequence. That is the file's own, of its ``SEQUENCE:``
+    line, or that of ``sequences`` (file, sequence), where the file is the last part of the path. Records of files without any are left out.
+    """
+    rows = _text(spark, path, "SCORE:").select(F.substring_index(F.input_file_name(), "/", -1).alias("file"), "value")
+    if sequences is None:
+        said = F.regexp_extract("value", r"(?m)^\s*SEQUENCE:\s+([A-Z]+)", 1)
+        sequences = rows.select("file", said.alias("sequence")).where("sequence <> ''")
+    lengths = sequences.groupBy("file").agg(F.max(F.length("sequence")).alias("length"))
+    rows = rows.select("file", "value", F.split(F.trim(F.regexp_extract("value", r"^([^\n]*)", 1)), r"\s+").alias("f"))
+    lines = F.size(F.regexp_extract_all("value", F.lit(r"(?m)^\s*(\d+)\s+[a-zA-Z]\s+-?\d+\.\d+"), F.lit(1)))
     g = lambda i: F.get("f", F.lit(i)).try_cast("double")
     score = F.when(F.lower(F.get("f", F.lit(0))) == "nan", 0.0).otherwise(g(0))
-    return rows.where(score.isNotNull() & (lines == length)).select(F.element_at("f", -1).alias("decoy"), score.alias("score"), g(12).alias("rg"), g(13).alias("contact_order"), g(14).alias("contact"), g(15).alias("rama"))
+    told = rows.where(score.isNotNull()).select("file", F.element_at("f", -1).alias("decoy"), score.alias("score"), g(12).alias("rg"), g(13).alias("contact_order"), g(14).alias("contact"), g(15).alias("rama"), lines.alias("lines"))
+    return told.join(lengths, "file").where("lines = length").drop("lines", "length")
 
 
 def read_cluster_report(spark: SparkSession, path: str, most: int = 25) -> DataFrame:

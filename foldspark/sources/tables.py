@@ -37,6 +37,25 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     return target.join(updates.select(*keys).distinct(), keys, "left_anti").unionByName(updates)
 
 
+def upsert_stored(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], partition: list[str]) -> None:
+    """Upserts into a Parquet table stored by ``partition``: only the partitions that ``updates`` touch are read and written.
+
+    ``keys`` tell rows apart inside their partition; a key that ``updates`` hold twice is an error. The new partitions
+    are made and settled first, beside the table, and then swapped in by one overwrite of just these partitions: other
+    files stay as they are, and a run that fails before the swap leaves the table unchanged. A path without a table gets one.
+    """
+    new = settled(updates)
+    if not new.groupBy(*partition, *keys).count().where("count > 1").isEmpty():
+        raise ValueError("updates hold a key twice")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        touched = new.select(*partition).distinct()
+        # A semi join on partition columns reads the touched folders only.
+        old = spark.read.parquet(path).select(*new.columns).join(touched, partition, "left_semi")
+        new = settled(upsert(old, new, [*partition, *keys]).select(*new.columns))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
+
+
 def insert_ignore(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``target``, and those of ``updates`` with new keys."""
     return target.unionByName(updates.join(target.select(*keys).distinct(), keys, "left_anti"))
