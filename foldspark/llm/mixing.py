@@ -17,6 +17,8 @@ from foldspark.llm._common import written
 WEIGHTS, MAX_EPOCHS = (5, 2, 1), 3
 #: Key buckets of a source, and documents left from which no further ones are made.
 BUCKETS, FEW = 1024, 4096
+#: Weight of a document whose given quality is null or not above 0.
+LEAST = 1e-6
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -92,8 +94,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``taken`` is the words the mix takes of a document: its size times the complete epochs of its source,
     once more if its key is up to the source's cut. The cut is the last document, by key, of which half
-    or more still fits the rest of the target. ``quality`` is a positive weight from the columns ``size``
-    (default: its square root); greater weights come earlier. Null and empty texts have size 0 and take
+    or more still fits the rest of the target. ``quality`` is a weight from any columns of ``docs`` (default: the
+    square root of the size); greater weights come earlier, null and those not above 0 last. Null and empty texts have size 0 and take
     0; a null source is one of its own, last in order; rows with the same id are taken alike; an empty
     table gives none. Runs agree.
     """
@@ -102,9 +104,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: Column | None) -> DataFrame:
-    weight = F.sqrt(F.greatest(F.col("size"), F.lit(1))) if quality is None else quality
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"))
-    return rows.withColumn("weight", weight.cast("double")).withColumn("key", exponential_key("doc_id", F.col("weight")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"), _given(quality))
+    return rows.withColumn("weight", _weight()).drop("quality").withColumn("key", exponential_key("doc_id", F.col("weight")))
+
+
+def _given(quality: Column | None) -> Column:
+    return (F.lit(None) if quality is None else F.coalesce(F.greatest(quality.cast("double"), F.lit(LEAST)), F.lit(LEAST))).cast("double").alias("quality")
+
+
+def _weight() -> Column:
+    return F.coalesce("quality", F.sqrt(F.greatest(F.col("size"), F.lit(1))).cast("double"))
 
 
 def _taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -118,9 +127,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     texts are never taken; otherwise as ``mix``."""
     sized = written(_sized(docs, id_col, text_col, source_col, quality), "sized")
     plan = written(cuts(sized, source_targets(sized, weights)), "cuts").select(F.col("source").alias("mix__source"), "epochs", "cut")
-    weight = F.sqrt(F.greatest(F.col("size"), F.lit(1))) if quality is None else quality
-    drawn = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"))
-    drawn = drawn.withColumn("key", exponential_key("doc_id", weight.cast("double")))
+    drawn = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"), _given(quality))
+    drawn = drawn.withColumn("key", exponential_key("doc_id", _weight()))
     again = F.coalesce(F.struct("key", "doc_id") <= F.col("cut"), F.lit(False)).cast("long")
     joined = drawn.join(plan, F.col("source").eqNullSafe(F.col("mix__source"))).where("size > 0")
     times = (F.col("epochs") + again).cast("int")

@@ -346,7 +346,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all columns, of the least id of each component.
 
-    Of rows that share the kept id of their component any one stays. Documents stay in
+    Of rows that share the kept id of their component and its text, that of the least hash over all its columns stays. Documents stay in
     place: only the ids that go, and ids that stand in several rows, are looked up.
     """
     found = written(near_copies(docs, id_col, text_col), "near")
@@ -367,5 +367,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = packed.mapInArrow(lean(run), f"doc {packed.schema['doc'].dataType.simpleString()}, doc_id long, key long")
     own = found.where("doc_id <=> component_id").selectExpr("doc_id own_id", "key own_key").distinct()
     stay = keyed.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key")))
-    one = stay.dropDuplicates(["doc_id", "key"])
+    one = stay.groupBy("doc_id", "key").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
     return kept.unionByName(one.select("doc.*"))
