@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.llm import decontaminate, langid, mixing, resemblance, token_output
-from foldspark.llm._common import written
+from foldspark.llm._common import made_tables, remove, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,11 +61,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again.
 
+    What a stage has written beside its result, and the result before it, are deleted once it is written: of the
+    corpus two copies stand in the folder at most. The tables that the returned rows are read from stay.
+
     An empty table gives no rows; columns beside those of ``documents`` are carried along up to the last stage.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        with made_tables() as made:
+            docs = written(stage(spark, docs, sf_dir), name)
+        remove(spark, [*read, *made[:-1]])
+        read = made[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)
