@@ -172,9 +172,9 @@ def percent_identity(df: DataFrame, key: str, order: str, aligned: str) -> DataF
     return df.join(first, key).select(key, order, F.when(own > 0, F.floor(same * 100 / own)).cast("int").alias("identity"))
 
 
-def draw(seed: int, *keys: str) -> Column:
+def draw(seed: int, *keys: str | Column) -> Column:
     """A number of 52 bits from the seed and the columns as text: a seeded draw that any engine with MD5 repeats."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    text = F.concat_ws(":", F.lit(str(seed)), *[c(k).cast("string") for k in keys])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 

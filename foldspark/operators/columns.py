@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import draw
 
 
 def residue_columns(alignment: DataFrame) -> DataFrame:
-    """protein, residue (from 1), col (from 0), letter: columns that hold a residue."""
-    rows = alignment.select("protein", F.posexplode(F.split("aligned", "")).alias("col", "letter")).where("letter not in ('-', '')")
-    return rows.withColumn("residue", F.row_number().over(Window.partitionBy("protein").orderBy("col"))).select("protein", "residue", "col", "letter")
+    """protein, residue (from 1), col (from 0), letter: columns that hold a residue, of each row's sequence. Narrow."""
+    letters = F.transform(F.split("aligned", ""), lambda x, i: F.struct(i.alias("col"), x.alias("letter")))
+    held = F.posexplode(F.filter(letters, lambda x: ~x["letter"].isin("-", "")))
+    return alignment.select("protein", held.alias("at", "x")).select("protein", (F.col("at") + 1).alias("residue"), "x.col", "x.letter")
 
 
 def domain_residue_columns(columns: DataFrame, regions: DataFrame) -> DataFrame:
@@ -52,15 +53,27 @@ def inverse_distance(coords: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def site_clustering(coords: DataFrame, sites: DataFrame, samples: int, seed: int = 0) -> DataFrame:
-    """structure, target, percentile: the sites' mean 1/d and the share of random sets of that size not above it."""
-    size = sites.groupBy("structure").agg(F.countDistinct("residue").alias("k"))
-    drawn = coords.join(size, "structure").select("structure", "residue", "k", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("set_id"))
-    w = Window.partitionBy("structure", "set_id").orderBy(draw(seed, "structure", "set_id", "residue"), "residue")
-    drawn = drawn.withColumn("row__no", F.row_number().over(w)).where("row__no <= k").select("structure", "set_id", "residue")
-    sets = sites.select("structure", F.lit(0).alias("set_id"), "residue").distinct().unionByName(drawn)
-    means = inverse_distance(coords, sets)
-    target = means.where("set_id = 0").select("structure", F.col("mean_inverse").alias("target"))
-    return target.join(means.where("set_id > 0"), "structure").groupBy("structure", "target").agg(F.avg((F.col("mean_inverse") <= F.col("target")).cast("int")).alias("percentile"))
+    """structure, target, percentile: the sites' mean 1/d and the share of random sets of that size not above it.
+
+    A structure's residues are gathered once, as an array; samples are drawn as parts of it, and their means are folds over
+    pairs of these, so no sample joins or shuffles anything. Structures with fewer than two sites give no row.
+    """
+    at = coords.groupBy("structure").agg(F.array_sort(F.collect_list(F.struct("residue", "x", "y", "z"))).alias("all"))
+    own = sites.groupBy("structure").agg(F.countDistinct("residue").cast("int").alias("k"), F.collect_set("residue").alias("site"))
+    rows = at.join(own, "structure").withColumn("target", _mean_inverse(F.filter("all", lambda r: F.array_contains("site", r["residue"])))).where("target is not null")
+    rows = rows.select("structure", "all", "k", "target", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("set_id"))
+    drawn = F.transform("all", lambda r: F.struct(draw(seed, "structure", "set_id", r["residue"]).alias("draw"), r["residue"].alias("residue"), r.alias("at")))
+    chosen = F.array_sort(F.transform(F.slice(F.array_sort(drawn), 1, F.col("k")), lambda r: r["at"]))
+    means = rows.select("structure", "target", _mean_inverse(chosen).alias("mean_inverse")).where("mean_inverse is not null")
+    return means.groupBy("structure", "target").agg(F.avg((F.col("mean_inverse") <= F.col("target")).cast("int")).alias("percentile"))
+
+
+def _mean_inverse(places: Column) -> Column:
+    """Mean of 1/d over the pairs of an array of structs with x, y, z; null for fewer than two."""
+    inverse = lambda a, b: 1 / F.sqrt(sum((a[k] - b[k]) ** 2 for k in "xyz"))
+    of_one = lambda a, i: F.aggregate(F.slice(places, i + 2, F.size(places)), F.lit(0.0), lambda s, b: s + inverse(a, b))
+    total = F.aggregate(F.transform(places, of_one), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(places) > 1, total / (F.size(places) * (F.size(places) - 1) / 2))
 
 
 def important_residue_score(sites: DataFrame, matrix: DataFrame, gap: float = -0.5) -> DataFrame:

@@ -351,11 +351,11 @@ def yield_cube(t):
 
 # Columns and sites.
 
-ALIGNED = {"al": "SELECT item_id AS protein, replace(text, ' ', '-') AS aligned FROM benchmark", "cols": "SELECT protein, pos AS col, ch AS letter, row_number() OVER (PARTITION BY protein ORDER BY pos)::INT AS residue FROM (SELECT protein, unnest(string_split(aligned, '')) AS ch, unnest(range(len(aligned)))::INT AS pos FROM al) WHERE ch NOT IN ('-', '')"}
+ALIGNED = {"al": "SELECT doc_id AS protein, replace(text, ' ', '-') AS aligned FROM documents", "cols": "SELECT protein, pos AS col, ch AS letter, row_number() OVER (PARTITION BY protein ORDER BY pos)::INT AS residue FROM (SELECT protein, unnest(string_split(aligned, '')) AS ch, unnest(range(len(aligned)))::INT AS pos FROM al) WHERE ch NOT IN ('-', '')"}
 
 
 def _columns(t):
-    return columns.residue_columns(t.read("benchmark").select(F.col("item_id").alias("protein"), F.replace("text", F.lit(" "), F.lit("-")).alias("aligned")))
+    return columns.residue_columns(t.read("documents").select(F.col("doc_id").alias("protein"), F.replace("text", F.lit(" "), F.lit("-")).alias("aligned")))
 
 
 @query("SELECT protein, residue, col, letter FROM cols", ALIGNED)
@@ -365,7 +365,7 @@ def residue_columns(t):
 
 @query("SELECT protein AS domain, residue - 4 AS residue, col FROM cols WHERE residue BETWEEN 5 AND 20", ALIGNED)
 def domain_residue_columns(t):
-    regions = t.read("benchmark").select(F.col("item_id").alias("protein"), F.col("item_id").alias("domain"), F.lit(5).alias("start"), F.lit(20).alias("stop"))
+    regions = t.read("documents").select(F.col("doc_id").alias("protein"), F.col("doc_id").alias("domain"), F.lit(5).alias("start"), F.lit(20).alias("stop"))
     return columns.domain_residue_columns(_columns(t), regions)
 
 
