@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from math import lgamma
 
 import numpy as np
@@ -65,9 +66,10 @@ def explode_sccs(df: DataFrame, col: str = "sccs") -> DataFrame:
     return df.withColumn(col, F.explode(F.split(col, ","))).withColumn(col, F.trim(col)).where(F.col(col) != "")
 
 
-def hit_id(col: Column | str, style: str, strict: bool = False) -> Column:
-    """The id in a hit header of the style; unmatched ones are null, or an error if ``strict``."""
-    found = F.regexp_extract(c(col), HIT_PATTERNS[style], 1)
+def hit_id(col: Column | str, style: str | Callable[[Column], Column], strict: bool = False) -> Column:
+    """The id in a hit header of the style, or what a parser of one's own (a function of columns) finds; unmatched ones
+    (null or '') are null, or an error if ``strict``."""
+    found = F.coalesce(style(c(col)), F.lit("")) if callable(style) else F.regexp_extract(c(col), HIT_PATTERNS[style], 1)
     other = F.raise_error(F.concat(F.lit(f"no {style} id in "), c(col))).cast("string") if strict else F.lit(None).cast("string")
     return F.when(found != "", found).otherwise(other)
 

@@ -103,7 +103,7 @@ def benchmark_sequences(annotations: DataFrame, terms: DataFrame, types: list[st
 
 def genome_coverage(predictions: DataFrame, thresholds: DataFrame, groups: list[str]) -> DataFrame:
     """groups, predictions, proteins, domains, functions kept at the groups' thresholds."""
-    kept = predictions.join(F.broadcast(thresholds), groups).where("score >= threshold")  # a row a group
+    kept = predictions.join(thresholds, groups).where("score >= threshold")
     return kept.groupBy(*groups).agg(F.count("*").alias("predictions"), F.countDistinct("protein").alias("proteins"), F.countDistinct("domain").alias("domains"), F.countDistinct("acc").alias("functions"))
 
 
@@ -132,6 +132,30 @@ def threshold_grid(scores: DataFrame, prob_cuts: list[float], rank_cuts: list[in
     return rows.groupBy("prob_cut", "rank_cut").agg(F.count("*").alias("kept"), F.count(F.when(F.col("label") > 0, 1)).alias("right"))
 
 
+def shuffled_threshold_grid(scores: DataFrame, truth: DataFrame, prob_cuts: list[float], rank_cuts: list[int], seed: int = 0) -> DataFrame:
+    """prob_cut, rank_cut, kept, right, right_shuffled: ``threshold_grid`` with the labels of truth, and with those of the
+    truth of another sequence, by a seeded permutation of the predicted sequences.
+
+    ``scores`` (seq, acc, prob, base, rank), ``truth`` (seq, acc).
+    """
+    true = truth.select("seq", "acc").distinct()
+    other = shuffle_labels(scores, "seq", seed)
+    swapped = true.join(other, "seq").select(F.col("other").alias("seq"), "acc", F.lit(1).alias("swapped"))
+    rows = scores.join(true.withColumn("true", F.lit(1)), ["seq", "acc"], "left").join(swapped, ["seq", "acc"], "left")
+    real = threshold_grid(rows.withColumn("label", F.coalesce("true", F.lit(-1))), prob_cuts, rank_cuts)
+    mixed = threshold_grid(rows.withColumn("label", F.coalesce("swapped", F.lit(-1))), prob_cuts, rank_cuts)
+    return real.join(mixed.select("prob_cut", "rank_cut", F.col("right").alias("right_shuffled")), ["prob_cut", "rank_cut"])
+
+
+def class_histogram(calls: DataFrame, edges: list[float], classes: str = "abcd", score: str = "score") -> DataFrame:
+    """class, bin, low, high, n, correct, share: calls (sccs, label, a score) of each class letter, 'other' for the rest, by
+    score; share is that of the correct ones (label over 0)."""
+    letter = F.substring_index("sccs", ".", 1)
+    rows = calls.withColumn("class", F.when(letter.isin(*classes), letter).otherwise("other"))
+    out = histogram(rows, score, edges, {"n": F.count("*"), "correct": F.count(F.when(F.col("label") > 0, 1))}, ["class"])
+    return out.withColumn("share", F.col("correct") / F.col("n"))
+
+
 def shuffle_labels(ids: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """key, other: a seeded permutation of all distinct ids (numbers): each takes the id whose draw has its own rank."""
     rows = ids.select(key).distinct()
@@ -189,8 +213,8 @@ def specificity_bins(predictions: DataFrame, band: Column) -> DataFrame:
     return own.where("band is not null").groupBy("band").agg(F.count("*").alias("domains"))
 
 
-def histogram(df: DataFrame, value: str, edges: list[float], measures: dict[str, Column]) -> DataFrame:
-    """bin, low, high, measures: values by edges, the last bin closed; values outside are left out."""
+def histogram(df: DataFrame, value: str, edges: list[float], measures: dict[str, Column], groups: list[str] | None = None) -> DataFrame:
+    """[groups,] bin, low, high, measures: values by edges, the last bin closed; values outside are left out."""
     v = F.col(value)
     last = len(edges) - 2
     at = F.lit(None).cast("int")
@@ -198,6 +222,6 @@ def histogram(df: DataFrame, value: str, edges: list[float], measures: dict[str,
         inside = (v >= edges[i]) & ((v < edges[i + 1]) | ((v == edges[i + 1]) if i == last else F.lit(False)))
         at = F.when(inside, i).otherwise(at)
     rows = df.withColumn("bin", at).where("bin is not null")
-    out = rows.groupBy("bin").agg(*[m.alias(n) for n, m in measures.items()])
+    out = rows.groupBy(*(groups or []), "bin").agg(*[m.alias(n) for n, m in measures.items()])
     low, high = (F.array(*map(F.lit, e)) for e in (edges[:-1], edges[1:]))
     return out.withColumn("low", F.get(low, F.col("bin"))).withColumn("high", F.get(high, F.col("bin")))

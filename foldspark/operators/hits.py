@@ -116,9 +116,14 @@ def induced_edges(nodes: DataFrame, sources: list[DataFrame], neighbours: bool =
     return first.select("i1", "i2", "kind").unionByName(edges.join(own.withColumnRenamed("node", "i2"), "i2", "left_semi").select("i1", "i2", "kind")).distinct()
 
 
-def network_nodes(proteins: DataFrame, ids: DataFrame, functions: DataFrame) -> DataFrame:
-    """sequence_key, gis, acc, llr: a protein's distinct ids (empty if none) and its annotation of least llr."""
+def network_nodes(proteins: DataFrame, ids: DataFrame, functions: DataFrame, publications: DataFrame | None = None) -> DataFrame:
+    """sequence_key, gis, acc, llr [, pmid_count]: a protein's distinct ids (empty if none), its annotation of least llr and, with
+    ``publications`` (gi, pmids), those of all its ids; 0 if it has none."""
     gi = ids.groupBy("sequence_key").agg(F.array_sort(F.collect_set("gi")).alias("gis"))
     best = functions.groupBy("sequence_key").agg(F.min(F.struct("llr", "acc")).alias("b"))
     out = proteins.select("sequence_key").distinct().join(gi, "sequence_key", "left").join(best, "sequence_key", "left")
-    return out.select("sequence_key", F.coalesce("gis", F.array().cast("array<long>")).alias("gis"), F.col("b.acc").alias("acc"), F.col("b.llr").alias("llr"))
+    if publications is not None:
+        told = ids.select("sequence_key", "gi").distinct().join(publications, "gi").groupBy("sequence_key").agg(F.sum("pmids").alias("pmids"))
+        out = out.join(told, "sequence_key", "left")
+    more = [] if publications is None else [F.coalesce("pmids", F.lit(0)).alias("pmid_count")]
+    return out.select("sequence_key", F.coalesce("gis", F.array().cast("array<long>")).alias("gis"), F.col("b.acc").alias("acc"), F.col("b.llr").alias("llr"), *more)

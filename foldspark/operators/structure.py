@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,25 +128,31 @@ def _links(elements: DataFrame, stored: DataFrame) -> DataFrame:
     return met.select(pick("protein", "p").alias("p"), pick("protein", "q").alias("q"), *[pick(c, k).alias(f"{c}_{k}") for k in "pq" for c in ("n", "elem")], "zscore")
 
 
-def pairwise_max_avg(elements: DataFrame, scores: DataFrame, is_canonical: bool = False) -> DataFrame:
+def mean_of_both(total: Column, n_p: Column, n_q: Column) -> Column:
+    """The mean over all elements of both proteins."""
+    return total / (n_p + n_q)
+
+
+def pairwise_max_avg(elements: DataFrame, scores: DataFrame, is_canonical: bool = False, similarity: Callable[[Column, Column, Column], Column] = mean_of_both) -> DataFrame:
     """p < q, similarity: the mean over both proteins' elements of the best score with the other, 0 or more.
 
     Starts from the stored scores: pairs of proteins without any are 0 and not returned. Each link is formed
     once, for both directions, and meets its pair in one exchange, which all sums share. ``is_canonical``
-    says that ``scores`` has one row a pair, as ``canonical`` gives it.
+    says that ``scores`` has one row a pair, as ``canonical`` gives it. ``similarity`` makes the number of the
+    sum of best scores and the elements of both.
     """
     links = _links(elements, scores.select("a", "b", "zscore") if is_canonical else canonical(scores)).repartition("p", "q")
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("elem_p").alias("elem")), F.struct(F.lit(1).alias("side"), F.col("elem_q").alias("elem"))))
     each = links.select("p", "q", "n_p", "n_q", "zscore", sides.alias("x")).groupBy("p", "q", "n_p", "n_q", "x.side", "x.elem").agg(F.greatest(F.max("zscore"), F.lit(0.0)).alias("best"))
-    return each.groupBy("p", "q", "n_p", "n_q").agg(F.sum("best").alias("total")).select("p", "q", (F.col("total") / (F.col("n_p") + F.col("n_q"))).alias("similarity"))
+    return each.groupBy("p", "q", "n_p", "n_q").agg(F.sum("best").alias("total")).select("p", "q", similarity(F.col("total"), F.col("n_p"), F.col("n_q")).alias("similarity"))
 
 
-def homolog_all_vs_all(elements: DataFrame, scores: DataFrame, keep: int = 100, is_canonical: bool = False) -> DataFrame:
+def homolog_all_vs_all(elements: DataFrame, scores: DataFrame, keep: int = 100, is_canonical: bool = False, similarity: Callable[[Column, Column, Column], Column] = mean_of_both) -> DataFrame:
     """source, other, similarity, rank: the best ``keep`` proteins of each source.
 
     A pair is formed once and mirrored; of a source's pairs each task sends ``keep`` at most to its window.
     """
-    half = pairwise_max_avg(elements.where("structure is not null"), scores, is_canonical)
+    half = pairwise_max_avg(elements.where("structure is not null"), scores, is_canonical, similarity)
     ways = F.array(F.struct(F.col("p").alias("source"), F.col("q").alias("other")), F.struct(F.col("q").alias("source"), F.col("p").alias("other")))
     both = half.select(F.inline(ways), "similarity")
     w = Window.partitionBy("source").orderBy(F.col("similarity").desc(), "other")
@@ -183,9 +191,16 @@ def similarity_matrix(elements: DataFrame, scores: DataFrame, is_canonical: bool
     return found.select(F.least("i__p", "i__q").alias("row"), F.greatest("i__p", "i__q").alias("column"), "similarity"), keys
 
 
+#: Keys of a matrix whose rows may be written out in full.
+DENSE = 20_000
+
+
 def dense_rows(matrix: DataFrame, keys: DataFrame) -> DataFrame:
-    """idx, values: a full row of numbers for each index, for text output of small matrices."""
+    """idx, values: a full row of numbers for each index, for text output of small matrices: of ``DENSE`` keys at most,
+    since a row has a number a key; more are an error."""
     n = keys.agg(F.count("*")).first()[0]
+    if n > DENSE:
+        raise ValueError(f"a full matrix of {n} keys; keep the sparse one")
     own = matrix.groupBy(F.col("row").alias("idx")).agg(F.map_from_entries(F.collect_list(F.struct("column", "similarity"))).alias("held"))
     every = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
     return keys.select("idx").join(own, "idx", "left").select("idx", F.transform(every, lambda c: F.coalesce(F.try_element_at("held", c), F.lit(0.0))).alias("values"))

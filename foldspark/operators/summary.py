@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.functions.scalar import model_group
+from foldspark.functions.scalar import draw, model_group
 
 METHODS = ["psiblast", "fold_recognition", "pfam", "msa", "unassigned"]
 
 
+def class_counts(calls: DataFrame, high: float, methods: list[str] | None = None, sample: int | None = None, seed: int = 0, key: str = "domain") -> DataFrame:
+    """class, total, confident: ``count_by_class`` over calls with confidence above 0, of the methods if given, and of a
+    seeded sample of so many keys if given; confident ones are above ``high``."""
+    kept = calls.where(F.col("sccs").isNotNull() & (F.col("confidence") > 0))
+    if sample is not None:
+        # The sample is of all keys, before any filter.
+        kept = kept.join(calls.select(key).distinct().orderBy(draw(seed, key), key).limit(sample), key, "left_semi")
+    if methods is not None:
+        kept = kept.where(F.col("method").isin(*methods))
+    return count_by_class(kept.withColumn("confidence", (F.col("confidence") > high).cast("int")), 1)
+
+
 def count_by_class(calls: DataFrame, high: float, classes: str = "abcdefghi") -> DataFrame:
     """class, total, confident: summed sizes of each class letter, absent ones 0."""
     letters = calls.sparkSession.createDataFrame([(c,) for c in classes], "class string")

@@ -125,6 +125,33 @@ def score_histogram(t):
     return evaluate.histogram(t.scored, "score", [0.0, 20.0, 50.0, 90.0], {"n": F.count("*"), "correct": F.count(F.when(F.col("label") > 0, 1)), "domains": F.countDistinct("domain")})
 
 
+@query(
+    """SELECT class, bin, low, high, count(*) AS n, count(*) FILTER (label > 0) AS correct, count(*) FILTER (label > 0) / count(*) AS share FROM (SELECT CASE WHEN substr(code, 1, 1) IN ('a', 'b') THEN substr(code, 1, 1) ELSE 'other' END AS class, score, label FROM scored JOIN parts ON acc = partkey)
+    JOIN (VALUES (0, 0.0::DOUBLE, 20.0::DOUBLE), (1, 20.0, 50.0), (2, 50.0, 90.0)) b(bin, low, high) ON score >= low AND (score < high OR (score = 90 AND high = 90)) GROUP BY 1, 2, 3, 4"""
+)
+def class_histogram(t):
+    rows = t.scored.join(t.parts.select(F.col("partkey").alias("acc"), F.col("code").alias("sccs")), "acc")
+    return evaluate.class_histogram(rows, [0.0, 20.0, 50.0, 90.0], "ab")
+
+
+SHUFFLED = {
+    "sc": "SELECT entity AS seq, acc, max(score) / 200 AS prob, max(base) AS base, (acc % 10)::INT AS r FROM scored GROUP BY 1, 2",
+    "truth": "SELECT DISTINCT entity AS seq, acc FROM scored WHERE label > 0",
+    "other": f"SELECT a.seq, b.seq AS other FROM (SELECT seq, row_number() OVER (ORDER BY seq) AS k FROM (SELECT DISTINCT seq FROM sc)) a JOIN (SELECT seq, row_number() OVER (ORDER BY {draw_sql(4, 'seq')}, seq) AS k FROM (SELECT DISTINCT seq FROM sc)) b USING (k)",
+    "swapped": "SELECT other AS seq, acc FROM truth JOIN other USING (seq)",
+}
+
+
+@query(
+    """SELECT prob_cut, rank_cut, count(*) AS kept, count(*) FILTER ((seq, acc) IN (SELECT (seq, acc) FROM truth)) AS "right", count(*) FILTER ((seq, acc) IN (SELECT (seq, acc) FROM swapped)) AS right_shuffled
+    FROM (SELECT *, CASE WHEN prob = base THEN 0 ELSE (prob - base) / (1 - base) END AS gain FROM sc), (VALUES (0.1::DOUBLE), (0.3)) p(prob_cut), (VALUES (2), (7)) q(rank_cut) WHERE gain >= prob_cut AND r <= rank_cut GROUP BY 1, 2""",
+    SHUFFLED,
+)
+def shuffled_threshold_grid(t):
+    rows = t.scored.groupBy(F.col("entity").alias("seq"), "acc").agg((F.max("score") / 200).alias("prob"), F.max("base").alias("base")).withColumn("rank", (F.col("acc") % 10).cast("int"))
+    return evaluate.shuffled_threshold_grid(rows, t.scored.where("label > 0").select(F.col("entity").alias("seq"), "acc"), [0.1, 0.3], [2, 7], 4)
+
+
 MODEL = {
     "banded": "SELECT *, CASE WHEN base <= 0.02 THEN 1 WHEN base <= 0.05 THEN 2 ELSE 3 END AS band FROM scored",
     "mcurve": "SELECT grp, band, score, sum(n) OVER w AS n, sum(hits) OVER w AS hits FROM (SELECT grp, band, score, count(*) AS n, count(*) FILTER (label > 0) AS hits FROM banded GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY grp, band ORDER BY score DESC)",

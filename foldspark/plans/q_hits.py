@@ -112,6 +112,16 @@ def network_nodes(t):
     return hits.network_nodes(t.read("customer").select(F.col("c_custkey").alias("sequence_key")), ids, fn)
 
 
+@query(
+    "SELECT c_custkey AS sequence_key, coalesce(gis, []) AS gis, acc, llr, coalesce(pmids, 0)::BIGINT AS pmid_count FROM customer LEFT JOIN (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderkey)) AS gis FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) ON k = c_custkey LEFT JOIN (SELECT sequence_key AS k2, acc, size * 1.0::DOUBLE AS llr, row_number() OVER (PARTITION BY sequence_key ORDER BY size, acc) AS r FROM annotations JOIN parts ON partkey = acc) ON k2 = c_custkey AND r = 1 LEFT JOIN (SELECT o_custkey AS k3, sum(n) AS pmids FROM orders JOIN (SELECT l_orderkey AS k4, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON k4 = o_orderkey WHERE o_orderkey % 2 = 0 GROUP BY 1) ON k3 = c_custkey"
+)
+def network_nodes_published(t):
+    ids = t.read("orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("sequence_key"), F.col("o_orderkey").alias("gi"))
+    fn = t.annotations.join(t.parts, F.col("acc") == F.col("partkey")).select("sequence_key", "acc", F.col("size").cast("double").alias("llr"))
+    pubs = t.read("lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("gi")).agg(F.count("*").alias("pmids"))
+    return hits.network_nodes(t.read("customer").select(F.col("c_custkey").alias("sequence_key")), ids, fn, pubs)
+
+
 # Scalar functions.
 
 

@@ -176,6 +176,19 @@ def count_by_class(t):
     return summary.count_by_class(t.calls.join(t.parts.select("partkey", F.col("code").alias("sccs")), "partkey"), 0.05)
 
 
+@query(
+    f"SELECT class, coalesce(sum(size), 0)::BIGINT AS total, coalesce(sum(size) FILTER (confidence > 0.05), 0)::BIGINT AS confident FROM (SELECT unnest(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h', 'i']) AS class) LEFT JOIN (SELECT substr(code, 1, 1) AS k, c.size, confidence FROM calls c JOIN parts USING (partkey) WHERE method IN ('pfam', 'msa') AND confidence > 0 AND protein IN (SELECT protein FROM (SELECT DISTINCT protein FROM calls) ORDER BY {draw_sql(6, 'protein')}, protein LIMIT 500)) ON k = class GROUP BY 1"
+)
+def class_counts(t):
+    return summary.class_counts(t.calls.join(t.parts.select("partkey", F.col("code").alias("sccs")), "partkey"), 0.05, ["pfam", "msa"], 500, 6, "protein")
+
+
+@query("SELECT p AS p, q AS q, round(total / least(a.n, b.n), 8) AS similarity FROM (SELECT least(p, q) AS p, greatest(p, q) AS q, sum(best) AS total FROM each GROUP BY 1, 2) JOIN sizes a ON a.protein = p JOIN sizes b ON b.protein = q", DIRECTED)
+def pairwise_max_by_smaller(t):
+    by_smaller = lambda total, n_p, n_q: total / F.least(n_p, n_q)
+    return structure.pairwise_max_avg(t.elements, t.element_pairs, is_canonical=True, similarity=by_smaller).withColumn("similarity", F.round("similarity", 8))
+
+
 @query("SELECT experiment, method, sum(size)::BIGINT AS size, round(sum(size) / sum(sum(size)) OVER (PARTITION BY experiment), 8) AS share FROM calls GROUP BY 1, 2")
 def domain_yield(t):
     return summary.domain_yield(t.calls).withColumn("share", F.round("share", 8))
