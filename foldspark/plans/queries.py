@@ -25,4 +25,4 @@ def query(sql: str | None = None, extra: dict[str, str] | None = None, name: str
     return register
 
 
-from foldspark.plans import q_evaluate, q_hits, q_metrics, q_ontology, q_structure  # noqa: E402, F401
+from foldspark.plans import q_evaluate, q_hits, q_metrics, q_ontology, q_sources, q_structure  # noqa: E402, F401

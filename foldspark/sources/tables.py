@@ -10,21 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to and read from the shared folder that ``spark.checkpoint.dir`` names.
+def step_path(spark: SparkSession) -> str:
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names.
 
     Only on a ``local`` master may the setting be absent: a temporary folder is set.
     """
-    spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
-    at = f"{path.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/step-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to and read from the shared folder: lineage ends there, and lost executors cost nothing."""
+    at = step_path(df.sparkSession)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def read_jdbc_tables(spark: SparkSession, url: str, tables: dict[str, tuple[str, int, int, int]], **options) -> dict[str, DataFrame]:
