@@ -285,7 +285,10 @@ def _commonest(keys: np.ndarray, others: np.ndarray) -> tuple[int, int]:
 SCHEMA = "doc_id long, item_id long, n_windows long, coverage double, n_slots long, consistent double, exact boolean"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    block: int = BLOCK,
+) -> DataFrame:
     """A row for each document and benchmark item whose template it holds; clean documents have none.
 
     Each occurrence of an item is judged by itself, and the best is told: an exact one, else the one
@@ -303,7 +306,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's items in blocks of about ``block`` windows each, one block at a time (one empty block if it has none)."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    items = benchmark.select(
+        F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"),
+    ).where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.length("text") / 3)).first()[0] or 0
     blocks = max(1, int(-(-size // block)))
     for b in range(blocks):
@@ -364,6 +369,9 @@ def _scan(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 found = [(ids[d].as_py(), *x) for d, told in _by_document(table, tokens) for x in told]
                 cols = list(zip(*found)) or [[] for _ in range(7)]
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["doc_id", "item_id", "n_windows", "coverage", "n_slots", "consistent", "exact"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), t) for c, t in zip(cols, types)],
+                    names=["doc_id", "item_id", "n_windows", "coverage", "n_slots", "consistent", "exact"],
+                )
 
     return rows.mapInArrow(lean(run), SCHEMA)

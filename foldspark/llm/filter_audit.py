@@ -56,12 +56,20 @@ def failures(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     a text nor a null id that many rows share makes a large group.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    digest = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text_failures(text, limits).alias("failed"))
+    digest = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.xxhash64(text).alias("h1"),
+        F.xxhash64(F.lit(1), text).alias("h2"), text_failures(text, limits).alias("failed"),
+    )
     digest = written(digest, "digest")
-    first = digest.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")).select("h1", "h2", F.coalesce("first", F.lit(0)).alias("first_id"), F.col("first").isNull().alias("no_id"))
+    first = digest.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")).select(
+        "h1", "h2", F.coalesce("first", F.lit(0)).alias("first_id"), F.col("first").isNull().alias("no_id"),
+    )
     rows = digest.withColumns({"first_id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()})
     rows = rows.join(first.withColumn("passes", F.lit(True)), ["h1", "h2", "first_id", "no_id"], "left")
-    told = labels.select(F.col("doc_id").cast("long").alias("first_id"), F.lit(False).alias("no_id"), F.lit(0).alias("spread"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic")).where("first_id is not null and (good or toxic)")
+    told = labels.select(
+        F.col("doc_id").cast("long").alias("first_id"), F.lit(False).alias("no_id"), F.lit(0).alias("spread"), (F.col("quality") == 1).alias("good"),
+        (F.col("toxic") == 1).alias("toxic"),
+    ).where("first_id is not null and (good or toxic)")
     told = told.groupBy("first_id", "no_id", "spread").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic"))
     rows = rows.withColumn("spread", F.when(F.col("no_id"), F.pmod("h1", F.lit(1024)).cast("int")).otherwise(0))
     mask = F.col("failed") + F.when(F.col("passes"), 0).otherwise(1 << 4)
@@ -143,7 +151,10 @@ def interactions(table: DataFrame, names: str = NAMES) -> DataFrame:
                 index = pa.array(np.repeat(np.arange(n), width))
                 order = pa.array(orders).take(pa.array(np.tile(np.repeat(np.arange(len(orders)), steps), n)))
                 step = pa.array(np.tile(np.arange(1, steps + 1, dtype=np.int32), n * len(orders)))
-                yield pa.RecordBatch.from_arrays([part["part"].take(index), order, step, *[pa.array(x.ravel()) for x in told.values()]], names=["part", "filter_order", "step", *told])
+                yield pa.RecordBatch.from_arrays(
+                    [part["part"].take(index), order, step, *[pa.array(x.ravel()) for x in told.values()]],
+                    names=["part", "filter_order", "step", *told],
+                )
 
     return table.mapInArrow(lean(run), SCHEMA)
 

@@ -98,7 +98,9 @@ class LanguageModel:
 def fit(docs: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> LanguageModel:
     """Fits on rows where ``keep`` holds and the language isn't null: about ``docs_per_lang`` documents a
     language, chosen by a hash of their ids. The model, BUCKETS numbers a language, goes to the driver."""
-    rows = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"),
+    )
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return LanguageModel([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(BUCKETS))
@@ -208,7 +210,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 first = np.where(shares.any(axis=1), order[:, 0], len(model.langs)) if model.langs else np.zeros(len(n), dtype=int)
                 score = np.clip(shares[rows, np.minimum(first, shares.shape[1] - 1)], 0, 1) if model.langs else np.zeros(len(n))
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array([names[j] for j in first], pa.string()), pa.array(score), pa.array([[names[j] for j in c] for c in chosen], pa.list_(pa.string())), pa.array([[float(s[j]) for j in c] for c, s in zip(chosen, shares)], pa.list_(pa.float64())), pa.array(n.astype(np.int64))],
+                    [part["doc_id"], pa.array([names[j] for j in first], pa.string()), pa.array(score), pa.array([[names[j] for j in c] for c in chosen], pa.list_(pa.string())), pa.array(
+                        [[float(s[j]) for j in c] for c, s in zip(chosen, shares)], pa.list_(pa.float64()),
+                    ), pa.array(n.astype(np.int64))],
                     names=["doc_id", "lang_pred", "score", "langs", "shares", "n_words"],
                 )
 

@@ -111,7 +111,10 @@ class Shard:
 
     def search(self, terms: list[tuple[int, int]], top: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
         """(documents' numbers, scores) of the best ``top`` documents with scores of at least ``floor`` and above 0."""
-        return nra([(self.doc[self.lists[t] : self.lists[t + 1]], self.impact[self.lists[t] : self.lists[t + 1]] * n) for t, n in terms if self.lists[t + 1] > self.lists[t]], len(self.ids), top, max(floor, 1))
+        return nra(
+            [(self.doc[self.lists[t] : self.lists[t + 1]], self.impact[self.lists[t] : self.lists[t + 1]] * n) for t, n in terms if self.lists[t + 1] > self.lists[t]],
+            len(self.ids), top, max(floor, 1),
+        )
 
 
 def nra(lists: list[tuple[np.ndarray, np.ndarray]], size: int, top: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +157,10 @@ def nra(lists: list[tuple[np.ndarray, np.ndarray]], size: int, top: int, floor:
 SCHEMA = "query int, doc_id long, score long"
 
 
-def search(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", top: int = TOP, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def search(
+    docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    top: int = TOP, block: int = BLOCK, shard: int = SHARD,
+) -> DataFrame:
     """item_id, rank, doc_id, score: the ``top`` documents with the highest scores above 0 of every query.
 
     Equal scores rank by ascending doc_id, a null id last. Null and blank texts have no terms: such

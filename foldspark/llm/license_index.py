@@ -153,7 +153,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = f"transform(filter(proposed, p -> shiftright(p, 40) = t.id), p -> (p & {(1 << 40) - 1}L) - {_SHIFT})"
     whole = f"aggregate(t.must, {own}, (s, m) -> array_intersect(s, {_starts('m')}))"
     share = f"aggregate(array({whole}), 0D, (z, w) -> if(size(w) > 0, size(filter(t.places, m -> arrays_overlap(w, {_starts('m')}))) / size(t.places), 0D))"
-    rows = rows.selectExpr("*", f"transform(transform(array_distinct(transform(proposed, p -> int(shiftright(p, 40)))), t -> {templates}[t]), t -> named_struct('label', t.label, 'share', {share})) as held")
+    rows = rows.selectExpr(
+        "*",
+        f"transform(transform(array_distinct(transform(proposed, p -> int(shiftright(p, 40)))), t -> {templates}[t]), t -> named_struct('label', t.label, 'share', {share})) as held",
+    )
     rows = rows.selectExpr("*", f"filter(held, t -> t.share >= {agree}) as named")
     return rows.selectExpr(
         "doc_id", "n_words", "bigint(size(base_starts)) as n_base", "array_min(base_starts) as first_word", "array_max(base_starts) as last_word", "array_join(base, ',') as base_labels",

@@ -67,16 +67,26 @@ def cuts(sized: DataFrame, targets: DataFrame, buckets: int = BUCKETS, few: int
     plan = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     span = sized.groupBy("source").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    p = plan.select(F.col("source").alias("p_source"), "rest").join(span.withColumnRenamed("source", "s_source"), F.col("p_source").eqNullSafe(F.col("s_source"))).drop("s_source").withColumn("base", F.lit(0).cast("long"))
+    p = plan.select(F.col("source").alias("p_source"), "rest").join(
+        span.withColumnRenamed("source", "s_source"), F.col("p_source").eqNullSafe(F.col("s_source")),
+    ).drop("s_source").withColumn("base", F.lit(0).cast("long"))
     p = written(p, "ranges")  # a table: Spark knows its size, and broadcasts it if it is small
     here = sized.select("source", "doc_id", "size", "key")
     while True:
         place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))).otherwise(0)
         dealt = here.join(p, F.col("source").eqNullSafe(F.col("p_source"))).where("key between lo and hi").withColumn("bucket", place)
-        sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("n"), F.count("*").alias("docs"), F.min("key").alias("least"), F.max("key").alias("greatest"), *(F.first(c).alias(c) for c in ("rest", "base", "lo", "hi")))
+        sums = dealt.groupBy("source", "bucket").agg(
+            F.sum("size").alias("n"), F.count("*").alias("docs"), F.min("key").alias("least"), F.max("key").alias("greatest"),
+            *(F.first(c).alias(c) for c in ("rest", "base", "lo", "hi")),
+        )
         before = F.col("base") + F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        last = sums.withColumn("before", before).where("before <= rest").withColumn("back", F.row_number().over(Window.partitionBy("source").orderBy(F.col("bucket").desc()))).where("back <= 2")
-        narrow = last.groupBy(F.col("source").alias("p_source")).agg(F.first("rest").alias("rest"), F.min("least").alias("lo"), F.max("greatest").alias("hi"), F.min("before").alias("base"), F.sum("docs").alias("docs"), F.first("lo").alias("was_lo"), F.first("hi").alias("was_hi"))
+        last = sums.withColumn("before", before).where("before <= rest").withColumn(
+            "back", F.row_number().over(Window.partitionBy("source").orderBy(F.col("bucket").desc())),
+        ).where("back <= 2")
+        narrow = last.groupBy(F.col("source").alias("p_source")).agg(
+            F.first("rest").alias("rest"), F.min("least").alias("lo"), F.max("greatest").alias("hi"), F.min("before").alias("base"),
+            F.sum("docs").alias("docs"), F.first("lo").alias("was_lo"), F.first("hi").alias("was_hi"),
+        )
         narrow = written(narrow, "ranges")
         p = narrow.drop("docs", "was_lo", "was_hi")
         if narrow.where(f"docs > {few} and hi > lo and (lo > was_lo or hi < was_hi)").isEmpty():
@@ -89,7 +99,10 @@ def cuts(sized: DataFrame, targets: DataFrame, buckets: int = BUCKETS, few: int
     return plan.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").select("source", "source_size", "target", "epochs", "cut")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, quality: Column | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
+    quality: Column | None = None,
+) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row.
 
     ``taken`` is the words the mix takes of a document: its size times the complete epochs of its source,
@@ -104,7 +117,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: Column | None) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"), _given(quality))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        size_of(F.col(text_col).cast("string")).alias("size"), _given(quality),
+    )
     return rows.withColumn("weight", _weight()).drop("quality").withColumn("key", exponential_key("doc_id", F.col("weight")))
 
 
@@ -122,12 +138,18 @@ def _taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + again)).alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, quality: Column | None = None) -> DataFrame:
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
+    quality: Column | None = None,
+) -> DataFrame:
     """The rows of the mix with all their columns: each as many times as it is taken, 0 to 3. Null, empty and blank
     texts are never taken; otherwise as ``mix``."""
     sized = written(_sized(docs, id_col, text_col, source_col, quality), "sized")
     plan = written(cuts(sized, source_targets(sized, weights)), "cuts").select(F.col("source").alias("mix__source"), "epochs", "cut")
-    drawn = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"), _given(quality))
+    drawn = docs.select(
+        F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        size_of(F.col(text_col).cast("string")).alias("size"), _given(quality),
+    )
     drawn = drawn.withColumn("key", exponential_key("doc_id", _weight()))
     again = F.coalesce(F.struct("key", "doc_id") <= F.col("cut"), F.lit(False)).cast("long")
     joined = drawn.join(plan, F.col("source").eqNullSafe(F.col("mix__source"))).where("size > 0")

@@ -199,10 +199,14 @@ def vectors_of(rows: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
     norm = most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / most) * (x / most)))
-    sizes = rows.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n"), F.max(F.least(norm, F.lit(1.7e308))).alias("norm")).orderBy(F.desc("n"), F.desc("length")).first()
+    sizes = rows.groupBy(F.size("v").alias("length")).agg(
+        F.count("*").alias("n"), F.max(F.least(norm, F.lit(1.7e308))).alias("norm"),
+    ).orderBy(F.desc("n"), F.desc("length")).first()
     if sizes is None:
         return rows.select("vec_id", "v", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2")), 0, 1.0
-    return rows.where(F.size("v") == sizes["length"]).select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")), int(sizes["length"]), float(sizes["norm"])
+    return rows.where(F.size("v") == sizes["length"]).select(
+        "vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"),
+    ), int(sizes["length"]), float(sizes["norm"])
 
 
 def classes(vectors: DataFrame, top: int) -> DataFrame:
@@ -259,8 +263,14 @@ def _answers(data: DataFrame, visits: DataFrame, space: Space, n_data: dict[int,
     plan = spark.createDataFrame([(c, -(-n // s.block), -(-n_asked[c] // s.asked)) for c, n in n_data.items() if c in n_asked], "cell int, blocks int, copies int")
     some = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     plan = F.broadcast(plan)  # a row for each cell, at most s.cells of them
-    left = data.join(plan, "cell").select("cell", F.pmod("h1", "blocks").cast("int").alias("block"), F.explode(some("copies")).alias("copy"), F.lit(False).alias("asks"), "h1", "h2", "v", "ids", F.lit(None).cast("double").alias("known"))
-    right = visits.join(plan, "cell").select("cell", F.explode(some("blocks")).alias("block"), F.pmod(F.hash("h1", "h2"), "copies").cast("int").alias("copy"), F.lit(True).alias("asks"), "h1", "h2", "v", F.array().cast("array<long>").alias("ids"), "known")
+    left = data.join(plan, "cell").select(
+        "cell", F.pmod("h1", "blocks").cast("int").alias("block"), F.explode(some("copies")).alias("copy"), F.lit(False).alias("asks"), "h1", "h2",
+        "v", "ids", F.lit(None).cast("double").alias("known"),
+    )
+    right = visits.join(plan, "cell").select(
+        "cell", F.explode(some("blocks")).alias("block"), F.pmod(F.hash("h1", "h2"), "copies").cast("int").alias("copy"), F.lit(True).alias("asks"),
+        "h1", "h2", "v", F.array().cast("array<long>").alias("ids"), "known",
+    )
     keys = ["cell", "block", "copy"]
     both = left.unionByName(right).repartition(n_parts(data), *keys).sortWithinPartitions(*keys, "asks")
     shared = spark.sparkContext.broadcast(space)
@@ -298,7 +308,10 @@ def _answered(block: Block, space: Space, rows: pa.RecordBatch, top: int, beyond
     known = pc.fill_null(rows["known"], -math.inf).to_numpy(zero_copy_only=False)
     told = [block.answer(q, p, k, top, beyond) for q, p, k in zip(queries, points, known.tolist())]
     ends = np.cumsum([0, *(len(ids) for ids, _, _ in told)]).astype(np.int32)
-    pairs = pa.StructArray.from_arrays([pa.array(-np.concatenate([x for _, x, _ in told]), pa.float64()), pa.array(np.concatenate([i for i, _, _ in told]), pa.int64())], names=["below", "id"])
+    pairs = pa.StructArray.from_arrays(
+        [pa.array(-np.concatenate([x for _, x, _ in told]), pa.float64()), pa.array(np.concatenate([i for i, _, _ in told]), pa.int64())],
+        names=["below", "id"],
+    )
     worst = pa.array([w if math.isfinite(w) else None for _, _, w in told], pa.float64())
     return pa.RecordBatch.from_arrays([rows["h1"], rows["h2"], worst, pa.ListArray.from_arrays(pa.array(ends), pairs)], names=["h1", "h2", "worst", "hits"])
 
@@ -347,7 +360,9 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     table = written(classes(vectors, top + 1), "vectors")
     space = _space(table, length, norm, table.count(), s)
     data = _placed(table, space)
-    told = data.groupBy("cell").agg(F.count("*").alias("n"), *[f(F.col("y")[i]).alias(f"{name}{i}") for i in range(s.dims) for name, f in (("low", F.min), ("high", F.max))]).collect()  # at most s.cells rows
+    told = data.groupBy("cell").agg(
+        F.count("*").alias("n"), *[f(F.col("y")[i]).alias(f"{name}{i}") for i in range(s.dims) for name, f in (("low", F.min), ("high", F.max))],
+    ).collect()  # at most s.cells rows
     sizes = {r["cell"]: r["n"] for r in told}
     boxes = (np.array([r["cell"] for r in told]), *(np.array([[r[f"{side}{i}"] for i in range(s.dims)] for r in told]) for side in ("low", "high")))
     asked = vectors.where(F.col("vec_id") % every == 0)
@@ -361,4 +376,6 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     best = first.unionByName(second).groupBy("h1", "h2").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, top + 1).alias("hits"))
     ids = asked.select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
     own = F.slice(F.filter("hits", lambda x: x["id"] != F.col("query_id")), 1, top)
-    return ids.join(best, ["h1", "h2"]).select("query_id", F.posexplode(own).alias("place", "hit")).select("query_id", (F.col("place") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.below")).alias("score"))
+    return ids.join(best, ["h1", "h2"]).select("query_id", F.posexplode(own).alias("place", "hit")).select(
+        "query_id", (F.col("place") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.below")).alias("score"),
+    )

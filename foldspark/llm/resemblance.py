@@ -40,7 +40,10 @@ FEW = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LANE = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 #: The bits of a byte, each in a byte of its own.
-_SPREAD = np.packbits(np.repeat(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")[:, :, None], 8, axis=2) & np.array([1, 0, 0, 0, 0, 0, 0, 0], dtype=np.uint8), bitorder="little").view("<u8")
+_SPREAD = np.packbits(
+    np.repeat(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")[:, :, None], 8, axis=2) & np.array([1, 0, 0, 0, 0, 0, 0, 0], dtype=np.uint8),
+    bitorder="little",
+).view("<u8")
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -132,7 +135,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for part in slices(batch, limit=1 << 20):
                 offsets, h = run_sets(filled(part["text"]))
                 lanes = lanes_of(offsets, h)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(_keys(offsets, h)), pa.array(np.diff(offsets)), *(pa.array(lanes[:, i].copy()) for i in range(LANES))], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array(_keys(offsets, h)), pa.array(np.diff(offsets)), *(pa.array(lanes[:, i].copy()) for i in range(LANES))],
+                    names=names,
+                )
 
     return _read(docs, id_col, text_col).mapInArrow(lean(run), ", ".join(f"{x} long" for x in names))
 
@@ -155,7 +161,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
         for batch in batches:
             for part in slices(batch):
                 offsets, h = run_sets(filled(part["text"]))
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(offsets, h)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))], names=["key", "runs"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_keys(offsets, h)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))],
+                    names=["key", "runs"],
+                )
 
     rows = among(_read(docs, id_col, text_col), "doc_id", wanted, "left_semi")
     return rows.mapInArrow(lean(run), "key long, runs array<long>").dropDuplicates(["key"])
@@ -262,7 +271,10 @@ def _stars(large: DataFrame) -> DataFrame:
     """u, v: verified links of large clusters' members to three hubs: any member, the one most like it, and
     of those that the second leaves out again the one most like it. Linear in the members."""
     found, told = large, None
-    for pick in (F.max(F.struct("key", "n", "runs")), F.max(F.when(F.col("like") < 1, F.struct("like", "key", "n", "runs"))), F.max(F.when(~F.col("linked"), F.struct("like", "key", "n", "runs")))):
+    for pick in (
+        F.max(F.struct("key", "n", "runs")), F.max(F.when(F.col("like") < 1, F.struct("like", "key", "n", "runs"))),
+        F.max(F.when(~F.col("linked"), F.struct("like", "key", "n", "runs"))),
+    ):
         hubs = found.groupBy("cluster").agg(pick.alias("hub")).where("hub is not null")
         near = large.join(hubs.selectExpr("cluster", "hub.key v", "hub.n m", "hub.runs theirs"), "cluster").withColumn("shared", F.size(F.array_intersect("runs", "theirs")))
         near = near.withColumn("like", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).withColumn("linked", F.expr(LINKED))

@@ -134,7 +134,10 @@ def syncmer_anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 who, pos, h = anchors(filled(part["text"]).to_pylist())
                 order = np.lexsort((pos, who))
                 offsets = pa.array(ragged(np.bincount(who, minlength=part.num_rows)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(offsets, pa.array(pos[order].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(h[order].view(np.int64)))], names=["doc_id", "pos", "hash"])
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.ListArray.from_arrays(offsets, pa.array(pos[order].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(h[order].view(np.int64)))],
+                    names=["doc_id", "pos", "hash"],
+                )
 
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(lean(run), "doc_id long, pos array<int>, hash array<long>")
 
@@ -147,7 +150,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for part in slices(batch):
                 texts = filled(part["text"]).to_pylist()
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(t) for t in texts], pa.int64()), pa.array([r.tobytes().hex() for r in sketches(texts)], pa.string())], names=["doc_id", "n_chars", "fingerprint"])
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array([len(t) for t in texts], pa.int64()), pa.array([r.tobytes().hex() for r in sketches(texts)], pa.string())],
+                    names=["doc_id", "n_chars", "fingerprint"],
+                )
 
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(lean(run), "doc_id long, n_chars long, fingerprint string")
 
@@ -215,7 +221,10 @@ def edit_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for i in range(batch.num_rows):
                 one = _compared(*(batch[c].slice(i, 1).to_pylist() for c in ("doc_id", "text", "after")))
-                yield pa.RecordBatch.from_pydict(one, pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]))
+                yield pa.RecordBatch.from_pydict(
+                    one,
+                    pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]),
+                )
 
     done = first.where("side is null").drop("part", "side", "text")
     every = done.unionByName(open_rows.mapInArrow(lean(close), COLUMNS))

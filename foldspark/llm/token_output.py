@@ -195,7 +195,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
                 ids, offsets = enc.documents(filled(some["text"]), end_id)
                 n = some.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part, dtype=np.int32)), pa.array(np.arange(row, row + n)), some["doc_id"], pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))],
+                    [pa.array(np.full(n, part, dtype=np.int32)), pa.array(np.arange(row, row + n)), some["doc_id"], pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(
+                        pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)),
+                    )],
                     names=["part", "row", "doc_id", "ids_before", "n_tokens", "ids"],
                 )
                 row, before = row + n, before + int(offsets[-1])

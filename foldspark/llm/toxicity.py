@@ -175,7 +175,10 @@ def descend(ids: np.ndarray, offsets: np.ndarray, labels: np.ndarray, weights: n
     return Machine(bias, weight, vector)
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> Machine:
+def fit(
+    docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    rows_per_class: int = ROWS_PER_CLASS,
+) -> Machine:
     """Fits on labelled rows where ``keep`` (of ``doc_id``) holds, about ``rows_per_class`` of each class,
     chosen by a hash of their ids and weighted back to the classes' shares. Null ids and labels other than 0 and
     1 are left out; null texts have no terms. Without labelled rows the
@@ -197,7 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id"
         for batch in batches:
             for part in slices(batch):
                 ids, offsets = terms(filled(part["text"]))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["label"], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "label", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], part["label"], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))],
+                    names=["doc_id", "label", "ids"],
+                )
 
     table = rows.select("doc_id", "label", "text").mapInArrow(lean(run), "doc_id long, label int, ids array<int>").toArrow().sort_by("doc_id")
     lists = table["ids"].combine_chunks()

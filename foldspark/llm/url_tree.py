@@ -166,7 +166,9 @@ def _templates(paths: DataFrame, s: Settings) -> DataFrame:
         nodes = children.groupBy(*keys).agg(F.count("*").alias("k"), F.sum("pages").alias("pages"))
         varies = nodes.where((F.col("k") > s.most) | ((F.col("k") > s.many) & (F.col("pages") < s.few * F.col("k")))).select(*keys, F.lit("*").alias("varies"), salts)
         salted = rows.withColumn("salt", F.pmod(F.xxhash64("gpath"), F.lit(SALT)).cast("int"))
-        rows = salted.join(varies, [*keys, "salt"], "left").withColumn("template", F.concat("template", sep, F.coalesce("varies", "seg"))).withColumn("level", F.col("level") + 1).drop("seg", "varies", "salt")
+        rows = salted.join(varies, [*keys, "salt"], "left").withColumn(
+            "template", F.concat("template", sep, F.coalesce("varies", "seg")),
+        ).withColumn("level", F.col("level") + 1).drop("seg", "varies", "salt")
         rows = written(rows, "level")
 
 
@@ -219,7 +221,9 @@ def _merged(table: DataFrame, s: Settings) -> DataFrame:
     for level in reversed(range(rows.where((F.col("labelled") >= s.labelled) & (F.col("branch") != "")).agg(F.max(F.size(parts))).first()[0] or 0)):
         mask = F.concat_ws("/", F.slice(parts, 1, level), F.array(F.lit("*")), F.slice(parts, level + 2, F.size(parts)))
         # A branch may hold several templates by now: rates are of branches, and of their siblings' together.
-        own = rows.where((F.size(parts) > level) & (F.col("branch") != "") & (F.col("labelled") > 0)).groupBy("host", "branch").agg(F.sum("labelled").alias("lab"), F.sum("blocked").alias("blk")).withColumn("mask", mask)
+        own = rows.where((F.size(parts) > level) & (F.col("branch") != "") & (F.col("labelled") > 0)).groupBy("host", "branch").agg(
+            F.sum("labelled").alias("lab"), F.sum("blocked").alias("blk"),
+        ).withColumn("mask", mask)
         group = own.groupBy("host", "mask").agg(F.sum("lab").alias("all_lab"), F.sum("blk").alias("all_blk"))
         p = F.col("all_blk") / F.col("all_lab")
         near = F.abs(F.col("blk") / F.col("lab") - p) <= s.z * F.sqrt(p * (1 - p) / F.col("lab"))
@@ -241,7 +245,10 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.col(id_col).alias("page_id"), url_host(url_col).alias("host"), url_path(url_col).alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     segs = F.transform(F.filter(F.split(F.coalesce("path", F.lit("")), "/"), lambda x: x != ""), lambda x: F.when(x.rlike(VARYING), F.lit("*")).otherwise(x))
-    rows = rows.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), rule.alias("rule"), verdict.alias("said"), F.array_join(segs, "/").alias("gpath"))
+    rows = rows.select(
+        "page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), rule.alias("rule"), verdict.alias("said"),
+        F.array_join(segs, "/").alias("gpath"),
+    )
     paths = rows.groupBy("host", "gpath").agg(F.count("*").alias("n"), F.count("said").alias("labelled"), F.count(F.when(F.col("said") == "block", 1)).alias("blocked"))
     paths = written(paths.withColumn("segs", F.filter(F.split("gpath", "/"), lambda x: x != "")), "paths")
     named = written(_templates(paths, s), "templates")
@@ -249,7 +256,9 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     branches = written(_merged(table, s), "branches")
     rates = branches.groupBy("host", "branch").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     rates = rates.select("host", "branch", ((F.col("b") + s.prior / 2) / (F.col("l") + s.prior)).alias("purity"))
-    judged = named.select("host", "gpath", "template").join(branches.select("host", "template", "branch"), ["host", "template"]).join(rates, ["host", "branch"]).select("host", "gpath", F.col("branch").alias("template"), "purity")
+    judged = named.select("host", "gpath", "template").join(
+        branches.select("host", "template", "branch"), ["host", "template"],
+    ).join(rates, ["host", "branch"]).select("host", "gpath", F.col("branch").alias("template"), "purity")
     own = F.when(F.col("purity") >= s.purity, "block").otherwise("allow")
     return rows.join(judged, ["host", "gpath"]).select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "template", "purity")
 
