@@ -268,4 +268,7 @@ def fold_score(zscore, contact_order, convergence, len_p, len_e, alpha, beta, al
         return 1 / (1 + 1 / F.exp(z))
 
     p = F.when(kind == 1, chance(COEFFICIENTS[1])).when(kind == 2, chance(COEFFICIENTS[2])).otherwise(chance(COEFFICIENTS[3]))
-    return F.struct(kind.alias("class"), ratio.alias("ratio"), log_share_ratio(alpha, alpha_e).alias("alpha_ratio"), log_share_ratio(beta, beta_e).alias("beta_ratio"), p.alias("probability"))
+    return F.struct(
+        kind.alias("class"), ratio.alias("ratio"), log_share_ratio(alpha, alpha_e).alias("alpha_ratio"),
+        log_share_ratio(beta, beta_e).alias("beta_ratio"), p.alias("probability"),
+    )

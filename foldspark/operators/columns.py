@@ -82,4 +82,7 @@ def important_residue_score(sites: DataFrame, matrix: DataFrame, gap: float = -0
     rows = sites.join(matrix, ["known", "letter"], "left")
     s = F.when(F.col("letter") == "-", F.lit(gap)).otherwise(F.coalesce("s", F.lit(0.0)))
     pick = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("residue"))))
-    return rows.groupBy("structure").agg(F.sum(s).alias("score"), pick((s > 0) & (F.col("letter") != F.col("known"))).alias("conserved"), pick(F.col("letter") == F.col("known")).alias("identical"))
+    return rows.groupBy("structure").agg(
+        F.sum(s).alias("score"), pick((s > 0) & (F.col("letter") != F.col("known"))).alias("conserved"),
+        pick(F.col("letter") == F.col("known")).alias("identical"),
+    )

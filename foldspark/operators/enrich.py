@@ -24,7 +24,10 @@ def count_by_method(calls: DataFrame) -> DataFrame:
     """superfamily, total, psiblast, fold_recognition, other."""
     known = F.col("method").isin("psiblast", "fold_recognition")
     n = lambda cond: F.count(F.when(cond, 1))
-    return calls.groupBy("superfamily").agg(F.count("*").alias("total"), n(F.col("method") == "psiblast").alias("psiblast"), n(F.col("method") == "fold_recognition").alias("fold_recognition"), n(~known).alias("other"))
+    return calls.groupBy("superfamily").agg(
+        F.count("*").alias("total"), n(F.col("method") == "psiblast").alias("psiblast"),
+        n(F.col("method") == "fold_recognition").alias("fold_recognition"), n(~known).alias("other"),
+    )
 
 
 def filter_count(counts: DataFrame, least: int, col: str = "foreground") -> DataFrame:

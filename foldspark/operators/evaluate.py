@@ -37,12 +37,18 @@ def precision_recall(scored: DataFrame, groups: list[str] | None = None, parts:
     every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     zero = F.lit(0)
     names = [F.col(g).alias(f"{g}__") for g in groups]
-    sums = sums.select(*names, F.col("part").alias("part__"), F.coalesce(F.sum("pn").over(before), zero).alias("bn"), F.coalesce(F.sum("ph").over(before), zero).alias("bh"), F.sum("pn").over(every).alias("all_n"), F.sum("ph").over(every).alias("all_hits"))
+    sums = sums.select(
+        *names, F.col("part").alias("part__"), F.coalesce(F.sum("pn").over(before), zero).alias("bn"),
+        F.coalesce(F.sum("ph").over(before), zero).alias("bh"), F.sum("pn").over(every).alias("all_n"), F.sum("ph").over(every).alias("all_hits"),
+    )
     down = Window.partitionBy("part", *groups).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     same = [F.col("part") == F.col("part__"), *[F.col(g).eqNullSafe(F.col(f"{g}__")) for g in groups]]
     rows = dealt.withColumn("cn", F.sum("n").over(down)).withColumn("ch", F.sum("hits").over(down)).join(sums, same)
     rows = rows.withColumn("cn", F.col("bn") + F.col("cn")).withColumn("ch", F.col("bh") + F.col("ch"))
-    return rows.select(*groups, "score", F.col("cn").alias("n"), F.col("ch").alias("hits"), (F.col("ch") / F.col("cn")).alias("precision"), F.when(F.col("all_hits") > 0, F.col("ch") / F.col("all_hits")).alias("recall"), (F.col("cn") / F.col("all_n")).alias("rate"))
+    return rows.select(
+        *groups, "score", F.col("cn").alias("n"), F.col("ch").alias("hits"), (F.col("ch") / F.col("cn")).alias("precision"),
+        F.when(F.col("all_hits") > 0, F.col("ch") / F.col("all_hits")).alias("recall"), (F.col("cn") / F.col("all_n")).alias("rate"),
+    )
 
 
 def precision_threshold(curve: DataFrame, least: float, groups: list[str] | None = None, skip: int = 99) -> DataFrame:
@@ -104,13 +110,18 @@ def benchmark_sequences(annotations: DataFrame, terms: DataFrame, types: list[st
 def genome_coverage(predictions: DataFrame, thresholds: DataFrame, groups: list[str]) -> DataFrame:
     """groups, predictions, proteins, domains, functions kept at the groups' thresholds."""
     kept = predictions.join(thresholds, groups).where("score >= threshold")
-    return kept.groupBy(*groups).agg(F.count("*").alias("predictions"), F.countDistinct("protein").alias("proteins"), F.countDistinct("domain").alias("domains"), F.countDistinct("acc").alias("functions"))
+    return kept.groupBy(*groups).agg(
+        F.count("*").alias("predictions"), F.countDistinct("protein").alias("proteins"), F.countDistinct("domain").alias("domains"),
+        F.countDistinct("acc").alias("functions"),
+    )
 
 
 def orthogonal_predictions(scores: DataFrame, key: str, cuts: list[tuple[float, float]]) -> DataFrame:
     """cut_a, cut_b, both, only_a, only_b: keys over the cutoffs of two scores (a, b)."""
     grid = scores.sparkSession.createDataFrame(cuts, "cut_a double, cut_b double")
-    flags = scores.crossJoin(F.broadcast(grid)).groupBy("cut_a", "cut_b", key).agg(F.bool_or(F.col("a") >= F.col("cut_a")).alias("x"), F.bool_or(F.col("b") >= F.col("cut_b")).alias("y"))  # a short list of cutoffs
+    flags = scores.crossJoin(F.broadcast(grid)).groupBy("cut_a", "cut_b", key).agg(
+        F.bool_or(F.col("a") >= F.col("cut_a")).alias("x"), F.bool_or(F.col("b") >= F.col("cut_b")).alias("y"),
+    )  # a short list of cutoffs
     n = lambda cond: F.count(F.when(cond, 1))
     return flags.groupBy("cut_a", "cut_b").agg(n(F.col("x") & F.col("y")).alias("both"), n(F.col("x") & ~F.col("y")).alias("only_a"), n(~F.col("x") & F.col("y")).alias("only_b"))
 
@@ -192,7 +203,10 @@ def gold_comparison(predictions: DataFrame, truth: DataFrame, stored: DataFrame,
     keys = ["entity", "acc"]
     kept = predictions.where(F.col("score") >= cut).select(*keys).distinct()
     t, s = (x.select(*keys).distinct().withColumn(n, F.lit(1)) for x, n in ((truth, "t"), (stored, "s")))
-    return kept.join(t, keys, "left").join(s, keys, "left").agg(F.count("*").alias("predicted"), F.count("t").alias("true"), F.count("s").alias("stored"), F.count(F.when(F.col("t").isNotNull() & F.col("s").isNotNull(), 1)).alias("both"))
+    return kept.join(t, keys, "left").join(s, keys, "left").agg(
+        F.count("*").alias("predicted"), F.count("t").alias("true"), F.count("s").alias("stored"),
+        F.count(F.when(F.col("t").isNotNull() & F.col("s").isNotNull(), 1)).alias("both"),
+    )
 
 
 def pivot_scores(scores: DataFrame, names: list[str], tiny: float = 1e-7) -> DataFrame:

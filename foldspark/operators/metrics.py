@@ -46,7 +46,9 @@ def frequency(predictors: DataFrame) -> DataFrame:
     a = sized.select("cluster_id", F.col("predictor").alias("acc"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     b = sized.select("cluster_id", F.col("predictor").alias("acc2"), F.pmod(F.xxhash64("predictor"), F.col("blocks")).cast("int").alias("block"))
     pairs = a.join(b, ["cluster_id", "block"]).where("acc <= acc2").groupBy("acc", "acc2").agg(F.count("*").alias("metric"))
-    both = F.when(F.col("acc") == F.col("acc2"), F.array(F.struct("acc", "acc2"))).otherwise(F.array(F.struct("acc", "acc2"), F.struct(F.col("acc2").alias("acc"), F.col("acc").alias("acc2"))))
+    both = F.when(F.col("acc") == F.col("acc2"), F.array(F.struct("acc", "acc2"))).otherwise(F.array(
+        F.struct("acc", "acc2"), F.struct(F.col("acc2").alias("acc"), F.col("acc").alias("acc2")),
+    ))
     # What stands with the universal predictor: everything, in clusters that have it.
     has = rows.where(F.col("predictor") == UNIVERSAL).select("cluster_id", F.lit(1).alias("has"))
     base = settled(rows.join(has, "cluster_id", "left").groupBy("predictor").agg(F.count("*").alias("metric"), F.count("has").alias("with_all")))
@@ -65,14 +67,19 @@ def with_base(metric: DataFrame) -> DataFrame:
     base = metric.where("acc2 is null")
     total = base.where(F.col("acc") == UNIVERSAL).select(F.col("metric").alias("total"))
     pairs = metric.where("acc2 is not null")
-    pairs = pairs.join(base.select("acc", F.col("metric").alias("base")), "acc", "left").join(base.select(F.col("acc").alias("acc2"), F.col("metric").alias("base2")), "acc2", "left")
+    pairs = pairs.join(base.select("acc", F.col("metric").alias("base")), "acc", "left").join(
+        base.select(F.col("acc").alias("acc2"), F.col("metric").alias("base2")), "acc2", "left",
+    )
     return pairs.crossJoin(F.broadcast(total)).select("acc", "acc2", "metric", "base", "base2", "total")  # one row
 
 
 def frequency_not(freq: DataFrame) -> DataFrame:
     """acc, acc2, with the counts of (acc, not acc2), (not acc, acc2) and (not acc, not acc2)."""
     n = with_base(freq).fillna(0, ["base", "base2"])
-    return n.select("acc", "acc2", (F.col("base") - F.col("metric")).alias("a_not_b"), (F.col("base2") - F.col("metric")).alias("not_a_b"), (F.col("total") - F.col("base") - F.col("base2") + F.col("metric")).alias("not_a_not_b"))
+    return n.select(
+        "acc", "acc2", (F.col("base") - F.col("metric")).alias("a_not_b"), (F.col("base2") - F.col("metric")).alias("not_a_b"),
+        (F.col("total") - F.col("base") - F.col("base2") + F.col("metric")).alias("not_a_not_b"),
+    )
 
 
 def probability(freq: DataFrame, pseudo: float | None = None) -> DataFrame:
@@ -95,7 +102,10 @@ def given_not(p_b: Column, p_b_a: Column, p_a: Column) -> Column:
 
 def probability_not(prob: DataFrame) -> DataFrame:
     """acc, acc2, P(not acc), P(not acc2 given acc), P(acc2 given not acc)."""
-    return with_base(prob).select("acc", "acc2", (1 - F.col("base")).alias("p_not_a"), (1 - F.col("metric")).alias("p_not_b_a"), given_not(F.col("base2"), F.col("metric"), F.col("base")).alias("p_b_not_a"))
+    return with_base(prob).select(
+        "acc", "acc2", (1 - F.col("base")).alias("p_not_a"), (1 - F.col("metric")).alias("p_not_b_a"),
+        given_not(F.col("base2"), F.col("metric"), F.col("base")).alias("p_b_not_a"),
+    )
 
 
 def log_ratio(prob: DataFrame) -> DataFrame:
@@ -167,7 +177,9 @@ def profile_correlation(prob: DataFrame, superfamilies: DataFrame, functions: Da
     rows = prob.where("acc2 is not null and metric > 0").join(superfamilies, "acc", "left_semi").join(weight, "acc2").select("acc", "acc2", F.col("metric").alias("p"), "w")
     own = rows.groupBy("acc").agg(F.count("*").alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("p")).alias("swp"), F.sum(F.col("w") * F.col("p") ** 2).alias("swpp"))
     met = pairs_within(rows, "acc2", "acc", ("p", "w"))
-    both = met.groupBy(F.col("a").alias("acc"), F.col("b").alias("acc_b")).agg(F.count("*").alias("shared"), F.sum("w_a").alias("mw"), F.sum(F.col("w_a") * F.col("p_a") * F.col("p_b")).alias("cross"))
+    both = met.groupBy(F.col("a").alias("acc"), F.col("b").alias("acc_b")).agg(
+        F.count("*").alias("shared"), F.sum("w_a").alias("mw"), F.sum(F.col("w_a") * F.col("p_a") * F.col("p_b")).alias("cross"),
+    )
     x = own.select("acc", *[F.col(c).alias(f"{c}_a") for c in ("n", "sw", "swp", "swpp")])
     y = own.select(F.col("acc").alias("acc_b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "sw", "swp", "swpp")])
     t = both.join(x, "acc").join(y, "acc_b").withColumn("sw", F.col("sw_a") + F.col("sw_b") - F.col("mw"))

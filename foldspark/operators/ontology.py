@@ -81,7 +81,9 @@ def local_leaves(entity_terms: DataFrame, closure: DataFrame) -> DataFrame:
 def induced_dag(terms: DataFrame, edges: DataFrame) -> DataFrame:
     """parent, child: direct edges with both ends in the term set (acc)."""
     t = terms.select("acc").distinct()
-    return edges.join(t.withColumnRenamed("acc", "parent"), "parent", "left_semi").join(t.withColumnRenamed("acc", "child"), "child", "left_semi").select("parent", "child").distinct()
+    return edges.join(
+        t.withColumnRenamed("acc", "parent"), "parent", "left_semi",
+    ).join(t.withColumnRenamed("acc", "child"), "child", "left_semi").select("parent", "child").distinct()
 
 
 def parent_matrix(edges: DataFrame, index: DataFrame) -> DataFrame:
@@ -152,7 +154,9 @@ def novel_or_extended(predicted: DataFrame, known: DataFrame) -> DataFrame:
 def background(annotations: DataFrame) -> DataFrame:
     """acc, sequences, share: distinct sequences of each term and their share of all."""
     total = annotations.agg(F.countDistinct("sequence_key").alias("total"))
-    return annotations.groupBy("acc").agg(F.countDistinct("sequence_key").alias("sequences")).crossJoin(F.broadcast(total)).select("acc", "sequences", (F.col("sequences") / F.col("total")).alias("share"))  # one row
+    return annotations.groupBy("acc").agg(F.countDistinct("sequence_key").alias("sequences")).crossJoin(F.broadcast(total)).select(
+        "acc", "sequences", (F.col("sequences") / F.col("total")).alias("share"),
+    )  # one row
 
 
 def term_counts(proteins: DataFrame, terms: DataFrame, roots: list[str]) -> DataFrame:

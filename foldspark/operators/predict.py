@@ -54,7 +54,10 @@ def _linked_terms(terms: DataFrame, funcs: DataFrame, mi: DataFrame, pair: DataF
     return held.select(F.col("entity").alias("parent"), "func", top["term"].alias(f"{name}_acc"), F.coalesce(top["lr"], F.lit(MISSING)).alias(f"{name}_part"))
 
 
-def predict_functions(domains: DataFrame, structures: DataFrame, process: DataFrame, localisation: DataFrame, lr: DataFrame, mi: DataFrame, lower: float = -12.0, upper: float = 0.0) -> DataFrame:
+def predict_functions(
+    domains: DataFrame, structures: DataFrame, process: DataFrame, localisation: DataFrame, lr: DataFrame, mi: DataFrame, lower: float = -12.0,
+    upper: float = 0.0,
+) -> DataFrame:
     """domain, parent, set_id, func, the eight scores, p_acc, l_acc.
 
     ``domains`` (domain, parent), ``structures`` (domain, set_id, sccs, p), ``process`` and
@@ -89,7 +92,9 @@ def predict_functions(domains: DataFrame, structures: DataFrame, process: DataFr
     low, high = (floor(x) if x is not None else 0 for x in base.agg(F.min("base_llr"), F.max("base_llr")).first())
     start = F.greatest(F.floor(bound), F.lit(low))
     whole = F.explode(F.when(start <= high, F.sequence(start.cast("int"), F.lit(high)))).alias("whole")
-    bare = held.select("*", bound.alias("bound"), whole).join(base.withColumn("whole", F.floor("base_llr").cast("int")), "whole").where("base_llr >= bound").drop("bound", "whole").join(linked, same & own, "left_anti")
+    bare = held.select("*", bound.alias("bound"), whole).join(
+        base.withColumn("whole", F.floor("base_llr").cast("int")), "whole",
+    ).where("base_llr >= bound").drop("bound", "whole").join(linked, same & own, "left_anti")
     without = of_terms.drop("of__parent").unionByName(bare, allowMissingColumns=True).join(stored.select("domain", "set_id", "func"), ["domain", "set_id", "func"], "left_anti")
     rows = with_stored.drop("of__parent", "of__func").unionByName(without, allowMissingColumns=True)
     s = F.col("mass") * MISSING + F.coalesce("extra", F.lit(0.0))

@@ -26,7 +26,9 @@ def assign_scop(domains: DataFrame, parts: DataFrame, share: float = 0.5) -> Dat
     common = F.when(whole, F.abs(F.col("stop") - F.col("start"))).otherwise(half_open_overlap("start", "stop", "p_start", "p_stop"))
     met = domains.join(p, ["pdb", "chain"]).groupBy("domain", "scop", "sccs").agg(F.sum(common).alias("common"))
     kept = met.join(sizes, "scop").where(F.col("common") > share * F.col("length"))
-    return kept.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_set("sccs")), ", ").alias("sccs"), F.greatest(F.count("*"), F.lit(1)).alias("size")).withColumn("confidence", F.lit(1.0))
+    return kept.groupBy("domain").agg(
+        F.array_join(F.array_sort(F.collect_set("sccs")), ", ").alias("sccs"), F.greatest(F.count("*"), F.lit(1)).alias("size"),
+    ).withColumn("confidence", F.lit(1.0))
 
 
 def scop_length(parts: DataFrame) -> DataFrame:
@@ -49,7 +51,10 @@ def domain_structures(domains: DataFrame, hits: DataFrame) -> DataFrame:
     return domains.join(hits, "key").groupBy("domain").agg(best).select("domain", "b.pdb", "b.chain")
 
 
-def structures_of_experiments(experiments: DataFrame, proteins: DataFrame, domains: DataFrame, sequences: DataFrame, chains: DataFrame, regions: DataFrame, entries: DataFrame, kinds: tuple[str, ...] = KNOWN_TYPES) -> DataFrame:
+def structures_of_experiments(
+    experiments: DataFrame, proteins: DataFrame, domains: DataFrame, sequences: DataFrame, chains: DataFrame, regions: DataFrame, entries: DataFrame,
+    kinds: tuple[str, ...] = KNOWN_TYPES,
+) -> DataFrame:
     """domain, parent, kind, pdb, chain, start, stop, length: one structure a domain sequence and its parent.
 
     ``experiments`` (id), ``proteins`` (experiment, sequence), ``domains`` (id, sequence, parent, kind, parent_id: three
@@ -58,9 +63,14 @@ def structures_of_experiments(experiments: DataFrame, proteins: DataFrame, domai
     taken. Chains of one sequence are cut to the greatest before they meet domains, and experiments only
     select, so that no product of copies is formed. Rows without a partner in any table are left out.
     """
-    best = chains.join(entries.select(F.col("id").alias("pdb_key"), "pdb"), "pdb_key").where("chain is not null").groupBy(F.col("sequence").alias("chain_seq")).agg(F.max(F.struct("pdb", "chain")).alias("best"))
+    best = chains.join(
+        entries.select(F.col("id").alias("pdb_key"), "pdb"), "pdb_key",
+    ).where("chain is not null").groupBy(F.col("sequence").alias("chain_seq")).agg(F.max(F.struct("pdb", "chain")).alias("best"))
     held = proteins.join(experiments, proteins["experiment"] == experiments["id"], "left_semi").select(F.col("sequence").alias("parent")).distinct()
-    rows = domains.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("domain_id"), F.col("sequence").alias("domain"), "parent", "kind", F.substring("parent_id", 4, 1 << 20).try_cast("long").alias("chain_seq"))
+    rows = domains.where(F.col("kind").isin(*kinds)).select(
+        F.col("id").alias("domain_id"), F.col("sequence").alias("domain"), "parent", "kind",
+        F.substring("parent_id", 4, 1 << 20).try_cast("long").alias("chain_seq"),
+    )
     rows = rows.join(held, "parent", "left_semi").join(best, "chain_seq").join(regions.select("domain_id", "start", "stop"), "domain_id")
     one = rows.groupBy("domain", "parent").agg(F.max(F.struct("best.pdb", "best.chain", "kind", "start", "stop")).alias("b"))
     text = sequences.select(F.col("id").alias("domain"), F.length("sequence").alias("length"))
@@ -147,7 +157,10 @@ def pairwise_max_avg(elements: DataFrame, scores: DataFrame, is_canonical: bool
     return each.groupBy("p", "q", "n_p", "n_q").agg(F.sum("best").alias("total")).select("p", "q", similarity(F.col("total"), F.col("n_p"), F.col("n_q")).alias("similarity"))
 
 
-def homolog_all_vs_all(elements: DataFrame, scores: DataFrame, keep: int = 100, is_canonical: bool = False, similarity: Callable[[Column, Column, Column], Column] = mean_of_both) -> DataFrame:
+def homolog_all_vs_all(
+    elements: DataFrame, scores: DataFrame, keep: int = 100, is_canonical: bool = False,
+    similarity: Callable[[Column, Column, Column], Column] = mean_of_both,
+) -> DataFrame:
     """source, other, similarity, rank: the best ``keep`` proteins of each source.
 
     A pair is formed once and mirrored; of a source's pairs each task sends ``keep`` at most to its window.
@@ -233,7 +246,9 @@ def best_path(candidates: Column, apart: float = 0.1, most_edges: int = 50) -> C
 
     def step(state: Column, x: Column) -> Column:
         common = lambda y: F.greatest(F.lit(0), F.least(y["stop"], x["stop"]) - F.greatest(y["start"], x["start"]) + 1)
-        before = F.filter(F.transform(state["held"], lambda y, i: F.struct(y["total"].alias("total"), (-i).alias("first"), y["path"].alias("path"), (common(y) / length(y) < apart).alias("apart"))), lambda y: y["apart"])
+        before = F.filter(F.transform(state["held"], lambda y, i: F.struct(
+            y["total"].alias("total"), (-i).alias("first"), y["path"].alias("path"), (common(y) / length(y) < apart).alias("apart"),
+        )), lambda y: y["apart"])
         best = F.array_max(F.transform(before, lambda y: F.struct(y["total"], y["first"], y["path"])))
         total = F.coalesce(best["total"], F.lit(0.0)) + x["ratio"] * length(x)
         path = F.concat(F.coalesce(best["path"], none), F.array(F.size(state["held"]).cast("int")))

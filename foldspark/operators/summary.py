@@ -25,7 +25,9 @@ def class_counts(calls: DataFrame, high: float, methods: list[str] | None = None
 def count_by_class(calls: DataFrame, high: float, classes: str = "abcdefghi") -> DataFrame:
     """class, total, confident: summed sizes of each class letter, absent ones 0."""
     letters = calls.sparkSession.createDataFrame([(c,) for c in classes], "class string")
-    own = calls.groupBy(F.substring_index("sccs", ".", 1).alias("class")).agg(F.sum("size").alias("total"), F.sum(F.when(F.col("confidence") >= high, F.col("size"))).alias("confident"))
+    own = calls.groupBy(F.substring_index("sccs", ".", 1).alias("class")).agg(
+        F.sum("size").alias("total"), F.sum(F.when(F.col("confidence") >= high, F.col("size"))).alias("confident"),
+    )
     zero = F.lit(0)
     return letters.join(own, "class", "left").select("class", F.coalesce("total", zero).alias("total"), F.coalesce("confident", zero).alias("confident"))
 
@@ -39,7 +41,10 @@ def domain_yield(calls: DataFrame) -> DataFrame:
 def organism_summary(calls: DataFrame, medium: float, high: float) -> DataFrame:
     """experiment, proteins, domains, a column for each method, medium, high."""
     s = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("size"))), F.lit(0))
-    return calls.groupBy("experiment").agg(F.countDistinct("protein").alias("proteins"), F.count("*").alias("domains"), *[s(F.col("method") == m).alias(m) for m in METHODS], s(F.col("confidence") >= medium).alias("medium"), s(F.col("confidence") >= high).alias("high"))
+    return calls.groupBy("experiment").agg(
+        F.countDistinct("protein").alias("proteins"), F.count("*").alias("domains"), *[s(F.col("method") == m).alias(m) for m in METHODS],
+        s(F.col("confidence") >= medium).alias("medium"), s(F.col("confidence") >= high).alias("high"),
+    )
 
 
 def domain_count_histogram(calls: DataFrame) -> DataFrame:
@@ -54,8 +59,15 @@ def weighted_mean(histogram: DataFrame, value: str, weight: str) -> DataFrame:
 def protein_structure_summary(calls: DataFrame, confident: float = 0.8) -> DataFrame:
     """protein, size, coverage, quality, sccs, types ('type:n', sorted, comma-joined)."""
     known, sure = F.col("method").isin("psiblast", "fold_recognition"), F.col("confidence") >= confident
-    per = calls.groupBy("protein", "method").agg(F.sum("size").alias("n"), F.sum(F.when(known | sure, F.col("size")).otherwise(0)).alias("covered"), F.collect_set(F.when(sure, F.col("sccs"))).alias("codes"))
-    out = per.groupBy("protein").agg(F.sum("n").alias("size"), (F.sum("covered") / F.sum("n")).alias("coverage"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))), ",").alias("sccs"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "method", "n"))), ",").alias("types"))
+    per = calls.groupBy("protein", "method").agg(
+        F.sum("size").alias("n"), F.sum(F.when(known | sure, F.col("size")).otherwise(0)).alias("covered"),
+        F.collect_set(F.when(sure, F.col("sccs"))).alias("codes"),
+    )
+    out = per.groupBy("protein").agg(
+        F.sum("n").alias("size"), (F.sum("covered") / F.sum("n")).alias("coverage"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))), ",").alias("sccs"),
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "method", "n"))), ",").alias("types"),
+    )
     cov = F.col("coverage")
     return out.withColumn("quality", F.when(cov >= 1, 3).when(cov >= 0.5, 2).when(cov > 0, 1).otherwise(0))
 
@@ -63,14 +75,18 @@ def protein_structure_summary(calls: DataFrame, confident: float = 0.8) -> DataF
 def best_function(predictions: DataFrame, confident: float = 6.23) -> DataFrame:
     """protein, acc, weight: the greatest -base / (1 + e^-(pls - confident)); ties to the greatest acc."""
     w = -F.col("base") / (1 + F.exp(-(F.col("pls") - confident)))
-    return predictions.groupBy("protein").agg(F.max(F.struct(w.alias("weight"), "acc")).alias("b")).select("protein", F.col("b.acc").alias("acc"), F.col("b.weight").alias("weight"))
+    return predictions.groupBy("protein").agg(F.max(F.struct(w.alias("weight"), "acc")).alias("b")).select(
+        "protein", F.col("b.acc").alias("acc"), F.col("b.weight").alias("weight"),
+    )
 
 
 def family_coverage(members: DataFrame, domains: DataFrame) -> DataFrame:
     """family, method, coverage, share: mean over the family's proteins of domain length over protein length."""
     n = members.groupBy("family").agg(F.countDistinct("protein").alias("n"))
     per = members.join(domains, "protein").groupBy("family", "protein", "method", "length").agg(F.sum("dlen").alias("covered"))
-    out = per.groupBy("family", "method").agg(F.sum(F.col("covered") / F.col("length")).alias("s")).join(n, "family").select("family", "method", (F.col("s") / F.col("n")).alias("coverage"))
+    out = per.groupBy("family", "method").agg(F.sum(F.col("covered") / F.col("length")).alias("s")).join(n, "family").select(
+        "family", "method", (F.col("s") / F.col("n")).alias("coverage"),
+    )
     return out.withColumn("share", F.col("coverage") / F.sum("coverage").over(Window.partitionBy("family")))
 
 
@@ -100,7 +116,10 @@ def mcm_audit(new: DataFrame, old: DataFrame, clusters: DataFrame, rows: int = 5
     o = old.groupBy("sequence").agg(F.avg("probability").alias("avg_old"))
     k = clusters.groupBy("sequence").agg(F.count("*").alias("k"))
     out = n.join(o, "sequence", "left").join(k, "sequence", "left")
-    return out.select("sequence", (F.col("n") >= rows).alias("enough"), (F.col("avg_new") >= F.coalesce("avg_old", F.lit(0.0))).alias("no_worse"), (F.col("conv") == 1).alias("converged"), (F.coalesce("k", F.lit(0)) >= least).alias("clustered"))
+    return out.select(
+        "sequence", (F.col("n") >= rows).alias("enough"), (F.col("avg_new") >= F.coalesce("avg_old", F.lit(0.0))).alias("no_worse"),
+        (F.col("conv") == 1).alias("converged"), (F.coalesce("k", F.lit(0)) >= least).alias("clustered"),
+    )
 
 
 def since_solved_split(hits: DataFrame, average: float) -> DataFrame:
@@ -159,7 +178,9 @@ def representative_center(centers: DataFrame) -> DataFrame:
 
 def cluster_best_model(calls: DataFrame, models: DataFrame) -> DataFrame:
     """cluster, probability, model: the likeliest call of a cluster with its model."""
-    best = calls.groupBy("cluster").agg(F.max(F.struct("probability", "key")).alias("b")).select("cluster", F.col("b.probability").alias("probability"), F.col("b.key").alias("key"))
+    best = calls.groupBy("cluster").agg(F.max(F.struct("probability", "key")).alias("b")).select(
+        "cluster", F.col("b.probability").alias("probability"), F.col("b.key").alias("key"),
+    )
     return best.join(models, "key").select("cluster", "probability", "model")
 
 
@@ -188,7 +209,10 @@ def error_categories(calls: DataFrame, known: DataFrame, scores: DataFrame, widt
     new, near = F.col("known").isNull(), F.col("near").isNotNull()
     n = lambda cond: F.count(F.when(cond, 1))
     more = F.col("pred_z") > F.col("native_z")
-    return rows.groupBy("bin").agg(n(new).alias("new_class"), n(~new & near).alias("continuous"), n(~new & ~near & more).alias("model_error"), n(~new & ~near & ~more).alias("decoy_error"))
+    return rows.groupBy("bin").agg(
+        n(new).alias("new_class"), n(~new & near).alias("continuous"), n(~new & ~near & more).alias("model_error"),
+        n(~new & ~near & ~more).alias("decoy_error"),
+    )
 
 
 def min_date_flag(hits: DataFrame, dates: DataFrame, cutoff) -> DataFrame:

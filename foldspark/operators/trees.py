@@ -85,8 +85,12 @@ def split_tree(edges: DataFrame, most: int = 40) -> DataFrame:
     while not held.isEmpty():
         placed = settled(_stays(held, most))
         cut.append(placed.where("not stays").select("node"))
-        done = placed.groupBy(F.col("up").alias("node")).agg(F.count("*").alias("told"), F.count_if("stays").alias("again"), F.sum(F.when(F.col("stays"), F.col("size"))).alias("size"))
-        told = settled(waiting.join(done, "node", "left").select("node", "size", (F.col("open") - F.coalesce("told", F.lit(0))).alias("open"), F.coalesce("again", F.lit(0)).alias("again")))
+        done = placed.groupBy(F.col("up").alias("node")).agg(
+            F.count("*").alias("told"), F.count_if("stays").alias("again"), F.sum(F.when(F.col("stays"), F.col("size"))).alias("size"),
+        )
+        told = settled(waiting.join(done, "node", "left").select(
+            "node", "size", (F.col("open") - F.coalesce("told", F.lit(0))).alias("open"), F.coalesce("again", F.lit(0)).alias("again"),
+        ))
         tops = told.where("open = 0").join(up, "node", "left").select("node", "up", "size")
         cut.append(tops.where("up is null").select("node"))
         still = told.where("open > 0").select("node", (F.col("open") + F.col("again")).alias("open"))

@@ -34,7 +34,10 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """id, description, sequence: records are split at '>' lines; white space in sequences is dropped."""
     rows = _text(spark, path, "\n>").select(F.regexp_replace("value", "^>", "").alias("value")).where("trim(value) <> ''")
     head = F.regexp_extract("value", r"^([^\n\r]*)", 1)
-    return rows.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), head.alias("description"), F.regexp_replace(F.expr("substring(value, length(regexp_extract(value, '^([^\\n\\r]*)', 1)) + 1)"), r"\s", "").alias("sequence"))
+    return rows.select(
+        F.regexp_extract(head, r"^(\S*)", 1).alias("id"), head.alias("description"),
+        F.regexp_replace(F.expr("substring(value, length(regexp_extract(value, '^([^\\n\\r]*)', 1)) + 1)"), r"\s", "").alias("sequence"),
+    )
 
 
 def parse_fasta_header(df: DataFrame, style: str = "generic", col: str = "description", ids: DataFrame | None = None) -> DataFrame:
@@ -76,8 +79,14 @@ def read_blast_xml(spark: SparkSession, path: str) -> DataFrame:
     schema = "`Iteration_query-def` string, `Iteration_query-len` int, Iteration_hits struct<Hit: array<struct<Hit_num: int, Hit_def: string, Hit_len: int, Hit_hsps: struct<Hsp: array<struct<Hsp_num: int, Hsp_evalue: double, `Hsp_bit-score`: double, `Hsp_align-len`: int, Hsp_identity: int>>>>>>"
     rows = spark.read.format("xml").option("rowTag", "Iteration").schema(schema).load(path)
     hit = rows.select(F.col("Iteration_query-def").alias("query"), F.col("Iteration_query-len").alias("query_len"), F.explode("Iteration_hits.Hit").alias("h"))
-    hsp = hit.select("query", "query_len", F.col("h.Hit_num").alias("hit_num"), F.col("h.Hit_def").alias("hit"), F.col("h.Hit_len").alias("hit_len"), F.explode("h.Hit_hsps.Hsp").alias("s"))
-    return hsp.select("query", "query_len", "hit_num", "hit", "hit_len", F.col("s.Hsp_num").alias("hsp_num"), F.col("s.Hsp_evalue").alias("evalue"), F.col("s.`Hsp_bit-score`").alias("bits"), F.col("s.`Hsp_align-len`").alias("align_len"), F.col("s.Hsp_identity").alias("identities"))
+    hsp = hit.select(
+        "query", "query_len", F.col("h.Hit_num").alias("hit_num"), F.col("h.Hit_def").alias("hit"), F.col("h.Hit_len").alias("hit_len"),
+        F.explode("h.Hit_hsps.Hsp").alias("s"),
+    )
+    return hsp.select(
+        "query", "query_len", "hit_num", "hit", "hit_len", F.col("s.Hsp_num").alias("hsp_num"), F.col("s.Hsp_evalue").alias("evalue"),
+        F.col("s.`Hsp_bit-score`").alias("bits"), F.col("s.`Hsp_align-len`").alias("align_len"), F.col("s.Hsp_identity").alias("identities"),
+    )
 
 
 def read_blast_tabular(spark: SparkSession, path: str) -> DataFrame:
@@ -86,11 +95,17 @@ def read_blast_tabular(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cdhit_clusters(spark: SparkSession, path: str, before_pipe: bool = False) -> DataFrame:
     """cluster_id, entry_num, aa_count, identifier, percent, representative; an only member is representative."""
-    rows = _text(spark, path, ">Cluster ").where("trim(value) <> ''").select(F.regexp_extract("value", r"^\s*(\d+)", 1).cast("int").alias("cluster_id"), F.regexp_extract_all("value", F.lit(r"(\d+\s+\d+aa, >[^\n]*)"), F.lit(1)).alias("members"))
+    rows = _text(spark, path, ">Cluster ").where("trim(value) <> ''").select(
+        F.regexp_extract("value", r"^\s*(\d+)", 1).cast("int").alias("cluster_id"),
+        F.regexp_extract_all("value", F.lit(r"(\d+\s+\d+aa, >[^\n]*)"), F.lit(1)).alias("members"),
+    )
     rows = rows.select("cluster_id", F.size("members").alias("n"), F.explode("members").alias("value"))
     ident = F.regexp_extract("value", r">(.+?)\.\.\.", 1)
     ident = F.substring_index(ident, "|", 1) if before_pipe else ident
-    return rows.select("cluster_id", _get(r"^(\d+)", kind="int").alias("entry_num"), _get(r"(\d+)aa", kind="int").alias("aa_count"), ident.alias("identifier"), _get(r"at (?:[+-]/)?([\d.]+)%", kind="double").alias("percent"), (F.col("value").rlike(r"\*\s*$") | (F.col("n") == 1)).alias("representative"))
+    return rows.select(
+        "cluster_id", _get(r"^(\d+)", kind="int").alias("entry_num"), _get(r"(\d+)aa", kind="int").alias("aa_count"), ident.alias("identifier"),
+        _get(r"at (?:[+-]/)?([\d.]+)%", kind="double").alias("percent"), (F.col("value").rlike(r"\*\s*$") | (F.col("n") == 1)).alias("representative"),
+    )
 
 
 def read_interpro(spark: SparkSession, path: str) -> DataFrame:
@@ -107,7 +122,11 @@ def read_hhsearch(spark: SparkSession, path: str) -> DataFrame:
     rows = _text(spark, path, whole=True).select(_get(r"(?m)^Query\s+(\S+)").alias("query"), F.explode(F.regexp_extract_all("value", F.lit(line), F.lit(1))).alias("value"))
     tail = r"(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\d+)\s+(\d+)-(\d+)\s+(\d+)-(\d+)\s*\(\d+\)$"
     t = lambda i, k: F.regexp_extract("value", tail, i).try_cast(k)
-    return rows.select("query", _get(r"^(\d+)", kind="int").alias("rank"), _get(r"^\d+\s+(\S+)").alias("hit"), t(1, "double").alias("probability"), t(2, "double").alias("evalue"), t(4, "double").alias("score"), t(6, "int").alias("columns"), t(7, "int").alias("q_start"), t(8, "int").alias("q_stop"), t(9, "int").alias("t_start"), t(10, "int").alias("t_stop"))
+    return rows.select(
+        "query", _get(r"^(\d+)", kind="int").alias("rank"), _get(r"^\d+\s+(\S+)").alias("hit"), t(1, "double").alias("probability"),
+        t(2, "double").alias("evalue"), t(4, "double").alias("score"), t(6, "int").alias("columns"), t(7, "int").alias("q_start"),
+        t(8, "int").alias("q_stop"), t(9, "int").alias("t_start"), t(10, "int").alias("t_stop"),
+    )
 
 
 def read_mammoth_scores(spark: SparkSession, path: str) -> DataFrame:
@@ -116,7 +135,11 @@ def read_mammoth_scores(spark: SparkSession, path: str) -> DataFrame:
     num = lambda i: F.when(F.get(f, F.lit(i)).rlike(r"^\*+$"), 0.0).otherwise(F.get(f, F.lit(i)).try_cast("double"))
     key = lambda i: F.substring_index(F.get(f, F.lit(i)), ".", 1).try_cast("long")
     names = ["ini_psi", "ini_rms", "end_psi", "end_rms", "zscore", "evalue"]
-    return _text(spark, path).where("value like ':%'").select(F.get(f, F.lit(14)).alias("p"), F.get(f, F.lit(15)).alias("e"), key(14).alias("prediction_id"), key(15).alias("experiment_id"), num(4).alias("zscore"), num(5).alias("score"), num(6).cast("int").alias("num_p"), num(7).cast("int").alias("num_e"), num(10).alias(names[0]), num(11).alias(names[2]), num(12).alias(names[1]), num(13).alias(names[3]))
+    return _text(spark, path).where("value like ':%'").select(
+        F.get(f, F.lit(14)).alias("p"), F.get(f, F.lit(15)).alias("e"), key(14).alias("prediction_id"), key(15).alias("experiment_id"),
+        num(4).alias("zscore"), num(5).alias("score"), num(6).cast("int").alias("num_p"), num(7).cast("int").alias("num_e"), num(10).alias(names[0]),
+        num(11).alias(names[2]), num(12).alias(names[1]), num(13).alias(names[3]),
+    )
 
 
 def read_score_dump(spark: SparkSession, path: str, layout: str = "A") -> DataFrame:
@@ -124,7 +147,10 @@ def read_score_dump(spark: SparkSession, path: str, layout: str = "A") -> DataFr
     at = {"A": (1, 2, 10), "B": (0, 1, 2)}[layout]
     f = F.split("value", ",")
     g = lambda i: F.trim(F.get(f, F.lit(i)))
-    return _text(spark, path).select(g(at[0]).try_cast("long").alias("prediction_id"), g(at[1]).try_cast("long").alias("experiment_id"), g(at[2]).try_cast("double").alias("zscore")).where("prediction_id is not null")
+    return _text(spark, path).select(
+        g(at[0]).try_cast("long").alias("prediction_id"), g(at[1]).try_cast("long").alias("experiment_id"),
+        g(at[2]).try_cast("double").alias("zscore"),
+    ).where("prediction_id is not null")
 
 
 def read_score_triples(spark: SparkSession, path: str) -> DataFrame:
@@ -149,7 +175,10 @@ def read_silent_decoys(spark: SparkSession, path: str, sequences: DataFrame | No
     lines = F.size(F.regexp_extract_all("value", F.lit(r"(?m)^\s*(\d+)\s+[a-zA-Z]\s+-?\d+\.\d+"), F.lit(1)))
     g = lambda i: F.get("f", F.lit(i)).try_cast("double")
     score = F.when(F.lower(F.get("f", F.lit(0))) == "nan", 0.0).otherwise(g(0))
-    told = rows.where(score.isNotNull()).select("file", F.element_at("f", -1).alias("decoy"), score.alias("score"), g(12).alias("rg"), g(13).alias("contact_order"), g(14).alias("contact"), g(15).alias("rama"), lines.alias("lines"))
+    told = rows.where(score.isNotNull()).select(
+        "file", F.element_at("f", -1).alias("decoy"), score.alias("score"), g(12).alias("rg"), g(13).alias("contact_order"), g(14).alias("contact"),
+        g(15).alias("rama"), lines.alias("lines"),
+    )
     return told.join(lengths, "file").where("lines = length").drop("lines", "length")
 
 
@@ -165,23 +194,33 @@ def read_cluster_report(spark: SparkSession, path: str, most: int = 25) -> DataF
 
 def read_positive_sites(spark: SparkSession, path: str) -> DataFrame:
     """model, column, aa, probability, post_mean, stderr of each model's list."""
-    rows = _text(spark, path, "Model ").select(_get(r"^(\d+)", kind="int").alias("model"), F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^\s*(\d+ [A-Z*-]\s+[\d.]+\**\s+[\d.]+.*)$"), F.lit(1))).alias("value"))
+    rows = _text(spark, path, "Model ").select(
+        _get(r"^(\d+)", kind="int").alias("model"),
+        F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^\s*(\d+ [A-Z*-]\s+[\d.]+\**\s+[\d.]+.*)$"), F.lit(1))).alias("value"),
+    )
     p = r"^(\d+) (\S)\s+([\d.]+)\**\s+([\d.]+)(?:\s*\+-\s*([\d.]+))?"
     g = lambda i, k: F.nullif(F.regexp_extract("value", p, i), F.lit("")).try_cast(k)
-    return rows.select("model", g(1, "int").alias("column"), g(2, "string").alias("aa"), g(3, "double").alias("probability"), g(4, "double").alias("post_mean"), g(5, "double").alias("stderr"))
+    return rows.select(
+        "model", g(1, "int").alias("column"), g(2, "string").alias("aa"), g(3, "double").alias("probability"), g(4, "double").alias("post_mean"),
+        g(5, "double").alias("stderr"),
+    )
 
 
 def read_secondary_structure(spark: SparkSession, path: str) -> DataFrame:
     """file, confidence, prediction, sequence: the line triples joined; unequal lengths are an error."""
     join = lambda tag: F.array_join(F.regexp_extract_all("value", F.lit(rf"(?m)^\s*{tag}:[ \t]*(\S+)"), F.lit(1)), "")
-    rows = _text(spark, path, whole=True).select(F.input_file_name().alias("file"), join("Conf").alias("confidence"), join("Pred").alias("prediction"), join("AA").alias("sequence"))
+    rows = _text(spark, path, whole=True).select(
+        F.input_file_name().alias("file"), join("Conf").alias("confidence"), join("Pred").alias("prediction"), join("AA").alias("sequence"),
+    )
     same = (F.length("confidence") == F.length("prediction")) & (F.length("prediction") == F.length("sequence"))
     return rows.withColumn("prediction", F.when(same, F.col("prediction")).otherwise(F.raise_error(F.concat(F.lit("unequal lengths in "), F.col("file"))).cast("string")))
 
 
 def read_distance_matrix(spark: SparkSession, path: str) -> DataFrame:
     """file, name1, name2, distance of a square matrix whose rows may be wrapped; one file is one row."""
-    rows = _text(spark, path, whole=True).select(F.input_file_name().alias("file"), F.split(F.trim("value"), r"\s+").alias("f")).select("file", F.get("f", F.lit(0)).cast("int").alias("n"), F.expr("slice(f, 2, greatest(size(f) - 1, 0))").alias("f"))
+    rows = _text(spark, path, whole=True).select(F.input_file_name().alias("file"), F.split(F.trim("value"), r"\s+").alias("f")).select(
+        "file", F.get("f", F.lit(0)).cast("int").alias("n"), F.expr("slice(f, 2, greatest(size(f) - 1, 0))").alias("f"),
+    )
     i = rows.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
     ij = i.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("j"))
     return ij.selectExpr("file", "f[i * (n + 1)] as name1", "f[j * (n + 1)] as name2", "try_cast(f[i * (n + 1) + 1 + j] as double) as distance")
