@@ -333,7 +333,7 @@ def _further(home: DataFrame, space: Space, boxes: tuple[np.ndarray, np.ndarray,
                 near = (gap * gap).sum(axis=1) <= Block._radius(float(known[i]), float(scale[i]), beyond)
                 lists.append(cell[near & (cell != own[i])])
             ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists).astype(np.int32)))
+            cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([cell[:0], *lists]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch[c] for c in ("h1", "h2", "v", "known")] + [cells], names=["h1", "h2", "v", "known", "cells"])
 
     kinds = dict(home.dtypes)

@@ -234,5 +234,6 @@ def test_neighbours_edges(spark):
     assert neighbours.nearest(spark.createDataFrame([], kind)).count() == 0
     assert neighbours.nearest(spark.createDataFrame([(20, None), (40, [])], kind)).count() == 0
     assert neighbours.nearest(spark.createDataFrame([(20, [1.0, 2.0])], kind)).count() == 0
+    assert neighbours.nearest(spark.createDataFrame([(1, [1.0, 2.0]), (3, [0.5, -1.0])], kind)).count() == 0  # no queries
     few = neighbours.nearest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, -1.0]), (2, [1.0, 2.0]), (3, [-1.0, -2.0])], kind)).orderBy("rank").collect()
     assert [tuple(r) for r in few] == [(0, 1, 2, 5.0), (0, 2, 1, -1.5), (0, 3, 3, -5.0)]
