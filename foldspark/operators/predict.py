@@ -69,11 +69,13 @@ def predict_functions(
     ratios to the default. What has no stored value at all has the same default parts for all parents with terms of the same
     kinds, so it depends on the base alone: a domain meets those functions by whole numbers of their base, from its own bound upwards.
     """
+    # Each of these is read several times.
+    structures, process, localisation = (settled(x) for x in (structures, process.select("entity", "term"), localisation.select("entity", "term")))
     base = settled(lr.where(F.col("acc2").isNull() & (F.col("metric") < upper)).select(F.col("acc").alias("func"), F.col("metric").alias("base_llr")))
     funcs = base.select("func")
     pair = lr.where("acc2 is not null").join(funcs.withColumnRenamed("func", "acc"), "acc", "left_semi").select(F.col("acc").alias("func"), F.col("acc2").alias("given"), "metric")
     # sum p * lr = MISSING * sum p + sum p * (lr - MISSING) over the stored pairs.
-    mass = settled(structures.groupBy("domain", "set_id").agg(F.sum("p").alias("mass")))
+    mass = structures.groupBy("domain", "set_id").agg(F.sum("p").alias("mass"))
     stored = settled(structures.join(pair, F.col("sccs") == F.col("given")).groupBy("domain", "set_id", "func").agg(F.sum(F.col("p") * (F.col("metric") - MISSING)).alias("extra")))
     greatest = lambda t, name: t.groupBy(F.col("entity").alias("parent")).agg(F.max("term").alias(f"{name}_top"))
     parents = domains.select("parent").distinct().join(greatest(process, "p"), "parent", "left").join(greatest(localisation, "l"), "parent", "left")
