@@ -12,3 +12,19 @@ def test_path_ties_are_exact(spark):
         got = structure.representative_path(spark.createDataFrame(rows, "domain int, key int, start int, stop int, ratio double")).collect()
         # In order of (start, stop): key 1, key 0, key 2, key 3. Before 3 both 0 and 1, 2 reach a + b; the first in order is 0.
         assert sorted(r["key"] for r in got) == [0, 3]
+
+
+def test_predictions_by_groups(spark):
+    seqs, terms = [(s, s % 3) for s in range(1, 8)], [(a, a % 3) for a in range(1, 10)]
+    old = [(1, 1), (1, 4), (1, 7), (2, 5), (2, 3), (4, 1)]
+    new = [(1, 1), (3, 6), (3, 4), (5, 8), (2, 2), (2, 2)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    s, t, o, n = frame(seqs, "sequence_key int, group int"), frame(terms, "acc int, group int"), frame(old, "sequence_key int, acc int"), frame(new, "sequence_key int, acc int")
+    pred = frame([(p, a) for p, g in seqs for a, h in terms if g == h], "sequence_key int, acc int")
+    got = ontology.confirmed_in_groups(s, t, o, n)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ontology.confirmed_predictions(pred, o, n).collect())) == [(2, 2), (3, 6), (5, 8)]
+    d = frame([(10 * g + a % 2, a, g) for a, g in terms] + [(99, None, 1)], "domain_key int, acc int, group int")
+    flat = pred.join(d.select("domain_key", "acc"), "acc").unionByName(s.where("group = 1").selectExpr("sequence_key", "cast(null as int) acc", "99 domain_key"))
+    rows = lambda df: sorted(map(tuple, df.select("domain_key", "sequence_key", "status").collect()))
+    got = rows(ontology.novel_or_extended_in_groups(s, d, o))
+    assert got == rows(ontology.novel_or_extended(flat, o)) and {x for *_, x in got} == {"novel", "extended", "known"}
