@@ -28,3 +28,13 @@ def test_predictions_by_groups(spark):
     rows = lambda df: sorted(map(tuple, df.select("domain_key", "sequence_key", "status").collect()))
     got = rows(ontology.novel_or_extended_in_groups(s, d, o))
     assert got == rows(ontology.novel_or_extended(flat, o)) and {x for *_, x in got} == {"novel", "extended", "known"}
+
+
+def test_assign_scop_many_chains(spark):
+    domains = spark.createDataFrame([(1, "x", "A", 1, 20), (1, "x", "B", 1, 30), (2, "x", "A", 1, 40), (2, "x", "A", 50, 70), (3, "y", "A", 1, 5)], "domain int, pdb string, chain string, start int, stop int")
+    parts = [(7, "x", "A", 1, 20, 50, "a.1"), (7, "x", "B", 1, 30, 50, "a.1"), (8, "x", "A", 1, 70, 90, "b.1"), (9, "x", "A", 50, 71, 90, "b.1"), (5, "y", "A", None, None, 6, "c.1"), (6, "y", "A", 0, None, 9, "d.1")]
+    got = structure.assign_scop(domains, spark.createDataFrame(parts, "scop int, pdb string, chain string, start int, stop int, chain_len int, sccs string"))
+    assert sorted((r["domain"], r["sccs"], r["size"]) for r in got.collect()) == [(1, "a.1", 1), (2, "b.1", 2), (3, "c.1", 1)]
+    # Of a class on one chain nothing but counts by domain and code leaves that chain.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN many" in plan
