@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import draw
+from foldspark.operators.pairs import pairs_within
 
 
 def residue_columns(alignment: DataFrame) -> DataFrame:
@@ -55,25 +56,23 @@ def inverse_distance(coords: DataFrame, sites: DataFrame) -> DataFrame:
 def site_clustering(coords: DataFrame, sites: DataFrame, samples: int, seed: int = 0) -> DataFrame:
     """structure, target, percentile: the sites' mean 1/d and the share of random sets of that size not above it.
 
-    A structure's residues are gathered once, as an array; samples are drawn as parts of it, and their means are folds over
-    pairs of these, so no sample joins or shuffles anything. Structures with fewer than two sites give no row.
+    Each residue is drawn for every sample by a hash; the pairs of a sample, and those of the sites, meet in blocks, so no task or row holds
+    a structure's pairs and their sums are spread over all tasks. The pairs themselves grow with the square of the sites. Rows of
+    ``coords`` are distinct in (structure, residue). Structures with fewer than two sites give no row.
     """
-    at = coords.groupBy("structure").agg(F.array_sort(F.collect_list(F.struct("residue", "x", "y", "z"))).alias("all"))
-    own = sites.groupBy("structure").agg(F.countDistinct("residue").cast("int").alias("k"), F.collect_set("residue").alias("site"))
-    rows = at.join(own, "structure").withColumn("target", _mean_inverse(F.filter("all", lambda r: F.array_contains("site", r["residue"])))).where("target is not null")
-    rows = rows.select("structure", "all", "k", "target", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("set_id"))
-    drawn = F.transform("all", lambda r: F.struct(draw(seed, "structure", "set_id", r["residue"]).alias("draw"), r["residue"].alias("residue"), r.alias("at")))
-    chosen = F.array_sort(F.transform(F.slice(F.array_sort(drawn), 1, F.col("k")), lambda r: r["at"]))
-    means = rows.select("structure", "target", _mean_inverse(chosen).alias("mean_inverse")).where("mean_inverse is not null")
-    return means.groupBy("structure", "target").agg(F.avg((F.col("mean_inverse") <= F.col("target")).cast("int")).alias("percentile"))
-
-
-def _mean_inverse(places: Column) -> Column:
-    """Mean of 1/d over the pairs of an array of structs with x, y, z; null for fewer than two."""
-    inverse = lambda a, b: 1 / F.sqrt(sum((a[k] - b[k]) ** 2 for k in "xyz"))
-    of_one = lambda a, i: F.aggregate(F.slice(places, i + 2, F.size(places)), F.lit(0.0), lambda s, b: s + inverse(a, b))
-    total = F.aggregate(F.transform(places, of_one), F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(places) > 1, total / (F.size(places) * (F.size(places) - 1) / 2))
+    own = sites.select("structure", "residue").distinct()
+    size = own.groupBy("structure").agg(F.count("residue").cast("int").alias("k"))
+    drawn = coords.join(size, "structure").withColumn("set_id", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    first = Window.partitionBy("structure", "set_id").orderBy(draw(seed, "structure", "set_id", "residue"), "residue")
+    chosen = drawn.withColumn("row__no", F.row_number().over(first)).where("row__no <= k")
+    names = ["structure", "set_id", "residue", "x", "y", "z"]
+    every = chosen.select(*names).unionByName(coords.join(own, ["structure", "residue"]).withColumn("set_id", F.lit(0)).select(*names))
+    met = pairs_within(every.withColumn("key", F.struct("structure", "set_id")), "key", "residue", ("x", "y", "z"))
+    inverse = 1 / F.sqrt(sum((F.col(f"{k}_a") - F.col(f"{k}_b")) ** 2 for k in "xyz"))
+    means = met.groupBy("key").agg(F.avg(inverse).alias("mean"), F.count(inverse).alias("n"), F.count("*").alias("pairs")).where("n = pairs").select("key.*", "mean")
+    targets = means.where("set_id = 0").select("structure", F.col("mean").alias("target"))
+    means = means.where("set_id > 0").join(targets, "structure")
+    return means.groupBy("structure", "target").agg(F.avg((F.col("mean") <= F.col("target")).cast("int")).alias("percentile"))
 
 
 def important_residue_score(sites: DataFrame, matrix: DataFrame, gap: float = -0.5) -> DataFrame:

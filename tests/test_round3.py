@@ -1,8 +1,9 @@
 """Ties of representative paths, predictions by groups, classes of several chains."""
 
 import itertools
+import math
 
-from foldspark.operators import ontology, structure
+from foldspark.operators import columns, ontology, pairs, structure
 
 
 def test_path_ties_are_exact(spark):
@@ -38,3 +39,15 @@ def test_assign_scop_many_chains(spark):
     # Of a class on one chain nothing but counts by domain and code leaves that chain.
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN many" in plan
+
+
+def test_site_clustering_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    xyz = {i: (i * 0.7, (i * i) % 5 + 0.1 * i, (i * 3) % 7) for i in range(12)}
+    coords = spark.createDataFrame([(1, i, *map(float, v)) for i, v in xyz.items()] + [(2, 0, 0.0, 0.0, 0.0)], "structure int, residue int, x double, y double, z double")
+    sites = [0, 2, 3, 7, 8, 11]
+    got = columns.site_clustering(coords, spark.createDataFrame([(1, i) for i in [*sites, 2]] + [(2, 0)], "structure int, residue int"), 5)
+    rows = got.collect()
+    want = [1 / math.dist(xyz[a], xyz[b]) for a, b in itertools.combinations(sites, 2)]
+    assert [r["structure"] for r in rows] == [1] and abs(rows[0]["target"] - sum(want) / len(want)) < 1e-12
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row holds a structure
