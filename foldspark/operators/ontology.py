@@ -72,9 +72,18 @@ def children(closure: DataFrame) -> DataFrame:
 
 
 def local_leaves(entity_terms: DataFrame, closure: DataFrame) -> DataFrame:
-    """entity, acc: terms of an entity that are no ancestor of another of its terms."""
+    """entity, acc: terms of an entity that are no ancestor of another of its terms.
+
+    Each ancestor brings a mask of 256 bits with one set for each of its entities, so an entity that surely lacks it is cut before
+    anything moves; the rest is looked up exactly.
+    """
     rows = entity_terms.select("entity", "acc").distinct()
-    above = rows.join(closure.where("distance > 0"), F.col("acc") == F.col("descendant")).select("entity", F.col("ancestor").alias("acc")).distinct()
+    bit = F.pmod(F.xxhash64("entity"), F.lit(256))
+    word, flag = F.floor(bit / 64), F.expr("shiftleft(1L, cast(pmod(xxhash64(entity), 64) as int))")
+    masks = rows.groupBy("acc").agg(*[F.bit_or(F.when(word == i, flag).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(4)])
+    links = closure.where("distance > 0").select(F.col("ancestor"), "descendant").join(masks.withColumnRenamed("acc", "ancestor"), "ancestor")
+    own = F.when(word == 0, F.col("m0")).when(word == 1, F.col("m1")).when(word == 2, F.col("m2")).otherwise(F.col("m3"))
+    above = rows.join(links, F.col("acc") == F.col("descendant")).where(own.bitwiseAND(flag) != 0).select("entity", F.col("ancestor").alias("acc")).distinct()
     return rows.join(above, ["entity", "acc"], "left_anti")
 
 

@@ -51,3 +51,13 @@ def test_site_clustering_in_blocks(spark, monkeypatch):
     want = [1 / math.dist(xyz[a], xyz[b]) for a, b in itertools.combinations(sites, 2)]
     assert [r["structure"] for r in rows] == [1] and abs(rows[0]["target"] - sum(want) / len(want)) < 1e-12
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row holds a structure
+
+
+def test_local_leaves_with_masks(spark):
+    held = {(e, a) for e in range(-300, 300) for a in range(1, 32) if (e * 7 + a * a) % 11 < 2}
+    up = lambda a: {a >> k for k in range(1, 6)} - {0}
+    want = {(e, a) for e, a in held if not any(a in up(b) for b in range(1, 32) if (e, b) in held)}
+    closure = [(x, a, 1) for a in range(1, 32) for x in up(a)] + [(a, a, 0) for a in range(1, 32)]
+    got = ontology.local_leaves(spark.createDataFrame(sorted(held), "entity int, acc int"), spark.createDataFrame(closure, "ancestor int, descendant int, distance int"))
+    assert {tuple(r) for r in got.select("entity", "acc").collect()} == want
+    assert "bit_or" in got._jdf.queryExecution().optimizedPlan().toString()  # ancestors that an entity lacks are cut before they move
