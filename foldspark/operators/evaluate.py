@@ -108,12 +108,16 @@ def benchmark_sequences(annotations: DataFrame, terms: DataFrame, types: list[st
 
 
 def genome_coverage(predictions: DataFrame, thresholds: DataFrame, groups: list[str]) -> DataFrame:
-    """groups, predictions, proteins, domains, functions kept at the groups' thresholds."""
-    kept = predictions.join(thresholds, groups).where("score >= threshold")
-    return kept.groupBy(*groups).agg(
-        F.count("*").alias("predictions"), F.countDistinct("protein").alias("proteins"), F.countDistinct("domain").alias("domains"),
-        F.countDistinct("acc").alias("functions"),
-    )
+    """groups, predictions, proteins, domains, functions kept at the groups' thresholds.
+
+    Thresholds, a row a group, are settled, so that Spark sees whether they are small and need no exchange of the predictions. Each
+    kind of id is made distinct on its own, so that no row is repeated for another kind and no task holds the ids of all kinds.
+    """
+    kept = predictions.join(settled(thresholds), groups).where("score >= threshold")
+    out = kept.groupBy(*groups).agg(F.count("*").alias("predictions"))
+    for name, col in (("proteins", "protein"), ("domains", "domain"), ("functions", "acc")):
+        out = out.join(kept.groupBy(*groups).agg(F.countDistinct(col).alias(name)), groups)
+    return out
 
 
 def orthogonal_predictions(scores: DataFrame, key: str, cuts: list[tuple[float, float]]) -> DataFrame:
