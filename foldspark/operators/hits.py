@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.operators.pairs import pairs_within
+from foldspark.sources.tables import settled, tasks
+
+#: Pairs of families that a task takes, about, while they repeat.
+PAIRS = 3_000_000
 
 
 def filter_hsps(df: DataFrame, evalue: float, length: float, identities: int) -> DataFrame:
@@ -67,9 +71,14 @@ def dedupe_sequences(records: DataFrame, stored: DataFrame) -> tuple[DataFrame,
 
 def related_families(members: DataFrame) -> DataFrame:
     """family, other: families that share a protein. Each pair is joined once, in blocks where a protein has many families,
-    and mirrored when it is distinct."""
-    one = members.select("family", "protein_key").distinct()
-    pairs = pairs_within(one, "protein_key", "family").select(F.col("a").alias("family"), F.col("b").alias("other")).distinct()
+    and mirrored when it is distinct. Tasks follow the number of members, and then that of pairs, which is counted first."""
+    rows = members.select("family", "protein_key")
+    one = settled(rows.repartition(tasks(rows.sparkSession, rows.count()), "protein_key").distinct())
+    c = F.col("count")
+    count = one.groupBy("protein_key").count().agg(F.sum(c * (c - 1) / 2)).first()[0] or 0
+    n = tasks(one.sparkSession, int(count), PAIRS)
+    met = pairs_within(one, "protein_key", "family", tasks=n).select(F.col("a").alias("family"), F.col("b").alias("other"))
+    pairs = met.repartition(n, "family", "other").distinct()
     return pairs.select(F.explode(F.array(F.struct("family", "other"), F.struct(F.col("other").alias("family"), F.col("family").alias("other")))).alias("p")).select("p.*")
 
 

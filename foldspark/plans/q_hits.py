@@ -77,7 +77,7 @@ def dedupe_sequences(t):
 
 @query("SELECT DISTINCT x.f AS family, y.f AS other FROM (SELECT DISTINCT l_suppkey AS f, l_partkey AS p FROM lineitem) x JOIN (SELECT DISTINCT l_suppkey AS f, l_partkey AS p FROM lineitem) y ON x.p = y.p AND x.f <> y.f")
 def related_families(t):
-    return hits.related_families(t.read("lineitem").select(F.col("l_suppkey").alias("family"), F.col("l_partkey").alias("protein_key")).distinct())
+    return hits.related_families(t.read("lineitem").select(F.col("l_suppkey").alias("family"), F.col("l_partkey").alias("protein_key")))
 
 
 @query("SELECT DISTINCT array_to_string((string_split(code, '.'))[1:3], '.') AS superfamily, protein AS sequence_key, method, o_orderpriority AS symbol FROM calls JOIN parts USING (partkey) LEFT JOIN orders ON o_orderkey = protein WHERE confidence >= 0.08")

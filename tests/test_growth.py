@@ -1,8 +1,10 @@
 """Tasks that follow the rows, and steps that keep work and memory of a task from growing with the input."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from foldspark.operators import enrich, evaluate
+from foldspark.operators import enrich, evaluate, hits, metrics, ontology
 from foldspark.plans.queries import QUERIES
 from foldspark.sources import tables
 
@@ -40,3 +42,41 @@ def test_features_in_tasks_by_rows(spark, monkeypatch):
     assert {r["feature"]: tuple(r)[1:] for r in got.collect()} == want
     assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [query#") == 2
     assert ", 11" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_families_in_tasks_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(hits, "PAIRS", 20)
+    monkeypatch.setattr(tables, "ROWS", 10)
+    held = {(f, p) for f in range(12) for p in range(9) if (f * p + f) % 4 < 2}
+    got = hits.related_families(spark.createDataFrame(sorted(held) * 2, "family int, protein_key int"))
+    count = sum(n * (n - 1) // 2 for n in (sum(p == q for _, q in held) for p in range(9)))
+    assert got.rdd.getNumPartitions() == count // 20 + 1 > 4
+    assert {tuple(r) for r in got.collect()} == {(f, g) for f, p in held for g, q in held if p == q and f != g}
+
+
+def test_ancestors_in_tasks_by_direct_terms(spark, monkeypatch):
+    monkeypatch.setattr(ontology, "DIRECT", 5)
+    up = lambda a: {a >> k for k in range(6)} - {0}
+    kind, dead, coded = (lambda a: "mf" if a % 3 else "bp"), (lambda a: int(a % 5 == 0)), (lambda s, a: "12"[(s + a) % 2])
+    direct = [(s, a, coded(s, a)) for s in range(30) for a in range(1, 32) if (s * a) % 7 == 1]
+    terms = spark.createDataFrame([(a, f"n{a}", kind(a), dead(a)) for a in range(1, 32)], "acc int, name string, term_type string, is_obsolete int")
+    closure = spark.createDataFrame([(x, a) for a in range(1, 32) for x in up(a)], "ancestor int, descendant int")
+    got = ontology.ancestor_terms(spark.createDataFrame(direct * 2, "sequence_key int, acc int, evidence_code string"), terms, closure, ["mf"], ["1"])
+    low = {(s, a) for s, a, c in direct if c == "1" and kind(a) == "mf" and not dead(a)}
+    want = {(s, x, f"n{x}", "mf") for s, a in low for x in up(a) if kind(x) == "mf" and not dead(x)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got.rdd.getNumPartitions() == len(low) // 5 + 1 > 4
+
+
+def test_frequency_counts_equal_sets(spark, monkeypatch):
+    held = [(c, p) for c in [*range(40), None] for p in ["all", "x", "y", "z", "w", None] if p == "x" or (c or 0) % 7 == len(p or "") or (p == "all" and c != 3) or (p == "z" and c in (5, 6))]
+    frame = spark.createDataFrame([r for r in held for _ in range(2 if (r[0] or 0) % 2 else 1)], "cluster_id int, predictor string")
+    rows = set(held)
+    n, pairs = Counter(p for _, p in rows), Counter((p, q) for c, p in rows for d, q in rows if c == d and c is not None and p and q)
+    pairs["all", None] = sum((c, None) in rows and (c, "all") in rows for c in range(40))  # as before
+    want = sorted([(p, None, k) for p, k in n.items()] + [(*pq, k) for pq, k in pairs.items()], key=str)
+    for block in (1000, 3):
+        monkeypatch.setattr(metrics, "BLOCK", block)
+        got = metrics.frequency(frame)
+        assert sorted(map(tuple, got.collect()), key=str) == want
+        assert block == 3 or "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # pairs form inside a cluster's set
