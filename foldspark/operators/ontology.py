@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from foldspark.functions.scalar import UNIVERSAL
 from foldspark.operators.pairs import pairs_within
 from foldspark.operators.trees import walk_up
-from foldspark.sources.tables import settled
+from foldspark.sources.tables import settled, tasks
+
+#: Direct annotations of which a task takes all ancestors, about.
+DIRECT = 100_000
 
 
 def transitive_closure(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -36,14 +39,18 @@ def ancestor_terms(annotations: DataFrame, terms: DataFrame, closure: DataFrame,
     """sequence_key, acc, name, term_type: non-obsolete ancestors, of the same type, of direct terms.
 
     ``annotations`` (sequence_key, acc, evidence_code), ``terms`` (acc, name, term_type, is_obsolete),
-    ``closure`` (ancestor, descendant: accs). ``types`` and ``codes`` restrict the direct terms.
+    ``closure`` (ancestor, descendant: accs). ``types`` and ``codes`` restrict the direct terms. Ancestors of another type, and
+    obsolete ones, are cut from the closure before annotations meet it; rows are made distinct where a sequence's meet, in tasks that follow
+    the direct terms, which are settled and counted.
     """
     direct = annotations if codes is None else annotations.where(F.col("evidence_code").isin(codes))
     own = terms.where("is_obsolete = 0")
     low = own if types is None else own.where(F.col("term_type").isin(types))
-    direct = direct.join(low.select("acc", F.col("term_type").alias("own_type")), "acc").select("sequence_key", "acc", "own_type").distinct()
-    up = direct.join(closure, direct["acc"] == closure["descendant"]).select("sequence_key", "own_type", F.col("ancestor").alias("acc"))
-    return up.join(own, "acc").where("term_type = own_type").select("sequence_key", "acc", "name", "term_type").distinct()
+    direct = settled(direct.join(low.select("acc").distinct(), "acc", "left_semi").select("sequence_key", F.col("acc").alias("descendant")).distinct())
+    links = closure.select("ancestor", "descendant").join(low.select(F.col("acc").alias("descendant"), F.col("term_type").alias("own_type")), "descendant")
+    links = links.join(own.select(F.col("acc").alias("ancestor"), "name", "term_type"), "ancestor").where("term_type = own_type")
+    up = direct.join(links, "descendant").select("sequence_key", F.col("ancestor").alias("acc"), "name", "term_type")
+    return up.repartition(tasks(direct.sparkSession, direct.count(), DIRECT), "sequence_key").distinct()
 
 
 def terms_for_sequences(products: DataFrame, associations: DataFrame, evidence: DataFrame, closure: DataFrame | None = None, codes: list[str] | None = None) -> DataFrame:
