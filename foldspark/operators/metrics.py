@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import TINY, UNIVERSAL
 from foldspark.operators.pairs import pairs_within
-from foldspark.sources.tables import settled
+from foldspark.sources.tables import settled, tasks
 
 
 def cluster_predictors(clusters: DataFrame, terms: DataFrame, classes: DataFrame, keep_without_terms: bool = False, removed: str = "remove") -> DataFrame:
@@ -28,40 +28,61 @@ def cluster_predictors(clusters: DataFrame, terms: DataFrame, classes: DataFrame
     return by_term.unionByName(by_class).distinct()
 
 
-#: Predictors of a cluster from which it is split into blocks of about this size.
+#: Predictor rows of a cluster from which it is split into blocks of about this size.
 BLOCK = 1000
 
 
 def frequency(predictors: DataFrame) -> DataFrame:
     """acc, acc2, metric: clusters with acc (acc2 null), and with both, for every ordered pair and itself.
 
-    Each unordered pair is counted once, with partial sums before the shuffle, and mirrored. The
-    universal predictor stands in every cluster; its pairs are the base counts and are not joined. The
-    distinct predictors are written once; large clusters are split into blocks, each joined with the whole.
+    Rows of ``predictors`` may repeat. They move once, by cluster, to tasks that follow their number; a cluster becomes its set of
+    predictors, equal sets are counted, and pairs are formed once for each set, mirrored when they are summed. Clusters of more than
+    ``BLOCK`` rows are never gathered: they are split into blocks, each joined with the whole. The universal predictor stands in every
+    cluster; its pairs are the base counts.
     """
-    rows = settled(predictors.select("cluster_id", "predictor").distinct())
-    plain = rows.where(F.col("predictor") != UNIVERSAL)
-    sizes = plain.groupBy("cluster_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    sized = plain.join(sizes, "cluster_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    a = sized.select("cluster_id", F.col("predictor").alias("acc"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    b = sized.select("cluster_id", F.col("predictor").alias("acc2"), F.pmod(F.xxhash64("predictor"), F.col("blocks")).cast("int").alias("block"))
-    pairs = a.join(b, ["cluster_id", "block"]).where("acc <= acc2").groupBy("acc", "acc2").agg(F.count("*").alias("metric"))
+    rows = predictors.select("cluster_id", "predictor")
+    sizes = rows.groupBy("cluster_id").agg(F.count("*").alias("c"))
+    total, most = sizes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
+    heavy = settled(sizes.where(F.col("c") > BLOCK).select("cluster_id")) if most > BLOCK else None
+    light = rows if heavy is None else rows.join(heavy, rows["cluster_id"].eqNullSafe(heavy["cluster_id"]), "left_anti")
+    p, universal, link = F.col("predictor"), F.lit(UNIVERSAL), F.col("cluster_id").isNotNull()
+    one = light.repartition(tasks(rows.sparkSession, total), "cluster_id").groupBy("cluster_id").agg(
+        F.array_sort(F.collect_set("predictor")).alias("held"), F.bool_or(p.isNull()).alias("gap"),
+    )
+    sets = settled(one.groupBy("held", "gap", link.alias("link")).agg(F.count("*").alias("n")))
+    every = F.when(F.col("gap"), F.concat("held", F.array(F.lit(None).cast("string")))).otherwise(F.col("held"))
+    base = sets.select(F.explode(every).alias("predictor"), "n", F.when(F.array_contains("held", universal) & F.col("link"), F.col("n")).otherwise(0).alias("with_all"))
+    plain = sets.where("link").select("n", F.array_remove("held", UNIVERSAL).alias("held"))
+    pairs = plain.select("n", "held", F.explode("held").alias("acc")).select("n", "acc", F.explode("held").alias("acc2")).where("acc <= acc2")
+    if heavy is not None:
+        more = settled(rows.join(heavy, rows["cluster_id"].eqNullSafe(heavy["cluster_id"]), "left_semi").distinct())
+        has = more.where(p == UNIVERSAL).select("cluster_id", F.lit(1).alias("with_all"))
+        base = base.unionByName(more.join(has, "cluster_id", "left").select("predictor", F.lit(1).alias("n"), F.coalesce("with_all", F.lit(0)).alias("with_all")))
+        pairs = pairs.unionByName(_pairs_in_blocks(more.where(p != UNIVERSAL)))
+    base = settled(base.groupBy("predictor").agg(F.sum("n").alias("metric"), F.sum("with_all").alias("with_all")))
+    pairs = pairs.groupBy("acc", "acc2").agg(F.sum("n").alias("metric"))
     both = F.when(F.col("acc") == F.col("acc2"), F.array(F.struct("acc", "acc2"))).otherwise(F.array(
         F.struct("acc", "acc2"), F.struct(F.col("acc2").alias("acc"), F.col("acc").alias("acc2")),
     ))
     # What stands with the universal predictor: everything, in clusters that have it.
-    has = rows.where(F.col("predictor") == UNIVERSAL).select("cluster_id", F.lit(1).alias("has"))
-    base = settled(rows.join(has, "cluster_id", "left").groupBy("predictor").agg(F.count("*").alias("metric"), F.count("has").alias("with_all")))
-    whole, p = F.lit(UNIVERSAL), F.col("predictor")
     named = F.array(
         F.struct(p.alias("acc"), F.lit(None).cast("string").alias("acc2"), F.col("metric").alias("n")),
-        F.struct(whole.alias("acc"), p.alias("acc2"), F.col("with_all").alias("n")),
-        F.struct(p.alias("acc"), whole.alias("acc2"), F.when(p != UNIVERSAL, F.col("with_all")).otherwise(0).alias("n")),
+        F.struct(universal.alias("acc"), p.alias("acc2"), F.col("with_all").alias("n")),
+        F.struct(p.alias("acc"), universal.alias("acc2"), F.when(p != UNIVERSAL, F.col("with_all")).otherwise(0).alias("n")),
     )
     own = base.select(F.explode(named).alias("x")).select("x.acc", "x.acc2", F.col("x.n").alias("metric")).where("acc2 is null or metric > 0")
     return own.unionByName(pairs.select(F.explode(both).alias("x"), "metric").select("x.acc", "x.acc2", "metric"))
 
 
+def _pairs_in_blocks(rows: DataFrame) -> DataFrame:
+    """acc <= acc2, n: a row for each pair of distinct (cluster_id, predictor) rows of a cluster, which meet in blocks of it."""
+    sizes = rows.groupBy("cluster_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = rows.join(sizes, "cluster_id")
+    a = sized.select("cluster_id", F.col("predictor").alias("acc"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    b = sized.select("cluster_id", F.col("predictor").alias("acc2"), F.pmod(F.xxhash64("predictor"), F.col("blocks")).cast("int").alias("block"))
+    return a.join(b, ["cluster_id", "block"]).where("acc <= acc2").select("acc", "acc2", F.lit(1).alias("n"))
+
+
 def with_base(metric: DataFrame) -> DataFrame:
     """Pair rows with the base values of both: acc, acc2, metric, base, base2, total."""
     base = metric.where("acc2 is null")
