@@ -10,10 +10,15 @@ from foldspark.operators.pairs import pairs_within
 
 
 def residue_columns(alignment: DataFrame) -> DataFrame:
-    """protein, residue (from 1), col (from 0), letter: columns that hold a residue, of each row's sequence. Narrow."""
-    letters = F.transform(F.split("aligned", ""), lambda x, i: F.struct(i.alias("col"), x.alias("letter")))
-    held = F.posexplode(F.filter(letters, lambda x: ~x["letter"].isin("-", "")))
-    return alignment.select("protein", held.alias("at", "x")).select("protein", (F.col("at") + 1).alias("residue"), "x.col", "x.letter")
+    """protein, residue (from 1), col (from 0), letter: columns that hold a residue, of each row's sequence. Narrow.
+
+    Residues are the letters without gaps; a residue's column is its number and the gaps before it, which are told by stretch between
+    gaps, so that nothing is interpreted for each letter.
+    """
+    gaps = F.flatten(F.transform(F.split("aligned", "-"), lambda x, i: F.array_repeat(i, F.length(x))))
+    letters = F.split(F.replace("aligned", F.lit("-"), F.lit("")), "")
+    rows = alignment.select("protein", gaps.alias("gaps__"), letters.alias("letters__")).select("protein", "gaps__", F.posexplode("letters__").alias("at", "letter"))
+    return rows.where("letter <> ''").select("protein", (F.col("at") + 1).alias("residue"), (F.col("at") + F.get("gaps__", F.col("at"))).alias("col"), "letter")
 
 
 def domain_residue_columns(columns: DataFrame, regions: DataFrame) -> DataFrame:

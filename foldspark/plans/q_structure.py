@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foldspark.operators import columns, structure, summary
 from foldspark.plans.adapters import draw_sql
 from foldspark.plans.queries import query
+from foldspark.sources.tables import tasks
 
 SCOP = {"scop": "SELECT l_orderkey * 10 + l_linenumber AS scop, l_partkey AS pdb, l_returnflag AS chain, CASE WHEN l_linestatus = 'O' THEN l_linenumber * 10 - 3 END AS start, CASE WHEN l_linestatus = 'O' THEN l_linenumber * 10 + 12 END AS stop, 40 AS chain_len, code AS sccs FROM lineitem JOIN parts ON partkey = l_partkey"}
 
@@ -369,8 +370,14 @@ def yield_cube(t):
 ALIGNED = {"al": "SELECT doc_id AS protein, replace(text, ' ', '-') AS aligned FROM documents", "cols": "SELECT protein, pos AS col, ch AS letter, row_number() OVER (PARTITION BY protein ORDER BY pos)::INT AS residue FROM (SELECT protein, unnest(string_split(aligned, '')) AS ch, unnest(range(len(aligned)))::INT AS pos FROM al) WHERE ch NOT IN ('-', '')"}
 
 
+#: Documents whose letters a task writes out, about.
+DOCUMENTS = 5000
+
+
 def _columns(t):
-    return columns.residue_columns(t.read("documents").select(F.col("doc_id").alias("protein"), F.replace("text", F.lit(" "), F.lit("-")).alias("aligned")))
+    docs = t.read("documents")  # dealt by number, since files may have few parts that can be read on their own
+    docs = docs.repartition(tasks(t.spark, docs.count(), DOCUMENTS), "doc_id")
+    return columns.residue_columns(docs.select(F.col("doc_id").alias("protein"), F.replace("text", F.lit(" "), F.lit("-")).alias("aligned")))
 
 
 @query("SELECT protein, residue, col, letter FROM cols", ALIGNED)

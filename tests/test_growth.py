@@ -4,7 +4,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from foldspark.operators import enrich, evaluate, hits, metrics, ontology
+from foldspark.operators import columns, enrich, evaluate, hits, metrics, ontology
+from foldspark.plans import q_structure
 from foldspark.plans.queries import QUERIES
 from foldspark.sources import tables
 
@@ -80,3 +81,24 @@ def test_frequency_counts_equal_sets(spark, monkeypatch):
         got = metrics.frequency(frame)
         assert sorted(map(tuple, got.collect()), key=str) == want
         assert block == 3 or "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # pairs form inside a cluster's set
+
+
+def test_residues_by_stretches(spark, monkeypatch):
+    texts = {1: "-a--bc-", 2: "", 3: "---", 4: "é𝄞-x", 5: "abc", 6: None, 7: "a-b\n- c--"}
+    got = columns.residue_columns(spark.createDataFrame(list(texts.items()), "protein int, aligned string"))
+    want = [(p, n + 1, c, x) for p, t in texts.items() for n, (c, x) in enumerate((c, x) for c, x in enumerate(t or "") if x != "-")]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "filter(transform(" not in got._jdf.queryExecution().optimizedPlan().toString()  # nothing interpreted for each letter
+    monkeypatch.setattr(q_structure, "DOCUMENTS", 20)
+    assert QUERIES["residue_columns"](spark, SMALL).rdd.getNumPartitions() == spark.read.parquet(f"{SMALL}/documents.parquet").count() // 20 + 1
+
+
+def test_featured_term_once_for_each_set(spark):
+    mi = {(f, x): ((i * 7 + j * 5) % 6 - 2) / 2 for i, f in enumerate("FGH") for j, x in enumerate("abcde") if (i + j) % 3}
+    held = {e: {x for j, x in enumerate("abcdez") if (e * 5 + j * j) % 4 < 2} or {"z"} for e in range(24)}
+    ent = spark.createDataFrame([(e, x) for e, own in held.items() for x in own] * 2, "entity int, term string")
+    got = metrics.featured_term(ent, spark.createDataFrame([(f,) for f in "FGHN"], "func string"), spark.createDataFrame([(*k, v) for k, v in mi.items()], "acc string, acc2 string, metric double"))
+    want = [(e, f, *max(((mi.get((f, x), 0.0), x) for x in own))[::-1]) for e, own in held.items() for f in "FGHN"]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "entity#" in plan and not any("Aggregate [entity#" in line for line in plan.splitlines())  # sets of terms meet functions, not entities
