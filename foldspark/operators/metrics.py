@@ -165,21 +165,23 @@ def metrics_given(metric: DataFrame, acc: str) -> DataFrame:
 def featured_term(entities: DataFrame, functions: DataFrame, mi: DataFrame) -> DataFrame:
     """entity, func, term, mi: the entity's term of greatest MI with each function; a missing MI is 0.
 
-    ``entities`` (entity, term), ``functions`` (func). Ties go to the greatest term. Stored values join
-    first; a function without a stored value for an entity, or with none above 0, takes the entity's
-    greatest term of MI 0, so defaults are never expanded.
+    ``entities`` (entity, term), ``functions`` (func). Ties go to the greatest term. Entities with one set of terms have one result,
+    found once for the set: stored values join first, and a function without a stored value for a set, or with none above 0, takes the
+    set's greatest term of MI 0, so defaults are never expanded. An entity meets its set's functions, as one array, in the last join.
     """
-    m = mi.select(F.col("acc").alias("func"), F.col("acc2").alias("term"), "metric").where("term is not null")
-    m = m.join(functions, "func", "left_semi")
-    stored = entities.join(m, "term").groupBy("entity", "func").agg(F.max(F.struct("metric", "term")).alias("best"), F.collect_set("term").alias("known"))
-    own = entities.groupBy("entity").agg(F.collect_set("term").alias("terms"))
+    functions = functions.select("func").distinct()
+    m = mi.select(F.col("acc").alias("func"), F.col("acc2").alias("term"), "metric").where("term is not null").join(functions, "func", "left_semi")
+    own = settled(entities.groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms")))
+    sets = settled(own.select("terms").distinct())
+    stored = sets.select("terms", F.explode("terms").alias("term")).join(m, "term").groupBy("terms", "func").agg(F.max(F.struct("metric", "term")).alias("best"), F.collect_set("term").alias("known"))
     unknown = F.array_max(F.array_except("terms", "known"))
     zero = F.when(unknown.isNotNull(), F.struct(F.lit(0.0).alias("metric"), unknown.alias("term")))
-    stored = stored.join(own, "entity").select("entity", "func", F.greatest(F.col("best"), zero).alias("best"))
-    # A row a (entity, function) is what is asked for; of an entity's terms only the greatest goes along.
-    every = own.select("entity", F.array_max("terms").alias("greatest")).crossJoin(functions)
-    joined = every.join(stored, ["entity", "func"], "left")
-    return joined.select("entity", "func", F.coalesce(F.col("best")["term"], F.col("greatest")).alias("term"), F.coalesce(F.col("best")["metric"], F.lit(0.0)).alias("mi"))
+    stored = stored.select("terms", "func", F.greatest(F.col("best"), zero).alias("best"))
+    # A row a (entity, function) is what is asked for; of a set's terms only the greatest stands for those without a stored value.
+    joined = sets.crossJoin(functions).join(stored, ["terms", "func"], "left")
+    one = F.struct("func", F.coalesce(F.col("best")["term"], F.array_max("terms")).alias("term"), F.coalesce(F.col("best")["metric"], F.lit(0.0)).alias("mi"))
+    found = joined.groupBy("terms").agg(F.collect_list(one).alias("found"))
+    return own.join(found, "terms").select("entity", F.inline("found"))
 
 
 def superfamily_profile(prob: DataFrame, superfamily: str, common: float = 0.1) -> DataFrame:
