@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.functions.scalar import TINY
-from foldspark.sources.tables import settled
+from foldspark.sources.tables import settled, tasks
 
 SCORES = ("p_llr", "l_llr", "s_llr", "pl_llr", "ps_llr", "ls_llr", "pls_llr", "base_llr")
 #: The log ratio of a pair that isn't stored.
 MISSING = log(TINY)
+#: Kinds of values of a function, in the order in which they are met.
+LINKED, STORED, BARE = range(3)
+#: Functions of one whole number that stand in one row, about.
+FUNCTIONS = 1000
 
 
 def combine_superfamily(df: DataFrame) -> DataFrame:
@@ -37,21 +41,36 @@ def structure_sets(df: DataFrame, mode: str) -> DataFrame:
     return ranked.select("domain", "set_id", "sccs", "p")
 
 
-def _linked_terms(terms: DataFrame, funcs: DataFrame, mi: DataFrame, pair: DataFrame, name: str) -> DataFrame:
-    """parent, func, {name}_acc, {name}_part: the parent's term of greatest MI with each function, and its log ratio.
+def _told(funcs: DataFrame, pair: DataFrame, mi: DataFrame) -> DataFrame:
+    """term, func, base_llr, most, mi, lr: what is stored of terms with functions ``funcs`` (func, base_llr, most), of either kind."""
+    m = mi.select(F.col("acc").alias("func"), F.col("acc2").alias("term"), F.col("metric").alias("mi")).where("term is not null")
+    both = m.join(pair.select("func", F.col("given").alias("term"), F.col("metric").alias("lr")), ["func", "term"], "full")
+    return both.join(funcs, "func").select("term", "func", "base_llr", "most", F.coalesce("mi", F.lit(0.0)).alias("mi"), "lr")
 
-    Only functions for which a term of the parent has a stored value of either kind. Of the other terms, whose MI is 0, the
-    greatest stands for all; ties go to the greatest term.
+
+def _linked_terms(terms: DataFrame, told: DataFrame, lower: float, parts: int) -> DataFrame:
+    """parent, p_top, l_top, links (array of func, base_llr, p_acc, p_part, l_acc, l_part) of each parent with terms.
+
+    ``terms`` (entity, kind: p or l, term). A link has the parent's term of greatest MI with the function, of each kind, and its log
+    ratio. Only functions for which a term of the parent has a stored value of either kind, and which may reach ``lower``. Of the
+    other terms, whose MI is 0, the greatest stands for all; ties go to the greatest term. Terms move once, by parent.
     """
-    m = mi.select(F.col("acc").alias("func"), F.col("acc2").alias("term"), F.col("metric").alias("mi")).where("term is not null").join(funcs, "func", "left_semi")
-    told = m.join(pair.select("func", F.col("given").alias("term"), F.col("metric").alias("lr")), ["func", "term"], "full")
-    own = terms.groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    best = F.max(F.struct(F.coalesce("mi", F.lit(0.0)).alias("mi"), "term", "lr")).alias("best")
-    held = terms.join(told, "term").groupBy("entity", "func").agg(best, F.collect_set("term").alias("known")).join(own, "entity")
-    other = F.array_max(F.array_except("terms", "known"))
-    zero = F.when(other.isNotNull(), F.struct(F.lit(0.0).alias("mi"), other.alias("term"), F.lit(None).cast("double").alias("lr")))
-    top = F.greatest("best", zero)
-    return held.select(F.col("entity").alias("parent"), "func", top["term"].alias(f"{name}_acc"), F.coalesce(top["lr"], F.lit(MISSING)).alias(f"{name}_part"))
+    # The filter stands before the exchange, so that both uses of it are one.
+    met = terms.where("entity is not null and term is not null").repartition(parts, "entity").distinct()
+    of = lambda name, what: F.when(F.col("kind") == name, what)
+    own = met.groupBy("entity").agg(*[F.collect_list(of(x, F.col("term"))).alias(f"{x}_terms") for x in "pl"])
+    best = [F.max(of(x, F.struct("mi", "term", "lr"))).alias(f"{x}_best") for x in "pl"]
+    known = [F.collect_list(of(x, F.col("term"))).alias(f"{x}_known") for x in "pl"]
+    rows = met.join(told, "term").groupBy("entity", "func").agg(F.max("base_llr").alias("base_llr"), F.max("most").alias("most"), *best, *known).join(own, "entity")
+    zero = lambda x: F.when(F.size(f"{x}_known") < F.size(f"{x}_terms"), F.struct(
+        F.lit(0.0).alias("mi"), F.array_max(F.array_except(f"{x}_terms", f"{x}_known")).alias("term"), F.lit(None).cast("double").alias("lr"),
+    ))
+    rows = rows.select("entity", "func", "base_llr", "most", *[F.greatest(f"{x}_best", zero(x)).alias(x) for x in "pl"])
+    part = lambda x: F.when(F.col(x).isNotNull(), F.coalesce(F.col(x)["lr"], F.lit(MISSING))).otherwise(0.0)
+    rows = rows.where(F.col("base_llr") + part("p") + part("l") + F.greatest("most", F.lit(0.0)) >= lower)
+    link = F.struct("func", "base_llr", *[y for x in "pl" for y in (F.col(x)["term"].alias(f"{x}_acc"), part(x).alias(f"{x}_part"))])
+    links = rows.groupBy("entity").agg(F.collect_list(link).alias("links"))
+    return own.join(links, "entity", "left").select(F.col("entity").alias("parent"), *[F.array_max(f"{x}_terms").alias(f"{x}_top") for x in "pl"], "links")
 
 
 def predict_functions(
@@ -64,46 +83,67 @@ def predict_functions(
     ``localisation`` (entity, term: of the parent), ``lr`` and ``mi`` metric tables. Functions are those
     with a base log ratio below ``upper``. A null parent has no terms.
 
-    Parents never meet all functions. Stored values join first: those of a parent's terms are found once for each (parent, function)
-    that has any, and kept if the best that structures can add reaches ``lower``; a domain's structures add their stored log
-    ratios to the default. What has no stored value at all has the same default parts for all parents with terms of the same
-    kinds, so it depends on the base alone: a domain meets those functions by whole numbers of their base, from its own bound upwards.
+    Rows of (domain, function) or (parent, function) never move. Structures move by domain, where their stored log ratios add to the
+    default and become one array; terms move by parent and become one array of links with functions, of those that can reach ``lower`` with
+    the best that structures add. A domain's row meets its parent's there, and rows are formed from the two arrays, sorted by function,
+    where they stand. What has no stored value at all has the same default parts for all parents with terms of the same kinds, so it
+    depends on the base alone: a domain meets those functions by whole numbers of their base, from its own bound upwards.
     """
-    # Each of these is read several times.
-    structures, process, localisation = (settled(x) for x in (structures, process.select("entity", "term"), localisation.select("entity", "term")))
+    spark = structures.sparkSession
     base = settled(lr.where(F.col("acc2").isNull() & (F.col("metric") < upper)).select(F.col("acc").alias("func"), F.col("metric").alias("base_llr")))
-    funcs = base.select("func")
-    pair = lr.where("acc2 is not null").join(funcs.withColumnRenamed("func", "acc"), "acc", "left_semi").select(F.col("acc").alias("func"), F.col("acc2").alias("given"), "metric")
-    # sum p * lr = MISSING * sum p + sum p * (lr - MISSING) over the stored pairs.
-    mass = structures.groupBy("domain", "set_id").agg(F.sum("p").alias("mass"))
-    stored = settled(structures.join(pair, F.col("sccs") == F.col("given")).groupBy("domain", "set_id", "func").agg(F.sum(F.col("p") * (F.col("metric") - MISSING)).alias("extra")))
-    greatest = lambda t, name: t.groupBy(F.col("entity").alias("parent")).agg(F.max("term").alias(f"{name}_top"))
-    parents = domains.select("parent").distinct().join(greatest(process, "p"), "parent", "left").join(greatest(localisation, "l"), "parent", "left")
-    part = lambda name: F.coalesce(f"{name}_part", F.when(F.col(f"{name}_top").isNotNull(), F.lit(MISSING)).otherwise(F.lit(0.0)))
-    p, loc, f = part("p"), part("l"), F.col("base_llr")
-    linked = _linked_terms(process, funcs, mi, pair, "p").join(_linked_terms(localisation, funcs, mi, pair, "l"), ["parent", "func"], "full")
-    reach = stored.join(mass, ["domain", "set_id"]).groupBy("func").agg(F.max(F.col("extra") + F.col("mass") * MISSING).alias("most"))
-    linked = linked.join(parents, "parent").join(base, "func").join(reach, "func", "left").where(f + p + loc + F.greatest(F.col("most"), F.lit(0.0)) >= lower)
-    linked = settled(linked.select(F.col("parent").alias("of__parent"), F.col("func").alias("of__func"), "p_acc", "p_part", "l_acc", "l_part"))
-    same, own = F.col("parent") == F.col("of__parent"), F.col("func") == F.col("of__func")
-    held = settled(domains.join(mass, "domain").join(parents.withColumnRenamed("parent", "of__parent"), F.col("parent").eqNullSafe(F.col("of__parent")), "left").drop("of__parent"))
-    with_stored = held.join(stored, ["domain", "set_id"]).join(base, "func").join(linked, same & own, "left")
-    of_terms = held.join(linked, same).withColumnRenamed("of__func", "func").join(base, "func").where(f + p + loc + F.col("mass") * MISSING >= lower)
+    pair = settled(lr.where("acc2 is not null").select(F.col("acc").alias("func"), F.col("acc2").alias("given"), "metric").join(base, "func"))
+    # sum p * lr = MISSING * sum p + sum p * (lr - MISSING) over the stored pairs; the sum of p stands as that of a null function.
+    structures = settled(structures.select("domain", "set_id", "sccs", "p"))
+    of_code = settled(pair.groupBy(F.col("given").alias("sccs")).agg(F.collect_list(F.struct("func", "base_llr", (F.col("metric") - MISSING).alias("more"))).alias("stored")))
+    name, term = base.schema["func"].dataType.simpleString(), process.schema["term"].dataType.simpleString()
+    mass = F.array(F.struct(F.lit(None).cast(name).alias("func"), F.lit(None).cast("double").alias("base_llr"), F.lit(1.0).alias("more")))
+    rows = structures.repartition(tasks(spark, structures.count()), "domain").join(of_code, "sccs", "left")
+    rows = rows.select("domain", "set_id", "p", F.inline(F.concat(mass, F.coalesce("stored", F.array().cast(of_code.schema["stored"].dataType)))))
+    sums = rows.groupBy("domain", "set_id", "func").agg(F.max("base_llr").alias("base_llr"), F.sum(F.col("p") * F.col("more")).alias("extra"))
+    sums = sums.groupBy("domain", "set_id").agg(
+        F.max(F.when(F.col("func").isNull(), F.col("extra"))).alias("mass"), F.collect_list(F.when(F.col("func").isNotNull(), F.struct("func", "base_llr", "extra"))).alias("stored"),
+    )
+    held = settled(domains.select("domain", "parent").join(sums, "domain").select("domain", "parent", "set_id", "mass", "stored"))
+    reach = held.select("mass", F.inline("stored")).groupBy("func").agg(F.max(F.col("extra") + F.col("mass") * MISSING).alias("most"))
+    told = settled(_told(base.join(reach, "func", "left"), pair, mi))
+    terms = [df.select("entity", F.lit(kind).alias("kind"), "term") for kind, df in (("p", process), ("l", localisation))]
+    terms = settled(terms[0].unionByName(terms[1]))
+    parts = tasks(spark, terms.count() + held.count())
+    linked = _linked_terms(terms, told, lower, parts)
+    rows = held.where("parent is not null").repartition(parts, "parent").join(linked, "parent", "left").unionByName(held.where("parent is null"), allowMissingColumns=True)
     # Without any stored value: from the whole number below the domain's bound up to the greatest base.
     bound = lower - F.col("mass") * MISSING - MISSING * (F.col("p_top").isNotNull().cast("int") + F.col("l_top").isNotNull().cast("int"))
     low, high = (floor(x) if x is not None else 0 for x in base.agg(F.min("base_llr"), F.max("base_llr")).first())
     start = F.greatest(F.floor(bound), F.lit(low))
-    whole = F.explode(F.when(start <= high, F.sequence(start.cast("int"), F.lit(high)))).alias("whole")
-    bare = held.select("*", bound.alias("bound"), whole).join(
-        base.withColumn("whole", F.floor("base_llr").cast("int")), "whole",
-    ).where("base_llr >= bound").drop("bound", "whole").join(linked, same & own, "left_anti")
-    without = of_terms.drop("of__parent").unionByName(bare, allowMissingColumns=True).join(stored.select("domain", "set_id", "func"), ["domain", "set_id", "func"], "left_anti")
-    rows = with_stored.drop("of__parent", "of__func").unionByName(without, allowMissingColumns=True)
-    s = F.col("mass") * MISSING + F.coalesce("extra", F.lit(0.0))
-    parts = {"p": p, "l": loc, "s": s}
-    scores = [(sum((parts[x] for x in name), start=f)).alias(f"{name}_llr") for name in ("p", "l", "s", "pl", "ps", "ls", "pls")]
-    acc = [F.coalesce(f"{name}_acc", f"{name}_top").alias(f"{name}_acc") for name in "pl"]
-    return rows.select("domain", "parent", "set_id", "func", *scores, "base_llr", *acc).where(F.col("pls_llr") >= lower)
+    wholes = F.when(start <= high, F.sequence(start.cast("int"), F.lit(high))).otherwise(F.array().cast("array<int>"))
+    entry = lambda kind, x: F.struct(
+        x["func"].alias("func"), F.lit(kind).alias("kind"), x["base_llr"].alias("base_llr"),
+        *[(x[c] if kind == LINKED else F.lit(None).cast(t)).alias(c) for c, t in (("p_acc", term), ("p_part", "double"), ("l_acc", term), ("l_part", "double"))],
+        (x["extra"] if kind == STORED else F.lit(None).cast("double")).alias("extra"),
+    )
+    chunk = F.pmod(F.xxhash64("func"), F.lit(base.count() // FUNCTIONS + 1))
+    bare = settled(base.groupBy(F.floor("base_llr").cast("int").alias("whole"), chunk.alias("chunk")).agg(F.collect_list(F.struct("func", "base_llr")).alias("bare")).drop("chunk"))
+    kept = f"struct<func:{name},kind:int,base_llr:double,p_acc:{term},p_part:double,l_acc:{term},l_part:double,extra:double>"
+    or_none = lambda x: F.coalesce(x, F.array().cast(f"array<{kept}>"))
+    known = F.concat(or_none(F.transform("links", lambda x: entry(LINKED, x))), or_none(F.transform("stored", lambda x: entry(STORED, x))))
+    rows = rows.select("domain", "parent", "set_id", "mass", "p_top", "l_top", known.alias("known"), bound.alias("bound"), wholes.alias("wholes"))
+    rows = rows.withColumn("whole", F.explode(F.concat(F.array(F.lit(None).cast("int")), "wholes"))).drop("wholes").join(bare, "whole", "left")
+    free = F.transform(F.filter("bare", lambda x: x["base_llr"] >= F.col("bound")), lambda x: entry(BARE, x))
+    rows = rows.withColumn("all", F.array_sort(F.concat("known", or_none(free))))
+    # Of one function stand, in this order: link, stored, bare. The first gives the row, with the sum of the second.
+    rows = rows.select("domain", "parent", "set_id", "mass", "p_top", "l_top", "whole", F.inline(F.arrays_zip(
+        F.col("all").alias("one"), F.slice("all", 2, F.size("all")).alias("next"), F.concat(F.array(F.lit(None).cast(kept)), "all").alias("last"),
+    )))
+    one, after = F.col("one"), F.col("next")
+    rows = rows.where(one.isNotNull() & (F.col("last").isNull() | ~F.col("last")["func"].eqNullSafe(one["func"])) & (F.col("whole").isNull() | (one["kind"] == BARE)))
+    extra = F.coalesce(one["extra"], F.when((after["func"] == one["func"]) & (one["kind"] == LINKED), after["extra"]), F.lit(0.0))
+    default = lambda x: F.when(F.col(f"{x}_top").isNotNull(), F.lit(MISSING)).otherwise(F.lit(0.0))
+    rows = rows.select(
+        "domain", "parent", "set_id", one["func"].alias("func"), one["base_llr"].alias("base_llr"), (F.col("mass") * MISSING + extra).alias("s"),
+        *[F.coalesce(one[f"{x}_part"], default(x)).alias(x) for x in "pl"], *[F.coalesce(one[f"{x}_acc"], f"{x}_top").alias(f"{x}_acc") for x in "pl"],
+    )
+    scores = [sum((F.col(x) for x in name), start=F.col("base_llr")).alias(f"{name}_llr") for name in ("p", "l", "s", "pl", "ps", "ls", "pls")]
+    return rows.select("domain", "parent", "set_id", "func", *scores, "base_llr", "p_acc", "l_acc").where(F.col("pls_llr") >= lower)
 
 
 def best_per_function(predictions: DataFrame) -> DataFrame:
