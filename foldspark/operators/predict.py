@@ -97,7 +97,8 @@ def predict_functions(
     of_code = settled(pair.groupBy(F.col("given").alias("sccs")).agg(F.collect_list(F.struct("func", "base_llr", (F.col("metric") - MISSING).alias("more"))).alias("stored")))
     name, term = base.schema["func"].dataType.simpleString(), process.schema["term"].dataType.simpleString()
     mass = F.array(F.struct(F.lit(None).cast(name).alias("func"), F.lit(None).cast("double").alias("base_llr"), F.lit(1.0).alias("more")))
-    rows = structures.repartition(tasks(spark, structures.count()), "domain").join(of_code, "sccs", "left")
+    each = pair.count() // max(of_code.count(), 1) + 1  # rows of a structure where they are added
+    rows = structures.repartition(tasks(spark, structures.count() * each), "domain").join(of_code, "sccs", "left")
     rows = rows.select("domain", "set_id", "p", F.inline(F.concat(mass, F.coalesce("stored", F.array().cast(of_code.schema["stored"].dataType)))))
     sums = rows.groupBy("domain", "set_id", "func").agg(F.max("base_llr").alias("base_llr"), F.sum(F.col("p") * F.col("more")).alias("extra"))
     sums = sums.groupBy("domain", "set_id").agg(
