@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.operators.pairs import pairs_within
 from foldspark.sources.tables import settled, tasks
 
-#: Pairs of families that a task takes, about, while they repeat.
-PAIRS = 3_000_000
+#: Pairs of families that a task takes, about, while they repeat; families of a protein from which it is split into blocks.
+PAIRS, BLOCK = 3_000_000, 1000
 
 
 def filter_hsps(df: DataFrame, evalue: float, length: float, identities: int) -> DataFrame:
@@ -70,15 +71,35 @@ def dedupe_sequences(records: DataFrame, stored: DataFrame) -> tuple[DataFrame,
 
 
 def related_families(members: DataFrame) -> DataFrame:
-    """family, other: families that share a protein. Each pair is joined once, in blocks where a protein has many families,
-    and mirrored when it is distinct. Tasks follow the number of members, and then that of pairs, which is counted first."""
-    rows = members.select("family", "protein_key")
-    one = settled(rows.repartition(tasks(rows.sparkSession, rows.count()), "protein_key").distinct())
+    """family, other: families that share a protein. Each pair is formed in the task of the lesser family and mirrored when it is distinct.
+
+    Families are dealt to tasks by ranges, whose number follows the pairs, which are counted first. A protein's families move as one
+    array, once to each range that holds some of them; pairs are formed and made distinct there, and move no more. Of a protein of very many
+    families blocks of them meet, dealt to cells of two blocks each.
+    """
+    rows = members.select("family", "protein_key").where("family is not null and protein_key is not null")
+    by = tasks(rows.sparkSession, rows.count())
+    one = settled(rows.repartition(by, "protein_key").distinct())
     c = F.col("count")
-    count = one.groupBy("protein_key").count().agg(F.sum(c * (c - 1) / 2)).first()[0] or 0
-    n = tasks(one.sparkSession, int(count), PAIRS)
-    met = pairs_within(one, "protein_key", "family", tasks=n).select(F.col("a").alias("family"), F.col("b").alias("other"))
-    pairs = met.repartition(n, "family", "other").distinct()
+    held = one.groupBy("protein_key").count()
+    n = tasks(one.sparkSession, int(held.agg(F.sum(c * (c - 1) / 2)).first()[0] or 0), PAIRS)
+    heavy = settled(held.where(c > BLOCK).select("protein_key", F.ceil(c / BLOCK).cast("int").alias("blocks")))
+    placed = settled(one.repartitionByRange(n, "family").select(F.spark_partition_id().alias("place"), "family", "protein_key"))
+    dealt = placed.join(heavy, "protein_key", "left").withColumn("block", F.pmod(F.xxhash64("family"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    lists = dealt.repartition(by, "protein_key").groupBy("protein_key", "block", "blocks").agg(F.collect_list(F.struct("place", "family")).alias("held"))
+    met = [lists.select(F.col("held").alias("x"), F.col("held").alias("y"))]
+    if not heavy.isEmpty():
+        split = lists.where("blocks is not null")
+        x = split.select("protein_key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("held").alias("x")).where("i < j")
+        y = split.select("protein_key", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("held").alias("y")).where("i < j")
+        cells = x.repartition(n, "protein_key", "i", "j").join(y.repartition(n, "protein_key", "i", "j"), ["protein_key", "i", "j"])
+        met += [cells.select("x", "y"), cells.select(F.col("y").alias("x"), F.col("x").alias("y"))]
+    there = lambda u: u["place"] == F.col("place")
+    after = lambda u: u["place"] >= F.col("place")
+    sent = reduce(DataFrame.unionByName, met).withColumn("place", F.explode(F.array_distinct(F.col("x")["place"])))
+    sent = sent.select("place", F.filter("x", there)["family"].alias("own"), F.filter("y", after)["family"].alias("others")).where("size(others) > 0")
+    pairs = sent.repartitionById(n, "place").select("place", F.explode("own").alias("family"), "others").select("place", "family", F.explode("others").alias("other"))
+    pairs = pairs.where("family < other").groupBy("place", "family", "other").agg(F.lit(1))
     return pairs.select(F.explode(F.array(F.struct("family", "other"), F.struct(F.col("other").alias("family"), F.col("family").alias("other")))).alias("p")).select("p.*")
 
 

@@ -144,3 +144,16 @@ def test_predictions_join_no_rows_by_function(spark, monkeypatch):
         assert all(rows[k][1:9] == pytest.approx(want[k][1:9]) and rows[k][::9] == want[k][::9] and rows[k][-1] == want[k][-1] for k in rows)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Join " in line and "func#" in line for line in plan.splitlines())
+
+
+def test_families_move_as_lists(spark, monkeypatch):
+    rng = random.Random(1)
+    held = {(f"f{f:02}", p) for f in range(40) for p in range(25) if rng.random() < 0.3} | {(f"f{f:02}", 99) for f in range(40)}
+    frame = spark.createDataFrame(sorted(held) * 2 + [(None, 1), ("f01", None)], "family string, protein_key int")
+    want = {(f, g) for f, p in held for g, q in held if p == q and f != g}
+    for block in (1000, 7):
+        monkeypatch.setattr(hits, "BLOCK", block)
+        got = hits.related_families(frame)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not any("Exchange hashpartitioning" in line and "other#" in line for line in plan.splitlines())  # no pair moves
