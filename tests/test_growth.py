@@ -1,5 +1,6 @@
 """Tasks that follow the rows, and steps that keep work and memory of a task from growing with the input."""
 
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -157,3 +158,22 @@ def test_families_move_as_lists(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == sorted(want)
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert not any("Exchange hashpartitioning" in line and "other#" in line for line in plan.splitlines())  # no pair moves
+
+
+def test_novel_or_extended_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ontology, "TILE", 4)
+    monkeypatch.setattr(ontology, "RESULTS", 30)
+    frame = spark.createDataFrame
+    seqs, doms = [(s, s % 2) for s in range(23)] + [(99, None), (98, 7)], [(100 + a, a, a % 2) for a in range(17)] + [(103, 5, 1), (200, None, 0)]
+    old = {(s, a) for s in range(23) for a in range(17) if s % 3 and (s * a) % 4 == 1} | {(5, 3), (5, 5), (4, 90)}
+    got = ontology.novel_or_extended_in_groups(frame(seqs, "sequence_key int, group int"), frame(doms, "domain_key int, acc int, group int"), frame(sorted(old) * 2, "sequence_key int, acc int"))
+    accs = defaultdict(set)
+    for d, a, g in doms:
+        accs[d, g].add(a)
+    has = {s for s, _ in old}
+    want = {(d, s): "novel" if s not in has else "extended" if any(a is None or (s, a) not in old for a in own) else "known" for s, g in seqs for (d, h), own in accs.items() if g == h}
+    assert {(r["domain_key"], r["sequence_key"]): r["status"] for r in got.collect()} == want and got.count() == len(want)
+    assert got.rdd.getNumPartitions() == len(want) // 30 + 1 > 4  # tasks follow the rows of the result
+    for part in got.rdd.glom().collect():  # a domain's rows of a tile stand together
+        runs = 1 + sum(x["domain_key"] != y["domain_key"] for x, y in itertools.pairwise(part))
+        assert not part or runs <= len(part) / 2
